@@ -7,7 +7,6 @@ from checks import sqltext as draw
 from foreunc.operators.design import cholesky
 
 R = 6
-NULL_SITE = "site_id"
 
 
 def rnd(expr: str, name: str, digits: int = R) -> str:
@@ -188,7 +187,7 @@ SITE_ENSEMBLE = f"""obs AS (
   SELECT site_id, datetime - DATE '2024-01-01' AS lead, observation AS obs FROM targets
   WHERE variable = '{fx.TARGET}'),
 ens AS (
-  SELECT 'S' || user_id AS site_id, CAST(ts AS DATE) - DATE '2024-01-01' AS lead, value AS y
+  SELECT 'S' || user_id AS site_id, CAST(ts AS DATE) - DATE '2024-01-01' AS lead, sqrt(value) AS y
   FROM events WHERE event_type <> '{fx.TARGET}')"""
 
 
@@ -388,7 +387,8 @@ LAGGED = """lagged AS (
 TRAIN = """train AS (
   SELECT l_suppkey * 10000 + CAST(floor((CAST(date_trunc('month', l_shipdate) AS DATE)
            - DATE '1970-01-01') / 7.0) AS BIGINT) AS row_id,
-         avg(l_quantity) AS quantity, avg(l_discount) AS discount, avg(l_tax) AS tax
+         avg(sqrt(l_quantity)) AS quantity, avg(sqrt(l_discount)) AS discount,
+         avg(sqrt(l_tax)) AS tax
   FROM lineitem GROUP BY l_suppkey, date_trunc('month', l_shipdate))"""
 
 STANDARDISED = (
@@ -445,7 +445,7 @@ ORACLES: dict[str, str] = {
     "target_sufficiency": with_(
         fx.TARGETS,
         """w AS (SELECT site_id, datetime,
-        max(observation) FILTER (WHERE variable = 'purchase') - 20 AS anomaly,
+        max(observation) FILTER (WHERE variable = 'purchase') - 4 AS anomaly,
         max(observation) FILTER (WHERE variable = 'view') AS view_mean
         FROM targets WHERE variable IN ('purchase', 'view') GROUP BY 1, 2)""",
     )
@@ -622,7 +622,7 @@ ORACLES: dict[str, str] = {
     + f"""SELECT lead, {rnd("any_value(a + b * lead)", "smooth")}, {rnd("avg(crps)", "crps")}
       FROM scores, fit GROUP BY 1""",
     "error_across_spread": with_(*SITE_SCORES)
-    + f"""SELECT CAST(floor((q975 - q025) / 25) AS BIGINT) AS bin, count(resid) AS n,
+    + f"""SELECT CAST(floor((q975 - q025) / 2) AS BIGINT) AS bin, count(resid) AS n,
       {rnd("avg(resid)", "bias")}, {rnd("avg(abs(resid))", "mae")},
       {rnd("sqrt(avg(resid * resid))", "rmse")} FROM scores GROUP BY 1""",
     # series fits

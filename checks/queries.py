@@ -149,7 +149,7 @@ def complete_targets(spark, sf):
 def target_sufficiency(spark, sf):
     t = prepare.widen(
         fx.targets(spark, sf), ["datetime", "site_id"], [fx.TARGET, "view"], value="observation"
-    ).withColumn("anomaly", F.col(fx.TARGET) - 20.0)
+    ).withColumn("anomaly", F.col(fx.TARGET) - 4.0)
     return prepare.target_status(t, "anomaly", driver="view")
 
 
@@ -456,7 +456,7 @@ def _site_scores(spark, sf):
     obs = evaluate.observations_by_lead(t, "2024-01-01", 29, ["site_id"])
     ensemble = fx.table(spark, sf, "events").where(F.col("event_type") != fx.TARGET).select(
         fx.site().alias("site_id"), F.datediff(F.to_date("ts"), F.lit("2024-01-01")).alias("lead"),
-        F.col("value").alias("y"),
+        F.sqrt("value").alias("y"),
     )
     return evaluate.scores(ensemble, obs, ["site_id", "lead"], max_group_rows=50_000)
 
@@ -503,7 +503,7 @@ def skill_spline(spark, sf):
 @query()
 def error_across_spread(spark, sf):
     scored = _site_scores(spark, sf).withColumn("spread", F.col("q975") - F.col("q025"))
-    return evaluate.error_by_bin(scored, "spread", "resid", 25.0)
+    return evaluate.error_by_bin(scored, "spread", "resid", 2.0)
 
 
 @query()
@@ -549,7 +549,7 @@ def series_autoregression(spark, sf):
 
 @query()
 def series_order_choice(spark, sf):
-    monthly = fx.monthly_series(spark, sf).withColumn("y", F.col("y") - 12.0)
+    monthly = fx.monthly_series(spark, sf).withColumn("y", F.col("y") - 160.0)
     fit = series.fit_with_fallback(
         monthly, ["series_id"], "y", ["x1", "x2"], max_order=2, step="month"
     )
