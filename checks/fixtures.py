@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from foreunc.functions.random import Draws
 from foreunc.functions.scalar import KELVIN_OFFSET
 from foreunc.operators import prepare
-from foreunc.operators.design import DesignSpec
+from foreunc.operators.design import DesignSpec, spread
 from foreunc.plans.ar_forecast import daily_drivers
 from foreunc.session import ensure_checkpoint_dir
 
@@ -189,7 +189,7 @@ def monthly_means(spark: SparkSession, sf: str, keys: list[str]) -> DataFrame:
 
 def samples(spark: SparkSession, sf: str) -> DataFrame:
     """One ensemble sample per order."""
-    return table(spark, sf, "orders").select((F.col("o_orderkey") + 1).alias("sample_id"))
+    return spread(table(spark, sf, "orders").select((F.col("o_orderkey") + 1).alias("sample_id")))
 
 
 def spec(spark: SparkSession, sf: str) -> DesignSpec:

@@ -399,11 +399,12 @@ def one_at_a_time_daily_signal(spark, sf):
 @query()
 def sobol_by_date_linear(spark, sf):
     pair = forest_forecast.date_designs(fx.region_drivers(spark, sf), USED, 400, DRAWS)
-    model = attribution.column_model(
-        lambda i: i["air_temperature"] * 2.0
-        + i["air_temperature"] * i["relative_humidity"] / 50.0
-        + DRAWS.normal("predictive", i["parameter_seed"])
-    )
+
+    def model(df, inputs, out):
+        t, r = F.col(inputs["air_temperature"]), F.col(inputs["relative_humidity"])
+        z = DRAWS.normal("predictive", inputs["parameter_seed"])
+        return df.withColumn(out, t * 2.0 + t * r / 50.0 + z)
+
     return forest_forecast.sobol_by_date(pair, USED, model)
 
 
@@ -623,7 +624,7 @@ def _bagged(spark, sf, trees=6):
 @query()
 def in_bag_counts(spark, sf):
     ids = fx.table(spark, sf, "events").select("event_id")
-    return ids.withColumns({f"bag_{b}": DRAWS.poisson_one(f"bag:{b}", "event_id") for b in range(3)})
+    return forest.in_bag_counts(ids, DRAWS, "event_id", 3)
 
 
 @query()

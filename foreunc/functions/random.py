@@ -36,64 +36,50 @@ def step_constants(seed: int, purpose: str, lane: str, step: int) -> tuple[int,
     return multiplier, offset
 
 
-def _as_column(key) -> Column:
-    if isinstance(key, Column):
-        return key
-    return F.col(key) if isinstance(key, str) else F.lit(key)
-
-
 class Draws:
     """Family of draws under one seed.
 
-    Keys are non-negative integer columns (or names); they are absorbed in order, low and high
-    half of each.
+    Keys are columns or SQL expressions with non-negative integer values, given as text; they are
+    absorbed in order, low and high half of each. A draw is built as one SQL expression: composing
+    it call by call through the JVM gateway would take a hundred times longer.
     """
 
     def __init__(self, seed: int = 42):
         self.seed = int(seed)
 
-    def _lane(self, purpose: str, lane: str, keys) -> Column:
-        state, step = F.lit(0).cast("bigint"), 0
+    def _lane(self, purpose: str, lane: str, keys) -> str:
+        state, step = "", 0
         for key in keys:
-            key = _as_column(key).cast("bigint")
-            for word in (key.bitwiseAND(MASK32), F.shiftright(key, 32)):
+            key = f"cast({key} as bigint)"
+            for word in (f"({key} & {MASK32})", f"shiftright({key}, 32)"):
                 mult, offset = step_constants(self.seed, purpose, lane, step)
-                mixed = state.bitwiseXOR(word) if step else word
-                state = F.shiftright(mixed * F.lit(mult) + F.lit(offset), SHIFT).bitwiseAND(MASK32)
+                mixed = f"({state} ^ {word})" if step else word
+                state = f"(shiftright({mixed} * {mult}L + {offset}L, {SHIFT}) & {MASK32})"
                 step += 1
         for _ in range(FINISH):
             mult, offset = step_constants(self.seed, purpose, lane, step)
-            folded = state.bitwiseXOR(F.shiftright(state, FOLD))
-            state = F.shiftright(folded * F.lit(mult) + F.lit(offset), SHIFT).bitwiseAND(MASK32)
+            folded = f"({state} ^ shiftright({state}, {FOLD}))"
+            state = f"(shiftright({folded} * {mult}L + {offset}L, {SHIFT}) & {MASK32})"
             step += 1
         return state
 
-    def uniform(self, purpose: str, *keys) -> Column:
+    def uniform(self, purpose: str, *keys: str) -> Column:
         """Uniform on the open interval (0, 1), 52 bits."""
-        high = self._lane(purpose, "a", keys)
-        low = self._lane(purpose, "b", keys)
-        return (high * F.lit(1 << 20) + F.shiftright(low, 12) + F.lit(0.5)) / F.lit(float(1 << 52))
+        high, low = self._lane(purpose, "a", keys), self._lane(purpose, "b", keys)
+        return F.expr(f"({high} * {1 << 20}L + shiftright({low}, 12) + 0.5D) / {float(1 << 52)!r}D")
 
-    def normal(self, purpose: str, *keys) -> Column:
+    def normal(self, purpose: str, *keys: str) -> Column:
         """Standard normal (Box-Muller)."""
-        u1 = (self._lane(purpose, "a", keys) + F.lit(0.5)) / F.lit(float(1 << 32))
-        u2 = (self._lane(purpose, "b", keys) + F.lit(0.5)) / F.lit(float(1 << 32))
-        return F.sqrt(F.lit(-2.0) * F.ln(u1)) * F.cos(F.lit(2.0 * math.pi) * u2)
+        u1, u2 = (
+            f"(({self._lane(purpose, lane, keys)} + 0.5D) / {float(1 << 32)!r}D)" for lane in "ab"
+        )
+        return F.expr(f"sqrt(-2.0D * ln({u1})) * cos({2.0 * math.pi!r}D * {u2})")
 
-    def index(self, purpose: str, size, *keys) -> Column:
+    def index(self, purpose: str, size, *keys: str) -> Column:
         """Integer 1..size, drawn with replacement. ``size`` is a number or a column."""
         size = size if isinstance(size, Column) else F.lit(size)
         return F.floor(self.uniform(purpose, *keys) * size).cast("bigint") + F.lit(1).cast("bigint")
 
-    def poisson_one(self, purpose: str, *keys) -> Column:
-        """Poisson(1) count by inverse distribution function (tail beyond 9 has mass 1e-7)."""
-        u = self.uniform(purpose, *keys)
-        total, count = 0.0, F.lit(0)
-        for k in range(10):
-            total += math.exp(-1.0) / math.factorial(k)
-            count = count + F.when(u > F.lit(total), 1).otherwise(0)
-        return count
-
     # -- the same draws for arrays inside an Arrow batch -------------------------------------
 
     def _lane_values(self, purpose: str, lane: str, keys) -> np.ndarray:
@@ -123,3 +109,15 @@ class Draws:
         high = self._lane_values(purpose, "a", keys)
         low = self._lane_values(purpose, "b", keys)
         return (high * (1 << 20) + (low >> 12) + 0.5) / float(1 << 52)
+
+
+def poisson_one(u: str) -> Column:
+    """Poisson(1) count of a uniform column by inverse distribution function (mass beyond 10: 1e-8).
+
+    Take ``u`` from a column of an earlier projection: it is read ten times.
+    """
+    total, steps = 0.0, []
+    for k in range(10):
+        total += math.exp(-1.0) / math.factorial(k)
+        steps.append(f"cast({u} > {total!r}D as int)")
+    return F.expr(" + ".join(steps))

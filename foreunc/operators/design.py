@@ -75,6 +75,16 @@ def initial_state(sigma2: float) -> float:
     return HALF_WIDTH_68 * float(np.sqrt(sigma2))
 
 
+def spread(samples: DataFrame) -> DataFrame:
+    """Give a table of sample ids at least one partition per core.
+
+    A sample costs far more to simulate than to send, and a few-partition id table would leave most
+    cores idle. A table that already has enough partitions is returned as it is, without a shuffle.
+    """
+    cores = samples.sparkSession.sparkContext.defaultParallelism
+    return samples if samples.rdd.getNumPartitions() >= cores else samples.repartition(cores)
+
+
 def design_columns(spec: DesignSpec, draws: Draws, matrix: str, key: str = "sample_id"):
     """Column expressions of matrix ``A`` or ``B``.
 
@@ -162,14 +172,14 @@ def bootstrap_rows(
     ``rows`` holds one ensemble per group (a few members); draw ``k`` of a group picks position
     ``floor(u * count) + 1`` and looks the row up by (group, position).
     """
-    day_key = F.unix_date(group)
+    day_key = f"unix_date({group})"
     w = Window.partitionBy(group).orderBy(*order)
     placed = rows.select(group, *columns, F.row_number().over(w).alias("_pos"))
     picks = (
         rows.groupBy(group)
         .agg(F.count(F.lit(1)).alias("_count"))
         .withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(int(size)))))
-        .withColumn("_pos", draws.index("bootstrap", F.col("_count"), day_key, F.col("draw")))
+        .withColumn("_pos", draws.index("bootstrap", F.col("_count"), day_key, "draw"))
     )
     return picks.join(placed, [group, "_pos"]).drop("_pos", "_count")
 
@@ -186,7 +196,7 @@ def split_and_shuffle(
     if size % 2:
         raise ValueError("size must be even: both halves need the same number of rows")
     half = size // 2
-    day_key = F.unix_date(group)
+    day_key = f"unix_date({group})"
     seeded = row_numbers(
         drawn, [group], draws.uniform("permutation", day_key, "draw"), size, "parameter_seed"
     )

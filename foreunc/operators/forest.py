@@ -18,7 +18,7 @@ from pyspark.ml.tuning import CrossValidator
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foreunc.functions.random import Draws
+from foreunc.functions.random import Draws, poisson_one
 from foreunc.functions.scalar import rmse
 from foreunc.operators.evaluate import top_by_metric
 from foreunc.operators.propagate import column_values
@@ -284,10 +284,11 @@ class BaggedTrees:
         depth: int = 10,
         parallelism: int = 4,
     ) -> BaggedTrees:
-        bags = {f"bag_{b}": draws.poisson_one(f"bag:{b}", row_id) for b in range(trees)}
+        bags = [f"bag_{b}" for b in range(trees)]
         scaling = fit_scaling(train, predictors)
-        weighted = scaling.transform(train).select("features", label, row_id)
-        weighted = weighted.withColumns(bags).persist(StorageLevel.MEMORY_AND_DISK)
+        weighted = in_bag_counts(
+            scaling.transform(train).select("features", label, row_id), draws, row_id, trees
+        ).persist(StorageLevel.MEMORY_AND_DISK)
 
         def one_tree(b: int):
             tree = RandomForestRegressor(
@@ -343,6 +344,13 @@ class BaggedTrees:
         return cls(pipeline, len(rows), gram, rows[0]["n_train"])
 
 
+def in_bag_counts(df: DataFrame, draws: Draws, row_id: str, trees: int) -> DataFrame:
+    """How often each row is in the bag of each tree, columns ``bag_0..``."""
+    u = df.withColumns({f"_u_{b}": draws.uniform(f"bag:{b}", row_id) for b in range(trees)})
+    counted = u.withColumns({f"bag_{b}": poisson_one(f"_u_{b}") for b in range(trees)})
+    return counted.drop(*[f"_u_{b}" for b in range(trees)])
+
+
 def in_bag_gram(counts: DataFrame) -> np.ndarray:
     """Sum over rows of ``bag bag'``: one matrix per task, then a sum per matrix row."""
     schema = "tree int, products array<double>"
@@ -397,7 +405,7 @@ def predictive_draw(
     checked = F.when(
         F.isnan(se), F.raise_error(F.lit("standard error is NaN: provide more new data"))
     ).otherwise(F.col(se))
-    return F.col(prediction) + checked * draws.normal("predictive", F.col(seed_column))
+    return F.col(prediction) + checked * draws.normal("predictive", seed_column)
 
 
 def forecast_members(
