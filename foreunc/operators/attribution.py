@@ -35,9 +35,13 @@ Blocks = dict[str, Sequence[str]]
 def column_model(build: Callable[[dict[str, Column]], Column]) -> TableModel:
     """Table model from a function of columns."""
 
+    def column(inputs: dict[str, str]) -> Column:
+        return build({name: F.col(c) for name, c in inputs.items()})
+
     def model(df: DataFrame, inputs: dict[str, str], out: str) -> DataFrame:
-        return df.withColumn(out, build({name: F.col(c) for name, c in inputs.items()}))
+        return df.withColumn(out, column(inputs))
 
+    model.column = column
     return model
 
 
@@ -67,8 +71,11 @@ def _oat_variants(blocks: Blocks) -> dict[str, dict[str, str]]:
 
 
 def _evaluate(pair: DataFrame, variants, model: TableModel, shared: Sequence[str]) -> DataFrame:
-    for name, inputs in variants.items():
-        pair = model(pair, {**inputs, **{c: c for c in shared}}, f"y_{name}")
+    named = {f"y_{n}": {**inputs, **{c: c for c in shared}} for n, inputs in variants.items()}
+    if hasattr(model, "column"):
+        return pair.withColumns({out: model.column(inputs) for out, inputs in named.items()})
+    for out, inputs in named.items():
+        pair = model(pair, inputs, out)
     return pair
 
 

@@ -51,8 +51,8 @@ def scores(
     A missing observation leaves the observation-based scores null.
     """
     keys = list(keys)
-    ranked = ranked_values(ensemble, keys, y, max_group_rows)
-    rows = ranked.join(observations.select(*keys, "obs"), keys, "left")
+    known_obs = observations.select(*keys, "obs")
+    rows = ranked_values(ensemble, keys, y, max_group_rows, attach=known_obs)
     n, copies = F.col("n"), F.col("copies")
     # Pairwise spread from ranks; taken against the observation, which cancels in the sum.
     lever = copies * (2 * F.col("below") + copies - n)

@@ -1,9 +1,9 @@
 """Exact ranks of values inside groups of any size.
 
-A group may hold a third of all rows, so its values are not sorted in one task: equal values are
-counted first, big groups are cut into value bins around their quartiles, each bin is ranked on its
-own and shifted by the counts of the bins below. The bins only balance the work; the ranks are
-exact whatever the bins are.
+A group may hold a third of all rows, so its values are not sorted in one task. Equal values are
+counted first; the biggest groups are cut into value bins around their quartiles; each bin is
+ranked on its own and shifted by the counts of the bins below. The bins only balance the work: the
+ranks are exact whatever the bins are.
 """
 
 from __future__ import annotations
@@ -15,6 +15,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 ROWS_PER_BIN = 200_000
+# Groups beyond the thousand biggest hold less than a thousandth of the rows each.
+HEAVY_GROUPS = 1_000
 
 
 def ranked_values(
@@ -23,55 +25,60 @@ def ranked_values(
     value: str,
     max_group_rows: int | None = None,
     rows_per_bin: int = ROWS_PER_BIN,
+    attach: DataFrame | None = None,
 ) -> DataFrame:
     """Rows ``(keys, value, copies, below, n)``: how often a value occurs, how many lie below it,
-    and the group size. Nulls are left out.
+    and the group size. Rows with a null key or value are left out.
 
-    ``max_group_rows`` states a bound the caller knows (the ensemble size); a bound of at most
-    ``rows_per_bin`` makes one window per group enough and saves the binning.
+    ``attach`` has one row per group; its other columns are added to every row of the group (null
+    where it has none). ``max_group_rows`` states a bound the caller knows (the ensemble size); a
+    bound of at most ``rows_per_bin`` makes one window per group enough and saves the binning.
+
+    Two exchanges move the values: by (keys, value) to count copies, by (keys, bin) to rank. Group
+    sizes, bin offsets and attached columns come in by small tables on those same keys.
     """
     keys = list(keys)
     counted = (
-        df.where(F.col(value).isNotNull())
+        df.na.drop("any", subset=[*keys, value])
         .groupBy(*keys, value)
         .agg(F.count(F.lit(1)).alias("copies"))
     )
     if max_group_rows is not None and max_group_rows <= rows_per_bin:
         whole = Window.partitionBy(*keys)
         before = whole.orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
-        return counted.withColumns(
+        ranked = counted.withColumns(
             {
                 "below": F.coalesce(F.sum("copies").over(before), F.lit(0)),
                 "n": F.sum("copies").over(whole),
             }
         )
-    quartiles = F.percentile_approx(value, [0.25, 0.5, 0.75], 200)
-    shape = (
-        counted.groupBy(*keys)
-        .agg(F.count(F.lit(1)).alias("_distinct"), quartiles.alias("_q"))
-        .select(
-            *keys,
-            F.ceil(F.col("_distinct") / rows_per_bin).alias("_bins"),
-            F.col("_q")[1].alias("_mid"),
-            ((F.col("_q")[2] - F.col("_q")[0]) / 2.0).alias("_width"),
-        )
-    )
+        return ranked if attach is None else ranked.join(attach.hint("shuffle_hash"), keys, "left")
+    binned = counted.join(F.broadcast(_heavy_groups(counted, keys, value, rows_per_bin)), keys, "left")
     spot = F.lit(0.5) + F.atan((F.col(value) - F.col("_mid")) / F.col("_width")) / math.pi
-    bin_of = F.when(
-        (F.col("_bins") <= 1) | (F.col("_width") <= 0), F.lit(0).cast("bigint")
-    ).otherwise(F.floor(spot * F.col("_bins")))
-    binned = (
-        counted.join(shape, keys).withColumn("_bin", bin_of).drop("_bins", "_mid", "_width")
+    binned = binned.select(
+        *keys,
+        value,
+        "copies",
+        F.when(F.col("_width") > 0, F.floor(spot * F.col("_bins")))
+        .otherwise(F.lit(0).cast("bigint"))
+        .alias("_bin"),
     )
-    per_bin = binned.groupBy(*keys, "_bin").agg(F.sum("copies").alias("_rows"))
     group = Window.partitionBy(*keys)
     lower_bins = group.orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = per_bin.select(
-        *keys,
-        "_bin",
-        F.coalesce(F.sum("_rows").over(lower_bins), F.lit(0)).alias("_offset"),
-        F.sum("_rows").over(group).alias("n"),
+    bins = (
+        binned.groupBy(*keys, "_bin")
+        .agg(F.sum("copies").alias("_rows"))
+        .select(
+            *keys,
+            "_bin",
+            F.coalesce(F.sum("_rows").over(lower_bins), F.lit(0)).alias("_offset"),
+            F.sum("_rows").over(group).alias("n"),
+        )
     )
+    extra = []
+    if attach is not None:
+        extra = [c for c in attach.columns if c not in keys]
+        bins = bins.join(attach, keys, "left")
     inside = (
         Window.partitionBy(*keys, "_bin")
         .orderBy(value)
@@ -79,9 +86,35 @@ def ranked_values(
     )
     return (
         binned.withColumn("_inside", F.coalesce(F.sum("copies").over(inside), F.lit(0)))
-        .join(offsets, [*keys, "_bin"])
+        .join(bins.hint("shuffle_hash"), [*keys, "_bin"])
         .select(
-            *keys, value, "copies", (F.col("_inside") + F.col("_offset")).alias("below"), "n"
+            *keys,
+            value,
+            "copies",
+            (F.col("_inside") + F.col("_offset")).alias("below"),
+            "n",
+            *extra,
+        )
+    )
+
+
+def _heavy_groups(counted: DataFrame, keys, value: str, rows_per_bin: int) -> DataFrame:
+    """Bin layout of the biggest groups: at most ``HEAVY_GROUPS`` rows, whatever the data.
+
+    It reads every column of ``counted``, so that the optimizer reuses that exchange as it is.
+    """
+    quartiles = F.percentile_approx(value, [0.25, 0.5, 0.75], 200)
+    return (
+        counted.groupBy(*keys)
+        .agg(F.sum("copies").alias("_n"), quartiles.alias("_q"))
+        .where(F.col("_n") > rows_per_bin)
+        .orderBy(F.desc("_n"))
+        .limit(HEAVY_GROUPS)
+        .select(
+            *keys,
+            F.ceil(F.col("_n") / rows_per_bin).alias("_bins"),
+            F.col("_q")[1].alias("_mid"),
+            ((F.col("_q")[2] - F.col("_q")[0]) / 2.0).alias("_width"),
         )
     )
 
