@@ -448,7 +448,7 @@ def predictive_quantile(spark, sf):
     obs = evaluate.observations_by_lead(
         fx.region_targets(spark, sf), fx.FORECAST_DATE, fx.HORIZON
     )
-    return evaluate.pit(_forecast(spark, sf), obs)
+    return evaluate.pit(_forecast(spark, sf), obs, groups=fx.HORIZON + 2)
 
 
 def _site_scores(spark, sf):

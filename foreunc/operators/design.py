@@ -159,6 +159,19 @@ def row_numbers(
     )
 
 
+def numbered(groups: DataFrame, key: str, size: int, name: str, chunk: int = 100_000) -> DataFrame:
+    """Every row of ``groups`` repeated with numbers 1..size.
+
+    A long run is cut into chunks that are spread over the cluster before they are written out.
+    """
+    starts = F.sequence(F.lit(1), F.lit(int(size)), F.lit(chunk))
+    chunked = groups.withColumn("_start", F.explode(starts))
+    if size > chunk:
+        chunked = chunked.repartition(key, "_start")
+    last = F.least(F.col("_start") + (chunk - 1), F.lit(int(size)))
+    return chunked.withColumn(name, F.explode(F.sequence(F.col("_start"), last))).drop("_start")
+
+
 def bootstrap_rows(
     rows: DataFrame,
     group: str,
@@ -175,11 +188,9 @@ def bootstrap_rows(
     day_key = f"unix_date({group})"
     w = Window.partitionBy(group).orderBy(*order)
     placed = rows.select(group, *columns, F.row_number().over(w).alias("_pos"))
-    picks = (
-        rows.groupBy(group)
-        .agg(F.count(F.lit(1)).alias("_count"))
-        .withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(int(size)))))
-        .withColumn("_pos", draws.index("bootstrap", F.col("_count"), day_key, "draw"))
+    sizes = rows.groupBy(group).agg(F.count(F.lit(1)).alias("_count"))
+    picks = numbered(sizes, group, size, "draw").withColumn(
+        "_pos", draws.index("bootstrap", F.col("_count"), day_key, "draw")
     )
     return picks.join(placed, [group, "_pos"]).drop("_pos", "_count")
 

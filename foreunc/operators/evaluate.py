@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from foreunc.functions.scalar import rmse
+from foreunc.operators.propagate import sized
 from foreunc.operators.ranking import quantile_columns, ranked_values
 
 # The 95 % interval and the median.
@@ -79,12 +80,22 @@ def scores(
 
 
 def pit(
-    ensemble: DataFrame, observations: DataFrame, keys: Sequence[str] = ("lead",), y: str = "y"
+    ensemble: DataFrame,
+    observations: DataFrame,
+    keys: Sequence[str] = ("lead",),
+    y: str = "y",
+    groups: int | None = None,
 ) -> DataFrame:
-    """Predictive quantile alone: a conditional count, no ranking."""
-    rows = ensemble.join(observations.select(*keys, "obs"), list(keys), "left")
-    return rows.groupBy(*keys).agg(
-        F.avg((F.col(y) <= F.col("obs")).cast("double")).alias("pit")
+    """Predictive quantile alone: a conditional count, no ranking.
+
+    ``groups`` is the number of observations where the caller knows it (horizon + 2 for one
+    forecast): they are then broadcast; otherwise the join is a shuffle with skew handling.
+    """
+    obs = sized(observations.select(*keys, "obs"), groups)
+    return (
+        ensemble.join(obs, list(keys), "left")
+        .groupBy(*keys)
+        .agg(F.avg((F.col(y) <= F.col("obs")).cast("double")).alias("pit"))
     )
 
 

@@ -10,6 +10,8 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -38,8 +40,9 @@ def ranked_values(
     sizes, bin offsets and attached columns come in by small tables on those same keys.
     """
     keys = list(keys)
+    present = reduce(and_, [F.col(c).isNotNull() for c in [*keys, value]])
     counted = (
-        df.na.drop("any", subset=[*keys, value])
+        df.where(present)
         .groupBy(*keys, value)
         .agg(F.count(F.lit(1)).alias("copies"))
     )

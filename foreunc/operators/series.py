@@ -35,12 +35,12 @@ def lagged_rows(
     """
     shift = {"day": lambda k: F.date_add(F.col(time), k), "month": lambda k: F.add_months(time, k)}
     at = shift[step]
-    copies = F.array(*[F.struct(F.lit(k).alias("k"), at(k).alias("at")) for k in range(order + 1)])
+    copies = F.array(*[F.struct(F.lit(k).alias("_lag"), at(k).alias("_at")) for k in range(order + 1)])
     spread = df.select(*keys, y, *covariates, F.inline(copies))
-    here = F.col("k") == 0
-    return spread.groupBy(*keys, F.col("at").alias(time)).agg(
+    here = F.col("_lag") == 0
+    return spread.groupBy(*keys, F.col("_at").alias(time)).agg(
         F.max(F.when(here, F.col(y))).alias(y),
-        *[F.max(F.when(F.col("k") == k, F.col(y))).alias(f"lag{k}") for k in range(1, order + 1)],
+        *[F.max(F.when(F.col("_lag") == k, F.col(y))).alias(f"lag{k}") for k in range(1, order + 1)],
         *[F.max(F.when(here, F.col(v))).alias(v) for v in covariates],
     )
 
