@@ -459,7 +459,7 @@ def _site_scores(spark, sf):
         fx.site().alias("site_id"), F.datediff(F.to_date("ts"), F.lit("2024-01-01")).alias("lead"),
         F.sqrt("value").alias("y"),
     )
-    return evaluate.scores(ensemble, obs, ["site_id", "lead"], max_group_rows=50_000)
+    return evaluate.scores(ensemble, obs, ["site_id", "lead"])
 
 
 @query()

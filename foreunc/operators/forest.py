@@ -131,11 +131,14 @@ def tune_forest(
 ) -> DataFrame:
     """Repeated cross-validation: mean RMSE per (mtry, min_n)."""
     grid = list(grid or tuning_grid(len(predictors)))
-    scaled = fit_scaling(assign_folds(train, draws, row_id, folds, repeats), predictors)
-    folded = scaled.transform(assign_folds(train, draws, row_id, folds, repeats)).select(
-        "features", label, *[f"fold_{r}" for r in range(1, repeats + 1)]
+    rows_with_folds = assign_folds(train, draws, row_id, folds, repeats)
+    # Trees split on order alone, so one scaling for all folds changes no candidate's error.
+    folded = (
+        fit_scaling(train, predictors)
+        .transform(rows_with_folds)
+        .select("features", label, *[f"fold_{r}" for r in range(1, repeats + 1)])
+        .persist(StorageLevel.MEMORY_AND_DISK)
     )
-    folded = folded.persist(StorageLevel.MEMORY_AND_DISK)
     try:
         rows = []
         for r in range(1, repeats + 1):
