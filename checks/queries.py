@@ -641,8 +641,7 @@ def forest_sobol_by_date(spark, sf):
     pair = forest_forecast.date_designs(
         drivers, PREDICTORS, 200, DRAWS, order=["l_linenumber"]
     )
-    table_model = forest.forest_table_model(model, PREDICTORS, DRAWS)
-    return forest_forecast.sobol_by_date(pair, PREDICTORS, table_model, clamp=True)
+    return forest_forecast.forest_sobol_by_date(pair, PREDICTORS, model, DRAWS, clamp=True)
 
 
 @query()

@@ -94,7 +94,41 @@ def sobol(
     not inputs but that the model reads.
     """
     rows = _evaluate(pair, _sobol_variants(blocks), model, shared)
+    return _table_indices(rows, blocks, groups, clamp)
 
+
+def sobol_by_row(
+    pair: DataFrame,
+    blocks: Blocks,
+    model: Callable[[DataFrame], DataFrame],
+    groups: Sequence[str],
+    key: str = "sample_id",
+    clamp: bool = False,
+) -> DataFrame:
+    """:func:`sobol` for a model that is costly to put into a plan, such as a fitted forest.
+
+    ``model(rows)`` sees one row per variant, with the plain input names, and adds ``y``: it enters
+    the plan once, not once per variant. ``(groups, key)`` identifies a sample. When the pair is
+    already partitioned by these columns, bringing a sample's variants back together needs no
+    exchange.
+    """
+    variants = _sobol_variants(blocks)
+    entries = F.array(
+        *[
+            F.struct(
+                F.lit(name).alias("variant"), *[F.col(c).alias(i) for i, c in inputs.items()]
+            )
+            for name, inputs in variants.items()
+        ]
+    )
+    scored = model(pair.select(*groups, key, F.inline(entries)))
+    together = scored.groupBy(*groups, key).agg(
+        *[F.max(F.when(F.col("variant") == v, F.col("y"))).alias(f"y_{v}") for v in variants]
+    )
+    return _table_indices(together, blocks, groups, clamp)
+
+
+def _table_indices(rows: DataFrame, blocks: Blocks, groups, clamp: bool) -> DataFrame:
     def gap(side, k):
         d = F.col(f"y_{side}") - F.col(f"y_ab_{k}")
         return F.avg(d * d)

@@ -421,20 +421,6 @@ def forecast_members(
     return scored.withColumn(out, value).drop("prediction", "se")
 
 
-def forest_table_model(
-    model: BaggedTrees, predictors: Sequence[str], draws: Draws, se_method: str = "infjack"
-):
-    """The forest as a table model for the attribution operators."""
-    names = [*predictors, "parameter_seed"]
-
-    def apply(df: DataFrame, inputs: dict[str, str], out: str) -> DataFrame:
-        view = df.withColumns({n: F.col(inputs[n]) for n in names})
-        scored = forecast_members(model, view, draws, se_method, out=out)
-        return scored.drop(*names)
-
-    return apply
-
-
 def feature_array(model: PipelineModel, df: DataFrame) -> DataFrame:
     """Scaled predictors as an array column."""
     return model.transform(df).withColumn("scaled", vector_to_array("features"))

@@ -11,6 +11,7 @@ from foreunc.functions.random import Draws
 from foreunc.operators import attribution, prepare
 from foreunc.operators.attribution import TableModel
 from foreunc.operators.design import bootstrap_rows, split_and_shuffle
+from foreunc.operators.forest import BaggedTrees, forecast_members
 
 SEED = "parameter_seed"
 
@@ -39,6 +40,24 @@ def sobol_by_date(
     clamp: bool = False,
 ) -> DataFrame:
     """Indices per date of every driver and the seed, the latter as ``tree_uncertainty`` and last."""
-    blocks = {name: [name] for name in [*predictors, SEED]}
-    out = attribution.sobol(pair, blocks, model, [time], clamp=clamp)
+    out = attribution.sobol(pair, _blocks(predictors), model, [time], clamp=clamp)
     return prepare.order_inputs(out, {SEED: "tree_uncertainty"}, last=SEED)
+
+
+def forest_sobol_by_date(
+    pair: DataFrame, predictors: Sequence[str], model: BaggedTrees, draws: Draws,
+    se_method: str = "infjack", time: str = "datetime", clamp: bool = False,
+) -> DataFrame:
+    """:func:`sobol_by_date` for a fitted forest with its predictive draw."""
+    out = attribution.sobol_by_row(
+        pair,
+        _blocks(predictors),
+        lambda rows: forecast_members(model, rows, draws, se_method),
+        [time],
+        clamp=clamp,
+    )
+    return prepare.order_inputs(out, {SEED: "tree_uncertainty"}, last=SEED)
+
+
+def _blocks(predictors: Sequence[str]) -> attribution.Blocks:
+    return {name: [name] for name in [*predictors, SEED]}

@@ -69,6 +69,25 @@ def test_array_and_table_models_agree(spark):
         assert got[name].total_order == pytest.approx(want[name].total_order, abs=1e-10)
 
 
+def test_row_and_table_models_agree_and_keep_the_partitioning(spark):
+    pair = _pair(spark, ["x1", "x2"], 2_000).withColumn("lead", F.col("id") % 2)
+    pair = pair.repartition(4, "lead", "id")
+    blocks = {"x1": ["x1"], "x2": ["x2"]}
+    y = lambda i: i["x1"] * i["x2"] + i["x2"]
+    table = attribution.sobol(pair, blocks, attribution.column_model(y))
+    want = {(r.lead, r["input"]): r for r in table.collect()}
+    rows = attribution.sobol_by_row(
+        pair, blocks, lambda df: df.withColumn("y", y({c: F.col(c) for c in blocks})), ["lead"], "id"
+    )
+    got = {(r.lead, r["input"]): r for r in rows.collect()}
+    assert len(got) == 4
+    for name in want:
+        assert got[name].first_order == pytest.approx(want[name].first_order, abs=1e-10)
+        assert got[name].total_order == pytest.approx(want[name].total_order, abs=1e-10)
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert plan.split("== Initial Plan ==")[0].count("Exchange hashpartitioning") <= 2
+
+
 def test_array_model_merges_partitions_exactly(spark):
     """A large common offset must not cost precision when partial moments are merged."""
     pair = _pair(spark, ["x"], 4_000).drop("id", "lead")
