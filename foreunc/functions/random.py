@@ -15,7 +15,6 @@ from __future__ import annotations
 
 import hashlib
 import math
-from functools import lru_cache
 
 import numpy as np
 from pyspark.sql import Column
@@ -27,7 +26,6 @@ FOLD = 16
 FINISH = 2
 
 
-@lru_cache(maxsize=4096)
 def step_constants(seed: int, purpose: str, lane: str, step: int) -> tuple[int, int]:
     """Odd multiplier below 2^30 and offset below 2^62, so that ``h * c + d`` fits a bigint."""
     digest = hashlib.sha256(f"{seed}:{purpose}:{lane}:{step}".encode()).digest()
