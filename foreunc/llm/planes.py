@@ -27,8 +27,8 @@ from tokenizers import Tokenizer
 from foreunc.llm.common import raw_texts, slices
 
 MAGIC = b"IDPLANE1"
-FOOTER = struct.Struct("<QQ8s")
-ENTRY = struct.Struct("<QQIBBI")
+FOOTER = "<QQ8s"
+ENTRY = "<QQIBBI"
 CHUNK_IDS = 1 << 16
 #: Distinct words a task keeps the ids of before it starts anew.
 CACHE_WORDS = 300_000
@@ -92,7 +92,7 @@ class ShardWriter:
         packed = [self.packer.compress(p) for p in to_planes(block, self.bits)]
         data = struct.pack(f"<{len(packed)}I", *map(len, packed)) + b"".join(packed)
         crc = zlib.crc32(block.tobytes())
-        self.index.append(ENTRY.pack(self.at, self.total[kind], len(block), kind, len(packed), crc))
+        self.index.append(struct.pack(ENTRY, self.at, self.total[kind], len(block), kind, len(packed), crc))
         self.total[kind] += len(block)
         self.sink.write(data)
         self.at += len(data)
@@ -103,7 +103,7 @@ class ShardWriter:
             if len(block):
                 self._flush(kind, block)
         index = b"".join(self.index)
-        self.sink.write(index + FOOTER.pack(self.at, len(self.index), MAGIC))
+        self.sink.write(index + struct.pack(FOOTER, self.at, len(self.index), MAGIC))
 
 
 class ShardReader:
@@ -111,12 +111,12 @@ class ShardReader:
 
     def __init__(self, source, bits: bool = False):
         self.source, self.bits = source, bits
-        source.seek(source.size() - FOOTER.size)
-        at, count, magic = FOOTER.unpack(source.read(FOOTER.size))
+        source.seek(source.size() - struct.calcsize(FOOTER))
+        at, count, magic = struct.unpack(FOOTER, source.read(struct.calcsize(FOOTER)))
         if magic != MAGIC:
             raise ValueError("not a plane file")
         source.seek(at)
-        self.index = list(ENTRY.iter_unpack(source.read(count * ENTRY.size)))
+        self.index = list(struct.iter_unpack(ENTRY, source.read(count * struct.calcsize(ENTRY))))
         self.unpacker = zstandard.ZstdDecompressor()
 
     def chunks(self, kind: int) -> Iterator[np.ndarray]:
