@@ -201,7 +201,7 @@ def write_ids(
         docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
         .repartitionByRange("doc_id")
         .sortWithinPartitions("doc_id", "text")
-        .mapInArrow(run, "shard int, docs bigint, ids bigint")
+        .mapInArrow(run, "shard bigint, docs bigint, ids bigint")
         .collect()
     )
     manifest, start = [], 0
@@ -211,7 +211,7 @@ def write_ids(
     with files.open_output_stream(f"{root}/manifest.json") as f:
         f.write(json.dumps({"bits": bits, "shards": manifest}).encode())
     return spark.createDataFrame(
-        [(m["shard"], m["docs"], m["ids"]) for m in manifest], "shard int, docs bigint, ids bigint"
+        [(m["shard"], m["docs"], m["ids"]) for m in manifest], "shard bigint, docs bigint, ids bigint"
     )
 
 
