@@ -13,7 +13,9 @@ import json
 import struct
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -24,14 +26,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from foreunc.llm.common import raw_texts, slices
+from foreunc.llm.common import raw_texts, slices, spread_runs
 
 MAGIC = b"IDPLANE1"
 FOOTER = "<QQ8s"
 ENTRY = "<QQIBBI"
 CHUNK_IDS = 1 << 16
 #: Distinct words a task keeps the ids of before it starts anew.
-CACHE_WORDS = 300_000
+CACHE_WORDS = 1_000_000
+#: Bytes of text in a shard, about: the larger, the fewer words are encoded in several tasks.
+SHARD_BYTES = 64 << 20
 IDS, DOC_IDS, VALID, LENGTHS = range(4)
 KINDS = {IDS: np.dtype("<u4"), DOC_IDS: np.dtype("<i8"), VALID: np.dtype("u1"), LENGTHS: np.dtype("<u4")}
 
@@ -68,7 +72,7 @@ def from_planes(planes: list[bytes], count: int, kind: np.dtype, bits: bool = Fa
 class ShardWriter:
     """Writes one shard; holds no more than a chunk of each kind."""
 
-    def __init__(self, sink, chunk: int = CHUNK_IDS, bits: bool = False, level: int = 3):
+    def __init__(self, sink, chunk: int = CHUNK_IDS, bits: bool = False, level: int = 1):
         self.sink, self.chunk, self.bits = sink, chunk, bits
         self.packer = zstandard.ZstdCompressor(level=level)
         self.waiting = {k: [] for k in KINDS}
@@ -136,15 +140,46 @@ class ShardReader:
 
 
 class WordCache(dict):
-    """Ids of each distinct word, from the tokenizers library."""
+    """Number of each distinct word; its ids, from the tokenizers library, lie in a flat list.
+
+    A final stop or comma after a letter or digit is a token of its own under this pattern, and
+    letters are lowered before the merges, so a word's forms share one call of the library.
+    """
 
     def __init__(self, tokenizer: Tokenizer):
         self.tokenizer = tokenizer
-
-    def __missing__(self, word: bytes) -> list[int]:
-        ids = self.tokenizer.encode(word.decode(), add_special_tokens=False).ids
-        self[word] = ids
-        return ids
+        self.flat, self.start, self.count = array("I"), array("q"), array("q")
+
+    def __missing__(self, word: bytes) -> int:
+        core = word if b"<" in word else word.lower()
+        tail = core[-1:]
+        if tail in (b".", b",") and core[-2:-1].isalnum():
+            ids = self.ids(core[:-1]) + self.ids(tail)
+        elif core != word:
+            ids = self.ids(core)
+        else:
+            ids = self.tokenizer.encode(word.decode(), add_special_tokens=False).ids
+        self.start.append(len(self.flat))
+        self.count.append(len(ids))
+        self.flat.extend(ids)
+        self[word] = number = len(self.start) - 1
+        return number
+
+    def ids(self, word: bytes) -> list[int]:
+        number = self[word]
+        return self.flat[self.start[number] : self.start[number] + self.count[number]].tolist()
+
+    def encode(self, texts: list[bytes], end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts in turn, each with ``end_id`` after it; ids per text."""
+        split = [t.split() for t in texts]
+        words = np.array([len(w) for w in split], dtype=np.int64)
+        number = np.fromiter(map(self.__getitem__, chain.from_iterable(split)), np.int64, int(words.sum()))
+        counts = np.array(self.count, dtype=np.int64)[number]
+        ids = np.array(self.flat, dtype=np.uint32)[
+            spread_runs(np.array(self.start, dtype=np.int64)[number], counts)
+        ]
+        ends = np.append(0, np.cumsum(counts))[np.cumsum(words)]
+        return np.insert(ids, ends, end_id), np.diff(ends, prepend=0) + 1
 
 
 def write_ids(
@@ -177,18 +212,12 @@ def write_ids(
                 cache = WordCache(tokenizer)
             if len(cache) > CACHE_WORDS:
                 cache = WordCache(tokenizer)
-            ids, lengths = [], []
-            for text in raw_texts(part):
-                before = len(ids)
-                for word in map(cache.__getitem__, text.split()):
-                    ids += word
-                ids.append(end_id)
-                lengths.append(len(ids) - before)
+            ids, lengths = cache.encode(raw_texts(part), end_id)
             keys = part.column("doc_id")
-            writer.add(IDS, np.array(ids, dtype=np.uint32))
+            writer.add(IDS, ids)
             writer.add(DOC_IDS, keys.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))
             writer.add(VALID, keys.is_valid().to_numpy(zero_copy_only=False).astype(np.uint8))
-            writer.add(LENGTHS, np.array(lengths, dtype=np.uint32))
+            writer.add(LENGTHS, lengths)
         if writer is not None:
             writer.close()
             sink.close()
@@ -197,9 +226,10 @@ def write_ids(
                 {"shard": [shard], "docs": [writer.total[LENGTHS]], "ids": [writer.total[IDS]]}
             )
 
+    size = docs.agg(F.sum(F.octet_length("text")).alias("bytes")).first().bytes or 0
     rows = (
         docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-        .repartitionByRange("doc_id")
+        .repartitionByRange(1 + size // SHARD_BYTES, "doc_id")
         .sortWithinPartitions("doc_id", "text")
         .mapInArrow(run, "shard bigint, docs bigint, ids bigint")
         .collect()
