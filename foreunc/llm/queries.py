@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foreunc.llm import bpe, planes
+from foreunc.llm import bpe, planes, topk, toxicity
 from foreunc.llm.common import shared_folder
 
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -37,6 +37,46 @@ def op1_byte_bpe(spark, sf):
     )
 
 
+@query
+def op4_top_k(spark, sf):
+    """Ten best rows for every hundredth vector."""
+    return topk.top_k(table(spark, sf, "embeddings"), F.col("vec_id") % 100 == 0, k=10, scale=1024)
+
+
+ORACLES["op4_top_k"] = """
+WITH whole AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * CAST(x AS DOUBLE))) AS v
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), ranked AS (
+  SELECT q.vec_id AS query_id, r.vec_id AS vec_id,
+         CAST(list_inner_product(q.v, r.v) AS BIGINT) AS score
+  FROM whole q JOIN whole r ON q.vec_id <> r.vec_id
+  WHERE q.vec_id % 100 = 0
+), numbered AS (
+  SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank
+  FROM ranked
+)
+SELECT query_id, rank, vec_id, score FROM numbered WHERE rank <= 10
+"""
+
+
+def remainder(modulus: int):
+    """crc32 of the id as text, modulo; null for a null id."""
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % modulus
+
+
+@query
+def op9_toxicity(spark, sf):
+    """Score all documents, learning from four fifths of the labelled ones."""
+    docs = table(spark, sf, "documents")
+    model = toxicity.train(docs, table(spark, sf, "labels"), remainder(5) != 0)
+    return toxicity.score(docs, model).select(
+        "doc_id", F.coalesce(remainder(5) == 0, F.lit(False)).alias("held_out"), "score", "predicted"
+    )
+
+
 @query
 def op10_id_planes(spark, sf):
     """Encode all texts, write the id files, and describe what reading them gives."""
