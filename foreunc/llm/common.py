@@ -65,7 +65,12 @@ def spread_runs(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
 
 
 def _low_neighbours(edges: DataFrame) -> DataFrame:
-    low = edges.groupBy("u").agg(F.min("v").alias("low"))
+    """Each link with the least of u and its neighbours.
+
+    The least ones are written, so that both sides of the join are shuffled for it and adaptive
+    execution can split a node that a large part of all links hang on.
+    """
+    low = written(edges.groupBy("u").agg(F.min("v").alias("low")), "low")
     return edges.join(low.withColumn("low", F.least("u", "low")), "u")
 
 

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foreunc.llm import bpe, planes, topk, toxicity
+from foreunc.llm import bpe, neardup, planes, topk, toxicity
 from foreunc.llm.common import shared_folder
 
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -84,3 +84,45 @@ def op10_id_planes(spark, sf):
     path = public_tokenizers.path("word_bpe_49k.json")
     planes.write_ids(table(spark, sf, "documents"), folder, path, end_id=2)
     return planes.read_ids(spark, folder)
+
+
+@query
+def op8_near_duplicates(spark, sf):
+    """Classes of documents with similar sets of two-word shingles."""
+    return neardup.near_duplicates(table(spark, sf, "documents"), words=2, similarity=80)
+
+
+#: Shingle sets of {table} as (doc_id, s), s a list of distinct shingles.
+SHINGLES_SQL = """
+  SELECT doc_id, list_distinct(
+    CASE WHEN len(w) = 0 THEN []
+         WHEN len(w) < {words} THEN [array_to_string(w, ' ')]
+         ELSE list_transform(range(1, len(w) - {words} + 2), lambda i: array_to_string(w[i:i + {words} - 1], ' '))
+    END) AS s
+  FROM (SELECT doc_id, regexp_extract_all(
+          translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+          '[^\\x20\\x09-\\x0D]+') AS w
+        FROM {table})
+"""
+
+ORACLES["op8_near_duplicates"] = (
+    """
+WITH RECURSIVE sets AS MATERIALIZED ("""
+    + SHINGLES_SQL.format(table="documents", words=2)
+    + """), items AS (SELECT doc_id, unnest(s) AS x FROM sets WHERE doc_id IS NOT NULL),
+common AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS n
+  FROM items a JOIN items b ON a.x = b.x AND a.doc_id <> b.doc_id GROUP BY 1, 2
+), links AS MATERIALIZED (
+  SELECT a, b FROM common
+  JOIN sets l ON l.doc_id = a JOIN sets r ON r.doc_id = b
+  WHERE 100 * n >= 80 * (len(l.s) + len(r.s) - n)
+), reach AS (
+  SELECT doc_id AS a, doc_id AS b FROM sets WHERE doc_id IS NOT NULL
+  UNION
+  SELECT reach.a, links.b FROM reach JOIN links ON links.a = reach.b
+), heads AS (SELECT a, min(b) AS component_id FROM reach GROUP BY a)
+SELECT doc_id, len(s) AS n_shingles, component_id, coalesce(doc_id = component_id, true) AS kept
+FROM sets LEFT JOIN heads ON heads.a = doc_id
+"""
+)
