@@ -143,32 +143,43 @@ class WordCache(dict):
     """Number of each distinct word; its ids, from the tokenizers library, lie in a flat list.
 
     A final stop or comma after a letter or digit is a token of its own under this pattern, and
-    letters are lowered before the merges, so a word's forms share one call of the library.
+    letters are lowered before the merges, so a word's forms share one call of the library. A word
+    of a-z alone passes its normaliser and pattern unchanged and goes straight to its merges.
     """
 
     def __init__(self, tokenizer: Tokenizer):
-        self.tokenizer = tokenizer
+        self.tokenizer, self.model = tokenizer, tokenizer.model
         self.flat, self.start, self.count = array("I"), array("q"), array("q")
+        self.tails = {t: self.library(t) for t in (b".", b",")}
+
+    def library(self, word: bytes) -> list[int]:
+        if word.isalpha() and word.islower():
+            return [token.id for token in self.model.tokenize(word.decode())]
+        return self.tokenizer.encode(word.decode(), add_special_tokens=False).ids
 
     def __missing__(self, word: bytes) -> int:
         core = word if b"<" in word else word.lower()
-        tail = core[-1:]
-        if tail in (b".", b",") and core[-2:-1].isalnum():
-            ids = self.ids(core[:-1]) + self.ids(tail)
-        elif core != word:
-            ids = self.ids(core)
+        tail = self.tails.get(core[-1:])
+        if tail and core[-2:-1].isalnum():
+            core = core[:-1]
+        else:
+            tail = None
+        if core == word:
+            self.flat.extend(ids := self.library(core))
+            at, count = len(self.flat) - len(ids), len(ids)
         else:
-            ids = self.tokenizer.encode(word.decode(), add_special_tokens=False).ids
-        self.start.append(len(self.flat))
-        self.count.append(len(ids))
-        self.flat.extend(ids)
+            same = self[core]
+            at, count = self.start[same], self.count[same]
+            if tail:
+                again = self.flat[at : at + count]
+                at, count = len(self.flat), count + len(tail)
+                self.flat.extend(again)
+                self.flat.extend(tail)
+        self.start.append(at)
+        self.count.append(count)
         self[word] = number = len(self.start) - 1
         return number
 
-    def ids(self, word: bytes) -> list[int]:
-        number = self[word]
-        return self.flat[self.start[number] : self.start[number] + self.count[number]].tolist()
-
     def encode(self, texts: list[bytes], end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in turn, each with ``end_id`` after it; ids per text."""
         split = [t.split() for t in texts]
