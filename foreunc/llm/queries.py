@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foreunc.llm import bpe, neardup, planes, topk, toxicity
+from foreunc.llm import bpe, contamination, neardup, planes, topk, toxicity
 from foreunc.llm.common import shared_folder
 
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -126,3 +126,32 @@ SELECT doc_id, len(s) AS n_shingles, component_id, coalesce(doc_id = component_i
 FROM sets LEFT JOIN heads ON heads.a = doc_id
 """
 )
+
+
+@query
+def op5_decontamination(spark, sf):
+    """Documents that hold a benchmark item."""
+    return contamination.contaminated(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+
+
+#: As SHINGLES_SQL, with lower() for all letters.
+PLAIN_SHINGLES_SQL = """
+  SELECT {id}, list_distinct(
+    CASE WHEN len(w) = 0 THEN []
+         WHEN len(w) < {words} THEN [array_to_string(w, ' ')]
+         ELSE list_transform(range(1, len(w) - {words} + 2), lambda i: array_to_string(w[i:i + {words} - 1], ' '))
+    END) AS s
+  FROM (SELECT {id}, regexp_extract_all(lower(coalesce(text, '')), '[^\\x20\\x09-\\x0D]+') AS w FROM {table})
+"""
+
+ORACLES["op5_decontamination"] = (
+    "WITH d AS (SELECT DISTINCT doc_id, x FROM (SELECT doc_id, unnest(s) AS x FROM ("
+    + PLAIN_SHINGLES_SQL.format(id="doc_id", words=5, table="documents")
+    + ") WHERE doc_id IS NOT NULL)), b AS (SELECT DISTINCT item_id, x FROM (SELECT item_id, unnest(s) AS x FROM ("
+    + PLAIN_SHINGLES_SQL.format(id="item_id", words=5, table="benchmark")
+    + """) WHERE item_id IS NOT NULL)), n AS (SELECT item_id, count(*) AS n_item FROM b GROUP BY item_id)
+SELECT doc_id, item_id, count(*) AS n_shared, n_item
+FROM d JOIN b USING (x) JOIN n USING (item_id)
+GROUP BY doc_id, item_id, n_item HAVING 100 * count(*) >= 80 * n_item
+"""
+)
