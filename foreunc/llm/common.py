@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foreunc.session import ensure_checkpoint_dir
@@ -115,3 +115,67 @@ def components(edges: DataFrame, src: str, dst: str) -> DataFrame:
         state = (count.n, count.h)
     low = links.select("v").distinct().select(F.col("v").alias("u"), "v")
     return links.union(low).toDF("node", "component")
+
+
+def _close(x: str, y: str, similarity: int) -> Column:
+    """Whether two set sizes allow the similarity."""
+    return (F.col(x) * 100 >= F.col(y) * similarity) & (F.col(y) * 100 >= F.col(x) * similarity)
+
+
+def linked(
+    placed: DataFrame, confirm: Callable[[DataFrame], DataFrame], similarity: int
+) -> DataFrame:
+    """Components (node, component) of similar nodes that share a bucket.
+
+    ``placed`` has (node, size, bucket), size being that of the node's set; ``confirm`` takes pairs
+    (a, b) of nodes and returns those that are similar. In a bucket every node is first compared
+    with one member, chosen by hash and so another one in each bucket that a group shares; that
+    joins nearly all of a large group. Only where a bucket then still holds several components are
+    nodes of different components compared with each other, so the pairs of a large group of copies
+    are not listed and no link between components is passed over. Nodes without links have no row.
+    """
+    placed = placed.withColumn("draw", F.xxhash64("node", "bucket"))
+    shared = written(
+        placed.groupBy("bucket").agg(F.count("*").alias("n"), F.min("draw").alias("lead")).filter("n > 1"),
+        "buckets",
+    )
+    members = written(placed.join(shared.select("bucket", "lead"), "bucket"), "members")
+    leads = members.filter("draw = lead").select(
+        "bucket", F.col("node").alias("lead_node"), F.col("size").alias("lead_size")
+    )
+    pairs = written(
+        members.filter("draw <> lead")
+        .join(leads, "bucket")
+        .filter(_close("size", "lead_size", similarity) & (F.col("node") != F.col("lead_node")))
+        .select(F.least("node", "lead_node").alias("a"), F.greatest("node", "lead_node").alias("b"))
+        .distinct(),
+        "pairs",
+    )
+    links = written(confirm(pairs), "links")
+    group = components(links, "a", "b")
+    placed = members.join(group, "node", "left").select(
+        "bucket", "node", "size", F.coalesce("component", "node").alias("component")
+    )
+    mixed = written(
+        placed.groupBy("bucket")
+        .agg(F.min("component").alias("low"), F.max("component").alias("high"))
+        .filter("low <> high")
+        .select("bucket"),
+        "mixed",
+    )
+    rest = written(placed.join(mixed, "bucket"), "rest")
+    left = rest.select("bucket", *(F.col(c).alias(f"{c}_a") for c in ("node", "size", "component")))
+    right = rest.select("bucket", *(F.col(c).alias(f"{c}_b") for c in ("node", "size", "component")))
+    across = written(
+        left.join(right, "bucket")
+        .filter((F.col("node_a") < F.col("node_b")) & (F.col("component_a") != F.col("component_b")))
+        .filter(_close("size_a", "size_b", similarity))
+        .select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
+        .distinct()
+        .join(pairs, ["a", "b"], "left_anti"),
+        "across",
+    )
+    if across.isEmpty():
+        return group
+    more = written(confirm(across), "links")
+    return components(links.union(more), "a", "b")
