@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foreunc.llm import bpe, contamination, neardup, planes, topk, toxicity
+from foreunc.llm import bpe, contamination, lines, neardup, planes, topk, toxicity
 from foreunc.llm.common import shared_folder
 
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -155,3 +155,57 @@ FROM d JOIN b USING (x) JOIN n USING (item_id)
 GROUP BY doc_id, item_id, n_item HAVING 100 * count(*) >= 80 * n_item
 """
 )
+
+
+@query
+def op6_line_dedup(spark, sf):
+    """Class of every line, exact and fuzzy; one line of each is kept."""
+    return lines.line_classes(table(spark, sf, "documents"))
+
+
+#: Two lines of at least SHINGLE bytes can only be similar if they share one of their rarest shingles:
+#: of n, all but 80 % may be missing, so floor(n / 5) + 1 of them in a fixed order must meet.
+ORACLES["op6_line_dedup"] = """
+WITH RECURSIVE lines AS MATERIALIZED (
+  SELECT doc_id, CAST(line_no - 1 AS INTEGER) AS line_no, trim(lower(line), ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS body
+  FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS line_no
+        FROM documents WHERE doc_id IS NOT NULL)
+  WHERE trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) <> ''
+), nodes AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY min(doc_id * 10000000 + line_no)) AS node, min(doc_id * 10000000 + line_no) AS spot, body
+  FROM lines GROUP BY body
+), shingles AS MATERIALIZED (
+  SELECT DISTINCT node, x FROM (
+    SELECT node, unnest(list_transform(range(1, greatest(octet_length(encode(body)) - 7, 1) + 1),
+                                       lambda i: substr(hex(encode(body)), 2 * i - 1, 16))) AS x FROM nodes)
+), sizes AS MATERIALIZED (SELECT node, count(*) AS n FROM shingles GROUP BY node),
+often AS MATERIALIZED (SELECT x, count(*) AS f FROM shingles GROUP BY x),
+rare AS MATERIALIZED (
+  SELECT node, x FROM (
+    SELECT node, x, n, row_number() OVER (PARTITION BY node ORDER BY f, x) AS r
+    FROM shingles JOIN often USING (x) JOIN sizes USING (node))
+  WHERE r <= n // 5 + 1
+), pairs AS MATERIALIZED (
+  SELECT DISTINCT a.node AS a, b.node AS b
+  FROM rare a JOIN rare b ON a.x = b.x AND a.node < b.node
+  JOIN sizes l ON l.node = a.node JOIN sizes r ON r.node = b.node
+  WHERE 100 * l.n >= 80 * r.n AND 100 * r.n >= 80 * l.n
+), links AS MATERIALIZED (
+  SELECT a, b FROM (
+    SELECT a, b, count(*) AS s FROM pairs JOIN shingles x ON x.node = a JOIN shingles y ON y.node = b AND y.x = x.x
+    GROUP BY a, b)
+  JOIN sizes l ON l.node = a JOIN sizes r ON r.node = b WHERE 100 * s >= 80 * (l.n + r.n - s)
+), ways AS MATERIALIZED (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach AS (
+  SELECT a AS node, b AS other FROM ways
+  UNION
+  SELECT reach.node, ways.b FROM reach JOIN ways ON ways.a = reach.other
+), heads AS (SELECT node, min(other) AS head FROM reach GROUP BY node),
+classes AS (
+  SELECT nodes.body, h.spot FROM nodes LEFT JOIN heads USING (node)
+  JOIN nodes h ON h.node = least(nodes.node, coalesce(heads.head, nodes.node))
+)
+SELECT doc_id, line_no, spot // 10000000 AS class_doc, CAST(spot % 10000000 AS INTEGER) AS class_line,
+       doc_id * 10000000 + line_no = spot AS kept
+FROM lines JOIN classes USING (body)
+"""
