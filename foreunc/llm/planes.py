@@ -35,7 +35,7 @@ CHUNK_IDS = 1 << 16
 #: Distinct words a task keeps the ids of before it starts anew.
 CACHE_WORDS = 1_000_000
 #: Bytes of text in a shard, about: the larger, the fewer words are encoded in several tasks.
-SHARD_BYTES = 64 << 20
+SHARD_BYTES = 96 << 20
 IDS, DOC_IDS, VALID, LENGTHS = range(4)
 KINDS = {IDS: np.dtype("<u4"), DOC_IDS: np.dtype("<i8"), VALID: np.dtype("u1"), LENGTHS: np.dtype("<u4")}
 
@@ -185,10 +185,9 @@ class WordCache(dict):
         split = [t.split() for t in texts]
         words = np.array([len(w) for w in split], dtype=np.int64)
         number = np.fromiter(map(self.__getitem__, chain.from_iterable(split)), np.int64, int(words.sum()))
-        counts = np.array(self.count, dtype=np.int64)[number]
-        ids = np.array(self.flat, dtype=np.uint32)[
-            spread_runs(np.array(self.start, dtype=np.int64)[number], counts)
-        ]
+        counts = np.frombuffer(self.count, dtype=np.int64)[number] if len(number) else number
+        starts = np.frombuffer(self.start, dtype=np.int64)[number] if len(number) else number
+        ids = np.frombuffer(self.flat, dtype=np.uint32)[spread_runs(starts, counts)] if len(number) else number
         ends = np.append(0, np.cumsum(counts))[np.cumsum(words)]
         return np.insert(ids, ends, end_id), np.diff(ends, prepend=0) + 1
 
