@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foreunc.llm import bpe, contamination, lines, neardup, planes, topk, toxicity
+from foreunc.llm import bpe, contamination, lines, lm, neardup, planes, topk, toxicity
 from foreunc.llm.common import shared_folder
 
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -209,3 +209,10 @@ SELECT doc_id, line_no, spot // 10000000 AS class_doc, CAST(spot % 10000000 AS I
        doc_id * 10000000 + line_no = spot AS kept
 FROM lines JOIN classes USING (body)
 """
+
+
+@query
+def op7_lm_score(spark, sf):
+    """Score all documents, learning from six sevenths of them."""
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    return lm.score_texts(table(spark, sf, "documents"), remainder(7) == 2, path)
