@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foreunc.llm import bpe, contamination, lines, lm, neardup, planes, topk, toxicity
+from foreunc.llm import bpe, contamination, html, lines, lm, neardup, planes, topk, toxicity, urls
 from foreunc.llm.common import shared_folder
 
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -216,3 +216,24 @@ def op7_lm_score(spark, sf):
     """Score all documents, learning from six sevenths of them."""
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
     return lm.score_texts(table(spark, sf, "documents"), remainder(7) == 2, path)
+
+
+URL_RULES = [
+    urls.Rule("org/", "allow"),
+    urls.Rule("example.org/es/", "block"),
+    urls.Rule("example.org/en/1", "block"),
+    urls.Rule("com/fr/", "allow"),
+    urls.Rule("com/de/", "block"),
+]
+
+
+@query
+def op2_url_filter(spark, sf):
+    """Verdict on every page's url."""
+    return urls.filter_urls(table(spark, sf, "pages"), URL_RULES)
+
+
+@query
+def op3_html_text(spark, sf):
+    """Article of every page."""
+    return html.extract(table(spark, sf, "pages"))
