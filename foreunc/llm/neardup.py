@@ -227,3 +227,16 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: int = 80) -> Da
         )
         .withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
     )
+
+
+def without_near_duplicates(docs: DataFrame, words: int = 5, similarity: int = 80) -> DataFrame:
+    """Rows of ``docs`` that are kept by ``near_duplicates``, with all their columns.
+
+    Rows without an id stay; rows that repeat an id stay or go by the texts of that id, all of which
+    must be near-duplicates of earlier documents for them to go.
+    """
+    judged = near_duplicates(docs, words, similarity).filter("doc_id IS NOT NULL")
+    dropped = written(
+        judged.groupBy("doc_id").agg(F.max("kept").alias("kept")).filter("NOT kept").select("doc_id"), "dropped"
+    )
+    return docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)

@@ -325,3 +325,20 @@ def score(docs: DataFrame, model: Classifier) -> DataFrame:
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, score double, predicted int")
+
+
+def filter_toxic(docs: DataFrame, model: Classifier) -> DataFrame:
+    """Rows of ``docs`` whose text isn't predicted toxic, with all their columns.
+
+    Nothing is joined: each row is kept or dropped by its own text, in one pass.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(dict(vars(model)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model, cache = Classifier(**shared.value), WordBuckets()
+        tables = model.tables()
+        for part in slices(batches, "text"):
+            pairs, counts = bucket_pairs(raw_texts(part), cache)
+            yield part.filter(pa.array(model.scores(pairs, counts, tables) < 0.5))
+
+    return docs.mapInArrow(run, docs.schema)
