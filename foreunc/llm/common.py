@@ -129,23 +129,34 @@ def linked(
 
     ``placed`` has (node, size, bucket), size being that of the node's set; ``confirm`` takes pairs
     (a, b) of nodes and returns those that are similar. In a bucket every node is first compared
-    with one member, chosen by hash and so another one in each bucket that a group shares; that
-    joins nearly all of a large group. Only where a bucket then still holds several components are
-    nodes of different components compared with each other, so the pairs of a large group of copies
-    are not listed and no link between components is passed over. Nodes without links have no row.
+    with two members: the one that meets most others in all its buckets, which is the original that
+    copies were made from, and one chosen by hash, another one in each bucket that a group shares.
+    That joins nearly all of a large group. Only where a bucket then still holds several components
+    are nodes of different components compared with each other, so the pairs of a large group of
+    copies are not listed and no link between components is passed over. Nodes without links have
+    no row.
     """
-    placed = placed.withColumn("draw", F.xxhash64("node", "bucket"))
-    shared = written(
-        placed.groupBy("bucket").agg(F.count("*").alias("n"), F.min("draw").alias("lead")).filter("n > 1"),
-        "buckets",
+    shared = written(placed.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1"), "buckets")
+    meets = written(placed.join(shared, "bucket"), "meets")
+    degree = written(meets.groupBy("node").agg(F.least(F.sum("n"), F.lit(1 << 42)).alias("degree")), "degrees")
+    draw = F.xxhash64("node", "bucket")
+    members = written(
+        meets.drop("n")
+        .join(degree, "node")
+        .withColumn("rank", F.col("degree") * (1 << 20) + draw.bitwiseAND((1 << 20) - 1))
+        .withColumn("draw", draw)
+        .drop("degree"),
+        "members",
     )
-    members = written(placed.join(shared.select("bucket", "lead"), "bucket"), "members")
-    leads = members.filter("draw = lead").select(
-        "bucket", F.col("node").alias("lead_node"), F.col("size").alias("lead_size")
+    chosen = written(members.groupBy("bucket").agg(F.max("rank").alias("most"), F.min("draw").alias("low")), "chosen")
+    leads = written(
+        members.join(chosen, "bucket")
+        .filter("rank = most OR draw = low")
+        .select("bucket", F.col("node").alias("lead_node"), F.col("size").alias("lead_size")),
+        "leads",
     )
     pairs = written(
-        members.filter("draw <> lead")
-        .join(leads, "bucket")
+        members.join(leads, "bucket")
         .filter(_close("size", "lead_size", similarity) & (F.col("node") != F.col("lead_node")))
         .select(F.least("node", "lead_node").alias("a"), F.greatest("node", "lead_node").alias("b"))
         .distinct(),
