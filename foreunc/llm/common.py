@@ -51,6 +51,24 @@ def raw_texts(batch: pa.RecordBatch, column: str = "text") -> list[bytes]:
     return [x or b"" for x in batch.column(column).cast(pa.binary()).to_pylist()]
 
 
+def split_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """Words of all texts in turn, parted by ASCII white space, and words per text; null is empty."""
+    parts = pc.ascii_split_whitespace(pc.ascii_trim_whitespace(pc.fill_null(texts, "")))
+    counts = parts.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+    words = parts.flatten()
+    full = pc.binary_length(words).to_numpy(zero_copy_only=False) > 0
+    if not full.all():
+        counts = np.bincount(np.repeat(np.arange(len(counts)), counts)[full], minlength=len(counts))
+        words = words.filter(pa.array(full))
+    return words, counts
+
+
+def numbered_words(words: pa.Array) -> tuple[list[bytes], np.ndarray]:
+    """Distinct words, and the place of each word among them."""
+    coded = words.dictionary_encode()
+    return coded.dictionary.cast(pa.binary()).to_pylist(), coded.indices.to_numpy(zero_copy_only=False)
+
+
 def lists(values: np.ndarray, counts: np.ndarray, kind: pa.DataType) -> pa.Array:
     """List column whose row i holds the next ``counts[i]`` values."""
     offsets = np.zeros(len(counts) + 1, dtype=np.int32)

@@ -15,7 +15,6 @@ import uuid
 import zlib
 from array import array
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from foreunc.llm.common import raw_texts, slices, spread_runs
+from foreunc.llm.common import numbered_words, slices, split_words, spread_runs
 
 MAGIC = b"IDPLANE1"
 FOOTER = "<QQ8s"
@@ -35,7 +34,7 @@ CHUNK_IDS = 1 << 16
 #: Distinct words a task keeps the ids of before it starts anew.
 CACHE_WORDS = 1_000_000
 #: Bytes of text in a shard, about: the larger, the fewer words are encoded in several tasks.
-SHARD_BYTES = 96 << 20
+SHARD_BYTES = 64 << 20
 IDS, DOC_IDS, VALID, LENGTHS = range(4)
 KINDS = {IDS: np.dtype("<u4"), DOC_IDS: np.dtype("<i8"), VALID: np.dtype("u1"), LENGTHS: np.dtype("<u4")}
 
@@ -180,11 +179,11 @@ class WordCache(dict):
         self[word] = number = len(self.start) - 1
         return number
 
-    def encode(self, texts: list[bytes], end_id: int) -> tuple[np.ndarray, np.ndarray]:
+    def encode(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in turn, each with ``end_id`` after it; ids per text."""
-        split = [t.split() for t in texts]
-        words = np.array([len(w) for w in split], dtype=np.int64)
-        number = np.fromiter(map(self.__getitem__, chain.from_iterable(split)), np.int64, int(words.sum()))
+        found, words = split_words(texts)
+        distinct, code = numbered_words(found)
+        number = np.fromiter(map(self.__getitem__, distinct), np.int64, len(distinct))[code]
         counts = np.frombuffer(self.count, dtype=np.int64)[number] if len(number) else number
         starts = np.frombuffer(self.start, dtype=np.int64)[number] if len(number) else number
         ids = np.frombuffer(self.flat, dtype=np.uint32)[spread_runs(starts, counts)] if len(number) else number
@@ -222,7 +221,7 @@ def write_ids(
                 cache = WordCache(tokenizer)
             if len(cache) > CACHE_WORDS:
                 cache = WordCache(tokenizer)
-            ids, lengths = cache.encode(raw_texts(part), end_id)
+            ids, lengths = cache.encode(part.column("text"), end_id)
             keys = part.column("doc_id")
             writer.add(IDS, ids)
             writer.add(DOC_IDS, keys.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))
