@@ -334,7 +334,7 @@ def memoryless_forecast(spark, sf):
     drivers = fx.region_drivers(spark, sf)
     forcing = propagate.forcing_table(drivers, matrix, USED, fx.STEPS)
     return propagate.propagate_memoryless(
-        matrix, forcing, USED, fx.STEPS, DRAWS, fx.SIGMA2, members=spec.members
+        matrix, forcing, USED, fx.STEPS, DRAWS, fx.SIGMA2
     )
 
 
@@ -448,7 +448,7 @@ def predictive_quantile(spark, sf):
     obs = evaluate.observations_by_lead(
         fx.region_targets(spark, sf), fx.FORECAST_DATE, fx.HORIZON
     )
-    return evaluate.pit(_forecast(spark, sf), obs, groups=fx.HORIZON + 2)
+    return evaluate.pit(_forecast(spark, sf), obs)
 
 
 def _site_scores(spark, sf):

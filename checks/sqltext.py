@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from foreunc.functions.random import FINISH, FOLD, MASK32, SHIFT, step_constants
+from foreunc.functions.random import FINISH, FOLD, MASK32, POISSON_STEPS, SHIFT, step_constants
 
 
 def _lane(seed: int, purpose: str, lane: str, keys) -> str:
@@ -30,7 +30,8 @@ def uniform(purpose: str, *keys: str, seed: int = 42) -> str:
 
 
 def normal(purpose: str, *keys: str, seed: int = 42) -> str:
-    u1 = f"(({_lane(seed, purpose, 'a', keys)} + 0.5::DOUBLE) / {1 << 32}::DOUBLE)"
+    high, low = _lane(seed, purpose, "a", keys), _lane(seed, purpose, "c", keys)
+    u1 = f"(({high} * {1 << 20} + ({low} >> 12) + 0.5::DOUBLE) / {1 << 52}::DOUBLE)"
     u2 = f"(({_lane(seed, purpose, 'b', keys)} + 0.5::DOUBLE) / {1 << 32}::DOUBLE)"
     return f"(sqrt(-2.0::DOUBLE * ln({u1})) * cos({2 * math.pi!r}::DOUBLE * {u2}))"
 
@@ -41,7 +42,7 @@ def index(purpose: str, size, *keys: str, seed: int = 42) -> str:
 
 def poisson_one(purpose: str, *keys: str, seed: int = 42) -> str:
     u, total, parts = uniform(purpose, *keys, seed=seed), 0.0, []
-    for k in range(10):
+    for k in range(POISSON_STEPS):
         total += math.exp(-1.0) / math.factorial(k)
         parts.append(f"(CASE WHEN {u} > {total!r}::DOUBLE THEN 1 ELSE 0 END)")
     return "(" + " + ".join(parts) + ")"

@@ -68,9 +68,10 @@ class Draws:
 
     def normal(self, purpose: str, *keys: str) -> Column:
         """Standard normal (Box-Muller)."""
-        u1, u2 = (
-            f"(({self._lane(purpose, lane, keys)} + 0.5D) / {float(1 << 32)!r}D)" for lane in "ab"
-        )
+        # The radius takes the 52 bits of a uniform, so that draws reach beyond 8 deviations.
+        high, low = self._lane(purpose, "a", keys), self._lane(purpose, "c", keys)
+        u1 = f"(({high} * {1 << 20}L + shiftright({low}, 12) + 0.5D) / {float(1 << 52)!r}D)"
+        u2 = f"(({self._lane(purpose, 'b', keys)} + 0.5D) / {float(1 << 32)!r}D)"
         return F.expr(f"sqrt(-2.0D * ln({u1})) * cos({2.0 * math.pi!r}D * {u2})")
 
     def index(self, purpose: str, size, *keys: str) -> Column:
@@ -98,7 +99,8 @@ class Draws:
 
     def normal_values(self, purpose: str, *keys) -> np.ndarray:
         """Standard normals for broadcastable integer arrays; equals :meth:`normal` row by row."""
-        u1 = (self._lane_values(purpose, "a", keys) + 0.5) / float(1 << 32)
+        high, low = self._lane_values(purpose, "a", keys), self._lane_values(purpose, "c", keys)
+        u1 = (high * (1 << 20) + (low >> 12) + 0.5) / float(1 << 52)
         u2 = (self._lane_values(purpose, "b", keys) + 0.5) / float(1 << 32)
         return np.sqrt(-2.0 * np.log(u1)) * np.cos(2.0 * math.pi * u2)
 
@@ -109,13 +111,18 @@ class Draws:
         return (high * (1 << 20) + (low >> 12) + 0.5) / float(1 << 52)
 
 
+#: P(count > 18) is below 2^-52.
+POISSON_STEPS = 18
+
+
 def poisson_one(u: str) -> Column:
-    """Poisson(1) count of a uniform column by inverse distribution function (mass beyond 10: 1e-8).
+    """Poisson(1) count of a uniform column by inverse distribution function.
 
-    Take ``u`` from a column of an earlier projection: it is read ten times.
+    The steps end where the mass beyond is less than the uniform resolves. Take ``u`` from a column
+    of an earlier projection: it is read once per step.
     """
     total, steps = 0.0, []
-    for k in range(10):
+    for k in range(POISSON_STEPS):
         total += math.exp(-1.0) / math.factorial(k)
         steps.append(f"cast({u} > {total!r}D as int)")
     return F.expr(" + ".join(steps))

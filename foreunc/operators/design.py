@@ -75,14 +75,13 @@ def initial_state(sigma2: float) -> float:
     return HALF_WIDTH_68 * float(np.sqrt(sigma2))
 
 
-def spread(samples: DataFrame) -> DataFrame:
-    """Give a table of sample ids at least one partition per core.
+def spread(samples: DataFrame, partitions: int | None = None) -> DataFrame:
+    """Deal a table of sample ids to ``partitions`` parts, by default one per core.
 
     A sample costs far more to simulate than to send, and a few-partition id table would leave most
-    cores idle. A table that already has enough partitions is returned as it is, without a shuffle.
+    cores idle.
     """
-    cores = samples.sparkSession.sparkContext.defaultParallelism
-    return samples if samples.rdd.getNumPartitions() >= cores else samples.repartition(cores)
+    return samples.repartition(partitions or samples.sparkSession.sparkContext.defaultParallelism)
 
 
 def design_columns(spec: DesignSpec, draws: Draws, matrix: str, key: str = "sample_id"):
@@ -129,33 +128,28 @@ def row_numbers(
     df: DataFrame,
     groups: Sequence[str],
     order: Column,
-    expected_rows: int,
+    ties: Sequence[str],
     name: str = "position",
-    rows_per_bucket: int = 200_000,
+    slices: int = 32,
 ) -> DataFrame:
-    """Rank 1..n inside each group by a *uniform* (0, 1) expression.
+    """Rank 1..n inside each group by a *uniform* (0, 1) expression, ties by the columns ``ties``.
 
-    A group of up to ``rows_per_bucket`` rows is one window partition. Bigger groups are cut into
-    equal slices of (0, 1), ranked per slice and shifted by the counts of the slices before, so
-    that no group ends up in one task.
+    Every group is cut into equal slices of (0, 1), ranked per slice and shifted by the counts of
+    the slices before, so that no group ends up in one task. With ``ties`` that name a row, a task
+    that runs again gives the same ranks.
     """
-    buckets = max(1, -(-int(expected_rows) // rows_per_bucket))
-    df = df.withColumn("_u", order)
-    if buckets == 1:
-        w = Window.partitionBy(*groups).orderBy("_u")
-        return df.withColumn(name, F.row_number().over(w)).drop("_u")
-    df = df.withColumn("_bucket", F.floor(F.col("_u") * buckets))
-    counts = df.groupBy(*groups, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.partitionBy(*groups).orderBy("_bucket").rowsBetween(
+    df = df.withColumn("_u", order).withColumn("_slice", F.floor(F.col("_u") * slices))
+    counts = df.groupBy(*groups, "_slice").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy(*groups).orderBy("_slice").rowsBetween(
         Window.unboundedPreceding, -1
     )
     offsets = counts.withColumn("_offset", F.coalesce(F.sum("_n").over(before), F.lit(0)))
-    inside = Window.partitionBy(*groups, "_bucket").orderBy("_u")
+    inside = Window.partitionBy(*groups, "_slice").orderBy("_u", *ties)
     return (
         df.withColumn(name, F.row_number().over(inside))
-        .join(offsets.drop("_n"), [*groups, "_bucket"])
+        .join(offsets.drop("_n"), [*groups, "_slice"])
         .withColumn(name, F.col(name) + F.col("_offset"))
-        .drop("_u", "_bucket", "_offset")
+        .drop("_u", "_slice", "_offset")
     )
 
 
@@ -166,8 +160,7 @@ def numbered(groups: DataFrame, key: str, size: int, name: str, chunk: int = 100
     """
     starts = F.sequence(F.lit(1), F.lit(int(size)), F.lit(chunk))
     chunked = groups.withColumn("_start", F.explode(starts))
-    if size > chunk:
-        chunked = chunked.repartition(key, "_start")
+    chunked = chunked.repartition(key, "_start")
     last = F.least(F.col("_start") + (chunk - 1), F.lit(int(size)))
     return chunked.withColumn(name, F.explode(F.sequence(F.col("_start"), last))).drop("_start")
 
@@ -209,7 +202,7 @@ def split_and_shuffle(
     half = size // 2
     day_key = f"unix_date({group})"
     seeded = row_numbers(
-        drawn, [group], draws.uniform("permutation", day_key, "draw"), size, "parameter_seed"
+        drawn, [group], draws.uniform("permutation", day_key, "draw"), ["draw"], "parameter_seed"
     )
     names = [*columns, "parameter_seed"]
     side_a = seeded.where(F.col("parameter_seed") <= half).select(
@@ -227,8 +220,8 @@ def split_and_shuffle(
             for c in names
         ]
     )
-    long_b = seeded.where(F.col("parameter_seed") > half).select(group, F.inline(entry))
-    ranked = row_numbers(long_b, [group, "input"], F.col("u"), half, "sample_id")
+    long_b = seeded.where(F.col("parameter_seed") > half).select(group, "parameter_seed", F.inline(entry))
+    ranked = row_numbers(long_b, [group, "input"], F.col("u"), ["parameter_seed"], "sample_id")
     side_b = ranked.groupBy(group, "sample_id").agg(
         *[F.max(F.when(F.col("input") == c, F.col("value"))).alias(f"b_{c}") for c in names]
     )

@@ -13,7 +13,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from foreunc.functions.scalar import rmse
-from foreunc.operators.propagate import sized
 from foreunc.operators.ranking import quantile_columns, ranked_values
 
 # The 95 % interval and the median.
@@ -43,17 +42,18 @@ def scores(
     observations: DataFrame,
     keys: Sequence[str] = ("lead",),
     y: str = "y",
-    max_group_rows: int | None = None,
 ) -> DataFrame:
     """All scores of a forecast in one ranked pass.
 
     ``q025, q500, q975``; ``resid`` = median - obs; ``pit`` = share of members at or below the
     observation; ``crps`` = mean|x - obs| - mean|x - x'| / 2; ``covered`` = obs inside the interval.
-    A missing observation leaves the observation-based scores null.
+    A missing observation leaves the observation-based scores null, an observation without members
+    leaves all scores null. Null and NaN members don't count. Two observations of one key are an
+    error.
     """
     keys = list(keys)
-    known_obs = observations.select(*keys, "obs")
-    rows = ranked_values(ensemble, keys, y, max_group_rows, attach=known_obs)
+    known_obs = single_observations(observations, keys)
+    rows = ranked_values(ensemble, keys, y, attach=known_obs)
     n, copies = F.col("n"), F.col("copies")
     # Pairwise spread from ranks; taken against the observation, which cancels in the sum.
     lever = copies * (2 * F.col("below") + copies - n)
@@ -67,7 +67,7 @@ def scores(
         (F.sum(lever * away) / (F.max("n") * F.max("n").cast("double"))).alias("_half_spread"),
     )
     known = F.col("obs").isNotNull()
-    return agg.select(
+    scored = agg.select(
         *keys,
         "obs",
         "n",
@@ -77,6 +77,17 @@ def scores(
         F.when(known, F.col("_error") - F.col("_half_spread")).alias("crps"),
         F.when(known, F.col("obs").between(F.col("q025"), F.col("q975"))).alias("covered"),
     )
+    there = scored.select(F.struct(*keys).alias("_key"))
+    alone = known_obs.withColumn("_key", F.struct(*keys)).join(there, "_key", "left_anti").drop("_key")
+    return scored.unionByName(alone.withColumn("n", F.lit(0).cast("bigint")), allowMissingColumns=True)
+
+
+def single_observations(observations: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """``(keys, obs)``, an error where a key has two observations."""
+    twice = F.raise_error(F.lit("two observations of one key"))
+    return observations.groupBy(*keys).agg(
+        F.when(F.count(F.lit(1)) > 1, twice.cast("double")).otherwise(F.max("obs")).alias("obs")
+    )
 
 
 def pit(
@@ -84,18 +95,18 @@ def pit(
     observations: DataFrame,
     keys: Sequence[str] = ("lead",),
     y: str = "y",
-    groups: int | None = None,
 ) -> DataFrame:
     """Predictive quantile alone: a conditional count, no ranking.
 
-    ``groups`` is the number of observations where the caller knows it (horizon + 2 for one
-    forecast): they are then broadcast; otherwise the join is a shuffle with skew handling.
+    Null and NaN members don't count; two observations of one key are an error. The join is left to
+    the optimizer, which knows the observations' size at run time.
     """
-    obs = sized(observations.select(*keys, "obs"), groups)
+    obs = single_observations(observations, keys)
+    member = F.when(~F.isnan(F.col(y).cast("double")), F.col(y))
     return (
         ensemble.join(obs, list(keys), "left")
         .groupBy(*keys)
-        .agg(F.avg((F.col(y) <= F.col("obs")).cast("double")).alias("pit"))
+        .agg(F.avg((member <= F.col("obs")).cast("double")).alias("pit"))
     )
 
 

@@ -35,6 +35,8 @@ TARGET_VARIABLES = {
 
 # Forest size and resampling plan of the full-scale model.
 TREES, FOLDS, REPEATS, GRID = 500, 10, 5, 20
+#: Trees stop by the size of their leaves; this is the greatest depth the engine allows.
+DEPTH = 30
 
 
 # -- scaling ---------------------------------------------------------------------------------------
@@ -77,7 +79,7 @@ def scale_columns(df: DataFrame, statistics: DataFrame, predictors: Sequence[str
 
 
 def forest(
-    label: str, mtry: int, min_n: int, trees: int = TREES, seed: int = 42, depth: int = 10
+    label: str, mtry: int, min_n: int, trees: int = TREES, seed: int = 42, depth: int = DEPTH
 ) -> RandomForestRegressor:
     return RandomForestRegressor(
         featuresCol="features",
@@ -126,7 +128,7 @@ def tune_forest(
     repeats: int = REPEATS,
     grid: Sequence[tuple[int, int]] | None = None,
     trees: int = TREES,
-    depth: int = 10,
+    depth: int = DEPTH,
     parallelism: int = 4,
 ) -> DataFrame:
     """Repeated cross-validation: mean RMSE per (mtry, min_n)."""
@@ -215,7 +217,7 @@ def train_target(
     repeats: int = REPEATS,
     grid: Sequence[tuple[int, int]] | None = None,
     trees: int = TREES,
-    depth: int = 10,
+    depth: int = DEPTH,
 ) -> tuple[PipelineModel | None, DataFrame | None]:
     """Guards, tuning, final fit and report of one target; ``(None, None)`` when unusable."""
     if target not in train.columns:
@@ -284,7 +286,7 @@ class BaggedTrees:
         trees: int,
         mtry: int,
         min_n: int,
-        depth: int = 10,
+        depth: int = DEPTH,
         parallelism: int = 4,
     ) -> BaggedTrees:
         bags = [f"bag_{b}" for b in range(trees)]

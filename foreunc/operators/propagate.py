@@ -18,7 +18,6 @@ from pyspark.sql import types as T
 from foreunc.functions.random import Draws
 
 NOISE = "noise"
-BROADCAST_ROWS = 1_000_000
 
 
 def forcing_table(
@@ -74,31 +73,23 @@ def forcing_arrays(
     )
 
 
-def sized(small: DataFrame, rows: int | None) -> DataFrame:
-    """Broadcast hint only for a side whose row count is known beforehand to be small."""
-    return F.broadcast(small) if rows is not None and rows <= BROADCAST_ROWS else small
-
-
 def with_forcing(
     design: DataFrame,
     forcing: DataFrame,
     variables: Sequence[str],
     keys: Sequence[str] = (),
     sides: Sequence[str] = ("",),
-    members: int | None = None,
 ) -> DataFrame:
     """Attach driver arrays to each design row by its member number (``a_``/``b_`` sides too).
 
-    ``members`` is the number of members the design draws from; without ``keys`` it bounds the
-    lookup, which is then broadcast. With keys, or unknown, the join is left to the optimizer.
+    The join is left to the optimizer, which broadcasts the lookup if its size at run time is small.
     """
     arrays = forcing_arrays(forcing, variables, keys)
-    bound = members if not keys else None
     for side in sides:
         lookup = arrays.withColumnsRenamed(
             {"member": f"{side}member", **{f"met_{v}": f"{side}met_{v}" for v in variables}}
         )
-        design = design.join(sized(lookup, bound), [*keys, f"{side}member"], "left")
+        design = design.join(lookup, [*keys, f"{side}member"], "left")
     return design
 
 
@@ -108,16 +99,13 @@ def with_forcing_at_lead(
     variables: Sequence[str],
     keys: Sequence[str] = (),
     sides: Sequence[str] = ("",),
-    members: int | None = None,
-    horizon: int | None = None,
 ) -> DataFrame:
     """The same lookup for long rows that already carry ``lead``."""
-    bound = members * horizon if members and horizon and not keys else None
     for side in sides:
         lookup = forcing.withColumnsRenamed(
             {"member": f"{side}member", **{v: f"{side}met_{v}" for v in variables}}
         )
-        rows = rows.join(sized(lookup, bound), [*keys, f"{side}member", "lead"], "left")
+        rows = rows.join(lookup, [*keys, f"{side}member", "lead"], "left")
     return rows
 
 
@@ -150,12 +138,11 @@ def propagate_memoryless(
     draws: Draws,
     sigma2: float,
     keys: Sequence[str] = (),
-    members: int | None = None,
 ) -> DataFrame:
     """Long forecast ``(keys, sample_id, lead, y)`` of the model without memory, no shuffle of the
     ensemble."""
     rows = with_forcing_at_lead(
-        explode_leads(design, horizon), forcing, variables, keys, members=members, horizon=horizon
+        explode_leads(design, horizon), forcing, variables, keys
     ).withColumn("eps", noise_at(draws, sigma2))
     names = ["lead", "ic", "intercept", "eps"]
     names += [f"{p}{v}" for v in variables for p in ("b_", "met_")]
@@ -210,14 +197,16 @@ def propagate_autoregressive(
     draws: Draws,
     sigma2: float,
     keys: Sequence[str] = (),
-    members: int | None = None,
     noise_phi: float = 0.0,
 ) -> DataFrame:
-    """Forecast ``(keys, sample_id, y)`` with ``y`` an array over leads 0..horizon; narrow."""
+    """Forecast ``(keys, sample_id, y)`` with ``y`` an array over leads 0..horizon; narrow.
+
+    A lead without its driver value, and all leads after it, are null.
+    """
     keys, variables = list(keys), list(variables)
     inputs = ["intercept", "ic", *[f"b_{v}" for v in variables]]
     inputs += ["ar1"] if "ar1" in design.columns else []
-    rows = with_forcing(design, forcing, variables, keys, members=members).select(
+    rows = with_forcing(design, forcing, variables, keys).select(
         *keys, "sample_id", "noise_id", *inputs, *[f"met_{v}" for v in variables]
     )
     fields = [rows.schema[c] for c in [*keys, "sample_id"]]
@@ -232,8 +221,9 @@ def propagate_autoregressive(
             noise_id = column_values(batch, "noise_id")
             values["eps"] = noise_block(draws, sigma2, noise_id, horizon, noise_phi)
             y = ar_paths(values, variables)
+            missing = np.isnan(y.ravel())
             ends = pa.array(np.arange(0, y.size + 1, y.shape[1], dtype=np.int32))
-            paths = pa.ListArray.from_arrays(ends, pa.array(y.ravel()))
+            paths = pa.ListArray.from_arrays(ends, pa.array(y.ravel(), mask=missing))
             yield pa.RecordBatch.from_arrays(
                 [*[batch.column(f.name) for f in fields], paths], names=schema.names
             )

@@ -1,78 +1,57 @@
 """Exact ranks of values inside groups of any size.
 
 A group may hold a third of all rows, so its values are not sorted in one task. Equal values are
-counted first; the biggest groups are cut into value bins around their quartiles; each bin is
-ranked on its own and shifted by the counts of the bins below. The bins only balance the work: the
-ranks are exact whatever the bins are.
+counted first; every group of more than a bin's rows is cut at many quantiles of a sketch, and between
+two of them evenly; each bin is ranked on its own and shifted by the counts of the bins below. The
+bins only balance the work: the ranks are exact whatever the bins are.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
-from functools import reduce
-from operator import and_
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 ROWS_PER_BIN = 200_000
-# Groups beyond the thousand biggest hold less than a thousandth of the rows each.
-HEAVY_GROUPS = 1_000
+# Quantiles a group is cut at; a power of two, for the search by halving.
+CUTS = 256
 
 
 def ranked_values(
     df: DataFrame,
     keys: Sequence[str],
     value: str,
-    max_group_rows: int | None = None,
     rows_per_bin: int = ROWS_PER_BIN,
     attach: DataFrame | None = None,
 ) -> DataFrame:
     """Rows ``(keys, value, copies, below, n)``: how often a value occurs, how many lie below it,
-    and the group size. Rows with a null key or value are left out.
+    and the group size. Null and NaN values are missing and left out; null keys form groups.
 
     ``attach`` has one row per group; its other columns are added to every row of the group (null
-    where it has none). ``max_group_rows`` states a bound the caller knows (the ensemble size); a
-    bound of at most ``rows_per_bin`` makes one window per group enough and saves the binning.
+    where it has none).
 
     Two exchanges move the values: by (keys, value) to count copies, by (keys, bin) to rank. Group
-    sizes, bin offsets and attached columns come in by small tables on those same keys.
+    layouts, bin offsets and attached columns come in by tables of one row per group or bin.
     """
     keys = list(keys)
-    present = reduce(and_, [F.col(c).isNotNull() for c in [*keys, value]])
+    # Structs compare null fields as equal, so rows of a null key find their group.
     counted = (
-        df.where(present)
-        .groupBy(*keys, value)
+        df.where(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double")))
+        .groupBy(F.struct(*keys).alias("_key"), value)
         .agg(F.count(F.lit(1)).alias("copies"))
     )
-    if max_group_rows is not None and max_group_rows <= rows_per_bin:
-        whole = Window.partitionBy(*keys)
-        before = whole.orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
-        ranked = counted.withColumns(
-            {
-                "below": F.coalesce(F.sum("copies").over(before), F.lit(0)),
-                "n": F.sum("copies").over(whole),
-            }
-        )
-        return ranked if attach is None else ranked.join(attach.hint("shuffle_hash"), keys, "left")
-    binned = counted.join(F.broadcast(_heavy_groups(counted, keys, value, rows_per_bin)), keys, "left")
-    spot = F.lit(0.5) + F.atan((F.col(value) - F.col("_mid")) / F.col("_width")) / math.pi
-    binned = binned.select(
-        *keys,
-        value,
-        "copies",
-        F.when(F.col("_width") > 0, F.floor(spot * F.col("_bins")))
-        .otherwise(F.lit(0).cast("bigint"))
-        .alias("_bin"),
+    layout = _layout(counted, value, rows_per_bin)
+    binned = counted.join(layout, "_key", "left").select(
+        "_key", value, "copies", F.coalesce(_bin(value), F.lit(0).cast("bigint")).alias("_bin")
     )
-    group = Window.partitionBy(*keys)
+    group = Window.partitionBy("_key")
     lower_bins = group.orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
     bins = (
-        binned.groupBy(*keys, "_bin")
+        binned.groupBy("_key", "_bin")
         .agg(F.sum("copies").alias("_rows"))
         .select(
-            *keys,
+            "_key",
             "_bin",
             F.coalesce(F.sum("_rows").over(lower_bins), F.lit(0)).alias("_offset"),
             F.sum("_rows").over(group).alias("n"),
@@ -81,17 +60,17 @@ def ranked_values(
     extra = []
     if attach is not None:
         extra = [c for c in attach.columns if c not in keys]
-        bins = bins.join(attach, keys, "left")
+        bins = bins.join(attach.select(F.struct(*keys).alias("_key"), *extra), "_key", "left")
     inside = (
-        Window.partitionBy(*keys, "_bin")
+        Window.partitionBy("_key", "_bin")
         .orderBy(value)
         .rowsBetween(Window.unboundedPreceding, -1)
     )
     return (
         binned.withColumn("_inside", F.coalesce(F.sum("copies").over(inside), F.lit(0)))
-        .join(bins.hint("shuffle_hash"), [*keys, "_bin"])
+        .join(bins.hint("shuffle_hash"), ["_key", "_bin"])
         .select(
-            *keys,
+            *[F.col(f"_key.{k}").alias(k) for k in keys],
             value,
             "copies",
             (F.col("_inside") + F.col("_offset")).alias("below"),
@@ -101,25 +80,35 @@ def ranked_values(
     )
 
 
-def _heavy_groups(counted: DataFrame, keys, value: str, rows_per_bin: int) -> DataFrame:
-    """Bin layout of the biggest groups: at most ``HEAVY_GROUPS`` rows, whatever the data.
+def _layout(counted: DataFrame, value: str, rows_per_bin: int) -> DataFrame:
+    """Quantiles of every group with more than a bin's rows, and bins between two of them.
 
     It reads every column of ``counted``, so that the optimizer reuses that exchange as it is.
     """
-    quartiles = F.percentile_approx(value, [0.25, 0.5, 0.75], 200)
+    shares = [i / CUTS for i in range(CUTS + 1)]
     return (
-        counted.groupBy(*keys)
-        .agg(F.sum("copies").alias("_n"), quartiles.alias("_q"))
-        .where(F.col("_n") > rows_per_bin)
-        .orderBy(F.desc("_n"))
-        .limit(HEAVY_GROUPS)
-        .select(
-            *keys,
-            F.ceil(F.col("_n") / rows_per_bin).alias("_bins"),
-            F.col("_q")[1].alias("_mid"),
-            ((F.col("_q")[2] - F.col("_q")[0]) / 2.0).alias("_width"),
+        counted.groupBy("_key")
+        .agg(
+            F.sum("copies").alias("_n"),
+            F.count(F.lit(1)).alias("_values"),
+            F.percentile_approx(F.col(value).cast("double"), shares, 10 * CUTS).alias("_cuts"),
         )
+        .where(F.col("_n") > rows_per_bin)
+        .select("_key", "_cuts", F.ceil(F.col("_values") / (CUTS * rows_per_bin)).alias("_parts"))
+    )
+
+
+def _bin(value: str) -> Column:
+    """Bin of a value: the last quantile at or below it, found by halving, and the part after it."""
+    spot, cut = F.col(value).cast("double"), F.col("_cuts")
+    halves = F.array(*[F.lit(CUTS >> i) for i in range(1, CUTS.bit_length())])
+    at = F.aggregate(
+        halves, F.lit(0), lambda i, half: F.when(F.get(cut, i + half) <= spot, i + half).otherwise(i)
     )
+    low, high = F.get(cut, at), F.get(cut, at + 1)
+    part = F.floor((spot - low) / (high - low) * F.col("_parts"))
+    part = F.when(high > low, F.greatest(F.lit(0), F.least(part, F.col("_parts") - 1))).otherwise(0)
+    return at * F.col("_parts") + part
 
 
 def quantile_columns(value: str, probabilities: dict[str, float]) -> list:
@@ -143,9 +132,8 @@ def exact_quantiles(
     keys: Sequence[str],
     value: str,
     probabilities: dict[str, float],
-    max_group_rows: int | None = None,
     rows_per_bin: int = ROWS_PER_BIN,
 ) -> DataFrame:
     """Exact quantiles per group without holding a group in one task."""
-    ranked = ranked_values(df, keys, value, max_group_rows, rows_per_bin)
+    ranked = ranked_values(df, keys, value, rows_per_bin)
     return ranked.groupBy(*keys).agg(*quantile_columns(value, probabilities))

@@ -31,15 +31,17 @@ def lagged_rows(
 
     Each observation is sent to the dates that need it and the copies are put together by
     (series, date). Unlike a window over a series this never puts a long series in one task, and a
-    missing date is a missing lag without completing the grid first.
+    missing date is a missing lag without completing the grid first. Two rows of one date are an error.
     """
     shift = {"day": lambda k: F.date_add(F.col(time), k), "month": lambda k: F.add_months(time, k)}
     at = shift[step]
     copies = F.array(*[F.struct(F.lit(k).alias("_lag"), at(k).alias("_at")) for k in range(order + 1)])
     spread = df.select(*keys, y, *covariates, F.inline(copies))
     here = F.col("_lag") == 0
+    twice = F.raise_error(F.lit("a series has two rows of one date")).cast("double")
+    single = F.count(F.when(here, 1)) <= 1
     return spread.groupBy(*keys, F.col("_at").alias(time)).agg(
-        F.max(F.when(here, F.col(y))).alias(y),
+        F.when(single, F.max(F.when(here, F.col(y)))).otherwise(twice).alias(y),
         *[F.max(F.when(F.col("_lag") == k, F.col(y))).alias(f"lag{k}") for k in range(1, order + 1)],
         *[F.max(F.when(here, F.col(v))).alias(v) for v in covariates],
     )

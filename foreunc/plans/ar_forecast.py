@@ -29,8 +29,16 @@ def daily_drivers(
 def spec_from_fit(
     fit: DataFrame, ic_mean: float, members: int, noise_rows: int | Column
 ) -> DesignSpec:
-    """Design of one fitted series (a single row of a few numbers)."""
-    row = fit.first()
+    """Design of one fitted series: a table of a single row of a few numbers, else an error.
+
+    The recursion has one lag, so a fit of a higher order is an error too.
+    """
+    rows = fit.take(2)
+    if len(rows) != 1:
+        raise ValueError("a design is made from exactly one fitted series")
+    row = rows[0]
+    if "ar2" in row["names"]:
+        raise ValueError("the recursion has one lag; fit with order 1 at most")
     return DesignSpec(
         names=row["names"],
         mean=row["coef"],
@@ -61,7 +69,7 @@ def ar_pair(
         drivers, pair, variables, horizon, member_columns=["a_member", "b_member"]
     )
     return propagate.with_forcing(
-        pair, forcing, variables, sides=["a_", "b_"], members=spec.members
+        pair, forcing, variables, sides=["a_", "b_"]
     ).drop("a_member", "b_member")
 
 
@@ -101,7 +109,7 @@ def one_at_a_time_of_ar_model(
     """
     design = design_matrix(samples, spec, draws, "A")
     forcing = propagate.forcing_table(drivers, design, variables, horizon)
-    rows = propagate.with_forcing(design, forcing, variables, members=spec.members)
+    rows = propagate.with_forcing(design, forcing, variables)
     rows = rows.select(
         *spec.names, *spec.ic_names, "noise_id", *[f"met_{v}" for v in variables]
     )
@@ -143,7 +151,7 @@ def memoryless_pair_rows(
     )
     rows = propagate.with_forcing_at_lead(
         propagate.explode_leads(pair, horizon), forcing, variables,
-        sides=["a_", "b_"], members=spec.members, horizon=horizon,
+        sides=["a_", "b_"],
     )
     return rows.withColumns(
         {f"{s}_eps": propagate.noise_at(draws, spec.sigma2, f"{s}_noise_id") for s in ("a", "b")}
@@ -171,7 +179,7 @@ def forecast_rows(
     forcing = propagate.forcing_table(drivers, design, variables, horizon)
     return propagate.leads_to_rows(
         propagate.propagate_autoregressive(
-            design, forcing, variables, horizon, draws, spec.sigma2, members=spec.members
+            design, forcing, variables, horizon, draws, spec.sigma2
         )
     )
 

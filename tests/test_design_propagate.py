@@ -73,7 +73,7 @@ def _forecast(spark, partitions, phi=0.0):
     rows = design.design_matrix(ids, SPEC, DRAWS)
     forcing = propagate.forcing_table(_drivers(spark), rows, ["t"], 3)
     out = propagate.propagate_autoregressive(
-        rows, forcing, ["t"], 3, DRAWS, SPEC.sigma2, members=3, noise_phi=phi
+        rows, forcing, ["t"], 3, DRAWS, SPEC.sigma2, noise_phi=phi
     )
     return {r.sample_id: r.y for r in out.collect()}
 
@@ -108,11 +108,17 @@ def test_correlated_noise_keeps_its_variance():
 def test_big_group_ranks_equal_plain_ranks(spark):
     df = spark.range(5000).select((F.col("id") % 2).alias("g"), "id")
     u = DRAWS.uniform("rank", "id")
-    plain = design.row_numbers(df, ["g"], u, 10).orderBy("id").collect()
-    split = design.row_numbers(df, ["g"], u, 2500, rows_per_bucket=100).orderBy("id")
+    plain = design.row_numbers(df, ["g"], u, ["id"], slices=1).orderBy("id").collect()
+    split = design.row_numbers(df, ["g"], u, ["id"], slices=100).orderBy("id")
     assert [r.position for r in plain] == [r.position for r in split.collect()]
 
 
+def test_ties_are_broken_by_the_row_key(spark):
+    df = spark.range(500).repartition(7).select((F.col("id") % 2).alias("g"), "id")
+    got = design.row_numbers(df, ["g"], F.lit(0.5), ["id"]).collect()
+    assert all(r.position == r.id // 2 + 1 for r in got)
+
+
 def test_halves_are_permutations(spark):
     rows = spark.createDataFrame(
         [("2024-01-01", m, float(m), float(-m)) for m in range(1, 8)],

@@ -22,12 +22,12 @@ def _ensemble(spark, n, groups=3):
     )
 
 
-@pytest.mark.parametrize("per_bin,bound", [(50, None), (100_000, None), (100_000, 1000)])
-def test_scores_equal_their_definitions(spark, monkeypatch, per_bin, bound):
-    monkeypatch.setattr(ranking.ranked_values, "__defaults__", (None, per_bin, None))
+@pytest.mark.parametrize("per_bin", [50, 100_000])
+def test_scores_equal_their_definitions(spark, monkeypatch, per_bin):
+    monkeypatch.setattr(ranking.ranked_values, "__defaults__", (per_bin, None))
     ens = _ensemble(spark, 400)
     obs = spark.createDataFrame([(0, 0.5), (1, -3.0), (2, None)], "lead int, obs double")
-    got = {r.lead: r for r in evaluate.scores(ens, obs, max_group_rows=bound).collect()}
+    got = {r.lead: r for r in evaluate.scores(ens, obs).collect()}
     data = ens.toPandas()
     for lead, y in ((0, 0.5), (1, -3.0)):
         x = data.loc[data["lead"] == lead, "y"].to_numpy()
@@ -54,6 +54,47 @@ def test_hot_group_is_split(spark):
     assert (got.groupby("k")["n"].first() == want.groupby("k").size()).all()
 
 
+def test_bins_of_a_clustered_group_are_even(spark):
+    df = spark.range(400_000).select(
+        F.lit("g").alias("k"),
+        F.when(F.col("id") % 5 < 2, F.lit(1000.0) + DRAWS.uniform("v", "id") * 1e-6)
+        .otherwise(DRAWS.normal("v", "id") * 1e3).alias("v"),
+    )
+    counted = df.groupBy(F.struct("k").alias("_key"), "v").count()
+    layout = ranking._layout(counted, "v", 2000)
+    sizes = counted.join(layout, "_key").groupBy(ranking._bin("v").alias("b")).count()
+    assert sizes.agg(F.max("count")).first()[0] <= 3 * 2000
+
+
+def test_many_heavy_groups_are_all_split(spark):
+    df = spark.range(60_000).select((F.col("id") % 3000).alias("k"), DRAWS.normal("v", "id").alias("v"))
+    counted = df.groupBy(F.struct("k").alias("_key"), "v").count()
+    assert ranking._layout(counted, "v", 10).count() == 3000
+
+
+def test_null_keys_are_a_group_and_nan_is_missing(spark):
+    rows = [(None, 2.0), (None, 1.0), (1, float("nan")), (1, 5.0), (1, None)]
+    df = spark.createDataFrame(rows, "k int, v double")
+    got = {(r.k, r.v): (r.below, r.n) for r in ranking.ranked_values(df, ["k"], "v", rows_per_bin=1).collect()}
+    assert got == {(None, 1.0): (0, 2), (None, 2.0): (1, 2), (1, 5.0): (0, 1)}
+
+
+def test_two_observations_of_one_lead_are_an_error(spark):
+    ens = spark.createDataFrame([(0, 3.0)], "lead int, y double")
+    obs = spark.createDataFrame([(0, 5.0), (0, 6.0)], "lead int, obs double")
+    for score in (evaluate.scores, evaluate.pit):
+        with pytest.raises(Exception, match="two observations"):
+            score(ens, obs).collect()
+
+
+def test_an_observation_without_members_has_null_scores(spark):
+    ens = spark.createDataFrame([(0, 3.0), (1, float("nan"))], "lead int, y double")
+    obs = spark.createDataFrame([(0, 5.0), (1, 4.0), (2, 6.0)], "lead int, obs double")
+    got = {r.lead: r for r in evaluate.scores(ens, obs).collect()}
+    assert got[0].n == 1 and got[1].n == got[2].n == 0
+    assert got[2].obs == 6.0 and got[1].crps is got[2].crps is got[2].q500 is None
+
+
 def test_crps_of_one_member(spark):
     ens = spark.createDataFrame([(0, 3.0)], "lead int, y double")
     obs = spark.createDataFrame([(0, 5.0)], "lead int, obs double")

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from foreunc.functions.random import Draws
 from foreunc.operators import forest, series
+from foreunc.plans import ar_forecast
 
 DRAWS = Draws(9)
 
@@ -156,3 +157,21 @@ def test_grid_is_distinct_and_seeded():
     grid = forest.tuning_grid(8)
     assert len(set(grid)) == 20 and grid == forest.tuning_grid(8)
     assert all(1 <= m <= 8 and 2 <= k <= 40 for m, k in grid)
+
+
+def test_two_rows_of_one_date_are_an_error(spark):
+    df = spark.createDataFrame(
+        [("a", "2024-01-01", 9.0, None), ("a", "2024-01-01", None, 5.0)], "s string, d string, y double, x double"
+    ).withColumn("datetime", F.col("d").cast("date"))
+    with pytest.raises(Exception, match="two rows of one date"):
+        series.lagged_rows(df, ["s"], "y", ["x"], 1).collect()
+
+
+def test_a_design_needs_one_series_of_one_lag(spark):
+    schema = "names array<string>, coef array<double>, vcov array<array<double>>, sigma2 double"
+    row = (["ar1", "intercept"], [0.5, 1.0], [[1.0, 0.0], [0.0, 1.0]], 1.0)
+    two = (["ar1", "ar2", "intercept"], [0.5, 0.1, 1.0], np.eye(3).tolist(), 1.0)
+    assert ar_forecast.spec_from_fit(spark.createDataFrame([row], schema), 1.0, 3, 10).names == row[0]
+    for rows in ([], [row, row], [two]):
+        with pytest.raises(ValueError):
+            ar_forecast.spec_from_fit(spark.createDataFrame(rows, schema), 1.0, 3, 10)

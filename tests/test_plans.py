@@ -42,7 +42,7 @@ def test_forecast_does_not_shuffle_its_samples(spark):
     rows = design.design_matrix(ids, spec, fx.DRAWS)
     forcing = propagate.forcing_table(fx.region_drivers(spark, FOLDER), rows, fx.USED, fx.STEPS)
     out = propagate.propagate_autoregressive(
-        rows, forcing, fx.USED, fx.STEPS, fx.DRAWS, fx.SIGMA2, members=spec.members
+        rows, forcing, fx.USED, fx.STEPS, fx.DRAWS, fx.SIGMA2
     )
     text = plan(out)
     assert "BroadcastHashJoin [member" in text
@@ -50,13 +50,6 @@ def test_forecast_does_not_shuffle_its_samples(spark):
         assert "sample_id" not in exchange
 
 
-def test_lookup_of_unknown_size_is_not_forced(spark):
-    small = spark.range(3)
-    assert propagate.sized(small, None) is small
-    assert propagate.sized(small, propagate.BROADCAST_ROWS + 1) is small
-    assert propagate.sized(small, 10) is not small
-
-
 def test_ranking_reuses_its_first_exchange(spark):
     lines = fx.table(spark, FOLDER, "lineitem")
     df = ranking.exact_quantiles(
