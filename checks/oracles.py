@@ -207,7 +207,9 @@ scores AS (
   SELECT {keys}, obs, n, q025, q500, q975, q500 - obs AS resid,
          CASE WHEN obs IS NOT NULL THEN pit_all END AS pit, crps,
          CASE WHEN obs IS NOT NULL THEN obs BETWEEN q025 AND q975 END AS covered
-  FROM scored)"""
+  FROM scored
+  UNION ALL BY NAME
+  SELECT {keys}, obs, 0 AS n FROM obs ANTI JOIN scored USING ({keys}))"""
 
 
 SCORE_COLUMNS = ", ".join(
@@ -407,6 +409,9 @@ ORACLES: dict[str, str] = {
     # sources
     "read_targets": with_(fx.TARGETS)
     + f"SELECT datetime, site_id, variable, {rnd('observation', 'observation')} FROM targets",
+    "read_half_hourly_targets": f"""SELECT CAST(hour(ts) AS INTEGER) AS hour,
+      CAST(minute(ts) AS INTEGER) AS minute, 'S' || user_id AS site_id, event_type AS variable,
+      {rnd("value", "observation")} FROM events""",
     "read_site_metadata": with_(fx.METADATA) + "SELECT * FROM metadata",
     "read_driver_forecast": with_(fx.READINGS)
     + f"""SELECT variable, parameter, count(prediction) AS n,
@@ -638,6 +643,7 @@ ORACLES: dict[str, str] = {
       {rnd("b_x1", "b_x1")}, {rnd("b_x2", "b_x2")},
       {rnd(f"{rss(['lag1', 'x1', 'x2'])} / (n - 4)", "sigma2")} FROM slopes""",
     # forest
+    "forest_model_roundtrip": with_(TRAIN) + "SELECT row_id, true AS same FROM train",
     "standardised_predictors": STANDARDISED,
     "standardised_by_pipeline": STANDARDISED,
     "predictive_draws": f"""SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey,

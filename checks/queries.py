@@ -40,6 +40,22 @@ def read_targets(spark, sf):
     return tables.read_targets(spark, root, "phenology")
 
 
+@query()
+def read_half_hourly_targets(spark, sf):
+    root = fx.scratch(spark)
+    events = fx.table(spark, sf, "events").select(
+        F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("datetime"), fx.site().alias("site_id"),
+        F.col("event_type").alias("variable"), F.col("value").alias("observation"),
+    )
+    events.write.option("header", True).option("compression", "gzip").csv(
+        tables.targets_path(root, "terrestrial_30min")
+    )
+    return tables.read_targets(spark, root, "terrestrial_30min", malformed="fail").select(
+        F.hour("datetime").alias("hour"), F.minute("datetime").alias("minute"), "site_id", "variable",
+        "observation",
+    )
+
+
 @query()
 def read_site_metadata(spark, sf):
     path = f"{fx.scratch(spark)}/sites.csv"
@@ -604,7 +620,10 @@ def forest_model_roundtrip(spark, sf):
     model = forest.fit_forest(train, "gcc_90", PREDICTORS, mtry=2, min_n=5, trees=10, depth=4)
     path = tables.model_path(fx.scratch(spark), "phenology", "gcc_90", fx.FORECAST_DATE)
     loaded = tables.load_model(tables.save_model(model, path))
-    return loaded.transform(train).select("row_id", "gcc_90", "prediction")
+    before = model.transform(train).select("row_id", F.col("prediction").alias("before"))
+    return loaded.transform(train).join(before, "row_id").select(
+        "row_id", (F.col("prediction") == F.col("before")).alias("same")
+    )
 
 
 @query()

@@ -225,7 +225,8 @@ def append_complete(*tables: DataFrame | None) -> DataFrame:
 
 def union_registered(spark: SparkSession, suffix: str = "_mod_summaries") -> DataFrame:
     """Union of every table or view whose name ends in ``suffix``."""
-    names = sorted(t.name for t in spark.catalog.listTables() if t.name.endswith(suffix))
+    listed = spark.catalog.listTables(pattern=f"*{suffix}")
+    names = sorted(t.name for t in listed if t.name.endswith(suffix))
     if not names:
         raise ValueError(f"no table named *{suffix}")
     return reduce(

@@ -53,21 +53,43 @@ def targets_path(root: str, theme: str) -> str:
     return f"{root.rstrip('/')}/{check_theme(theme)}/{theme}-targets.csv.gz"
 
 
+def target_schema(theme: str) -> T.StructType:
+    """Column types of a theme: dates, or times of the day where the theme is half-hourly."""
+    if check_theme(theme) != "terrestrial_30min":
+        return TARGET_SCHEMA
+    return T.StructType([T.StructField("datetime", T.TimestampNTZType()), *TARGET_SCHEMA.fields[1:]])
+
+
 def read_targets(
-    spark: SparkSession, root: str, theme: str, sites: Sequence[str] | None = None
+    spark: SparkSession,
+    root: str,
+    theme: str,
+    sites: Sequence[str] | None = None,
+    malformed: str = "null",
 ) -> DataFrame:
     """Observations of a theme, columns taken by header name with the fixed types.
 
-    A gzip file is read by one task whatever its size; convert big targets once with
+    A cell that doesn't parse becomes null, with ``malformed="fail"`` an error; a date in a half-hourly
+    theme is its midnight. ``NA`` is a missing value. A gzip file is read by one task whatever its size; convert big targets once with
     :func:`read_or_build` and read Parquet from then on.
     """
     path = targets_path(root, theme)
     raw = spark.read.option("header", True).option("enforceSchema", False).csv(path)
     renames = {"siteID": "site_id", "time": "datetime"}
     raw = raw.withColumnsRenamed({k: v for k, v in renames.items() if k in raw.columns})
-    typed = raw.select(
-        *[F.col(f.name).try_cast(f.dataType).alias(f.name) for f in TARGET_SCHEMA.fields]
-    )
+    if malformed not in ("null", "fail"):
+        raise ValueError("malformed is 'null' or 'fail'")
+
+    def typed_cell(field: T.StructField):
+        given = F.when(F.col(field.name) != "NA", F.col(field.name))
+        parsed = given.try_cast(field.dataType)
+        if malformed == "fail":
+            message = F.concat(F.lit(f"{field.name} doesn't parse: "), given)
+            broken = F.raise_error(message).cast(field.dataType)
+            parsed = F.when(given.isNotNull() & parsed.isNull(), broken).otherwise(parsed)
+        return parsed.alias(field.name)
+
+    typed = raw.select(*[typed_cell(f) for f in target_schema(theme).fields])
     return typed.where(F.col("site_id").isin(list(sites))) if sites else typed
 
 

@@ -1,4 +1,5 @@
 import datetime
+import gzip
 
 import pytest
 from pyspark.sql import functions as F
@@ -123,3 +124,24 @@ def test_checkpoint_folder_is_the_configured_one(spark):
     df = cut_lineage(spark.range(10))
     assert df.count() == 10
     assert spark.conf.get("spark.checkpoint.dir") in spark.sparkContext.getCheckpointDir()
+
+
+def test_half_hourly_targets_keep_their_time(spark, tmp_path):
+    folder = tmp_path / "terrestrial_30min"
+    folder.mkdir()
+    text = "time,siteID,variable,observation\n2024-01-01 00:30:00,A,nee,1.5\n2024-01-01T13:00:00Z,A,nee,NA\n"
+    with gzip.open(folder / "terrestrial_30min-targets.csv.gz", "wt") as f:
+        f.write(text)
+    rows = tables.read_targets(spark, str(tmp_path), "terrestrial_30min").collect()
+    assert [(r.datetime.hour, r.datetime.minute, r.observation) for r in rows] == [(0, 30, 1.5), (13, 0, None)]
+
+
+def test_malformed_cells_fail_on_request(spark, tmp_path):
+    folder = tmp_path / "ticks"
+    folder.mkdir()
+    with gzip.open(folder / "ticks-targets.csv.gz", "wt") as f:
+        f.write("datetime,site_id,variable,observation\n2024-01-01,A,x,NA\n2024-01-02,A,x,oops\n")
+    lenient = tables.read_targets(spark, str(tmp_path), "ticks").collect()
+    assert [r.observation for r in lenient] == [None, None]
+    with pytest.raises(Exception, match="oops"):
+        tables.read_targets(spark, str(tmp_path), "ticks", malformed="fail").collect()
