@@ -8,7 +8,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from foreunc.session import ensure_checkpoint_dir
@@ -141,18 +141,22 @@ def _close(x: str, y: str, similarity: int) -> Column:
 
 
 def linked(
-    placed: DataFrame, confirm: Callable[[DataFrame], DataFrame], similarity: int
+    placed: DataFrame,
+    confirm: Callable[[DataFrame], DataFrame],
+    sets: Callable[[DataFrame], DataFrame],
+    similarity: int,
+    sized: bool = True,
 ) -> DataFrame:
     """Components (node, component) of similar nodes that share a bucket.
 
-    ``placed`` has (node, size, bucket), size being that of the node's set; ``confirm`` takes pairs
-    (a, b) of nodes and returns those that are similar. In a bucket every node is first compared
+    ``placed`` has (node, size, bucket), size being that of the node's set if ``sized``; ``confirm``
+    takes pairs (a, b) of nodes and returns those that are similar; ``sets`` takes nodes and returns
+    (node, hash), the members of their sets. In a bucket every node is first compared
     with two members: the one that meets most others in all its buckets, which is the original that
     copies were made from, and one chosen by hash, another one in each bucket that a group shares.
-    That joins nearly all of a large group. Only where a bucket then still holds several components
-    are nodes of different components compared with each other, so the pairs of a large group of
-    copies are not listed and no link between components is passed over. Nodes without links have
-    no row.
+    That joins nearly all of a large group. Nodes of buckets that then still hold several components
+    go through an exact join of their sets, see ``across_components``, so the pairs of a large group
+    are not listed and no link between components is passed over. Nodes without links have no row.
     """
     shared = written(placed.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1"), "buckets")
     meets = written(placed.join(shared, "bucket"), "meets")
@@ -175,7 +179,7 @@ def linked(
     )
     pairs = written(
         members.join(leads, "bucket")
-        .filter(_close("size", "lead_size", similarity) & (F.col("node") != F.col("lead_node")))
+        .filter(_close("size", "lead_size", similarity if sized else 0) & (F.col("node") != F.col("lead_node")))
         .select(F.least("node", "lead_node").alias("a"), F.greatest("node", "lead_node").alias("b"))
         .distinct(),
         "pairs",
@@ -192,19 +196,44 @@ def linked(
         .select("bucket"),
         "mixed",
     )
-    rest = written(placed.join(mixed, "bucket"), "rest")
-    left = rest.select("bucket", *(F.col(c).alias(f"{c}_a") for c in ("node", "size", "component")))
-    right = rest.select("bucket", *(F.col(c).alias(f"{c}_b") for c in ("node", "size", "component")))
+    rest = written(placed.join(mixed, "bucket").select("node", "component").distinct(), "rest")
     across = written(
-        left.join(right, "bucket")
-        .filter((F.col("node_a") < F.col("node_b")) & (F.col("component_a") != F.col("component_b")))
-        .filter(_close("size_a", "size_b", similarity))
-        .select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
-        .distinct()
-        .join(pairs, ["a", "b"], "left_anti"),
+        across_components(sets(rest.select("node")).join(rest, "node"), similarity).join(pairs, ["a", "b"], "left_anti"),
         "across",
     )
     if across.isEmpty():
         return group
     more = written(confirm(across), "links")
     return components(links.union(more), "a", "b")
+
+
+def across_components(members: DataFrame, similarity: int) -> DataFrame:
+    """Pairs (a, b) of nodes of different components that may be similar; none that is gets lost.
+
+    ``members`` has (node, component, hash). The members of all sets are put in one order, the rarest
+    first. Of n, so many come first that a similar set must hold one of them; where two sets first
+    meet, at most what follows in both can be shared too, which rules out nearly all pairs that
+    only share what is common to a whole group.
+    """
+    members = written(members.select("node", "component", "hash"), "sets")
+    often = written(members.groupBy("hash").agg(F.count("*").alias("often")), "often")
+    each = Window.partitionBy("node")
+    first = written(
+        members.join(often, "hash")
+        .withColumn("n", F.count("*").over(each))
+        .withColumn("place", F.row_number().over(each.orderBy("often", "hash")))
+        .filter(F.col("place") <= F.col("n") - F.ceil(F.col("n") * similarity / 100) + 1)
+        .drop("often"),
+        "firsts",
+    )
+    left = first.select("hash", *(F.col(c).alias(f"{c}_a") for c in ("node", "component", "n", "place")))
+    right = first.select("hash", *(F.col(c).alias(f"{c}_b") for c in ("node", "component", "n", "place")))
+    most = 1 + F.least(F.col("n_a") - F.col("place_a"), F.col("n_b") - F.col("place_b"))
+    return (
+        left.join(right, "hash")
+        .filter((F.col("node_a") < F.col("node_b")) & (F.col("component_a") != F.col("component_b")))
+        .filter(_close("n_a", "n_b", similarity))
+        .filter((100 + similarity) * most >= similarity * (F.col("n_a") + F.col("n_b")))
+        .select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
+        .distinct()
+    )

@@ -144,12 +144,11 @@ def sketches(docs: DataFrame, words: int) -> DataFrame:
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(run, schema)
 
 
-def confirmed(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, words: int, similarity: int) -> DataFrame:
-    """The pairs (a, b) of nodes whose full sets are similar: 100 intersection >= similarity union."""
-    asked = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    wanted = nodes.select("node", "key1", "key2").join(asked, "node").withColumnRenamed("node", "doc_id")
+def full_sets(asked: DataFrame, nodes: DataFrame, docs: DataFrame, words: int) -> DataFrame:
+    """(node, hashes): the sets of the nodes in ``asked`` (node), ascending 64-bit hashes as bytes."""
+    wanted = nodes.select("node", "key1", "key2").join(asked.distinct(), "node").withColumnRenamed("node", "doc_id")
 
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "text"):
             value, counts = shingle_sets(raw_texts(part), words)
             key1, key2 = set_keys(value, counts)
@@ -159,6 +158,27 @@ def confirmed(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, words: int, s
             ids = part.column("doc_id").filter(pa.array(same))
             yield pa.RecordBatch.from_arrays([ids, pa.array(rows, pa.binary())], names=["node", "hashes"])
 
+    texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
+    return texts.join(wanted, "doc_id").mapInArrow(run, "node bigint, hashes binary")
+
+
+def exploded(sets: DataFrame) -> DataFrame:
+    """(node, hash) rows of ``full_sets``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                hashes = np.frombuffer(batch.column("hashes")[i].as_buffer(), dtype=np.int64)
+                node = np.full(len(hashes), batch.column("node")[i].as_py())
+                yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(hashes)], names=["node", "hash"])
+
+    # Repeated rows of one id and text have one set.
+    return sets.mapInArrow(run, "node bigint, hash bigint").distinct()
+
+
+def confirmed(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, words: int, similarity: int) -> DataFrame:
+    """The pairs (a, b) of nodes whose full sets are similar: 100 intersection >= similarity union."""
+
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
@@ -172,12 +192,8 @@ def confirmed(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, words: int, s
             kept = batch.filter(pa.array(keep, pa.bool_()))
             yield pa.RecordBatch.from_arrays([kept.column("a"), kept.column("b")], names=["a", "b"])
 
-    full = (
-        docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-        .join(wanted, "doc_id")
-        .mapInArrow(sets, "node bigint, hashes binary")
-    )
-    full = written(full, "sets")
+    asked = pairs.select(F.explode(F.array("a", "b")).alias("node"))
+    full = written(full_sets(asked, nodes, docs, words), "full")
     return (
         pairs.join(full.select(F.col("node").alias("b"), F.col("hashes").alias("right")), "b")
         .join(full.select(F.col("node").alias("a"), F.col("hashes").alias("left")), "a")
@@ -211,6 +227,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: int = 80) -> Da
     group = linked(
         nodes.select("node", "size", F.explode("bands").alias("bucket")),
         lambda pairs: confirmed(pairs, nodes, docs, words, similarity),
+        lambda asked: exploded(full_sets(asked, nodes, docs, words)),
         similarity,
     )
     heads = nodes.select("key1", "key2", "node").join(group, "node", "left")
