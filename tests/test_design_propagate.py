@@ -149,3 +149,17 @@ def test_initial_state_is_half_the_68_interval(spark):
     df = spark.createDataFrame([(1.0, 3.0)], "lo double, hi double")
     assert df.select(design.interval_sd("lo", "hi")).first()[0] == 1.0
     assert design.initial_state(4.0) == pytest.approx(1.98892, abs=1e-5)
+
+
+def test_leads_without_drivers_are_null(spark):
+    """Drivers end before the horizon: the leads they reach have values, those after are null."""
+    drivers = spark.createDataFrame(
+        [(f"2024-01-0{d}", m, float(m + d)) for d in (1, 2) for m in (1, 2, 3)],
+        "d string, parameter int, t double",
+    ).withColumn("datetime", F.col("d").cast("date"))
+    ids = spark.range(1, 21).withColumnRenamed("id", "sample_id")
+    rows = design.design_matrix(ids, SPEC, DRAWS)
+    forcing = propagate.forcing_table(drivers, rows, ["t"], 4)
+    got = propagate.propagate_autoregressive(rows, forcing, ["t"], 4, DRAWS, SPEC.sigma2).collect()
+    assert len(got) == 20
+    assert all([v is None for v in r.y] == [False, False, False, True, True] for r in got)
