@@ -18,6 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyarrow import fs as pafs
 from pyspark import TaskContext
@@ -25,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from foreunc.llm.common import numbered_words, slices, split_words, spread_runs
+from foreunc.llm.common import slices, split_words, spread_runs
 
 MAGIC = b"IDPLANE1"
 FOOTER = "<QQ8s"
@@ -33,6 +34,8 @@ ENTRY = "<QQIBBI"
 CHUNK_IDS = 1 << 16
 #: Distinct words a task keeps the ids of before it starts anew.
 CACHE_WORDS = 1_000_000
+#: Bytes of text that are encoded at a time.
+SLICE_BYTES = 4 << 20
 #: Bytes of text in a shard, about: the larger, the fewer words are encoded in several tasks.
 SHARD_BYTES = 64 << 20
 IDS, DOC_IDS, VALID, LENGTHS = range(4)
@@ -139,56 +142,65 @@ class ShardReader:
 
 
 class WordCache(dict):
-    """Number of each distinct word; its ids, from the tokenizers library, lie in a flat list.
+    """Number of each distinct stem; its ids, from the tokenizers library, lie in a flat list.
 
     A final stop or comma after a letter or digit is a token of its own under this pattern, and
-    letters are lowered before the merges, so a word's forms share one call of the library. A word
-    of a-z alone passes its normaliser and pattern unchanged and goes straight to its merges.
+    letters are lowered before the merges, so a word's forms share one stem. A stem of a-z alone
+    passes the library's normaliser and pattern unchanged and goes straight to its merges.
     """
 
     def __init__(self, tokenizer: Tokenizer):
         self.tokenizer, self.model = tokenizer, tokenizer.model
         self.flat, self.start, self.count = array("I"), array("q"), array("q")
-        self.tails = {t: self.library(t) for t in (b".", b",")}
-
-    def library(self, word: bytes) -> list[int]:
-        if word.isalpha() and word.islower():
-            return [token.id for token in self.model.tokenize(word.decode())]
-        return self.tokenizer.encode(word.decode(), add_special_tokens=False).ids
-
-    def __missing__(self, word: bytes) -> int:
-        core = word if b"<" in word else word.lower()
-        tail = self.tails.get(core[-1:])
-        if tail and core[-2:-1].isalnum():
-            core = core[:-1]
-        else:
-            tail = None
-        if core == word:
-            self.flat.extend(ids := self.library(core))
-            at, count = len(self.flat) - len(ids), len(ids)
-        else:
-            same = self[core]
-            at, count = self.start[same], self.count[same]
-            if tail:
-                again = self.flat[at : at + count]
-                at, count = len(self.flat), count + len(tail)
-                self.flat.extend(again)
-                self.flat.extend(tail)
-        self.start.append(at)
-        self.count.append(count)
-        self[word] = number = len(self.start) - 1
+        self.stop, self.comma = (self.library(t)[0] for t in (".", ","))
+
+    def library(self, stem: str) -> list[int]:
+        if stem.isascii() and stem.isalpha():
+            return [token.id for token in self.model.tokenize(stem)]
+        return self.tokenizer.encode(stem, add_special_tokens=False).ids
+
+    def __missing__(self, stem: str) -> int:
+        ids = self.library(stem)
+        self.start.append(len(self.flat))
+        self.count.append(len(ids))
+        self.flat.extend(ids)
+        self[stem] = number = len(self.start) - 1
         return number
 
+    def stems(self, words: pa.Array) -> tuple[pa.Array, np.ndarray]:
+        """The stem of each word, and the id of the stop or comma after it, or -1.
+
+        Words with ``<`` may be special tokens and stay as they are.
+        """
+        plain = pc.invert(pc.match_substring(words, "<"))
+        words = pc.if_else(plain, pc.ascii_lower(words), words)
+        tailed = pc.and_(plain, pc.match_substring_regex(words, r"[a-z0-9][.,]$"))
+        stops = pc.ends_with(words, ".").to_numpy(zero_copy_only=False)
+        tail = np.where(tailed.to_numpy(zero_copy_only=False), np.where(stops, self.stop, self.comma), -1)
+        return pc.if_else(tailed, pc.utf8_slice_codeunits(words, 0, -1), words), tail
+
     def encode(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in turn, each with ``end_id`` after it; ids per text."""
         found, words = split_words(texts)
-        distinct, code = numbered_words(found)
-        number = np.fromiter(map(self.__getitem__, distinct), np.int64, len(distinct))[code]
+        coded = found.dictionary_encode()
+        stems, tail = self.stems(coded.dictionary)
+        stems = stems.dictionary_encode()
+        distinct = stems.dictionary.to_pylist()
+        code = coded.indices.to_numpy(zero_copy_only=False)
+        number = np.fromiter(map(self.__getitem__, distinct), np.int64, len(distinct))
+        number = number[stems.indices.to_numpy(zero_copy_only=False)][code]
         counts = np.frombuffer(self.count, dtype=np.int64)[number] if len(number) else number
         starts = np.frombuffer(self.start, dtype=np.int64)[number] if len(number) else number
         ids = np.frombuffer(self.flat, dtype=np.uint32)[spread_runs(starts, counts)] if len(number) else number
-        ends = np.append(0, np.cumsum(counts))[np.cumsum(words)]
-        return np.insert(ids, ends, end_id), np.diff(ends, prepend=0) + 1
+        after = np.append(0, np.cumsum(counts))
+        tail = tail[code]
+        tailed = np.flatnonzero(tail >= 0)
+        last = np.cumsum(words)
+        # The stop of a text's last word stands before its end.
+        at = np.concatenate([after[tailed + 1], after[last]])
+        put = np.concatenate([tail[tailed], np.full(len(last), end_id)])
+        lengths = after[last] + np.append(0, np.cumsum(tail >= 0))[last]
+        return np.insert(ids, at, put), np.diff(lengths, prepend=0) + 1
 
 
 def write_ids(
@@ -213,7 +225,7 @@ def write_ids(
         files, root = place(folder)
         shard, writer, sink, cache = TaskContext.get().partitionId(), None, None, None
         name, draft = f"{root}/shard-{shard:06d}.planes", f"{root}/.draft-{uuid.uuid4().hex}"
-        for part in slices(batches, "text"):
+        for part in slices(batches, "text", SLICE_BYTES):
             if writer is None:
                 sink = files.open_output_stream(draft)
                 writer = ShardWriter(sink, bits=bits)
