@@ -15,6 +15,8 @@ from foreunc.session import ensure_checkpoint_dir
 
 #: Bytes of text that a Python task works on at a time; a longer text is a slice of its own.
 SLICE_BYTES = 1 << 20
+#: Nodes of a bucket whose pairs are listed.
+SMALL_BUCKET = 16
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
@@ -150,13 +152,15 @@ def linked(
     """Components (node, component) of similar nodes that share a bucket.
 
     ``placed`` has (node, size, bucket), size being that of the node's set if ``sized``; ``confirm``
-    takes pairs (a, b) of nodes and returns those that are similar; ``sets`` takes nodes and returns
-    (node, hash), the members of their sets. In a bucket every node is first compared
+    takes pairs (a, b) of nodes and returns those that are similar; ``sets`` takes (node, component)
+    and returns (node, component, hash), the members of the nodes' sets. In a bucket every node is first compared
     with two members: the one that meets most others in all its buckets, which is the original that
     copies were made from, and one chosen by hash, another one in each bucket that a group shares.
-    That joins nearly all of a large group. Nodes of buckets that then still hold several components
-    go through an exact join of their sets, see ``across_components``, so the pairs of a large group
-    are not listed and no link between components is passed over. Nodes without links have no row.
+    That joins nearly all of a large group. Where a bucket then still holds several components, the
+    nodes of different components are compared with each other too: all pairs of a bucket of at most
+    SMALL_BUCKET nodes, and by an exact join of their sets in larger ones, see ``across_components``. So
+    the pairs of a large group are not listed and no link between components is passed over. Nodes
+    without links have no row.
     """
     shared = written(placed.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1"), "buckets")
     meets = written(placed.join(shared, "bucket"), "meets")
@@ -191,14 +195,24 @@ def linked(
     )
     mixed = written(
         placed.groupBy("bucket")
-        .agg(F.min("component").alias("low"), F.max("component").alias("high"))
+        .agg(F.count("*").alias("n"), F.min("component").alias("low"), F.max("component").alias("high"))
         .filter("low <> high")
-        .select("bucket"),
+        .select("bucket", "n"),
         "mixed",
     )
-    rest = written(placed.join(mixed, "bucket").select("node", "component").distinct(), "rest")
+    rest = written(placed.join(mixed, "bucket"), "rest")
+    few = rest.filter(F.col("n") <= SMALL_BUCKET)
+    left = few.select("bucket", *(F.col(c).alias(f"{c}_a") for c in ("node", "size", "component")))
+    right = few.select("bucket", *(F.col(c).alias(f"{c}_b") for c in ("node", "size", "component")))
+    inside = (
+        left.join(right, "bucket")
+        .filter((F.col("node_a") < F.col("node_b")) & (F.col("component_a") != F.col("component_b")))
+        .filter(_close("size_a", "size_b", similarity if sized else 0))
+        .select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
+    )
+    many = written(rest.filter(F.col("n") > SMALL_BUCKET).select("node", "component").distinct(), "many")
     across = written(
-        across_components(sets(rest.select("node")).join(rest, "node"), similarity).join(pairs, ["a", "b"], "left_anti"),
+        inside.union(across_components(sets(many), similarity)).distinct().join(pairs, ["a", "b"], "left_anti"),
         "across",
     )
     if across.isEmpty():

@@ -163,17 +163,18 @@ def full_sets(asked: DataFrame, nodes: DataFrame, docs: DataFrame, words: int) -
 
 
 def exploded(sets: DataFrame) -> DataFrame:
-    """(node, hash) rows of ``full_sets``."""
+    """(node, component, hash) rows of ``full_sets`` with a component."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
                 hashes = np.frombuffer(batch.column("hashes")[i].as_buffer(), dtype=np.int64)
-                node = np.full(len(hashes), batch.column("node")[i].as_py())
-                yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(hashes)], names=["node", "hash"])
+                same = (np.full(len(hashes), batch.column(c)[i].as_py()) for c in ("node", "component"))
+                yield pa.RecordBatch.from_arrays(
+                    [*map(pa.array, same), pa.array(hashes)], names=["node", "component", "hash"]
+                )
 
-    # Repeated rows of one id and text have one set.
-    return sets.mapInArrow(run, "node bigint, hash bigint").distinct()
+    return sets.select("node", "component", "hashes").mapInArrow(run, "node bigint, component bigint, hash bigint")
 
 
 def confirmed(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, words: int, similarity: int) -> DataFrame:
@@ -227,7 +228,8 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: int = 80) -> Da
     group = linked(
         nodes.select("node", "size", F.explode("bands").alias("bucket")),
         lambda pairs: confirmed(pairs, nodes, docs, words, similarity),
-        lambda asked: exploded(full_sets(asked, nodes, docs, words)),
+        # Repeated rows of one id and text have one set.
+        lambda asked: exploded(full_sets(asked.select("node"), nodes, docs, words).distinct().join(asked, "node")),
         similarity,
     )
     heads = nodes.select("key1", "key2", "node").join(group, "node", "left")

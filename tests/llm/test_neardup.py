@@ -68,8 +68,10 @@ def test_against_brute_force(spark, words):
     assert neardup.near_duplicates(docs.filter("false"), words=words).collect() == []
 
 
-def test_links_between_components_of_a_bucket_count(spark, monkeypatch):
-    """With one coarse band everything shares a bucket whose least node is like nothing else."""
+@pytest.mark.parametrize("small", [0, 16, 1000])
+def test_links_between_components_of_a_bucket_count(spark, monkeypatch, small):
+    """With one coarse band everything shares a bucket, whose pivots are like few others."""
+    monkeypatch.setattr(common, "SMALL_BUCKET", small)
     monkeypatch.setattr(neardup, "band_keys", lambda value, counts: np.zeros((len(counts), 1), dtype=np.int64))
     rows = [r for r in corpus() if r[0] is not None and r[0] < 300] + [(-1, "nothing like it at all here")]
     docs = spark.createDataFrame(rows, "doc_id bigint, text string")
