@@ -11,7 +11,13 @@ import os
 import re
 import time
 
+from pyspark.sql import functions as F
+
+from checks import fixtures as fx
 from checks.queries import REGISTRY
+from foreunc.operators import evaluate
+from foreunc.operators.design import spread
+from foreunc.plans import ar_forecast
 from foreunc.session import build_session
 
 HEADLINE = [
@@ -34,6 +40,32 @@ HEADLINE = [
 ]
 
 
+SAMPLES, LEADS = 100_000, 36
+
+
+def full_size_sobol(spark, folder):
+    """Sobol indices of the recursion at the published size: 100,000 samples, 36 leads."""
+    ids = spread(spark.range(1, SAMPLES + 1).withColumnRenamed("id", "sample_id"))
+    spec = fx.spec(spark, folder)
+    return ar_forecast.sobol_of_ar_model(
+        ids, spec, fx.DRAWS, fx.region_drivers(spark, folder), fx.USED, LEADS
+    )
+
+
+def full_size_scores(spark, folder):
+    """All scores of 100,000 members at 37 leads."""
+    ensemble = spark.range(SAMPLES * (LEADS + 1)).select(
+        (F.col("id") % (LEADS + 1)).cast("int").alias("lead"), fx.DRAWS.normal("y", "id").alias("y")
+    )
+    observed = spark.range(LEADS + 1).select(
+        F.col("id").cast("int").alias("lead"), fx.DRAWS.normal("obs", "id").alias("obs")
+    )
+    return evaluate.scores(ensemble, observed)
+
+
+FULL_SIZE = {"full_size_sobol": full_size_sobol, "full_size_scores": full_size_scores}
+
+
 def main() -> None:
     folder = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
@@ -43,9 +75,10 @@ def main() -> None:
     spark.sparkContext.setLogLevel("ERROR")
     spark.range(1000).mapInPandas(lambda frames: frames, "id bigint").count()
     seconds = {}
-    for name in HEADLINE:
+    for name in [*HEADLINE, *FULL_SIZE]:
+        run = FULL_SIZE.get(name) or REGISTRY[name]
         start = time.perf_counter()
-        REGISTRY[name](spark, folder).write.format("noop").mode("overwrite").save()
+        run(spark, folder).write.format("noop").mode("overwrite").save()
         seconds[name] = round(time.perf_counter() - start, 3)
     scale = re.search(r"sf([0-9.]+)", folder)
     print(

@@ -281,7 +281,7 @@ def _merged(partials: DataFrame) -> DataFrame:
     """
     n, mean = F.col("n"), F.col("mean")
     cell = Window.partitionBy("term", "lead")
-    centred = partials.withColumn("mean_all", F.sum(n * mean).over(cell) / F.sum("n").over(cell))
+    centred = partials.withColumn("mean_all", F.try_divide(F.sum(n * mean).over(cell), F.sum("n").over(cell)))
     d = mean - F.col("mean_all")
     return centred.groupBy("term", "lead").agg(
         F.sum("n").alias("n"),
