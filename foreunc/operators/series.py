@@ -91,13 +91,13 @@ def _solve(moments, keys, orders, max_order, covariates) -> DataFrame:
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            fits = [
-                best_fit(n, means, products, orders, max_order, covariates)
-                for n, means, products in zip(frame["n"], frame["means"], frame["products"])
-            ]
-            out = pd.DataFrame(
-                fits, columns=["ar_order", "names", "coef", "vcov", "sigma2", "aicc"]
+            if frame.empty:
+                continue
+            fits = best_fits(
+                frame["n"].to_numpy(), np.stack(frame["means"]), np.stack(frame["products"]),
+                orders, max_order, covariates,
             )
+            out = pd.DataFrame(fits, columns=["ar_order", "names", "coef", "vcov", "sigma2", "aicc"])
             out["ar_order"] = out["ar_order"].astype("Int32")
             head = frame[[*keys, "n"]].reset_index(drop=True)
             yield pd.concat([head, out], axis=1)
@@ -105,48 +105,59 @@ def _solve(moments, keys, orders, max_order, covariates) -> DataFrame:
     return moments.mapInPandas(run, schema)
 
 
-def best_fit(n, means, products, orders, max_order: int, covariates: Sequence[str]):
-    """Least-squares fit from centred products; the lowest AICc among ``orders``."""
-    size = 1 + max_order + len(covariates)
-    centred = np.zeros((size, size))
-    centred[np.triu_indices(size)] = np.asarray(products, dtype=float) * n
-    centred = centred + np.triu(centred, 1).T
-    means = np.asarray(means, dtype=float)
-    best = (None, None, None, None, None, None)
+def best_fits(n, means, products, orders, max_order: int, covariates: Sequence[str]) -> list[tuple]:
+    """Least-squares fits of a batch of series from centred products, all solved together.
+
+    One tuple per series, of the lowest AICc among ``orders`` (the first of equal ones); of nulls where
+    no order has enough rows and regressors of full rank.
+    """
+    count, size = len(n), 1 + max_order + len(covariates)
+    upper = np.triu_indices(size)
+    centred = np.zeros((count, size, size))
+    centred[:, upper[0], upper[1]] = products * n[:, None]
+    centred += np.triu(centred, 1).transpose(0, 2, 1)
+    best: list[tuple] = [(None,) * 6] * count
+    lowest = np.full(count, np.inf)
+    chosen = np.zeros(count, dtype=bool)
     for p in orders:
         use = [*range(1, 1 + p), *range(1 + max_order, size)]
         k = len(use) + 1
-        if n <= k + 1:
-            continue
-        sxx, sxy = centred[np.ix_(use, use)], centred[use, 0]
-        if use and np.linalg.matrix_rank(sxx, hermitian=True) < len(use):
-            continue
-        inverse = np.linalg.inv(sxx) if use else np.zeros((0, 0))
-        slopes = inverse @ sxy
-        rss = max(float(centred[0, 0] - slopes @ sxy), 0.0)
-        sigma2 = rss / (n - k)
-        aicc = n * np.log(max(rss, 1e-300) / n) + 2 * (k + 1)
-        aicc += 2 * (k + 1) * (k + 2) / (n - k - 2) if n > k + 2 else np.inf
-        if best[5] is not None and aicc >= best[5]:
+        able = n > k + 1
+        sxx, sxy = centred[:, use][:, :, use], centred[:, use, 0]
+        if use:
+            able &= np.linalg.matrix_rank(sxx, hermitian=True) == len(use)
+        rows = np.flatnonzero(able)
+        if not len(rows):
             continue
-        mx = means[use]
-        a = means[0] - slopes @ mx
-        gap = 1.0 - slopes[:p].sum()
-        full = np.zeros((k, k))
-        full[:-1, :-1] = sigma2 * inverse
-        full[:-1, -1] = full[-1, :-1] = -sigma2 * inverse @ mx
-        full[-1, -1] = sigma2 * (1.0 / n + mx @ inverse @ mx)
+        sxx, sxy, m, length = sxx[rows], sxy[rows], means[rows], n[rows].astype(float)
+        inverse = np.linalg.inv(sxx) if use else sxx
+        slopes = np.einsum("sij,sj->si", inverse, sxy)
+        rss = np.maximum(centred[rows, 0, 0] - np.einsum("si,si->s", slopes, sxy), 0.0)
+        sigma2 = rss / (length - k)
+        aicc = length * np.log(np.maximum(rss, 1e-300) / length) + 2 * (k + 1)
+        spare = length - k - 2
+        aicc += np.where(spare > 0, 2 * (k + 1) * (k + 2) / np.where(spare > 0, spare, 1), np.inf)
+        better = ~chosen[rows] | (aicc < lowest[rows])
+        mx = m[:, use]
+        a = m[:, 0] - np.einsum("si,si->s", slopes, mx)
+        gap = 1.0 - slopes[:, :p].sum(axis=1)
+        leverage = np.einsum("sij,sj->si", inverse, mx)
+        full = np.zeros((len(rows), k, k))
+        full[:, :-1, :-1] = sigma2[:, None, None] * inverse
+        full[:, :-1, -1] = full[:, -1, :-1] = -sigma2[:, None] * leverage
+        full[:, -1, -1] = sigma2 * (1.0 / length + np.einsum("si,si->s", mx, leverage))
         # (slopes, a) -> (rho, intercept = a / gap, b)
-        jac = np.zeros((k, k))
-        jac[:p, :p] = np.eye(p)
-        jac[p, :p] = a / gap**2
-        jac[p, -1] = 1.0 / gap
-        jac[p + 1 :, p : k - 1] = np.eye(len(covariates))
-        names = [f"ar{i}" for i in range(1, p + 1)] + ["intercept"]
-        names += [f"b_{v}" for v in covariates]
-        coef = [*slopes[:p], a / gap, *slopes[p:]]
-        vcov = jac @ full @ jac.T
-        best = (p, names, [float(c) for c in coef], vcov.tolist(), float(sigma2), float(aicc))
+        jac = np.zeros((len(rows), k, k))
+        jac[:, :p, :p] = np.eye(p)
+        jac[:, p, :p] = (a / gap**2)[:, None]
+        jac[:, p, -1] = 1.0 / gap
+        jac[:, p + 1 :, p : k - 1] = np.eye(len(covariates))
+        vcov = jac @ full @ jac.transpose(0, 2, 1)
+        coef = np.concatenate([slopes[:, :p], (a / gap)[:, None], slopes[:, p:]], axis=1)
+        names = [f"ar{i}" for i in range(1, p + 1)] + ["intercept", *(f"b_{v}" for v in covariates)]
+        for j in np.flatnonzero(better):
+            best[rows[j]] = (p, names, coef[j].tolist(), vcov[j].tolist(), float(sigma2[j]), float(aicc[j]))
+        lowest[rows[better]], chosen[rows] = aicc[better], True
     return best
 
 
