@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import json
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from difflib import SequenceMatcher
@@ -26,6 +27,8 @@ from foreunc.llm.urls import host_and_path
 
 #: Bound of the sample that a host's wrapper is inferred from: pages, the first by hash of their html.
 WRAPPER_PAGES = 12
+#: Open elements that are kept apart.
+DEPTH = 150
 #: A region is narrowed to a child with at least this share of its text.
 DOMINANT = 0.6
 #: Wrappers (a host name and a short path, under 1 kB) up to which they are broadcast; above it they
@@ -52,7 +55,10 @@ FRAME_WORDS = frozenset(
     "consent notice notices alert popup modal overlay newsletter subscribe signup login search comment comments "
     "commentlist replies respond disqus contentinfo complementary form".split()
 )
-TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)>|<[!?/][^>]*(?:>|\Z)|<[a-zA-Z][^<]*\Z", re.S)
+TAG = re.compile(
+    r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)>|<[!?/][^>]*(?:>|\Z)|<[a-zA-Z][^<]*\Z",
+    re.S,
+)
 NAMED = re.compile(r"""(?:^|\s)(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 WORD = re.compile(r"[a-z]+")
 
@@ -74,9 +80,13 @@ class Element:
 
 
 def parse(page: str) -> Element:
-    """Elements and texts of a page, however badly nested; comments and raw content are left out."""
+    """Elements and texts of a page, however badly nested; comments and raw content are left out.
+
+    Elements more than DEPTH deep stand side by side.
+    """
     root = Element("", "")
     stack, at = [root], 0
+    flat: Counter = Counter()
     while (found := TAG.search(page, at)) is not None:
         if found.start() > at:
             stack[-1].children.append(unescape(page[at : found.start()]))
@@ -84,6 +94,9 @@ def parse(page: str) -> Element:
         if not found[2]:
             continue
         tag = found[2].lower()
+        if found[1] and flat[tag]:
+            flat[tag] -= 1
+            continue
         if found[1]:
             for depth in range(len(stack) - 1, 0, -1):
                 if stack[depth].tag == tag:
@@ -97,8 +110,10 @@ def parse(page: str) -> Element:
         if tag in RAW:
             end = re.compile(rf"</{re.escape(tag)}\b[^>]*(?:>|\Z)", re.I).search(page, at)
             at = end.end() if end else len(page)
-        elif tag not in VOID and not found[3].endswith("/"):
+        elif tag not in VOID and len(stack) < DEPTH:
             stack.append(element)
+        elif tag not in VOID:
+            flat[tag] += 1
     if at < len(page):
         stack[-1].children.append(unescape(page[at:]))
     return root
@@ -164,8 +179,9 @@ def align(slot: Slot, elements: list[Element], linked: bool = False) -> None:
     texts = [" ".join(" ".join(c for c in e.children if isinstance(c, str)).split()) for e in elements]
     text = "\n".join(texts)
     linked = linked or slot.element.tag == "a"
-    slot.text += len(text)
-    slot.linked += len(text) * linked
+    length = sum(map(len, texts))
+    slot.text += length
+    slot.linked += length * linked
     slot.variable |= slot.first is not None and slot.first != text
     slot.first = text if slot.first is None else slot.first
     for position, element in enumerate(elements):

@@ -106,6 +106,8 @@ def top_k(
     product. Per-tile lists meet in a tree, ``FAN_IN`` lanes a step, so no task holds more lists.
     """
     spark = vectors.sparkSession
+    if vectors.schema["embedding"].dataType.elementType.typeName() not in ("float", "double"):
+        vectors = vectors.withColumn("embedding", F.col("embedding").cast("array<double>"))
     lanes = lanes or int(spark.conf.get("spark.sql.shuffle.partitions"))
     x = F.col("embedding")
     usable = vectors.select(F.col("vec_id").cast("bigint").alias("vec_id"), "embedding").filter(

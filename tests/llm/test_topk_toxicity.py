@@ -2,7 +2,6 @@ import zlib
 
 import duckdb
 import numpy as np
-import pytest
 from pyspark.sql import functions as F
 
 from foreunc.llm import queries, topk, toxicity
@@ -37,6 +36,8 @@ def test_top_k_of_odd_rows(spark):
         got = topk.top_k(frame, asked, k=5, lanes=lanes).collect()
         assert sorted(map(tuple, got)) == brute(rows, [0, 7, 100, 200, 201, 203], 5)
     assert topk.top_k(frame.filter("false"), asked).collect() == []
+    whole = spark.createDataFrame([(0, [1, 2]), (1, [3, -1])], "vec_id bigint, embedding array<int>")
+    assert [tuple(r) for r in topk.top_k(whole, F.col("vec_id") == 0).collect()] == [(0, 1, 1, 1024 * 1024)]
 
 
 def test_tiles_smaller_than_the_table(spark, monkeypatch):

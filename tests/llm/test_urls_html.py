@@ -131,12 +131,13 @@ def test_odd_markup(text):
 def test_extract_odd_rows(spark):
     rows = [(i, f"http://a.org/{i}", page(i)) for i in range(20)]
     rows += [(30, None, page(30)), (31, "http://b.org/", None), (32, "http://b.org/", ""), (None, "http://a.org/x", page(5)), rows[0]]
+    rows += [(35, "http://c.org/2", "<div>" * 5000 + "<p>deep</p>" + "</div>" * 5000 + "<p>end")]
     rows += [(33, "http://c.org/", "<p>" * 3000 + "deep"), (34, "http://d.org/", "<article><p>" + "very long " * 90000 + "</article>")]
     pages = spark.createDataFrame([(*r, 1, "x") for r in rows], "page_id bigint, url string, html string, text int, region string")
     got = html.extract(pages).collect()
     assert Counter((r.page_id, r.url) for r in got) == Counter((r[0], r[1]) for r in rows)
     for r in got:
-        want = {31: "", 32: "", 33: "deep", 34: "very long " * 89999 + "very long"}.get(r.page_id, WANT)
+        want = {31: "", 32: "", 33: "deep", 35: "deep\nend", 34: "very long " * 89999 + "very long"}.get(r.page_id, WANT)
         assert r.text == want and r.n_chars == len(want)
     assert html.extract(pages.filter("false")).collect() == []
 
