@@ -284,6 +284,7 @@ def decode_documents(encoded: DataFrame, path: str) -> DataFrame:
         tokens = [b""] * (max(ranks.values(), default=0) + 1)
         for token, rank in ranks.items():
             tokens[rank] = token
+        del ranks
         lengths = np.array([len(t) for t in tokens], dtype=np.int64)
         places = np.cumsum(lengths) - lengths
         table = np.frombuffer(b"".join(tokens), dtype=np.uint8)

@@ -24,6 +24,14 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def bound_batches(spark: SparkSession, rows: int = 1_000) -> None:
+    """Let Arrow batches hold at most so many rows, as whole texts are long."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(key))
+    if not 0 < now <= rows:
+        spark.conf.set(key, str(rows))
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` as a table in the shared folder; later uses read it, lost executors don't matter."""
     folder = shared_folder(df.sparkSession, name)

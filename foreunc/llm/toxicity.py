@@ -32,6 +32,8 @@ STEP = 0.02
 #: Share of the sample that sets thresholds and takes no part in training.
 HELD_BACK = 4
 PUNCTUATION = b".,!?;:\"'()[]{}|#*$%&<>=+/\\~^_-"
+#: Distinct words a task keeps the buckets of before it starts anew.
+CACHE_WORDS = 200_000
 #: Words scored at a time; a longer document is pooled over its parts.
 PART_WORDS = 1 << 15
 
@@ -47,7 +49,7 @@ class WordBuckets(dict):
 
 def bucket_pairs(texts: list[bytes], buckets: WordBuckets) -> tuple[np.ndarray, np.ndarray]:
     """(words, 2) buckets of all texts in turn, and words per text."""
-    if len(buckets) > 500_000:
+    if len(buckets) > CACHE_WORDS:
         buckets.clear()
     words = [t.lower().translate(None, PUNCTUATION).split() for t in texts]
     counts = np.array([len(w) for w in words], dtype=np.int64)
