@@ -1,32 +1,40 @@
 """Main text of web pages by wrappers that are inferred per host.
 
-A wrapper is a union-free regular expression over tags, kept as a tree: the pages of a host are
-aligned with it one after the other; where child sequences differ, an element becomes optional,
-where it comes again in a row, repeated; texts become slots that count what they hold. The region of
-the wrapper that holds most of the variable text, away from elements that are known to frame
-articles, is where every page of the host has its article.
+A wrapper is a union-free regular expression over tags, kept as a tree: all pages of a host are
+aligned, by task one after the other, and the trees of the tasks are merged pair by pair; where
+child sequences differ, an element becomes optional, where it comes again in a row, repeated; texts
+become slots that count what they hold. The region of the wrapper that holds most of the variable
+text, away from elements that are known to frame articles, is where the pages of the host have their
+article; other places that hold as much on the pages that have them are read too.
 """
 
 from __future__ import annotations
 
 import json
 import re
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from difflib import SequenceMatcher
+from hashlib import blake2b
 from html import unescape
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark import TaskContext
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from foreunc.llm.common import slices, written
 from foreunc.llm.urls import host_and_path
 
-#: Bound of the sample that a host's wrapper is inferred from: pages, the first by hash of their html.
-WRAPPER_PAGES = 12
+#: Children of a slot from which labels are widened, and labels of one tag from which its names are left open.
+MOST_CHILDREN = 256
+MOST_LABELS = 64
+#: Slots a task holds before it passes its wrappers on.
+HELD_SLOTS = 200_000
+#: Wrappers of one host that a task merges at a time.
+MERGED = 8
 #: Open elements that are kept apart.
 DEPTH = 150
 #: A region is narrowed to a child with at least this share of its text.
@@ -61,6 +69,8 @@ TAG = re.compile(
 )
 NAMED = re.compile(r"""(?:^|\s)(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 WORD = re.compile(r"[a-z]+")
+#: What stands for any names.
+OPEN, OPEN_FRAME = "*", "* ad"
 
 
 @dataclass
@@ -73,6 +83,11 @@ class Element:
     def label(self) -> str:
         return f"{self.tag} {self.names}" if self.names else self.tag
 
+    @property
+    def widened(self) -> str:
+        """Label with names left open; elements that frame articles stay apart from the others."""
+        return f"{self.tag} {OPEN_FRAME if self.frames else OPEN}"
+
     @property
     def frames(self) -> bool:
         """Whether this is a menu, header, footer, sidebar, notice, advert, form, comment or code."""
@@ -146,10 +161,12 @@ class Slot:
     pages: int = 0
     optional: bool = False
     repeated: bool = False
+    again: int = 0
     text: int = 0
     linked: int = 0
     first: str | None = None
     variable: bool = False
+    open: set = field(default_factory=set)
     children: list = field(default_factory=list)
 
     def content(self) -> int:
@@ -159,25 +176,41 @@ class Slot:
         own = self.text - self.linked if self.variable or self.pages < 2 else 0
         return max(own, 0) + sum(c.content() for c in self.children)
 
+    def label(self, element: Element) -> str:
+        """What a child is known by: its label, or its tag where names are left open."""
+        return element.widened if element.tag in self.open else element.label
+
+    def slots(self) -> int:
+        return 1 + sum(c.slots() for c in self.children)
+
 
-def collapsed(children: list) -> list[list[Element]]:
-    """Runs of elements with one label; texts are left out."""
+def collapsed(slot: Slot, children: list) -> list[list[Element]]:
+    """Runs of elements that ``slot`` knows by one label; texts are left out."""
     runs: list[list[Element]] = []
+    last = None
     for child in children:
         if isinstance(child, Element):
-            if runs and runs[-1][0].label == child.label:
+            label = slot.label(child)
+            if runs and last == label:
                 runs[-1].append(child)
             else:
                 runs.append([child])
+            last = label
     return runs
 
 
 def align(slot: Slot, elements: list[Element], linked: bool = False) -> None:
-    """Take a run of elements of one page into their place of the wrapper."""
+    """Take a run of elements of one page into their place of the wrapper.
+
+    What is inside of an element that frames articles isn't needed.
+    """
     slot.repeated |= len(elements) > 1
+    slot.again += len(elements) > 1
     slot.pages += 1
+    if slot.element.frames:
+        return
     texts = [" ".join(" ".join(c for c in e.children if isinstance(c, str)).split()) for e in elements]
-    text = "\n".join(texts)
+    text = blake2b("\n".join(texts).encode(errors="surrogatepass"), digest_size=8).hexdigest()
     linked = linked or slot.element.tag == "a"
     length = sum(map(len, texts))
     slot.text += length
@@ -185,10 +218,10 @@ def align(slot: Slot, elements: list[Element], linked: bool = False) -> None:
     slot.variable |= slot.first is not None and slot.first != text
     slot.first = text if slot.first is None else slot.first
     for position, element in enumerate(elements):
-        runs = collapsed(element.children)
-        before, now = [c.element.label for c in slot.children], [r[0].label for r in runs]
+        runs = collapsed(slot, element.children)
+        before, now = [slot.label(c.element) for c in slot.children], [slot.label(r[0]) for r in runs]
         merged: list[Slot] = []
-        for kind, i, j, m, n in SequenceMatcher(None, before, now, autojunk=False).get_opcodes():
+        for kind, i, j, m, n in steps(before, now):
             if kind == "equal":
                 for child, run in zip(slot.children[i:j], runs[m:n], strict=True):
                     align(child, run, linked)
@@ -198,10 +231,92 @@ def align(slot: Slot, elements: list[Element], linked: bool = False) -> None:
                 child.optional = True
                 merged.append(child)
             for run in runs[m:n]:
-                child = Slot(run[0], optional=slot.pages > 1 or position > 0)
+                child = Slot(known_by(slot, run[0]), optional=slot.pages > 1 or position > 0)
                 align(child, run, linked)
                 merged.append(child)
         slot.children = merged
+        widen(slot)
+
+
+def steps(before: list[str], now: list[str]) -> list[tuple]:
+    """How one sequence of labels becomes the other."""
+    if before == now:
+        return [("equal", 0, len(before), 0, len(now))]
+    return SequenceMatcher(None, before, now, autojunk=False).get_opcodes()
+
+
+def known_by(slot: Slot, element: Element) -> Element:
+    """An element as the child of a slot: without content, its names left open if they are there."""
+    if element.tag in slot.open:
+        return Element(element.tag, OPEN_FRAME if element.frames else OPEN)
+    return Element(element.tag, element.names)
+
+
+def widen(slot: Slot) -> None:
+    """Where children are many, leave the names of tags open that have many, and join equal children.
+
+    So a wrapper stays small however many pages have names of their own, and nothing is left out of it.
+    """
+    if len(slot.children) <= MOST_CHILDREN:
+        return
+    labels = defaultdict(set)
+    for child in slot.children:
+        labels[child.element.tag].add(child.element.label)
+    slot.open |= {tag for tag, names in labels.items() if len(names) > MOST_LABELS}
+    regroup(slot)
+
+
+def regroup(slot: Slot) -> None:
+    """Join all children that the slot knows by one label."""
+    by_label: dict[str, Slot] = {}
+    for child in slot.children:
+        label = slot.label(child.element)
+        child.element = known_by(slot, child.element)
+        if label in by_label:
+            merge(by_label[label], child)
+        else:
+            by_label[label] = child
+    slot.children = list(by_label.values())
+
+
+def merge(slot: Slot, other: Slot) -> None:
+    """Take what another wrapper has at the place of ``slot`` into it."""
+    slot.variable |= other.variable or None not in (slot.first, other.first) and slot.first != other.first
+    slot.first = other.first if slot.first is None else slot.first
+    slot.optional |= other.optional
+    slot.repeated |= other.repeated
+    for name in ("pages", "again", "text", "linked"):
+        setattr(slot, name, getattr(slot, name) + getattr(other, name))
+    if slot.open != other.open:
+        slot.open = other.open = slot.open | other.open
+        regroup(slot)
+        regroup(other)
+    before, now = ([slot.label(c.element) for c in s.children] for s in (slot, other))
+    merged: list[Slot] = []
+    for kind, i, j, m, n in steps(before, now):
+        if kind == "equal":
+            for child, more in zip(slot.children[i:j], other.children[m:n], strict=True):
+                merge(child, more)
+                merged.append(child)
+            continue
+        for child in [*slot.children[i:j], *other.children[m:n]]:
+            child.optional = True
+            merged.append(child)
+    slot.children = merged
+    widen(slot)
+
+
+def packed(slot: Slot) -> list:
+    """A wrapper as lists, for JSON."""
+    return [
+        slot.element.tag, slot.element.names, slot.pages, slot.optional, slot.repeated, slot.again, slot.text,
+        slot.linked, slot.first, slot.variable, sorted(slot.open), [packed(c) for c in slot.children],
+    ]
+
+
+def unpacked(values: list) -> Slot:
+    tag, names, *rest, opened, children = values
+    return Slot(Element(tag, names), *rest, set(opened), [unpacked(c) for c in children])
 
 
 def infer(pages: list[str]) -> Slot:
@@ -212,21 +327,32 @@ def infer(pages: list[str]) -> Slot:
     return wrapper
 
 
-def region(wrapper: Slot) -> list[str]:
-    """Labels from the root down to the element that holds the article.
+def regions(wrapper: Slot) -> list[list[str]]:
+    """Labels from the root down to the elements that hold articles, that of the most text first.
 
-    Narrowed while one child, which isn't repeated and isn't itself a block of text, holds most.
+    Narrowed while one child, which isn't repeated on most pages and isn't itself a block of text,
+    holds most. What stands beside it is another region if on the pages that have it, it holds too much
+    for the first to hold most there.
     """
-    path, slot = [], wrapper
+    path, others, slot = [], [], wrapper
     while True:
         whole = slot.content()
         best = max(slot.children, key=Slot.content, default=None)
-        if best is None or whole == 0 or best.content() < DOMINANT * whole or best.repeated:
-            return path
+        if best is None or whole == 0 or best.content() < DOMINANT * whole or 2 * best.again > best.pages:
+            break
         if best.element.tag in INLINE or not any(c.element.tag not in INLINE | VOID for c in best.children):
-            return path
+            break
+        for child in slot.children:
+            if child is not best and child.content() * slot.pages >= (1 - DOMINANT) * whole * child.pages:
+                others.append([*path, child.element.label])
         path.append(best.element.label)
         slot = best
+    return [path, *(p for p in others if p != path[: len(p)])]
+
+
+def region(wrapper: Slot) -> list[str]:
+    """Labels from the root down to the element that holds the article, see ``regions``."""
+    return regions(wrapper)[0]
 
 
 def blocks(element: Element) -> list[str]:
@@ -260,45 +386,83 @@ def blocks(element: Element) -> list[str]:
     return out
 
 
-def place(element: Element, path: list[str]) -> Element | None:
-    """First element that ``path`` leads to."""
-    if not path:
-        return element
+def places(element: Element, paths: list[list[str]]) -> list[Element]:
+    """All elements that a path leads to, in turn; none within another."""
+    if not all(paths):
+        return [element]
+    found = []
     for child in element.children:
-        if isinstance(child, Element) and child.label == path[0] and not child.frames:
-            found = place(child, path[1:])
-            if found is not None:
-                return found
-    return None
+        if isinstance(child, Element) and not child.frames:
+            labels = (child.label, child.widened)
+            inner = [p[1:] for p in paths if p[0] in labels]
+            if inner:
+                found += places(child, inner)
+    return found
 
 
-def main_text(page: str, path: list[str]) -> str:
-    """Article of a page: what stands at ``path``, else at the region of the page by itself."""
+def main_text(page: str, path: list[str] | None, *others: list[str]) -> str:
+    """Article of a page: what stands at the paths, else at the regions of the page by itself."""
     root = parse(page)
-    found = place(root, path)
-    if found is None:
+    found = [] if path is None else places(root, [path, *others])
+    if not found:
         wrapper = Slot(Element("", ""))
         align(wrapper, [root])
-        found = place(root, region(wrapper)) or root
-    return "\n".join(blocks(found))
+        found = places(root, regions(wrapper)) or [root]
+    return "\n".join(b for f in found for b in blocks(f))
 
 
 def wrappers(pages: DataFrame) -> DataFrame:
-    """(host, path): the region of the wrapper of each host of ``pages`` (url, html), as JSON."""
+    """(host, paths): the regions of the wrapper of each host of ``pages`` (url, html), as JSON.
+
+    All pages are aligned: each task does so with its own, then the wrappers of a host are merged,
+    MERGED at a time. Pages without a host have nothing in common and get no wrapper.
+    """
 
-    def learn(group: pd.DataFrame) -> pd.DataFrame:
-        path = region(infer(group["html"].tolist()))
-        return pd.DataFrame({"host": group["host"].iloc[:1], "path": [json.dumps(path)]})
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[str, Slot] = {}
+        task, held = TaskContext.get().partitionId(), 0
+
+        def out() -> pa.RecordBatch:
+            trees = [json.dumps(packed(w)) for w in known.values()]
+            rows = [pa.array(list(known), pa.string()), pa.array([task] * len(known), pa.int64()), pa.array(trees, pa.string())]
+            return pa.RecordBatch.from_arrays(rows, names=["host", "number", "tree"])
+
+        for part in slices(batches, "html"):
+            for host, page in zip(part.column("host").to_pylist(), part.column("html").to_pylist(), strict=True):
+                align(known.setdefault(host, Slot(Element("", ""))), [parse(page)])
+            held = sum(w.slots() for w in known.values())
+            if held > HELD_SLOTS:
+                yield out()
+                known.clear()
+        yield out()
+
+    def join(group: pd.DataFrame) -> pd.DataFrame:
+        first, *rest = (unpacked(json.loads(t)) for t in group["tree"])
+        for other in rest:
+            merge(first, other)
+        return group[["host", "number"]].iloc[:1].assign(tree=json.dumps(packed(first)))
+
+    def narrow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            paths = [json.dumps(regions(unpacked(json.loads(t)))) for t in batch.column("tree").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("host"), pa.array(paths, pa.string())], names=["host", "paths"])
 
     host, _ = host_and_path("url")
-    order = Window.partitionBy("host").orderBy(F.xxhash64("html"), "html")
-    few = (
+    kind = "host string, number bigint, tree string"
+    trees = written(
         pages.select(host.alias("host"), F.coalesce("html", F.lit("")).alias("html"))
-        .withColumn("number", F.row_number().over(order))
-        .filter(F.col("number") <= WRAPPER_PAGES)
-        .drop("number")
+        .filter("host <> ''")
+        .mapInArrow(learn, kind),
+        "trees",
     )
-    return few.groupBy("host").applyInPandas(learn, "host string, path string")
+    while (trees.groupBy("host").count().agg(F.max("count")).first()[0] or 0) > 1:
+        trees = written(
+            trees.withColumn("number", F.floor(F.col("number") / MERGED))
+            .groupBy("host", "number")
+            .applyInPandas(join, kind),
+            "trees",
+        )
+    return trees.mapInArrow(narrow, "host string, paths string")
 
 
 def extract(pages: DataFrame) -> DataFrame:
@@ -306,8 +470,7 @@ def extract(pages: DataFrame) -> DataFrame:
 
     Blocks of the article are joined by \\n, white space inside a block is one blank, character
     references are decoded; ``text`` is empty for null, empty or markup-only html. A page without
-    the region of its host's wrapper is read by its own. Null urls form a host of their own;
-    repeated rows and null ids stay, other columns are ignored.
+    the regions of its host's wrapper, or without a host, is read by its own; repeated rows and null ids stay, other columns are ignored.
     """
     known = written(wrappers(pages), "wrappers")
     small = known.count() <= BROADCAST_ROWS
@@ -316,15 +479,15 @@ def extract(pages: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "html"):
             texts = [
-                main_text(page or "", json.loads(path or "[]"))
-                for page, path in zip(part.column("html").to_pylist(), part.column("region").to_pylist(), strict=True)
+                main_text(page or "", *json.loads(paths or "[null]"))
+                for page, paths in zip(part.column("html").to_pylist(), part.column("region").to_pylist(), strict=True)
             ]
             yield pa.RecordBatch.from_arrays(
                 [part.column("page_id"), part.column("url"), pa.array(texts), pa.array(map(len, texts), pa.int64())],
                 names=["page_id", "url", "text", "n_chars"],
             )
 
-    known = known.withColumnRenamed("path", "region")
+    known = known.withColumnRenamed("paths", "region")
     kind = pages.schema["page_id"].dataType.simpleString()
     return (
         pages.select("page_id", "url", "html", host.alias("host"))

@@ -152,3 +152,39 @@ def test_op3_on_all_pages(spark):
         cut = re.sub(r"<[^>]*(?:>|\Z)", lambda m: "" if re.match(r"</?b\b", m[0]) else "\n", article[1] if article else "")
         parts = [" ".join(html.unescape(x).split()) for x in cut.split("\n")]
         assert r.text == "\n".join(p for p in parts if p) and r.n_chars == len(r.text)
+
+
+def story(number, body):
+    return f"<html><body><div class=top>Good day</div><div class=path>Home {number % 3}</div><main>{body}</main><div class=end>All rights</div></body></html>"
+
+
+def test_rare_layouts_of_a_large_host(spark):
+    """One page of 400 has two articles, one has its text beside the article; a sample of pages misses them."""
+    words = lambda i: " ".join(f"w{i}x{j}" for j in range(30))
+    rows = [(i, f"http://a.org/{i}", story(i, f"<article><p>{words(i)}</p><p>end {i}</p></article>")) for i in range(400)]
+    want = {i: f"{words(i)}\nend {i}" for i in range(400)}
+    rows[7] = (7, "http://a.org/7", story(7, "<article><p>one</p></article><article><p>two</p></article>"))
+    rows[11] = (11, "http://a.org/11", story(11, f"<article><p>short</p></article><section><p>{words(11)}</p></section>"))
+    want |= {7: "one\ntwo", 11: f"short\n{words(11)}"}
+    rows += [(1000 + i, None, f"<div><p>{words(i)}</p></div>" if i else f"<div><p>{words(0)}</p></div><ul><li><p>{words(1)}</p></ul>") for i in range(13)]
+    want |= {1000 + i: words(i) if i else f"{words(0)}\n{words(1)}" for i in range(13)}
+    pages = spark.createDataFrame(rows, "page_id bigint, url string, html string").repartition(20)
+    assert {r.page_id: r.text for r in html.extract(pages).collect()} == want
+
+
+def test_merged_wrappers_hold_what_one_holds():
+    draw = random.Random(3)
+    pages = [page(i, [f"Title {i}", *(f"words {draw.random()}" for _ in range(draw.randint(2, 7)))], side=i % 2 == 0) for i in range(24)]
+    whole, parts = html.infer(pages), [html.infer(pages[i::6]) for i in range(6)]
+    for other in parts[1:]:
+        html.merge(parts[0], html.unpacked(html.packed(other)))
+    assert html.packed(parts[0])[2:8] == html.packed(whole)[2:8]
+    assert parts[0].content() == whole.content() and html.regions(parts[0]) == html.regions(whole)
+
+
+def test_names_of_their_own_on_every_page():
+    pages = [f"<body><div id=top>Top</div><div id=post-{i}><h1>t {i}</h1><div><p>text {i}</p></div></div></body>" for i in range(600)]
+    parts = [html.infer(pages[:300]), html.infer(pages[300:])]
+    html.merge(*parts)
+    assert parts[0].slots() < 20
+    assert html.main_text(pages[5].replace("post-5", "post-x"), *html.regions(parts[0])).endswith("t 5\ntext 5")
