@@ -415,7 +415,8 @@ def wrappers(pages: DataFrame) -> DataFrame:
     """(host, paths): the regions of the wrapper of each host of ``pages`` (url, html), as JSON.
 
     All pages are aligned: each task does so with its own, then the wrappers of a host are merged,
-    MERGED at a time. Pages without a host have nothing in common and get no wrapper.
+    MERGED at a time. Copies of a page count once. Pages without a host have nothing in common and get
+    no wrapper; nor do hosts whose pages have no text that varies, which are read like single pages.
     """
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -444,7 +445,8 @@ def wrappers(pages: DataFrame) -> DataFrame:
 
     def narrow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            paths = [json.dumps(regions(unpacked(json.loads(t)))) for t in batch.column("tree").to_pylist()]
+            found = [unpacked(json.loads(t)) for t in batch.column("tree").to_pylist()]
+            paths = [json.dumps(regions(w)) if w.content() else None for w in found]
             yield pa.RecordBatch.from_arrays([batch.column("host"), pa.array(paths, pa.string())], names=["host", "paths"])
 
     host, _ = host_and_path("url")
@@ -452,6 +454,7 @@ def wrappers(pages: DataFrame) -> DataFrame:
     trees = written(
         pages.select(host.alias("host"), F.coalesce("html", F.lit("")).alias("html"))
         .filter("host <> ''")
+        .distinct()
         .mapInArrow(learn, kind),
         "trees",
     )

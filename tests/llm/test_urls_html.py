@@ -188,3 +188,23 @@ def test_names_of_their_own_on_every_page():
     html.merge(*parts)
     assert parts[0].slots() < 20
     assert html.main_text(pages[5].replace("post-5", "post-x"), *html.regions(parts[0])).endswith("t 5\ntext 5")
+
+
+def test_copies_of_a_page_count_once(spark):
+    """Neither copies nor pages that differ in frames and markup alone hide where the articles are."""
+    body = lambda i: f"<article><p>text {i} of some length</p><p>more {i}</p></article>"
+    side = "<div class=extra><p>" + "the same on every page " * 5 + "</p></div>"
+    rows = [(0, "http://a.org/0", story(0, side + body(0)))] * 30
+    rows += [(i, f"http://a.org/{i}", story(i, side + body(i))) for i in (1, 2)]
+    one = f"<div class=top>Hi</div><main>{body(9)}</main>"
+    rows += [(10 + i, f"http://b.org/{i}", f"<body><nav>{i}</nav>{one}<!-- {i} --></body>") for i in range(3)]
+    rows += [(20, "http://c.org/", f"<body><nav>0</nav>{one}</body>")]
+    pages = spark.createDataFrame(rows, "page_id bigint, url string, html string").repartition(6)
+    got = [(r.page_id, r.text) for r in html.extract(pages).collect()]
+    assert len(got) == len(rows)
+    for i, text in got:
+        number = i if i < 10 else 9
+        assert text == f"text {number} of some length\nmore {number}", i
+    copies = [story(0, side + body(0))] * 50 + [story(i, side.replace("same", f"other{i}") + body(i)) for i in (1, 2)]
+    frame = spark.createDataFrame([("http://d.org/", p) for p in copies], "url string, html string").repartition(7)
+    assert [tuple(r) for r in html.wrappers(frame).collect()] == [tuple(r) for r in html.wrappers(frame.distinct()).collect()]
