@@ -3,7 +3,8 @@
 A word's vector is the sum of two hashed embeddings, of the word and of its first letters. Filters
 of several widths run over the words, the greatest value of each filter enters a logistic output.
 Embeddings start from class counts of the training sample. The document's language is guessed from
-its words, and the threshold that was calibrated for that language becomes a score of one half.
+its words, which are counted over the whole corpus, and the threshold that was calibrated for that
+language on all labelled rows but those of the fit becomes a score of one half.
 """
 
 from __future__ import annotations
@@ -13,24 +14,27 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from foreunc.llm.common import lists, raw_texts, slices
+from foreunc.llm.common import lists, raw_texts, slices, written
 
 BUCKETS = 1 << 17
 PREFIX = 4
 DIMS = 8
 WIDTHS = (1, 2, 3)
 FILTERS = 8
-#: Bound of the training sample: labelled rows of each class, the first by hash of doc_id. A sample
-#: is read whole; class shares are counted over all labels, and every text is scored.
+#: Bound of the sample that weights are fitted on: labelled rows of each class, the first by hash of
+#: doc_id. Words by language are counted, and thresholds set, on all rows.
 TRAIN_ROWS = 2_000
 EPOCHS = 6
 STEP = 0.02
-#: Share of the sample that sets thresholds and takes no part in training.
+#: Share of the sample that takes no part in the fit, so that small corpora have rows for thresholds too.
 HELD_BACK = 4
+#: Ranges of logits that are summed up by themselves when thresholds are set.
+BINS = 64
 PUNCTUATION = b".,!?;:\"'()[]{}|#*$%&<>=+/\\~^_-"
 #: Distinct words a task keeps the buckets of before it starts anew.
 CACHE_WORDS = 200_000
@@ -155,29 +159,57 @@ class Classifier:
         return 1 / (1 + np.exp(-np.clip(shifted.astype(np.float64), -30, 30)))
 
 
-def _class_counts(sample: list, languages: list) -> tuple[np.ndarray, np.ndarray]:
-    """Documents of each class with each bucket; log share of each language's documents with it."""
+def _class_counts(sample: list) -> np.ndarray:
+    """Documents of each class with each bucket."""
     toxic = np.zeros((2, BUCKETS))
-    spoken = np.zeros((BUCKETS, max(1, len(languages))))
-    per_language = np.zeros(max(1, len(languages)))
     for r in sample:
-        seen = np.unique(np.array(r.buckets, dtype=np.int64))
-        toxic[r.toxic, seen] += 1
-        spoken[seen, languages.index(r.lang)] += 1
-        per_language[languages.index(r.lang)] += 1
-    spoken = np.log((spoken + 0.5) / (per_language + 1)[None, :])
+        toxic[r.toxic, np.unique(np.array(r.buckets, dtype=np.int64))] += 1
+    return toxic
+
+
+def _spoken(docs: DataFrame, languages: list[str]) -> np.ndarray:
+    """Log share of each language's documents with each bucket, over all rows of ``docs`` (text, lang).
+
+    Only words are counted, as a language is guessed by them; one more column stands for all languages
+    that aren't listed.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cache, places = WordBuckets(), {name: i for i, name in enumerate(languages)}
+        found = np.zeros((len(languages) + 1, BUCKETS + 1), dtype=np.int64)
+        for part in slices(batches, "text"):
+            pairs, counts = bucket_pairs(raw_texts(part), cache)
+            spoken = np.array([places.get(x, len(languages)) for x in part.column("lang").to_pylist()])
+            owner = np.repeat(np.arange(len(counts)), counts)
+            seen = pd.unique(owner * BUCKETS + pairs[:, 0])
+            at = spoken[seen // BUCKETS] * found.shape[1] + seen % BUCKETS
+            found += np.bincount(at, minlength=found.size).reshape(found.shape)
+            found[:, BUCKETS] += np.bincount(spoken, minlength=len(found))
+        where = np.nonzero(found)
+        columns = [pa.array(where[0]), pa.array(where[1]), pa.array(found[where])]
+        yield pa.RecordBatch.from_arrays(columns, names=["spoken", "bucket", "n"])
+
+    counted = docs.mapInArrow(run, "spoken bigint, bucket bigint, n bigint").groupBy("spoken", "bucket")
+    found = counted.agg(F.sum("n").alias("n")).toArrow()
+    total = np.zeros((BUCKETS + 1, len(languages) + 1))
+    total[found["bucket"].to_numpy(), found["spoken"].to_numpy()] = found["n"].to_numpy()
+    if languages and not total[BUCKETS, -1]:
+        total = total[:, :-1]
+    spoken = np.log((total[:BUCKETS] + 0.5) / (total[BUCKETS] + 1)[None, :])
     spoken[spoken.max(axis=1) == spoken.min(axis=1)] = 0
-    return toxic, spoken.astype(np.float32)
+    return spoken.astype(np.float32)
 
 
 def train(docs: DataFrame, labels: DataFrame, usable: Column, seed: int = 11) -> Classifier:
     """Fit on rows of ``docs`` (doc_id, text, lang) that ``labels`` (doc_id, toxic) marks.
 
     Rows with a null id, another label than 0 or 1, or outside ``usable`` (a condition on doc_id) are
-    left out; of contradicting labels of one id the greater one counts. The sample is the first
-    TRAIN_ROWS ids of each class by hash, so it is bounded and its ids are broadcast; the classes'
-    shares are counted over all labels. Without rows of both classes the classifier scores every
-    text below one half. ``lang`` only tells languages apart in training.
+    left out; of contradicting labels of one id the greater one counts. Weights are fitted on a sample,
+    the first TRAIN_ROWS ids of each class by hash, so it is bounded and its ids are broadcast. The
+    words of each language are counted over all usable rows of ``docs``, and all labelled rows that
+    the fit didn't see are scored for the thresholds. Without rows of both classes the classifier scores
+    every text below one half. ``lang`` only tells languages apart in training; languages without
+    labels of both classes are one, as they share the common threshold.
     """
     marks = (
         labels.select("doc_id", F.col("toxic").cast("int").alias("toxic"))
@@ -200,8 +232,14 @@ def train(docs: DataFrame, labels: DataFrame, usable: Column, seed: int = 11) ->
     sample.sort(key=lambda r: (zlib.crc32(str(r.doc_id).encode()), r.doc_id, len(r.buckets), r.buckets))
     texts = [np.array(r.buckets, dtype=np.int32).reshape(-1, 2) for r in sample]
     marked = np.array([r.toxic for r in sample], dtype=np.int64)
-    languages = sorted({r.lang for r in sample})
-    toxic, spoken = _class_counts(sample, languages)
+    toxic = _class_counts(sample)
+    both = (
+        docs.select("doc_id", lang).join(marks, "doc_id").groupBy("lang")
+        .agg(F.min("toxic").alias("low"), F.max("toxic").alias("high")).filter("low < high")
+    )
+    languages = sorted(r.lang for r in both.collect())
+    own = docs.select("doc_id", "text", lang).filter(F.col("doc_id").isNotNull() & usable)
+    spoken = _spoken(own.select("text", "lang"), languages) if len(set(marked.tolist())) == 2 else np.zeros((BUCKETS, 1))
     draw = np.random.default_rng(seed)
     model = Classifier(
         embedding=(0.1 * draw.standard_normal((BUCKETS, DIMS))).astype(np.float32),
@@ -210,7 +248,7 @@ def train(docs: DataFrame, labels: DataFrame, usable: Column, seed: int = 11) ->
         output=(0.3 * draw.standard_normal(FILTERS * len(WIDTHS))).astype(np.float32),
         intercept=0.0,
         languages=spoken,
-        thresholds=np.zeros(max(1, len(languages)), dtype=np.float32),
+        thresholds=np.zeros(spoken.shape[1], dtype=np.float32),
     )
     if len(set(marked.tolist())) < 2:
         model.intercept, model.output = -30.0, np.zeros_like(model.output)
@@ -224,7 +262,8 @@ def train(docs: DataFrame, labels: DataFrame, usable: Column, seed: int = 11) ->
     model.output[::FILTERS] = 1.0
     back = np.arange(len(sample)) % HELD_BACK == 0
     _descend(model, [t for t, b in zip(texts, back, strict=True) if not b], marked[~back], draw)
-    _calibrate(model, texts, marked, back, rows)
+    fitted = sorted({r.doc_id for r, b in zip(sample, back, strict=True) if not b})
+    _calibrate(model, own.select("doc_id", "text"), marks, fitted, rows)
     return model
 
 
@@ -274,36 +313,87 @@ def _descend(model: Classifier, texts: list[np.ndarray], marks: np.ndarray, draw
                 step("embedding", model.embedding, gradient, where)
 
 
-def _calibrate(model: Classifier, texts: list[np.ndarray], marks: np.ndarray, back: np.ndarray, rows) -> None:
-    """Per language: the cut of fewest errors on the rows held back, weighed to the classes' true shares.
+def _calibrate(model: Classifier, docs: DataFrame, marks: DataFrame, fitted: list, rows: np.ndarray) -> None:
+    """Per language: the cut of fewest errors on all labelled rows but the fitted ones, weighed to the classes' true shares.
 
     Ties go to the middle of the widest gap; a language without both classes takes the cut of all.
     """
-    tables = model.tables()
-    counts = np.array([len(t) for t in texts], dtype=np.int64)
-    pairs = np.concatenate([*texts, np.zeros((0, 2), dtype=np.int32)])
-    logit, spoken = model.logits(model.pooled(pairs, counts, tables)), model.language(pairs, counts)
-    weight = rows[marks] / np.bincount(marks, minlength=2)[marks]
-
-    def cut(some: np.ndarray) -> float | None:
-        some = some[np.argsort(logit[some], kind="stable")]
-        if not marks[some].any() or marks[some].all():
-            return None
-        wrong = np.cumsum(np.where(marks[some] == 1, weight[some], -weight[some]))
-        edges = np.concatenate([[logit[some[0]] - 1], logit[some], [logit[some[-1]] + 1]])
-        errors = np.concatenate([[0], wrong])
-        gaps = np.diff(edges)
-        errors = np.where(gaps > 0, errors, np.inf)
-        best = np.flatnonzero(errors <= errors.min() + 1e-9)
-        best = best[gaps[best].argmax()]
-        return float((edges[best] + edges[best + 1]) / 2)
-
-    everything = np.flatnonzero(back)
-    common = cut(everything)
-    common = cut(np.arange(len(marks))) if common is None else common
+    spark = docs.sparkSession
+    shared = spark.sparkContext.broadcast(dict(vars(model)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model, cache = Classifier(**shared.value), WordBuckets()
+        tables = model.tables()
+        for part in slices(batches, "text"):
+            pairs, counts = bucket_pairs(raw_texts(part), cache)
+            logit = model.logits(model.pooled(pairs, counts, tables)).astype(np.float64)
+            columns = [part.column("doc_id"), pa.array(model.language(pairs, counts)), pa.array(logit)]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "spoken", "logit"])
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    seen = spark.createDataFrame([(i,) for i in fitted], f"doc_id {kind}").withColumn("fitted", F.lit(True))
+    # The logits alone are shuffled to meet the labels, not the texts.
+    scored = (
+        docs.mapInArrow(run, f"doc_id {kind}, spoken bigint, logit double")
+        .join(marks, "doc_id")
+        .join(F.broadcast(seen), "doc_id", "left")
+        .select(F.explode(F.array("spoken", F.lit(-1))).alias("spoken"), "logit", "toxic", F.coalesce("fitted", F.lit(False)).alias("fitted"))
+        .groupBy("spoken", "logit", "fitted")
+        .agg(F.sum("toxic").alias("toxic"), F.sum(1 - F.col("toxic")).alias("clean"))
+    )
+    scored = written(scored, "logits")
+    common = cuts(scored.filter("NOT fitted"), rows)
+    if -1 not in common:
+        common = cuts(scored.groupBy("spoken", "logit").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")), rows)
     for language in range(len(model.thresholds)):
-        own = cut(everything[spoken[everything] == language])
-        model.thresholds[language] = common if own is None else own
+        model.thresholds[language] = common.get(language, common[-1])
+
+
+def cuts(scored: DataFrame, rows: np.ndarray) -> dict[int, float]:
+    """By ``spoken``: the cut of fewest errors of ``scored`` (spoken, logit, toxic, clean), where both classes are.
+
+    ``spoken`` of -1 holds all rows. Counts up to each logit are those of its range, in order, and the sums
+    of the ranges before it, so that no language is sorted as one.
+    """
+    edges = sorted(set(scored.approxQuantile("logit", [k / BINS for k in range(1, BINS)], 0.25 / BINS)))
+    bins = F.size(F.filter(F.array(*(F.lit(e) for e in edges)), lambda e: e < F.col("logit"))) if edges else F.lit(0)
+    placed = scored.withColumn("bin", bins)
+    sums = placed.groupBy("spoken", "bin").agg(
+        F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"), F.min("logit").alias("low")
+    ).collect()
+    of: dict[int, list] = {}
+    for r in sorted(sums, key=lambda r: (r.spoken, r.bin)):
+        of.setdefault(r.spoken, []).append(r)
+    totals = {k: np.array([sum(r.clean for r in v), sum(r.toxic for r in v)]) for k, v in of.items()}
+    if -1 not in totals or not totals[-1].all():
+        return {}
+    weight = [float(w) for w in rows / totals[-1]]
+    offsets = []
+    for spoken, parts in of.items():
+        toxic = clean = 0
+        for r, after in zip(parts, [*parts[1:], None], strict=True):
+            offsets.append((spoken, r.bin, toxic, clean, after and after.low))
+            toxic, clean = toxic + r.toxic, clean + r.clean
+    before = scored.sparkSession.createDataFrame(
+        offsets, "spoken bigint, bin int, toxic_before bigint, clean_before bigint, next double"
+    )
+    order = Window.partitionBy("spoken", "bin").orderBy("logit")
+    best = (
+        placed.join(F.broadcast(before), ["spoken", "bin"])
+        .withColumn("toxic", F.sum("toxic").over(order) + F.col("toxic_before"))
+        .withColumn("clean", F.sum("clean").over(order) + F.col("clean_before"))
+        .withColumn("gap", F.coalesce(F.lead("logit").over(order), "next", F.col("logit") + 1) - F.col("logit"))
+        .withColumn("errors", F.round(F.col("toxic") * weight[1] - F.col("clean") * weight[0], 6))
+        .groupBy("spoken")
+        .agg(F.min(F.struct("errors", (-F.col("gap")).alias("gap"), "logit")).alias("best"))
+        .collect()
+    )
+    out = {}
+    for r in best:
+        if totals[r.spoken].all():
+            found = min((r.best.errors, r.best.gap, r.best.logit), (0.0, -1.0, of[r.spoken][0].low - 1))
+            out[r.spoken] = found[2] - found[1] / 2
+    return out
 
 
 def score(docs: DataFrame, model: Classifier) -> DataFrame:

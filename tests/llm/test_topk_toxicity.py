@@ -112,3 +112,45 @@ def test_toxicity_of_odd_rows(spark):
     assert toxicity.score(docs.filter("false"), model).collect() == []
     none = toxicity.train(docs, labels.filter("false"), F.lit(True))
     assert {r.predicted for r in toxicity.score(docs, none).collect()} == {0}
+
+
+def plain_cut(logit, marks, weight):
+    best = None
+    edges = sorted(set(logit))
+    for low, high in zip([edges[0] - 1, *edges], [*edges, edges[-1] + 1]):
+        errors = round(sum(weight[m] for x, m in zip(logit, marks) if (x > low) != m), 6)
+        if best is None or (errors, low - high, low) < best[0]:
+            best = (errors, low - high, low), (low + high) / 2
+    return best[1]
+
+
+def test_cuts_against_loops(spark):
+    draw = np.random.default_rng(4)
+    rows = [(int(draw.integers(0, 3)), float(draw.integers(-40, 40)) / 8 + 2 * m, m) for m in (0, 1) for _ in range(150 * (3 - m))]
+    rows += [(3, 0.5, 0), (3, 0.75, 0)]
+    shares = np.array([5000.0, 200.0])
+    weight = shares / np.array([sum(m == c for _, _, m in rows) for c in (0, 1)])
+    frame = spark.createDataFrame([(s, x, m) for t, x, m in rows for s in (t, -1)], "spoken bigint, logit double, m int")
+    frame = frame.groupBy("spoken", "logit").agg(F.sum("m").alias("toxic"), F.sum(1 - F.col("m")).alias("clean"))
+    got = toxicity.cuts(frame, shares)
+    assert sorted(got) == [-1, 0, 1, 2]
+    for s, cut in got.items():
+        mine = [(x, m) for t, x, m in rows if s in (t, -1)]
+        assert abs(cut - plain_cut([x for x, _ in mine], [m for _, m in mine], weight)) < 1e-9
+
+
+def test_rare_languages_have_words_and_thresholds(spark, monkeypatch):
+    """A language that is absent from the sample is told apart by its words and gets its own cut."""
+    monkeypatch.setattr(toxicity, "TRAIN_ROWS", 16)
+    common = [(i, "fool day walk tree" if i % 2 else "fine day walk tree", "en") for i in range(400)]
+    ids = [r[0] for r in spark.range(1000, 3000).orderBy(F.xxhash64("id").desc()).limit(40).collect()]
+    # In the other language, the word that is toxic in the first is a common one.
+    rare = [(i, "fool haus baum weg" if n % 2 else "fool haus baum weg idiota", "de") for n, i in enumerate(ids)]
+    marks = [(i, i % 2) for i, _, _ in common] + [(i, 1 - n % 2) for n, i in enumerate(ids)]
+    docs = spark.createDataFrame(common + rare, "doc_id bigint, text string, lang string").repartition(5)
+    labels = spark.createDataFrame(marks, "doc_id bigint, toxic int")
+    model = toxicity.train(docs, labels, F.lit(True))
+    assert model.languages.shape[1] == len(model.thresholds) == 2
+    got = {r.doc_id: r.predicted for r in toxicity.score(docs, model).collect()}
+    wrong_clean = sum(got[i] != m for i, m in marks if m == 0)
+    assert wrong_clean == 0 and all(got[i] == m for i, m in marks if i < 400)
