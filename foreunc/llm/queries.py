@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foreunc.llm import bpe, contamination, html, lines, lm, neardup, planes, topk, toxicity, urls
+from foreunc.llm import bpe, contamination, html, lines, lm, neardup, planes, quality, spelling, topk, toxicity, trie, urls
 from foreunc.llm.common import shared_folder
 
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -237,3 +237,122 @@ def op2_url_filter(spark, sf):
 def op3_html_text(spark, sf):
     """Article of every page."""
     return html.extract(table(spark, sf, "pages"))
+
+
+#: crc32 of a string expression {text}, by bytes; ``crc`` holds the table of remainders.
+CRC_TABLE_SQL = """crc AS MATERIALIZED (
+  SELECT list(list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, z: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)
+              ORDER BY i) AS t
+  FROM range(256) r(i))"""
+CRC_SQL = """xor(4294967295, list_reduce(
+  list_concat([4294967295], list_transform(range(1, octet_length(encode({text})) + 1),
+    lambda i: CAST('0x' || substr(hex(encode({text})), 2 * i - 1, 2) AS BIGINT))),
+  lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])))"""
+
+
+@query
+def op11_spelling_variants(spark, sf):
+    """Words of all texts under their most frequent near form; one letter left out by hash."""
+    return spelling.spelling_variants(table(spark, sf, "documents"), shortest=6, fewest=5, times=5, slip=199)
+
+
+#: Near words share what is left of both without a letter, at the same place for a replacement; a
+#: word that lacks one is what is left of the other.
+ORACLES["op11_spelling_variants"] = (
+    "WITH RECURSIVE "
+    + CRC_TABLE_SQL
+    + """, runs AS MATERIALIZED (
+  SELECT doc, run, count(*) AS n FROM (
+    SELECT coalesce(CAST(doc_id AS VARCHAR), '') AS doc,
+           unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-zÀ-ÿ]{6,}')) AS run
+    FROM documents)
+  GROUP BY doc, run
+), hashed AS MATERIALIZED (SELECT run, n, """
+    + CRC_SQL.format(text="doc || ':' || run")
+    + """ AS h FROM runs, crc),
+words AS MATERIALIZED (
+  SELECT word, CAST(sum(n) AS BIGINT) AS n FROM (
+    SELECT n, CASE WHEN h % 199 = 0 THEN substr(run, 1, h % length(run)) || substr(run, CAST(h % length(run) AS BIGINT) + 2) ELSE run END AS word
+    FROM hashed)
+  WHERE length(word) >= 6 GROUP BY word HAVING sum(n) >= 5
+), cuts AS MATERIALIZED (
+  SELECT word, n, i, substr(word, 1, i) || substr(word, i + 2) AS rest
+  FROM (SELECT word, n, unnest(range(0, length(word))) AS i FROM words)
+), near AS (
+  SELECT a.word, b.word AS other, b.n FROM cuts a JOIN cuts b ON a.rest = b.rest AND a.i = b.i AND a.word <> b.word
+  UNION SELECT c.word, w.word, w.n FROM cuts c JOIN words w ON c.rest = w.word
+  UNION SELECT w.word, c.word, c.n FROM cuts c JOIN words w ON c.rest = w.word
+), best AS (
+  SELECT word, count(*) AS n_near, max(n) AS form_n, arg_max(other, (n, -place)) AS form
+  FROM (SELECT *, row_number() OVER (ORDER BY other) AS place FROM near) GROUP BY word
+), formed AS MATERIALIZED (
+  SELECT words.word, words.n, coalesce(n_near, 0) AS n_near,
+         CASE WHEN form_n >= 5 * words.n THEN form END AS form, CASE WHEN form_n >= 5 * words.n THEN form_n END AS form_n
+  FROM words LEFT JOIN best USING (word)
+), ways AS (
+  SELECT word, word AS at FROM formed
+  UNION ALL SELECT ways.word, formed.form FROM ways JOIN formed ON formed.word = ways.at WHERE formed.form IS NOT NULL
+), roots AS (
+  SELECT ways.word, ways.at AS root FROM ways JOIN formed ON formed.word = ways.at WHERE formed.form IS NULL
+)
+SELECT word, form, root, n, n_near, form_n FROM formed JOIN roots USING (word)
+"""
+)
+
+
+@query
+def op12_conversation_trie(spark, sf):
+    """Trie of the conversations, each begun with the first turns of another one."""
+    turns = trie.ordered_turns(table(spark, sf, "conversations"))
+    head = F.crc32(F.col("conv_id").cast("string").cast("binary")) % 9
+    return trie.trie(trie.rebuilt(turns, F.col("conv_id") - F.col("conv_id") % 5, head, most=8))
+
+
+ORACLES["op12_conversation_trie"] = (
+    "WITH "
+    + CRC_TABLE_SQL
+    + """, turns AS MATERIALIZED (
+  SELECT conv_id, {'role': coalesce(role, ''), 'text': coalesce(text, '')} AS said,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS place
+  FROM conversations WHERE conv_id IS NOT NULL
+), own AS MATERIALIZED (SELECT conv_id, list(said ORDER BY place) AS said FROM turns GROUP BY conv_id),
+heads AS (SELECT conv_id, said, conv_id - conv_id % 5 AS base, CAST("""
+    + CRC_SQL.format(text="CAST(conv_id AS VARCHAR)")
+    + """ % 9 AS BIGINT) AS h FROM own, crc),
+rebuilt AS MATERIALIZED (
+  SELECT heads.conv_id, list_concat(coalesce(b.said, [])[1:h], heads.said[h + 1:]) AS said
+  FROM heads LEFT JOIN own b ON b.conv_id = heads.base
+), paths AS MATERIALIZED (
+  SELECT conv_id, d, said[1:d] AS prefix, d = len(said) AS ends
+  FROM (SELECT conv_id, said, unnest(range(0, len(said) + 1)) AS d FROM rebuilt)
+), nodes AS MATERIALIZED (
+  SELECT min(conv_id) AS node, d, prefix, count(*) AS n_convs,
+         sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (WHERE ends), '')) AS ends_sha256
+  FROM paths GROUP BY d, prefix
+), placed AS MATERIALIZED (SELECT p.conv_id, p.d, n.node FROM paths p JOIN nodes n ON p.d = n.d AND p.prefix = n.prefix),
+parents AS MATERIALIZED (
+  SELECT n.node, n.d, n.n_convs, n.ends_sha256, p.node AS parent,
+         CASE WHEN n.d = 0 THEN 0 ELSE (n.n_convs - 1) * octet_length(encode(n.prefix[n.d].text)) END AS saved
+  FROM nodes n LEFT JOIN placed p ON p.conv_id = n.node AND p.d = n.d - 1
+), kids AS (SELECT parent AS node, d - 1 AS d, count(*) AS n_children FROM parents WHERE d > 0 GROUP BY 1, 2),
+own_sums AS MATERIALIZED (
+  SELECT p.node, p.d, saved, coalesce(n_children, 0) AS n_children FROM parents p LEFT JOIN kids k ON k.node = p.node AND k.d = p.d
+), sums AS (
+  SELECT a.node, a.d, count(*) FILTER (WHERE o.n_children = 0) AS n_leaves, CAST(sum(o.saved) AS BIGINT) AS saved_tokens
+  FROM own_sums o JOIN placed a ON a.conv_id = o.node AND a.d <= o.d
+  GROUP BY a.node, a.d
+)
+SELECT p.node AS conv_id, p.d AS depth, p.parent AS parent_conv_id, p.n_convs, o.n_children, s.n_leaves, s.saved_tokens, p.ends_sha256
+FROM parents p JOIN own_sums o ON o.node = p.node AND o.d = p.d JOIN sums s ON s.node = p.node AND s.d = p.d
+"""
+)
+
+
+@query
+def op13_quality(spark, sf):
+    """Score all documents, learning from four fifths of the labelled ones."""
+    docs = table(spark, sf, "documents")
+    model = quality.train(docs, table(spark, sf, "labels"), remainder(5) != 0)
+    return quality.score(docs, model).select(
+        "doc_id", F.coalesce(remainder(5) == 0, F.lit(False)).alias("held_out"), "score", "predicted"
+    )
