@@ -172,6 +172,55 @@ MONTHLY = """monthly AS (
   FROM lineitem GROUP BY 1, 2)"""
 
 
+#: Origin of the monthly forecasts, their horizon and the samples of each series.
+ORIGIN, MONTHS, SERIES_SAMPLES = "2000-11-01", 12, 1000
+FIRST_MONTH = "2000-12-01"
+LINES = 7
+
+
+def monthly_drivers(spark: SparkSession, sf: str) -> DataFrame:
+    """Monthly driver ensemble that all series share: one member per line number."""
+    return (
+        table(spark, sf, "lineitem")
+        .groupBy(
+            F.trunc(F.to_date("l_shipdate"), "month").alias("datetime"),
+            F.col("l_linenumber").alias("parameter"),
+        )
+        .agg(F.avg(F.sqrt("l_quantity")).alias("x1"), F.avg(F.sqrt("l_discount")).alias("x2"))
+    )
+
+
+MONTHLY_DRIVERS = """monthly_drivers AS (
+  SELECT CAST(date_trunc('month', l_shipdate) AS DATE) datetime, l_linenumber parameter,
+         avg(sqrt(l_quantity)) x1, avg(sqrt(l_discount)) x2
+  FROM lineitem GROUP BY 1, 2)"""
+
+# A recursion of three lags.
+LAG_NAMES = ["ar1", "ar2", "ar3", "intercept", "b_air_temperature", "b_relative_humidity"]
+LAG_MEAN = [0.4, 0.2, -0.1, 5.5, 0.06, 0.05]
+LAG_COV = [
+    [0.0025, -0.0004, 0.0001, 0.001, 0.0001, 0.0],
+    [-0.0004, 0.0016, -0.0002, 0.0, 0.0, 0.0],
+    [0.0001, -0.0002, 0.0009, 0.0, 0.0, 0.0001],
+    [0.001, 0.0, 0.0, 0.04, 0.0002, 0.0001],
+    [0.0001, 0.0, 0.0, 0.0002, 0.0004, 0.0001],
+    [0.0, 0.0, 0.0001, 0.0001, 0.0001, 0.0004],
+]
+LAG_IC = {"lag2": (6.0, 0.4), "lag1": (6.3, 0.43), "dayof": (6.2, 0.45)}
+
+
+def lag_spec(spark: SparkSession, sf: str) -> DesignSpec:
+    rows = samples(spark, sf).agg(F.max("sample_id")).scalar()
+    return DesignSpec(
+        LAG_NAMES, LAG_MEAN, LAG_COV, [m for m, _ in LAG_IC.values()], [d for _, d in LAG_IC.values()],
+        members=MEMBERS, sigma2=SIGMA2, noise_rows=rows, ic_names=list(LAG_IC),
+    )
+
+
+#: A day that the driver ensemble is taken to lack.
+GAP_DAY = "2024-01-20"
+
+
 def monthly_means(spark: SparkSession, sf: str, keys: list[str]) -> DataFrame:
     """Monthly means by ``keys``: a target and three predictors."""
     month = F.trunc(F.to_date("l_shipdate"), "month").alias("datetime")

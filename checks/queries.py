@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from checks import fixtures as fx
 from foreunc.functions import scalar
 from foreunc.functions.random import Draws
-from foreunc.operators import attribution, design, evaluate, forest, prepare, propagate, ranking
+from foreunc.operators import attribution, design, evaluate, forest, many, prepare, propagate, ranking
 from foreunc.operators import series
 from foreunc.plans import ar_forecast, forest_forecast
 from foreunc.sources import tables
@@ -576,6 +576,116 @@ def series_order_choice(spark, sf):
     )
 
 
+# -- many fitted series --------------------------------------------------------------------------
+
+
+MONTH_KEYS, MONTH_X = ["series_id"], ["x1", "x2"]
+
+
+def _series_states(spark, sf):
+    """Fits of all series on what precedes the origin, and their states there."""
+    monthly = fx.monthly_series(spark, sf)
+    past = monthly.where(F.col("datetime") < F.lit(fx.ORIGIN).cast("date"))
+    fits = series.fit_series(past, MONTH_KEYS, "y", MONTH_X, max_order=1, fixed=True, step="month")
+    states = many.origin_states(
+        monthly, fits, MONTH_KEYS, "y", MONTH_X, fx.ORIGIN, lookback=6, step="month"
+    )
+    return fits, states
+
+
+def _series_designs(spark, sf):
+    fits, states = _series_states(spark, sf)
+    return many.series_designs(fits, states, MONTH_KEYS, MONTH_X, number=F.col("series_id"))
+
+
+def _series_forcing(spark, sf):
+    return many.with_forcing(
+        _series_designs(spark, sf), fx.monthly_drivers(spark, sf), MONTH_KEYS, MONTH_X, fx.MONTHS,
+        fx.SERIES_SAMPLES, fx.LINES, DRAWS, driver_keys=[], first=fx.FIRST_MONTH, step="month",
+    )
+
+
+def _series_job(run, spark, sf, *rows):
+    return run(
+        _series_forcing(spark, sf), *rows, MONTH_KEYS, MONTH_X, fx.MONTHS, fx.SERIES_SAMPLES, fx.LINES, DRAWS
+    )
+
+
+@query()
+def series_origin_states(spark, sf):
+    _, states = _series_states(spark, sf)
+    first = [F.element_at(c, 1).alias(c) for c in ("ic_mean", "ic_sd")]
+    return states.select("series_id", F.size("ic_mean").alias("lags"), *first)
+
+
+@query()
+def series_designs(spark, sf):
+    """Coefficients and the lower Cholesky factor of every series."""
+    entries = [F.col("factor")[i][j].alias(f"l{i + 1}{j + 1}") for i in range(4) for j in range(i + 1)]
+    names = many.parameter_names(1, MONTH_X)
+    return _series_designs(spark, sf).select(
+        "series_id", *[F.col("mean")[i].alias(n) for i, n in enumerate(names)], *entries
+    )
+
+
+@query(digits=5)
+def series_forecasts(spark, sf):
+    """Mean and variance by lead of every series' ensemble."""
+    ensembles = _series_job(many.forecast_of_series, spark, sf)
+    rows = propagate.leads_to_rows(ensembles, ["series_id", "sample_id"])
+    return rows.groupBy("series_id", "lead").agg(
+        F.count("y").alias("n"), F.avg("y").alias("mean"), F.var_samp("y").alias("variance")
+    )
+
+
+@query(digits=5)
+def series_sobol(spark, sf):
+    """Sobol indices of every series by lead, in one plan."""
+    return _series_job(many.sobol_of_series, spark, sf)
+
+
+@query(digits=5)
+def series_one_at_a_time(spark, sf):
+    """Variance of every series by lead and uncertain source, in one plan."""
+    drivers = fx.monthly_drivers(spark, sf).where(F.col("datetime") >= F.lit(fx.FIRST_MONTH).cast("date"))
+    means = drivers.agg(*[F.avg(v).alias(v) for v in MONTH_X])
+    frozen = _series_designs(spark, sf).select(
+        "series_id", *[F.array_repeat(means.select(v).scalar(), fx.MONTHS).alias(v) for v in MONTH_X]
+    )
+    return _series_job(many.one_at_a_time_of_series, spark, sf, frozen)
+
+
+# -- recursions of several lags, drivers by the calendar -------------------------------------------
+
+
+@query()
+def three_lag_forecast(spark, sf):
+    return ar_forecast.forecast_rows(
+        fx.samples(spark, sf), fx.lag_spec(spark, sf), DRAWS, fx.region_drivers(spark, sf), USED, fx.STEPS
+    )
+
+
+@query()
+def three_lag_sobol(spark, sf):
+    return ar_forecast.sobol_of_ar_model(
+        fx.samples(spark, sf), fx.lag_spec(spark, sf), DRAWS, fx.region_drivers(spark, sf), USED, fx.STEPS
+    )
+
+
+@query()
+def forcing_by_calendar(spark, sf):
+    """Drivers that lack a day, moved by -1, 0 and 1 days."""
+    matrix = design.design_matrix(fx.samples(spark, sf), fx.spec(spark, sf), DRAWS)
+    drivers = fx.region_drivers(spark, sf).where(F.col("datetime") != F.lit(fx.GAP_DAY).cast("date"))
+    tables = [
+        propagate.forcing_table(
+            drivers, matrix, USED, fx.STEPS, first=fx.FORECAST_DATE, driver_offset=offset
+        ).withColumn("driver_offset", F.lit(offset))
+        for offset in (-1, 0, 1)
+    ]
+    return tables[0].unionByName(tables[1]).unionByName(tables[2])
+
+
 # -- forest ----------------------------------------------------------------------------------------
 
 
@@ -713,7 +823,11 @@ def fitted_forecast_attribution(spark, sf):
     )
     fit = ar_forecast.fit_region(prepare.history(targets, fx.FORECAST_DATE), past, USED)
     noise_rows = fx.samples(spark, sf).agg(F.max("sample_id")).scalar()
-    spec = ar_forecast.spec_from_fit(fit, fx.IC_MEAN, 7, noise_rows)
+    seen = prepare.attach_targets(targets, drivers.groupBy("datetime").agg(*[F.avg(v).alias(v) for v in USED]))
+    states = many.origin_states(
+        seen.withColumn("series", F.lit("region")), fit, ["series"], "observation", USED, fx.FORECAST_DATE
+    )
+    spec = ar_forecast.spec_from_fit(fit, states, 7, noise_rows)
     return ar_forecast.sobol_of_ar_model(
         fx.samples(spark, sf), spec, Draws(7), prepare.future(drivers, fx.FORECAST_DATE), USED,
         fx.STEPS, clamp=True,

@@ -55,13 +55,13 @@ def _choices(blocks: Blocks, base: str, swapped: str | None = None) -> dict[str,
     }
 
 
-def _sobol_variants(blocks: Blocks) -> dict[str, dict[str, str]]:
+def sobol_variants(blocks: Blocks) -> dict[str, dict[str, str]]:
     variants = {"a": _choices(blocks, "a"), "b": _choices(blocks, "b")}
     variants.update({f"ab_{k}": _choices(blocks, "a", k) for k in blocks})
     return variants
 
 
-def _oat_variants(blocks: Blocks) -> dict[str, dict[str, str]]:
+def oat_variants(blocks: Blocks) -> dict[str, dict[str, str]]:
     variants = {"none": _choices(blocks, "b"), "all": _choices(blocks, "a")}
     variants.update({f"only_{k}": _choices(blocks, "b", k) for k in blocks})
     return variants
@@ -93,7 +93,7 @@ def sobol(
     with AB_i = A with block i from B. Zero variance gives null. ``shared`` names columns that are
     not inputs but that the model reads.
     """
-    rows = _evaluate(pair, _sobol_variants(blocks), model, shared)
+    rows = _evaluate(pair, sobol_variants(blocks), model, shared)
     return _table_indices(rows, blocks, groups, clamp)
 
 
@@ -112,7 +112,7 @@ def sobol_by_row(
     already partitioned by these columns, bringing a sample's variants back together needs no
     exchange.
     """
-    variants = _sobol_variants(blocks)
+    variants = sobol_variants(blocks)
     entries = F.array(
         *[
             F.struct(
@@ -182,7 +182,7 @@ def one_at_a_time(
     Side A holds the samples, side B the frozen values. Rows: source ``none``, one per block,
     ``all``; ``share`` is the part of the variance of ``all``.
     """
-    variants = _oat_variants(blocks)
+    variants = oat_variants(blocks)
     rows = _evaluate(pair, variants, model, shared)
     moments = rows.groupBy(*groups).agg(*[F.var_samp(f"y_{n}").alias(n) for n in variants])
     return _variance_rows(moments, variants, groups)
@@ -217,7 +217,7 @@ def frozen_side(
 # -- array models ----------------------------------------------------------------------------------
 
 
-def _moments(matrix: np.ndarray):
+def moments_of(matrix: np.ndarray):
     present = ~np.isnan(matrix)
     n = present.sum(axis=0)
     mean = np.where(present, matrix, 0.0).sum(axis=0) / np.maximum(n, 1)
@@ -233,6 +233,12 @@ def _combine(left, right):
     return n, mean1 + d * n2 / safe, m1 + m2 + d * d * n1 * n2 / safe
 
 
+def moment_rows(term: str, n: np.ndarray, mean: np.ndarray, m2: np.ndarray) -> pa.RecordBatch:
+    """Moments of a term, one row per lead."""
+    columns = [[term] * len(n), np.arange(len(n), dtype=np.int32), n.astype(np.int64), mean, m2]
+    return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["term", "lead", "n", "mean", "m2"])
+
+
 def _partial_moments(
     pair: DataFrame,
     variants: dict[str, dict[str, str]],
@@ -256,34 +262,24 @@ def _partial_moments(
                 for name, inputs in variants.items()
             }
             for name, matrix in terms(outputs).items():
-                new = _moments(matrix)
+                new = moments_of(matrix)
                 state[name] = _combine(state[name], new) if name in state else new
-        for name, (n, mean, m2) in state.items():
-            leads = len(n)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array([name] * leads),
-                    pa.array(np.arange(leads, dtype=np.int32)),
-                    pa.array(n.astype(np.int64)),
-                    pa.array(mean),
-                    pa.array(m2),
-                ],
-                names=["term", "lead", "n", "mean", "m2"],
-            )
+        for name, found in state.items():
+            yield moment_rows(name, *found)
 
     return pair.mapInArrow(run, schema)
 
 
-def _merged(partials: DataFrame) -> DataFrame:
+def merged_moments(partials: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """Merge partial moments: M2 of all = inner M2 + spread of the partial means around the mean.
 
     The window and the aggregate share one exchange, of one row per task, term and lead.
     """
     n, mean = F.col("n"), F.col("mean")
-    cell = Window.partitionBy("term", "lead")
+    cell = Window.partitionBy(*keys, "term", "lead")
     centred = partials.withColumn("mean_all", F.try_divide(F.sum(n * mean).over(cell), F.sum("n").over(cell)))
     d = mean - F.col("mean_all")
-    return centred.groupBy("term", "lead").agg(
+    return centred.groupBy(*keys, "term", "lead").agg(
         F.sum("n").alias("n"),
         F.first("mean_all").alias("mean"),
         F.sum(F.col("m2") + n * d * d).alias("m2"),
@@ -298,18 +294,26 @@ def sobol_paths(
     clamp: bool = False,
 ) -> DataFrame:
     """:func:`sobol` by lead for an array model; ``prepare`` derives arrays once per batch."""
-    variants = _sobol_variants(blocks)
+    variants = sobol_variants(blocks)
+    partials = _partial_moments(pair, variants, model, prepare, lambda y: sobol_terms(y, blocks))
+    return path_indices(merged_moments(partials), blocks, clamp)
+
 
-    def terms(y):
-        out = {"v": y["a"]}
-        for k in blocks:
-            out[f"first_{k}"] = (y["b"] - y[f"ab_{k}"]) ** 2
-            out[f"total_{k}"] = (y["a"] - y[f"ab_{k}"]) ** 2
-        return out
+def sobol_terms(y: dict[str, np.ndarray], blocks: Blocks) -> dict[str, np.ndarray]:
+    """What the estimators average, from the outputs of all variants."""
+    out = {"v": y["a"]}
+    for k in blocks:
+        out[f"first_{k}"] = (y["b"] - y[f"ab_{k}"]) ** 2
+        out[f"total_{k}"] = (y["a"] - y[f"ab_{k}"]) ** 2
+    return out
 
-    merged = _merged(_partial_moments(pair, variants, model, prepare, terms))
+
+def path_indices(
+    merged: DataFrame, blocks: Blocks, clamp: bool = False, keys: Sequence[str] = ()
+) -> DataFrame:
+    """Index table by (keys, lead) from merged moments."""
     pick = F.col("term")
-    moments = merged.groupBy("lead").agg(
+    moments = merged.groupBy(*keys, "lead").agg(
         F.max(F.when(pick == "v", F.col("m2") / (F.col("n") - 1))).alias("v"),
         *[
             F.max(F.when(pick == f"{o}_{k}", F.col("mean"))).alias(f"{o}_{k}")
@@ -318,17 +322,22 @@ def sobol_paths(
         ],
     )
     terms_out = [(k, F.col(f"first_{k}"), F.col(f"total_{k}")) for k in blocks]
-    return _indices(moments, terms_out, ["lead"], clamp)
+    return _indices(moments, terms_out, [*keys, "lead"], clamp)
 
 
 def one_at_a_time_paths(
     pair: DataFrame, blocks: Blocks, model: ArrayModel, prepare: Callable | None = None
 ) -> DataFrame:
     """:func:`one_at_a_time` by lead for an array model."""
-    variants = _oat_variants(blocks)
-    merged = _merged(_partial_moments(pair, variants, model, prepare, lambda y: y))
+    variants = oat_variants(blocks)
+    return path_variances(merged_moments(_partial_moments(pair, variants, model, prepare, lambda y: y)), blocks)
+
+
+def path_variances(merged: DataFrame, blocks: Blocks, keys: Sequence[str] = ()) -> DataFrame:
+    """Variance rows by (keys, lead) from merged moments of all one-at-a-time variants."""
+    variants = oat_variants(blocks)
     variance = F.when(F.col("n") > 1, F.col("m2") / (F.col("n") - 1))
-    moments = merged.groupBy("lead").agg(
+    moments = merged.groupBy(*keys, "lead").agg(
         *[F.max(F.when(F.col("term") == n, variance)).alias(n) for n in variants]
     )
-    return _variance_rows(moments, variants, ["lead"])
+    return _variance_rows(moments, variants, [*keys, "lead"])

@@ -32,7 +32,10 @@ class DesignSpec:
     members: int
     sigma2: float
     noise_rows: int | Column
+    #: Initial values, the oldest first; as many as the recursion has lags.
     ic_names: Sequence[str] = field(default=("ic",))
+    #: Number of the series whose draws these are, so that many series differ; none for a single one.
+    stream: tuple[int, ...] = ()
 
     @property
     def columns(self) -> list[str]:
@@ -91,13 +94,14 @@ def design_columns(spec: DesignSpec, draws: Draws, matrix: str, key: str = "samp
     the column swaps the whole noise sequence.
     """
     tag = matrix.lower()
-    out = normal_draws(draws, f"param:{tag}", spec.names, spec.mean, spec.cov, key)
+    keys = [*(str(number) for number in spec.stream), key]
+    out = normal_draws(draws, f"param:{tag}", spec.names, spec.mean, spec.cov, *keys)
     for name, mu, sd in zip(spec.ic_names, spec.ic_mean, spec.ic_sd):
-        z = draws.normal(f"ic:{tag}:{name}", key)
+        z = draws.normal(f"ic:{tag}:{name}", *keys)
         out[name] = F.lit(float(mu)) + F.lit(float(sd)) * z
-    out["member"] = draws.index(f"member:{tag}", spec.members, key)
+    out["member"] = draws.index(f"member:{tag}", spec.members, *keys)
     out["noise_id"] = (
-        F.col(key) if tag == "a" else draws.index(f"noise_row:{tag}", spec.noise_rows, key)
+        F.col(key) if tag == "a" else draws.index(f"noise_row:{tag}", spec.noise_rows, *keys)
     )
     return out
 

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator, Sequence
+from functools import reduce
 from multiprocessing.pool import ThreadPool
 
 import numpy as np
@@ -10,11 +12,9 @@ import pandas as pd
 import pyarrow as pa
 from pyspark import StorageLevel
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.evaluation import RegressionEvaluator
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import RandomForestRegressor
-from pyspark.ml.tuning import CrossValidator
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,6 +22,7 @@ from foreunc.functions.random import Draws, poisson_one
 from foreunc.functions.scalar import rmse
 from foreunc.operators.evaluate import top_by_metric
 from foreunc.operators.propagate import column_values
+from foreunc.session import ensure_checkpoint_dir
 from foreunc.sources.tables import path_exists, save_model
 
 # Target variables of each theme that has a forest model.
@@ -118,6 +119,9 @@ def tuning_grid(n_predictors: int, size: int = GRID, seed: int = 42) -> list[tup
     return list(dict.fromkeys(zip(mtry.tolist(), min_n.tolist())))[:size]
 
 
+LEDGER = "theme string, target string, repeat int, fold int, mtry int, min_n int, rmse double"
+
+
 def tune_forest(
     train: DataFrame,
     label: str,
@@ -130,39 +134,61 @@ def tune_forest(
     trees: int = TREES,
     depth: int = DEPTH,
     parallelism: int = 4,
+    ledger: str | None = None,
+    theme: str = "",
 ) -> DataFrame:
-    """Repeated cross-validation: mean RMSE per (mtry, min_n)."""
+    """Repeated cross-validation: mean RMSE per (mtry, min_n) over all repeats and folds.
+
+    Fits run side by side, ``parallelism`` at a time. With ``ledger``, a folder, each finished fit leaves
+    a row there (columns LEDGER), and a run that starts again only does the fits that lack one; a ledger
+    belongs to one table, forest size and grid. A fold without rows gives no row.
+    """
+    spark = train.sparkSession
     grid = list(grid or tuning_grid(len(predictors)))
-    rows_with_folds = assign_folds(train, draws, row_id, folds, repeats)
-    # Trees split on order alone, so one scaling for all folds changes no candidate's error.
-    folded = (
-        fit_scaling(train, predictors)
-        .transform(rows_with_folds)
-        .select("features", label, *[f"fold_{r}" for r in range(1, repeats + 1)])
-        .persist(StorageLevel.MEMORY_AND_DISK)
-    )
-    try:
-        rows = []
-        for r in range(1, repeats + 1):
-            model = forest(label, grid[0][0], grid[0][1], trees, depth=depth)
-            maps = [
-                {model.featureSubsetStrategy: str(m), model.minInstancesPerNode: k}
-                for m, k in grid
-            ]
-            search = CrossValidator(
-                estimator=model,
-                estimatorParamMaps=maps,
-                evaluator=RegressionEvaluator(labelCol=label, metricName="rmse"),
-                numFolds=folds,
-                foldCol=f"fold_{r}",
-                parallelism=parallelism,
-            )
-            averages = search.fit(folded).avgMetrics
-            rows += [(r, m, k, float(a)) for (m, k), a in zip(grid, averages)]
-    finally:
-        folded.unpersist()
-    table = train.sparkSession.createDataFrame(rows, "repeat int, mtry int, min_n int, rmse double")
-    return table.groupBy("mtry", "min_n").agg(F.avg("rmse").alias("rmse"))
+    wanted = [(r, f, m, k) for r in range(1, repeats + 1) for f in range(folds) for m, k in grid]
+    found = []
+    if ledger and path_exists(spark, ledger):
+        # One row per fit of this target: at most repeats x folds x grid.
+        past = read_ledger(spark, ledger).where((F.col("theme") == theme) & (F.col("target") == label))
+        found = [tuple(r) for r in past.select("repeat", "fold", "mtry", "min_n", "rmse").distinct().collect()]
+    done = {row[:4] for row in found}
+    rest = [w for w in wanted if w not in done]
+    if rest:
+        # Trees split on order alone, so one scaling for all folds changes no candidate's error.
+        folded = (
+            fit_scaling(train, predictors)
+            .transform(assign_folds(train, draws, row_id, folds, repeats))
+            .select("features", label, *[f"fold_{r}" for r in range(1, repeats + 1)])
+            .persist(StorageLevel.MEMORY_AND_DISK)
+        )
+
+        def one_fit(at: tuple[int, int, int, int]):
+            repeat, fold, mtry, min_n = at
+            inside = F.col(f"fold_{repeat}") == fold
+            model = forest(label, mtry, min_n, trees, depth=depth).fit(folded.where(~inside))
+            error = model.transform(folded.where(inside)).agg(rmse("prediction", label).alias("e")).first()["e"]
+            if error is not None and ledger:
+                # A folder of its own, as fits that end together must not share a commit.
+                row = spark.createDataFrame([(theme, label, *at, float(error))], LEDGER)
+                row.coalesce(1).write.mode("overwrite").parquet(f"{ledger}/{theme}-{label}-{'-'.join(map(str, at))}")
+            return None if error is None else (*at, float(error))
+
+        try:
+            with ThreadPool(parallelism) as pool:
+                found += [row for row in pool.imap_unordered(one_fit, rest) if row is not None]
+        finally:
+            folded.unpersist()
+    # Errors are summed in a fixed order, whichever fit came first.
+    sums: dict[tuple[int, int], list[float]] = {}
+    for _, _, m, k, error in sorted(row for row in found if row[:4] in set(wanted)):
+        sums.setdefault((m, k), []).append(error)
+    rows = [(m, k, float(np.mean(errors)), len(errors)) for (m, k), errors in sums.items()]
+    return spark.createDataFrame(rows, "mtry int, min_n int, rmse double, fits int")
+
+
+def read_ledger(spark: SparkSession, folder: str) -> DataFrame:
+    """Finished fits of all targets that share a ledger."""
+    return spark.read.schema(LEDGER).option("recursiveFileLookup", "true").parquet(folder)
 
 
 def best_parameters(tuning: DataFrame) -> dict:
@@ -218,8 +244,13 @@ def train_target(
     grid: Sequence[tuple[int, int]] | None = None,
     trees: int = TREES,
     depth: int = DEPTH,
+    parallelism: int = 4,
+    ledger: str | None = None,
 ) -> tuple[PipelineModel | None, DataFrame | None]:
-    """Guards, tuning, final fit and report of one target; ``(None, None)`` when unusable."""
+    """Guards, tuning, final fit and report of one target; ``(None, None)`` when unusable.
+
+    With ``ledger`` an interrupted tuning goes on where it stopped, see :func:`tune_forest`.
+    """
     if target not in train.columns:
         return None, None
     complete = train.select(row_id, target, *predictors).na.drop("any")
@@ -229,7 +260,8 @@ def train_target(
         if n_obs == 0:
             return None, None
         tuning = tune_forest(
-            complete, target, predictors, draws, row_id, folds, repeats, grid, trees, depth
+            complete, target, predictors, draws, row_id, folds, repeats, grid, trees, depth,
+            parallelism, ledger, theme,
         )
         best = best_parameters(tuning)
         model = fit_forest(
@@ -249,16 +281,19 @@ def train_target(
 
 
 def train_themes(tables: dict[str, DataFrame], predictors: Sequence[str], draws: Draws,
-                 row_id: str, **options) -> list[DataFrame]:
-    """Reports of every (theme, variable) with a usable table: a loop over a handful of targets,
-    each a set of Spark jobs over all sites together."""
-    reports = []
-    for theme, table in tables.items():
-        for target in TARGET_VARIABLES[theme]:
-            _, report = train_target(table, theme, target, predictors, draws, row_id, **options)
-            if report is not None:
-                reports.append(report)
-    return reports
+                 row_id: str, at_once: int = 2, **options) -> list[DataFrame]:
+    """Reports of every (theme, variable) with a usable table, in the order of the themes.
+
+    The handful of targets run ``at_once`` side by side, each a set of Spark jobs over all sites together.
+    """
+    wanted = [(theme, target) for theme in tables for target in TARGET_VARIABLES[theme]]
+
+    def one(at: tuple[str, str]) -> DataFrame | None:
+        theme, target = at
+        return train_target(tables[theme], theme, target, predictors, draws, row_id, **options)[1]
+
+    with ThreadPool(at_once) as pool:
+        return [report for report in pool.map(one, wanted, chunksize=1) if report is not None]
 
 
 # -- standard errors -------------------------------------------------------------------------------
@@ -349,6 +384,136 @@ class BaggedTrees:
         return cls(pipeline, len(rows), gram, rows[0]["n_train"])
 
 
+#: Groups of trees, and trees of each: 500 in all.
+BAGS, BAG_TREES = 50, 10
+
+
+class LittleBags:
+    """A forest in groups of trees, each group fitted on its own half of the rows.
+
+    The spread between the groups' means, less what the few trees of a group leave of their own spread
+    in it, is the variance of the forest's prediction. A group is one fit, so 500 trees take 50 fits, and
+    new rows are scored in one pass. Halves follow from the row ids by hash.
+    """
+
+    def __init__(self, pipeline: PipelineModel, bags: int, trees: int, leaves: list[np.ndarray]):
+        self.pipeline, self.bags, self.trees, self.leaves = pipeline, bags, trees, leaves
+
+    @classmethod
+    def fit(
+        cls,
+        train: DataFrame,
+        label: str,
+        predictors: Sequence[str],
+        draws: Draws,
+        row_id: str,
+        mtry: int,
+        min_n: int,
+        bags: int = BAGS,
+        trees: int = BAG_TREES,
+        depth: int = DEPTH,
+        parallelism: int = 4,
+    ) -> LittleBags:
+        spark = train.sparkSession
+        scaling = fit_scaling(train, predictors)
+        halves = in_halves(scaling.transform(train).select("features", label, row_id), draws, row_id, bags)
+        halves = halves.drop(row_id).persist(StorageLevel.MEMORY_AND_DISK)
+
+        def one_bag(g: int):
+            group = forest(label, mtry, min_n, trees, seed=draws.seed + g, depth=depth)
+            group.setPredictionCol(f"bag_{g}").setLeafCol(f"leaf_{g}")
+            return group.fit(halves.where(F.col(f"half_{g}")))
+
+        try:
+            with ThreadPool(parallelism) as pool:
+                models = pool.map(one_bag, range(bags), chunksize=1)
+        finally:
+            halves.unpersist()
+        folder = f"{ensure_checkpoint_dir(spark).rstrip('/')}/bags-{uuid.uuid4().hex}"
+        pipeline = PipelineModel([*scaling.stages, *models])
+        return cls(pipeline, bags, trees, cls._leaf_values(spark, pipeline, folder, bags))
+
+    @staticmethod
+    def _leaf_values(spark: SparkSession, pipeline: PipelineModel, folder: str, bags: int) -> list[np.ndarray]:
+        """What each leaf predicts, tree by tree in the order of the leaves' numbers: a part of the model."""
+        save_model(pipeline, folder)
+        nodes = spark.read.option("recursiveFileLookup", "true").schema(
+            "treeID int, nodeData struct<id: int, prediction: double, leftChild: int>"
+        )
+        first = len(pipeline.stages) - bags
+        parts = [
+            nodes.parquet(f"{folder}/stages/{_stage_name(pipeline, first + g)}/data").withColumn("bag", F.lit(g))
+            for g in range(bags)
+        ]
+        table = reduce(DataFrame.unionByName, parts).where("nodeData.leftChild < 0")
+        found = table.select("bag", "treeID", "nodeData.id", "nodeData.prediction").toArrow().to_pandas()
+        found = found.sort_values(["bag", "treeID", "id"])
+        return [g["prediction"].to_numpy() for _, g in found.groupby(["bag", "treeID"])]
+
+    def predict(self, df: DataFrame, se_method: str = "bags") -> DataFrame:
+        """Adds ``prediction`` and ``se``: ``bags`` as above, floored at 0; ``tree_sd`` the sd between trees."""
+        scored = self.pipeline.transform(df).drop("raw_features", "features")
+        names = [f"bag_{g}" for g in range(self.bags)]
+        leaves = [f"leaf_{g}" for g in range(self.bags)]
+        scored = scored.withColumn("_l", F.flatten(F.array(*[vector_to_array(c) for c in leaves])))
+        scored = scored.withColumn("prediction", sum((F.col(n) for n in names), F.lit(0.0)) / self.bags)
+        se = _bag_errors(df.sparkSession, self.bags, self.trees, self.leaves, se_method)
+        return scored.drop(*names, *leaves).withColumn("se", se("_l")).drop("_l")
+
+    def save(self, spark: SparkSession, path: str) -> str:
+        save_model(self.pipeline, f"{path}/trees")
+        spark.createDataFrame([(self.bags, self.trees)], "bags int, trees int").write.mode("overwrite").parquet(
+            f"{path}/groups"
+        )
+        return path
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> LittleBags:
+        if not path_exists(spark, f"{path}/trees"):
+            raise FileNotFoundError(path)
+        row = spark.read.parquet(f"{path}/groups").first()
+        pipeline = PipelineModel.load(f"{path}/trees")
+        folder = f"{ensure_checkpoint_dir(spark).rstrip('/')}/bags-{uuid.uuid4().hex}"
+        return cls(pipeline, row.bags, row.trees, cls._leaf_values(spark, pipeline, folder, row.bags))
+
+
+def _stage_name(pipeline: PipelineModel, at: int) -> str:
+    """Folder of a stage in a saved pipeline."""
+    width = len(str(len(pipeline.stages)))
+    return f"{at:0{width}d}_{pipeline.stages[at].uid}"
+
+
+def in_halves(df: DataFrame, draws: Draws, row_id: str, bags: int) -> DataFrame:
+    """Whether each row is in the half of each group, columns ``half_0..``."""
+    return df.withColumns({f"half_{g}": draws.uniform(f"half:{g}", row_id) < 0.5 for g in range(bags)})
+
+
+def bag_variance(values: np.ndarray) -> np.ndarray:
+    """Variance of the mean of ``values`` (rows x bags x trees), floored at 0."""
+    trees = values.shape[2]
+    means = values.mean(axis=2)
+    between = means.var(axis=1)
+    within = values.var(axis=2).mean(axis=1)
+    return np.maximum(between - within / (trees - 1), 0.0) if trees > 1 else between
+
+
+def _bag_errors(spark: SparkSession, bags: int, trees: int, leaves: list[np.ndarray], method: str):
+    starts = np.cumsum([0, *(len(v) for v in leaves)])[:-1]
+    shared = spark.sparkContext.broadcast((starts, np.concatenate(leaves)))
+
+    @F.pandas_udf("double")
+    def standard_error(numbers: pd.Series) -> pd.Series:
+        first, value = shared.value
+        if not len(numbers):
+            return pd.Series([], dtype="float64")
+        found = value[np.stack(numbers.to_numpy()).astype(np.int64) + first]
+        if method == "tree_sd":
+            return pd.Series(found.std(axis=1, ddof=1))
+        return pd.Series(np.sqrt(bag_variance(found.reshape(len(found), bags, trees))))
+
+    return standard_error
+
+
 def in_bag_counts(df: DataFrame, draws: Draws, row_id: str, trees: int) -> DataFrame:
     """How often each row is in the bag of each tree, columns ``bag_0..``."""
     u = df.withColumns({f"_u_{b}": draws.uniform(f"bag:{b}", row_id) for b in range(trees)})
@@ -414,11 +579,11 @@ def predictive_draw(
 
 
 def forecast_members(
-    model: BaggedTrees, df: DataFrame, draws: Draws, se_method: str = "infjack",
+    model: BaggedTrees | LittleBags, df: DataFrame, draws: Draws, se_method: str | None = None,
     seed_column: str = "parameter_seed", out: str = "y",
 ) -> DataFrame:
-    """Ensemble forecast: scale, predict with standard error, draw."""
-    scored = model.predict(df, se_method)
+    """Ensemble forecast: scale, predict with standard error (by the model's own method by default), draw."""
+    scored = model.predict(df, se_method) if se_method else model.predict(df)
     value = predictive_draw(scored, draws, seed_column=seed_column)
     return scored.withColumn(out, value).drop("prediction", "se")
 

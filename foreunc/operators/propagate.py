@@ -1,7 +1,8 @@
 """Forward propagation of a design through a forecast model.
 
-``x_0 = ic - intercept``; ``x_t = ar1 * x_(t-1) + sum_v b_v * driver_v[t, member] + noise[t]``;
-``y_t = x_t + intercept``. Lead 0 is the initial condition; lead t uses driver date number t.
+``x_0 = ic - intercept``; ``x_t = sum_k ar_k * x_(t-k) + sum_v b_v * driver_v[t, member] + noise[t]``;
+``y_t = x_t + intercept``. Lead 0 is the initial condition, the newest of as many initial values as
+the recursion has lags; lead t uses the drivers t - 1 days after the first one.
 Without an ``ar1`` column the state has no memory and y is a plain column expression.
 """
 
@@ -16,10 +17,21 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from foreunc.functions.random import Draws
+from foreunc.session import materialised
 
 NOISE = "noise"
 
 
+def steps_between(time: Column, start: Column, step: str = "day") -> Column:
+    """Whole days or calendar months from ``start`` to ``time``."""
+    if step == "day":
+        return F.date_diff(F.to_date(time), F.to_date(start))
+    if step == "month":
+        months = [F.year(t) * 12 + F.month(t) for t in (time, start)]
+        return months[0] - months[1]
+    raise ValueError("a step is a day or a month")
+
+
 def forcing_table(
     drivers: DataFrame,
     design: DataFrame,
@@ -29,28 +41,41 @@ def forcing_table(
     member_columns: Sequence[str] = ("member",),
     time: str = "datetime",
     order: str = "parameter",
+    driver_keys: Sequence[str] | None = None,
+    first: str | Column | None = None,
+    driver_offset: int = 0,
+    step: str = "day",
 ) -> DataFrame:
     """Driver values by (keys, member position, lead) for every member the design drew.
 
     The position is the rank of the row inside its date; a position past the last row has no value.
     Missing values take the mean over that date's *sampled* rows, that is the mean over positions
     weighted by how often the design drew them. The result has members x horizon rows per key.
+
+    Leads count along the calendar in steps of a day or month: lead k uses the date k - 1 +
+    ``driver_offset`` steps after ``first``, by default the earliest date of all drivers. A date
+    without rows leaves its lead empty and moves no other. ``driver_keys`` are those of ``keys`` that
+    the drivers have, all by default; with none, every key uses the same drivers.
     """
     keys = list(keys)
-    dates = drivers.agg(F.sort_array(F.collect_set(time)).alias("d")).scalar()
-    by_date = Window.partitionBy(*keys, time).orderBy(order)
+    shared = keys if driver_keys is None else list(driver_keys)
+    if first is None:
+        start = drivers.agg(F.min(time)).scalar()
+    else:
+        start = F.to_date(F.lit(first)) if isinstance(first, str) else first
+    by_date = Window.partitionBy(*shared, time).orderBy(order)
     placed = drivers.select(
-        *keys,
-        F.array_position(dates, F.col(time)).cast("int").alias("lead"),
+        *shared,
+        (steps_between(F.col(time), start, step) + F.lit(1 - int(driver_offset))).cast("int").alias("lead"),
         F.row_number().over(by_date).cast("bigint").alias("member"),
         *variables,
-    ).where(F.col("lead") <= horizon)
+    ).where(F.col("lead").between(1, int(horizon)))
     picked = F.explode(F.array(*[F.col(c) for c in member_columns])).alias("member")
     picks = design.select(*keys, picked).groupBy(*keys, "member").agg(
         F.count(F.lit(1)).alias("_draws")
     )
     slots = picks.withColumn("lead", F.explode(F.sequence(F.lit(1), F.lit(int(horizon)))))
-    filled = slots.join(placed, [*keys, "member", "lead"], "left")
+    filled = slots.join(placed, [*shared, "member", "lead"], "left")
     at_lead = Window.partitionBy(*keys, "lead")
 
     def gap_filled(v):
@@ -82,9 +107,10 @@ def with_forcing(
 ) -> DataFrame:
     """Attach driver arrays to each design row by its member number (``a_``/``b_`` sides too).
 
-    The join is left to the optimizer, which broadcasts the lookup if its size at run time is small.
+    The lookup, a row per key and member, is written first, so that its size is known and the planner
+    broadcasts it up to its threshold: then no sample is shuffled.
     """
-    arrays = forcing_arrays(forcing, variables, keys)
+    arrays = materialised(forcing_arrays(forcing, variables, keys), "forcing")
     for side in sides:
         lookup = arrays.withColumnsRenamed(
             {"member": f"{side}member", **{f"met_{v}": f"{side}met_{v}" for v in variables}}
@@ -101,6 +127,7 @@ def with_forcing_at_lead(
     sides: Sequence[str] = ("",),
 ) -> DataFrame:
     """The same lookup for long rows that already carry ``lead``."""
+    forcing = materialised(forcing, "forcing")
     for side in sides:
         lookup = forcing.withColumnsRenamed(
             {"member": f"{side}member", **{v: f"{side}met_{v}" for v in variables}}
@@ -139,8 +166,8 @@ def propagate_memoryless(
     sigma2: float,
     keys: Sequence[str] = (),
 ) -> DataFrame:
-    """Long forecast ``(keys, sample_id, lead, y)`` of the model without memory, no shuffle of the
-    ensemble."""
+    """Long forecast ``(keys, sample_id, lead, y)`` of the model without memory; the ensemble isn't
+    shuffled where the drivers are small enough to be broadcast."""
     rows = with_forcing_at_lead(
         explode_leads(design, horizon), forcing, variables, keys
     ).withColumn("eps", noise_at(draws, sigma2))
@@ -154,28 +181,52 @@ def propagate_memoryless(
 
 
 def noise_block(
-    draws: Draws, sigma2: float, noise_id: np.ndarray, horizon: int, phi: float = 0.0
+    draws: Draws,
+    sigma2: float,
+    noise_id: np.ndarray,
+    horizon: int,
+    phi: float = 0.0,
+    stream: Sequence[int] = (),
 ) -> np.ndarray:
     """Noise rows (samples x leads); ``phi`` correlates consecutive leads, variance unchanged."""
     leads = np.arange(1, horizon + 1)
-    eps = np.sqrt(sigma2) * draws.normal_values(NOISE, noise_id[:, None], leads[None, :])
+    eps = np.sqrt(sigma2) * draws.normal_values(NOISE, *stream, noise_id[:, None], leads[None, :])
     for t in range(1, horizon if phi else 0):
         eps[:, t] = phi * eps[:, t - 1] + np.sqrt(1.0 - phi * phi) * eps[:, t]
     return eps
 
 
-def ar_paths(inputs: dict[str, np.ndarray], variables: Sequence[str]) -> np.ndarray:
-    """The recursion for a block of samples: vectorised over samples, sequential in lead."""
+def lag_names(names: Sequence[str]) -> list[str]:
+    """The autoregressive terms among ``names``, ``ar1`` first; a gap between them is an error."""
+    found = sorted((n for n in names if n.startswith("ar") and n[2:].isdigit()), key=lambda n: int(n[2:]))
+    if found != [f"ar{k}" for k in range(1, len(found) + 1)]:
+        raise ValueError("autoregressive terms must be ar1, ar2, ... without gaps")
+    return found
+
+
+def ar_paths(
+    inputs: dict[str, np.ndarray], variables: Sequence[str], ic_names: Sequence[str] = ("ic",)
+) -> np.ndarray:
+    """The recursion for a block of samples: vectorised over samples, sequential in lead.
+
+    The state holds the last values of x, the newest first, one per lag; ``ic_names`` name its start, the
+    oldest first. Fewer initial values than lags are an error.
+    """
+    lags = lag_names(list(inputs))
+    if len(ic_names) < len(lags):
+        raise ValueError("the recursion needs one initial value per lag")
     eps = inputs["eps"]
     intercept = inputs["intercept"]
-    rho = inputs.get("ar1", 0.0)
     y = np.empty((eps.shape[0], eps.shape[1] + 1))
-    y[:, 0] = inputs["ic"]
-    x = inputs["ic"] - intercept
+    state = [inputs[n] - intercept for n in reversed(ic_names)]
+    y[:, 0] = inputs[ic_names[-1]]
     for t in range(eps.shape[1]):
-        x = rho * x + eps[:, t]
+        x = eps[:, t]
+        for name, before in zip(lags, state):
+            x = x + inputs[name] * before
         for v in variables:
             x = x + inputs[f"b_{v}"] * inputs[f"met_{v}"][:, t]
+        state = [x, *state[:-1]]
         y[:, t + 1] = x + intercept
     return y
 
@@ -198,14 +249,16 @@ def propagate_autoregressive(
     sigma2: float,
     keys: Sequence[str] = (),
     noise_phi: float = 0.0,
+    ic_names: Sequence[str] = ("ic",),
+    stream: Sequence[int] = (),
 ) -> DataFrame:
     """Forecast ``(keys, sample_id, y)`` with ``y`` an array over leads 0..horizon; narrow.
 
-    A lead without its driver value, and all leads after it, are null.
+    A lead without its driver value, and all leads after it, are null. The design's columns ``ar1, ar2, ...``
+    are the lags, ``ic_names`` its initial values, the oldest first.
     """
-    keys, variables = list(keys), list(variables)
-    inputs = ["intercept", "ic", *[f"b_{v}" for v in variables]]
-    inputs += ["ar1"] if "ar1" in design.columns else []
+    keys, variables, ic_names = list(keys), list(variables), list(ic_names)
+    inputs = ["intercept", *ic_names, *[f"b_{v}" for v in variables], *lag_names(design.columns)]
     rows = with_forcing(design, forcing, variables, keys).select(
         *keys, "sample_id", "noise_id", *inputs, *[f"met_{v}" for v in variables]
     )
@@ -219,8 +272,8 @@ def propagate_autoregressive(
             values = {n: column_values(batch, n) for n in inputs}
             values.update({f"met_{v}": column_values(batch, f"met_{v}") for v in variables})
             noise_id = column_values(batch, "noise_id")
-            values["eps"] = noise_block(draws, sigma2, noise_id, horizon, noise_phi)
-            y = ar_paths(values, variables)
+            values["eps"] = noise_block(draws, sigma2, noise_id, horizon, noise_phi, stream)
+            y = ar_paths(values, variables, ic_names)
             missing = np.isnan(y.ravel())
             ends = pa.array(np.arange(0, y.size + 1, y.shape[1], dtype=np.int32))
             paths = pa.ListArray.from_arrays(ends, pa.array(y.ravel(), mask=missing))

@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 
 from foreunc.functions.random import Draws
 from foreunc.functions.scalar import kelvin_to_celsius
-from foreunc.operators import attribution, evaluate, prepare, propagate
-from foreunc.operators.design import DesignSpec, design_matrix, design_pair, initial_state
+from foreunc.operators import attribution, evaluate, many, prepare, propagate
+from foreunc.operators.design import DesignSpec, design_matrix, design_pair
 from foreunc.operators.series import fit_series
 
 TEMPERATURE = "air_temperature"
@@ -27,27 +27,29 @@ def daily_drivers(
 
 
 def spec_from_fit(
-    fit: DataFrame, ic_mean: float, members: int, noise_rows: int | Column
+    fit: DataFrame, states: DataFrame, members: int, noise_rows: int | Column
 ) -> DesignSpec:
-    """Design of one fitted series: a table of a single row of a few numbers, else an error.
+    """Design of one fitted series: tables of a single row of a few numbers, else an error.
 
-    The recursion has one lag, so a fit of a higher order is an error too.
+    ``states`` holds its initial values, see :func:`foreunc.operators.many.origin_states`, one per lag at
+    least. For many series see :func:`foreunc.operators.many.series_designs`.
     """
-    rows = fit.take(2)
-    if len(rows) != 1:
+    rows, starts = fit.take(2), states.take(2)
+    if len(rows) != 1 or len(starts) != 1:
         raise ValueError("a design is made from exactly one fitted series")
-    row = rows[0]
-    if "ar2" in row["names"]:
-        raise ValueError("the recursion has one lag; fit with order 1 at most")
+    row, start = rows[0], starts[0]
+    if len(start["ic_mean"]) < len(propagate.lag_names(row["names"])):
+        raise ValueError("the recursion needs one initial value per lag")
     return DesignSpec(
         names=row["names"],
         mean=row["coef"],
         cov=np.array(row["vcov"]),
-        ic_mean=[ic_mean],
-        ic_sd=[initial_state(row["sigma2"])],
+        ic_mean=start["ic_mean"],
+        ic_sd=start["ic_sd"],
         members=members,
         sigma2=row["sigma2"],
         noise_rows=noise_rows,
+        ic_names=many.ic_names(len(start["ic_mean"])),
     )
 
 
@@ -80,19 +82,19 @@ def sobol_of_ar_model(
     """First and total order indices by lead of every parameter, the initial condition, the drivers
     and the process error."""
 
-    sigma2 = spec.sigma2
+    sigma2, stream, ic_names = spec.sigma2, spec.stream, list(spec.ic_names)
 
     def noise(values):
         for side in ("a", "b"):
             ids = values[f"{side}_noise_id"]
-            values[f"{side}_eps"] = propagate.noise_block(draws, sigma2, ids, horizon)
+            values[f"{side}_eps"] = propagate.noise_block(draws, sigma2, ids, horizon, stream=stream)
         return values
 
     pair = ar_pair(samples, spec, draws, drivers, variables, horizon).drop(*samples.columns)
     return attribution.sobol_paths(
         pair,
         ar_blocks(spec, variables),
-        lambda inputs: propagate.ar_paths(inputs, variables),
+        lambda inputs: propagate.ar_paths(inputs, variables, ic_names),
         noise,
         clamp,
     )
@@ -117,26 +119,21 @@ def one_at_a_time_of_ar_model(
     pair = pair.withColumnsRenamed({f"met_{v}": f"a_met_{v}" for v in variables})
     if per_date:
         by_date = drivers.groupBy("datetime").agg(*[F.avg(v).alias(v) for v in variables])
-        means = by_date.agg(
-            F.array_sort(F.collect_list(F.struct("datetime", *variables))).alias("m")
-        )
-        frozen = {
-            v: F.slice(means.select(F.col(f"m.{v}")).scalar(), 1, horizon) for v in variables
-        }
+        frozen = many.calendar_arrays(by_date, variables, horizon)
     else:
         means = drivers.agg(*[F.avg(v).alias(v) for v in variables])
         frozen = {v: F.array_repeat(means.select(v).scalar(), horizon) for v in variables}
     pair = pair.withColumns({f"b_met_{v}": frozen[v] for v in variables})
 
-    sigma2 = spec.sigma2
+    sigma2, stream, ic_names = spec.sigma2, spec.stream, list(spec.ic_names)
 
     def noise(values):
-        eps = propagate.noise_block(draws, sigma2, values["noise_id"], horizon)
+        eps = propagate.noise_block(draws, sigma2, values["noise_id"], horizon, stream=stream)
         values["a_eps"], values["b_eps"] = eps, np.zeros_like(eps)
         return values
 
     return attribution.one_at_a_time_paths(
-        pair, ar_blocks(spec, variables), lambda i: propagate.ar_paths(i, variables), noise
+        pair, ar_blocks(spec, variables), lambda i: propagate.ar_paths(i, variables, ic_names), noise
     )
 
 
@@ -179,7 +176,8 @@ def forecast_rows(
     forcing = propagate.forcing_table(drivers, design, variables, horizon)
     return propagate.leads_to_rows(
         propagate.propagate_autoregressive(
-            design, forcing, variables, horizon, draws, spec.sigma2
+            design, forcing, variables, horizon, draws, spec.sigma2,
+            ic_names=spec.ic_names, stream=spec.stream,
         )
     )
 

@@ -11,7 +11,7 @@ from foreunc.functions.random import Draws
 from foreunc.operators import attribution, prepare
 from foreunc.operators.attribution import TableModel
 from foreunc.operators.design import bootstrap_rows, split_and_shuffle
-from foreunc.operators.forest import BaggedTrees, forecast_members
+from foreunc.operators.forest import BaggedTrees, LittleBags, forecast_members
 
 SEED = "parameter_seed"
 
@@ -45,8 +45,8 @@ def sobol_by_date(
 
 
 def forest_sobol_by_date(
-    pair: DataFrame, predictors: Sequence[str], model: BaggedTrees, draws: Draws,
-    se_method: str = "infjack", time: str = "datetime", clamp: bool = False,
+    pair: DataFrame, predictors: Sequence[str], model: BaggedTrees | LittleBags, draws: Draws,
+    se_method: str | None = None, time: str = "datetime", clamp: bool = False,
 ) -> DataFrame:
     """:func:`sobol_by_date` for a fitted forest with its predictive draw."""
     out = attribution.sobol_by_row(

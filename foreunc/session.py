@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -50,3 +51,14 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Materialise ``df`` in the shared checkpoint folder; later actions read it from there."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def materialised(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written to the shared folder and read again.
+
+    Later uses read it, whatever executors are lost, and the planner knows its size: it broadcasts
+    the table in a join if that is below ``spark.sql.autoBroadcastJoinThreshold``, and else shuffles.
+    """
+    folder = f"{ensure_checkpoint_dir(df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)

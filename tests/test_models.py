@@ -167,11 +167,86 @@ def test_two_rows_of_one_date_are_an_error(spark):
         series.lagged_rows(df, ["s"], "y", ["x"], 1).collect()
 
 
-def test_a_design_needs_one_series_of_one_lag(spark):
+def test_a_design_needs_one_series_and_a_value_per_lag(spark):
     schema = "names array<string>, coef array<double>, vcov array<array<double>>, sigma2 double"
     row = (["ar1", "intercept"], [0.5, 1.0], [[1.0, 0.0], [0.0, 1.0]], 1.0)
     two = (["ar1", "ar2", "intercept"], [0.5, 0.1, 1.0], np.eye(3).tolist(), 1.0)
-    assert ar_forecast.spec_from_fit(spark.createDataFrame([row], schema), 1.0, 3, 10).names == row[0]
+    state = spark.createDataFrame([([1.0], [0.5])], "ic_mean array<double>, ic_sd array<double>")
+    assert ar_forecast.spec_from_fit(spark.createDataFrame([row], schema), state, 3, 10).names == row[0]
     for rows in ([], [row, row], [two]):
         with pytest.raises(ValueError):
-            ar_forecast.spec_from_fit(spark.createDataFrame(rows, schema), 1.0, 3, 10)
+            ar_forecast.spec_from_fit(spark.createDataFrame(rows, schema), state, 3, 10)
+
+
+def test_bag_variance_recovers_the_spread_between_bags():
+    rng = np.random.default_rng(0)
+    bag, tree = rng.normal(0, 0.5, (4000, 50, 1)), rng.normal(0, 1, (4000, 50, 10))
+    assert forest.bag_variance(bag + tree).mean() == pytest.approx(0.25, rel=0.05)
+    values = rng.normal(size=(3, 4, 5))
+    plain = []
+    for row in values:
+        means = [sum(b) / 5 for b in row]
+        centre = sum(means) / 4
+        between = sum((m - centre) ** 2 for m in means) / 4
+        within = sum((t - m) ** 2 for b, m in zip(row, means) for t in b) / 20
+        plain.append(max(between - within / 4, 0.0))
+    assert forest.bag_variance(values).tolist() == pytest.approx(plain)
+
+
+def test_little_bags_know_their_trees(spark, tmp_path):
+    train = _train(spark, 400)
+    bags = forest.LittleBags.fit(train, "y", ["p", "q"], DRAWS, "row_id", mtry=2, min_n=5, bags=6, trees=3, depth=5)
+    new = train.where("row_id < 30")
+    got = bags.predict(new).orderBy("row_id").collect()
+    scored = bags.pipeline.transform(new).orderBy("row_id").collect()
+    for row, r in zip(scored, got):
+        values = np.array([
+            [bags.leaves[3 * g + t][int(row[f"leaf_{g}"][t])] for t in range(3)] for g in range(6)
+        ])
+        assert values.mean(axis=1) == pytest.approx([row[f"bag_{g}"] for g in range(6)])
+        assert r.prediction == pytest.approx(values.mean())
+        assert r.se == pytest.approx(np.sqrt(forest.bag_variance(values[None])[0]))
+    halves = forest.in_halves(train, DRAWS, "row_id", 2).agg(F.avg(F.col("half_0").cast("int"))).first()[0]
+    assert 0.4 < halves < 0.6
+    again = forest.LittleBags.load(spark, bags.save(spark, str(tmp_path / "bags")))
+    assert again.predict(new).orderBy("row_id").collect() == got
+    with pytest.raises(FileNotFoundError):
+        forest.LittleBags.load(spark, str(tmp_path / "none"))
+
+
+def test_little_bags_agree_with_the_jackknife(spark):
+    train, new = _train(spark, 300).repartition(1).cache(), _train(spark, 340).where("row_id >= 300")
+    options = dict(mtry=1, min_n=5, depth=4, parallelism=8)
+    exact = forest.BaggedTrees.fit(train, "y", ["p", "q"], DRAWS, "row_id", trees=60, **options)
+    bags = forest.LittleBags.fit(train, "y", ["p", "q"], DRAWS, "row_id", bags=20, trees=6, **options)
+    one, two = (m.predict(new).agg(F.avg("se")).first()[0] for m in (exact, bags))
+    assert 0.5 < two / one < 2
+
+
+def test_tuning_goes_on_from_its_ledger(spark, tmp_path, monkeypatch):
+    ledger, train = str(tmp_path / "ledger"), _train(spark, 200)
+    options = dict(folds=2, repeats=2, grid=[(1, 5), (2, 5)], trees=3, depth=3, theme="t")
+    plain = {(r.mtry, r.min_n): r.rmse for r in forest.tune_forest(train, "y", ["p", "q"], DRAWS, "row_id", **options).collect()}
+    made = []
+    real = forest.forest
+
+    def failing(*args, **kwargs):
+        if len(made) >= 3:
+            raise RuntimeError("killed")
+        made.append(args)
+        return real(*args, **kwargs)
+
+    monkeypatch.setattr(forest, "forest", failing)
+    with pytest.raises(RuntimeError, match="killed"):
+        forest.tune_forest(train, "y", ["p", "q"], DRAWS, "row_id", ledger=ledger, parallelism=1, **options)
+    kept = forest.read_ledger(spark, ledger).count()
+    assert 0 < kept <= 3
+    made.clear()
+    monkeypatch.setattr(forest, "forest", lambda *a, **k: made.append(a) or real(*a, **k))
+    table = forest.tune_forest(train, "y", ["p", "q"], DRAWS, "row_id", ledger=ledger, **options)
+    assert len(made) == 8 - kept and forest.read_ledger(spark, ledger).count() == 8
+    assert {(r.mtry, r.min_n): r.rmse for r in table.collect()} == pytest.approx(plain)
+    # Another target shares the folder and none of the rows.
+    other = train.withColumnRenamed("y", "w")
+    forest.tune_forest(other, "w", ["p", "q"], DRAWS, "row_id", ledger=ledger, **options)
+    assert forest.read_ledger(spark, ledger).groupBy("target").count().count() == 2
