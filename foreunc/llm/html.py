@@ -4,8 +4,10 @@ A wrapper is a union-free regular expression over tags, kept as a tree: all page
 aligned, by task one after the other, and the trees of the tasks are merged pair by pair; where
 child sequences differ, an element becomes optional, where it comes again in a row, repeated; texts
 become slots that count what they hold. The region of the wrapper that holds most of the variable
-text, away from elements that are known to frame articles, is where the pages of the host have their
-article; other places that hold as much on the pages that have them are read too.
+text, away from elements that frame articles, is where the pages of the host have their article; other
+places that hold as much on the pages that have them are read too. Some tags always frame; names of
+class, id or role are only a first guess at it, which what the element holds must bear out, see
+``settle``.
 """
 
 from __future__ import annotations
@@ -55,14 +57,35 @@ CLOSES = {
     "tr": ("tr td th", ("table",)), "td": ("td th", ("tr", "table")), "th": ("td th", ("tr", "table")),
     "option": ("option", ("select",)),
 }
-#: Elements, and words of class, id and role, that frame an article and aren't part of it.
+#: Elements that frame an article and aren't part of it.
 FRAME_TAGS = frozenset("nav header footer aside form button select dialog head menu".split()) | RAW
-FRAME_WORDS = frozenset(
-    "ad ads advert adverts advertisement advertising sponsor sponsored banner promo nav navbar navigation menu breadcrumb "
-    "breadcrumbs header masthead footer sidebar aside widget related recommended share sharing social cookie cookies "
-    "consent notice notices alert popup modal overlay newsletter subscribe signup login search comment comments "
-    "commentlist replies respond disqus contentinfo complementary form".split()
+#: Words of class, id and role that hint at a frame: of elements full of links, of reader comments, of others.
+LINK_WORDS = frozenset(
+    "nav navbar navigation menu breadcrumb breadcrumbs related recommended share sharing social signup login search".split()
 )
+COMMENT_WORDS = frozenset("comment comments commentlist replies respond disqus".split())
+OTHER_WORDS = frozenset(
+    "ad ads advert adverts advertisement advertising sponsor sponsored banner promo header masthead footer sidebar aside "
+    "widget cookie cookies consent notice notices alert popup modal overlay newsletter subscribe contentinfo "
+    "complementary form".split()
+)
+#: Words that make a name with one of the above tell of a state or kind of page instead, as in ``no-sidebar``.
+STATE_WORDS = frozenset(
+    "no not non without with has have is free open opened closed enabled disabled on off active hidden visible page "
+    "pages post single layout results type template ready fixed sticky".split()
+)
+#: Elements whose names tell nothing: the page, the article, and blocks of text.
+UNNAMED = frozenset(
+    "html body main article p h1 h2 h3 h4 h5 h6 td th tr tbody thead tfoot dd dt blockquote pre figure figcaption".split()
+)
+#: An element named as a frame isn't one if it holds this many times the text outside such elements,
+RESCUE = 3
+#: one named for comments, this many times, and at least so many letters;
+RESCUE_COMMENTS = 50
+LONG = 200
+#: one named for its links, if fewer than this share of its text are links and it is longer than that.
+LINKED = 0.3
+SHORT = 100
 TAG = re.compile(
     r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)>|<[!?/][^>]*(?:>|\Z)|<[a-zA-Z][^<]*\Z",
     re.S,
@@ -70,7 +93,7 @@ TAG = re.compile(
 NAMED = re.compile(r"""(?:^|\s)(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 WORD = re.compile(r"[a-z]+")
 #: What stands for any names.
-OPEN, OPEN_FRAME = "*", "* ad"
+OPEN = "*"
 
 
 @dataclass
@@ -78,20 +101,86 @@ class Element:
     tag: str
     names: str
     children: list = field(default_factory=list)
+    #: Whether this is a menu, header, footer, sidebar, notice, advert, form, comment or code.
+    frames: bool = False
 
     @property
     def label(self) -> str:
-        return f"{self.tag} {self.names}" if self.names else self.tag
+        names = f"{self.tag} {self.names}" if self.names else self.tag
+        return f"!{names}" if self.frames else names
 
     @property
     def widened(self) -> str:
         """Label with names left open; elements that frame articles stay apart from the others."""
-        return f"{self.tag} {OPEN_FRAME if self.frames else OPEN}"
+        return f"!{self.tag} {OPEN}" if self.frames else f"{self.tag} {OPEN}"
 
-    @property
-    def frames(self) -> bool:
-        """Whether this is a menu, header, footer, sidebar, notice, advert, form, comment or code."""
-        return self.tag in FRAME_TAGS or not FRAME_WORDS.isdisjoint(WORD.findall(self.names.lower()))
+
+def hints(element: Element) -> frozenset | None:
+    """The set of words that an element's names hint by, the strictest of them; None without a hint."""
+    if element.tag in UNNAMED:
+        return None
+    found: set[str] = set()
+    for name in element.names.lower().split():
+        words = set(WORD.findall(name))
+        if words.isdisjoint(STATE_WORDS):
+            found |= words
+    return next((kind for kind in (COMMENT_WORDS, OTHER_WORDS, LINK_WORDS) if not kind.isdisjoint(found)), None)
+
+
+def settle(root: Element) -> None:
+    """Tell which elements frame the article: some tags do, and those that names hint at, if it is borne out.
+
+    Text is measured outside of such tags. One named for links must be short or hold links. Any of them
+    is no frame if it holds RESCUE times what stands outside all elements with such names (reader comments
+    RESCUE_COMMENTS times) and LONG letters; what is inside of it is then judged alike.
+    """
+    sizes: dict[int, tuple[int, int]] = {}
+    order = [(root, False)]
+    for element, linked in order:
+        element.frames = element.tag in FRAME_TAGS
+        if not element.frames:
+            linked = linked or element.tag == "a"
+            order += [(c, linked) for c in element.children if isinstance(c, Element)]
+    guessed: dict[int, frozenset] = {}
+    for element, linked in reversed(order):
+        if element.frames:
+            continue
+        linked = linked or element.tag == "a"
+        # Text of the element outside of guessed elements in it, and in links of all of it; and all its text.
+        text = links = whole = 0
+        for child in element.children:
+            if isinstance(child, str):
+                length = len(child) - child.count(" ") if child.strip() else 0
+                text, links, whole = text + length, links + length * linked, whole + length
+            elif not child.frames:
+                inner, inner_links, inner_whole = sizes[id(child)]
+                text += 0 if id(child) in guessed else inner
+                links, whole = links + inner_links, whole + inner_whole
+        sizes[id(element)] = (text, links, whole)
+        kind = hints(element)
+        if kind is LINK_WORDS and whole > SHORT and links < LINKED * whole:
+            kind = None
+        if kind is not None:
+            guessed[id(element)] = kind
+    outside = sizes[id(root)][0]
+    inside = [root]
+    while inside:
+        # The guessed elements that stand in no other one, with what they hold themselves.
+        first, look = [], [c for e in inside for c in e.children if isinstance(c, Element) and not c.frames]
+        while look:
+            element = look.pop()
+            if id(element) in guessed:
+                first.append(element)
+            else:
+                look += [c for c in element.children if isinstance(c, Element) and not c.frames]
+        inside = []
+        for element in first:
+            times = RESCUE_COMMENTS if guessed[id(element)] is COMMENT_WORDS else RESCUE
+            if sizes[id(element)][0] > max(times * outside, LONG):
+                inside.append(element)
+            else:
+                element.frames = True
+        outside += sum(sizes[id(e)][0] for e in inside)
 
 
 def parse(page: str) -> Element:
@@ -131,6 +220,7 @@ def parse(page: str) -> Element:
             flat[tag] += 1
     if at < len(page):
         stack[-1].children.append(unescape(page[at:]))
+    settle(root)
     return root
 
 
@@ -247,9 +337,7 @@ def steps(before: list[str], now: list[str]) -> list[tuple]:
 
 def known_by(slot: Slot, element: Element) -> Element:
     """An element as the child of a slot: without content, its names left open if they are there."""
-    if element.tag in slot.open:
-        return Element(element.tag, OPEN_FRAME if element.frames else OPEN)
-    return Element(element.tag, element.names)
+    return Element(element.tag, OPEN if element.tag in slot.open else element.names, frames=element.frames)
 
 
 def widen(slot: Slot) -> None:
@@ -309,14 +397,14 @@ def merge(slot: Slot, other: Slot) -> None:
 def packed(slot: Slot) -> list:
     """A wrapper as lists, for JSON."""
     return [
-        slot.element.tag, slot.element.names, slot.pages, slot.optional, slot.repeated, slot.again, slot.text,
-        slot.linked, slot.first, slot.variable, sorted(slot.open), [packed(c) for c in slot.children],
+        slot.element.tag, slot.element.names, slot.element.frames, slot.pages, slot.optional, slot.repeated, slot.again,
+        slot.text, slot.linked, slot.first, slot.variable, sorted(slot.open), [packed(c) for c in slot.children],
     ]
 
 
 def unpacked(values: list) -> Slot:
-    tag, names, *rest, opened, children = values
-    return Slot(Element(tag, names), *rest, set(opened), [unpacked(c) for c in children])
+    tag, names, frames, *rest, opened, children = values
+    return Slot(Element(tag, names, frames=frames), *rest, set(opened), [unpacked(c) for c in children])
 
 
 def infer(pages: list[str]) -> Slot:

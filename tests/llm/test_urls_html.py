@@ -41,27 +41,39 @@ def plain(rows, rules):
                 sums[0] += 1
                 sums[1] += r[4] is not None
                 sums[2] += r[4] == "block"
-        literal = set()
+        def differs(part, size, all_part, all_size):
+            if not size or size == all_size:
+                return False
+            pooled, rest = (all_part + 0.5) / (all_size + 1), all_size - size
+            error = math.sqrt(pooled * (1 - pooled) * (1 / size + 1 / rest))
+            return abs(part / size - (all_part - part) / rest) >= urls.DIFFERENCE * error
+
+        alike = defaultdict(list)
         for (host, prefix, segment), (n, m, b) in branches.items():
             all_n, all_m, all_b = nodes[host, prefix]
-            share = (all_b + 0.5) / (all_m + 1)
-            if m and n >= urls.MIN_SHARE * all_n:
-                if abs(b / m - share) >= urls.DIFFERENCE * math.sqrt(share * (1 - share) / m):
-                    literal.add((host, prefix, segment))
+            if n >= urls.MIN_URLS and (differs(m, n, all_m, all_n) or differs(b, m, all_b, all_m)):
+                shares = (math.floor(urls.LIKE * x + 0.5) for x in (m / n, b / max(m, 1)))
+                alike[host, prefix, *shares].append(segment)
+        steps = {}
+        for (host, prefix, *_), segments in alike.items():
+            name = f"/={min(segments, key=str.encode)}" + (f"+{len(segments) - 1}" if len(segments) > 1 else "")
+            steps.update({(host, prefix, s): name for s in segments})
         for r in here:
-            r[6] += "/=" + r[5][level] if (r[1], r[6], r[5][level]) in literal else "/*"
-    by_template, by_host = defaultdict(lambda: [0, 0]), defaultdict(lambda: [0, 0])
+            r[6] += steps.get((r[1], r[6], r[5][level]), "/*")
+    by_template, by_host = defaultdict(lambda: [0, 0, 0]), defaultdict(lambda: [0, 0, 0])
     for r in found:
         for sums in (by_template[r[1], r[6]], by_host[r[1]]):
             sums[0] += r[4] is not None
             sums[1] += r[4] == "block"
-    m, b = map(sum, zip(*by_host.values(), strict=True))
+            sums[2] += 1
+    m, b, _ = map(sum, zip(*by_host.values(), strict=True))
     overall, k = (b + 0.5) / (m + 1), urls.SMOOTHING
     out = []
     for page, host, path, rule, label, _, prefix in found:
         of_host = (by_host[host][1] + k * overall) / (by_host[host][0] + k)
-        purity = (by_template[host, prefix][1] + k * of_host) / (by_template[host, prefix][0] + k)
-        out.append((page, host, path, rule, label or ("block" if purity >= urls.REJECT else "allow"), prefix))
+        labelled, blocked, n = by_template[host, prefix]
+        bad = (blocked + k * of_host) / (labelled + k) >= urls.REJECT and labelled and labelled >= urls.COVERED * n
+        out.append((page, host, path, rule, label or ("block" if bad else "allow"), prefix))
     return sorted(out, key=repr)
 
 
@@ -85,6 +97,28 @@ def test_filter_against_loops(spark):
     assert urls.filter_urls(pages.filter("false"), rules).collect() == []
 
 
+def verdicts(spark, paths, rules):
+    rows = [(i, f"http://a.com/{p}") for i, p in enumerate(paths)]
+    got = urls.filter_urls(spark.createDataFrame(rows, "page_id bigint, url string"), rules).collect()
+    return {paths[r.page_id]: r.verdict for r in got}
+
+
+def test_branches_without_labels_are_left_alone(spark):
+    block = [urls.Rule("a.com/de/", "block")]
+    # One-sided hosts: a frequent branch without labels isn't judged by its labelled siblings,
+    paths = [f"de/{i}" for i in range(60)] + [f"en/{i}" for i in range(40)] + [f"fr/{i}" for i in range(7)]
+    got = verdicts(spark, paths, block)
+    assert all(v == ("block" if p.startswith("de/") else "allow") for p, v in got.items())
+    # nor are variable segments of which only a few have labels,
+    got = verdicts(spark, [f"t/{i}" for i in range(100)], [urls.Rule("a.com/t/1", "block")])
+    assert all(v == ("block" if p.startswith("t/1") else "allow") for p, v in got.items())
+    # and a small labelled branch of a wide node isn't lost in it.
+    paths = [f"w{i}/x" for i in range(3000)] + [f"bad/{i}" for i in range(1, 100)] + ["bad//x"] * 2
+    rules = [urls.Rule("a.com/w", "allow"), *(urls.Rule(f"a.com/bad/{i}", "block") for i in range(1, 10))]
+    got = verdicts(spark, paths, rules)
+    assert got["bad//x"] == "block" and got["w77/x"] == "allow"
+
+
 def test_op2_against_loops(spark):
     rows = [(r.page_id, r.url) for r in queries.table(spark, FOLDER, "pages").collect()]
     got = queries.REGISTRY["op2_url_filter"](spark, FOLDER).collect()
@@ -109,6 +143,37 @@ def page(number, parts=ARTICLE, extra="", side=True):
     )
 
 
+@pytest.mark.parametrize(
+    "names", ["no-sidebar page-1", "has-header", "single-post comment-open", "page search-results", "ad-free", "form-page", "widget ads"]
+)
+def test_names_of_the_page_frame_nothing(names):
+    pages = [f"<html><body class='{names}'><article class='{names}'><p>text {i} of this</p></article></body></html>" for i in range(30)]
+    path = html.region(html.infer(pages))
+    assert [html.main_text(p, path) for p in pages] == [f"text {i} of this" for i in range(30)]
+
+
+def test_names_must_be_borne_out():
+    long = "many words about something that is said here at length, again and again, with no end in sight. " * 4
+    head = "<h2 id='comments-on-policy'>On policy</h2><p class='alert'>Mind this</p><p id='social-impact'>It matters</p>"
+    pages = [
+        f"<body><div class='content share-enabled'><p>{long}{i}</p>{head}</div><div>x</div>"
+        f"<div class='widget-area'><p>{i} by the way</p></div></body>"
+        for i in range(12)
+    ]
+    want = [f"{long}{i}\nOn policy\nMind this\nIt matters" for i in range(12)]
+    path = html.region(html.infer(pages))
+    assert [html.main_text(p, path) for p in pages] == want
+    # What holds nearly all of a page is no frame, whatever it is called; a section of plain text isn't one for its links.
+    assert html.main_text(f"<body><div class='widget'><p>{long}</p></div></body>", None) == long.strip()
+    part = f"<article><p>{long}</p><section id='social-impact'><p>{long}</p></section></article>"
+    assert html.main_text(part, None) == f"{long.strip()}\n{long.strip()}"
+    # Links, short notes and reader comments stay out, even many.
+    menu = "<div class='related'>" + "<a href='/x'>some other article here</a>" * 20 + "</div>"
+    said = "<div class='comments'>" + f"<p>{long}</p>" * 9 + "</div>"
+    note = "<div class='cookie-notice'><p>We use cookies</p></div>"
+    assert html.main_text(f"<body>{note}<div><p>{long}</p>{menu}</div>{said}</body>", None) == long.strip()
+
+
 def test_wrapper_of_varied_pages():
     draw = random.Random(1)
     pages = [page(i, [f"Title {i}", *(f"words {draw.random()} of page {i}" for _ in range(draw.randint(2, 7)))], side=i % 2 == 0) for i in range(8)]
