@@ -13,6 +13,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from foreunc.llm.common import linked, raw_texts, slices, written
 
@@ -146,7 +147,7 @@ def sketches(docs: DataFrame, words: int) -> DataFrame:
 
 def full_sets(asked: DataFrame, nodes: DataFrame, docs: DataFrame, words: int) -> DataFrame:
     """(node, hashes): the sets of the nodes in ``asked`` (node), ascending 64-bit hashes as bytes."""
-    wanted = nodes.select("node", "key1", "key2").join(asked.distinct(), "node").withColumnRenamed("node", "doc_id")
+    wanted = nodes.select("node", "doc_id", "key1", "key2").join(asked.distinct(), "node")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "text"):
@@ -155,8 +156,8 @@ def full_sets(asked: DataFrame, nodes: DataFrame, docs: DataFrame, words: int) -
             same = (key1 == part.column("key1").to_numpy()) & (key2 == part.column("key2").to_numpy())
             ends = np.cumsum(counts)
             rows = [value[e - c : e].tobytes() for e, c in zip(ends[same], counts[same], strict=True)]
-            ids = part.column("doc_id").filter(pa.array(same))
-            yield pa.RecordBatch.from_arrays([ids, pa.array(rows, pa.binary())], names=["node", "hashes"])
+            found = part.column("node").filter(pa.array(same))
+            yield pa.RecordBatch.from_arrays([found, pa.array(rows, pa.binary())], names=["node", "hashes"])
 
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     return texts.join(wanted, "doc_id").mapInArrow(run, "node bigint, hashes binary")
@@ -210,9 +211,17 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: int = 80) -> Da
     space); sets link where 100 * intersection >= similarity * union; ``component_id`` is the least
     doc_id reachable over links, and the row of that id is kept. Null and blank texts have no
     shingles and link with nothing. Rows without an id take no part: their component is null and
-    they are kept. Repeated rows give repeated results; other columns are ignored.
+    they are kept. Repeated rows give repeated results; texts of one id that differ are judged each by
+    itself, though they share what the id gives them. Other columns are ignored.
+    """
+    return judged(docs, words, similarity).drop("key1", "key2")
+
+
+def judged(docs: DataFrame, words: int, similarity: int) -> DataFrame:
+    """:func:`near_duplicates` with the fingerprint (key1, key2) of each row's set.
 
-    Rows with equal sets are one node; ``linked`` compares nodes that share a bucket.
+    Rows with equal sets are one node; ``linked`` compares nodes that share a bucket. Nodes are numbered
+    in order of their least doc_id, so that the least node of a component has its least doc_id.
     """
     found = written(sketches(docs, words), "sketches")
     usable = found.filter("doc_id IS NOT NULL AND n_shingles > 0")
@@ -220,9 +229,10 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: int = 80) -> Da
         usable.groupBy("key1", "key2")
         .agg(F.min(F.struct("doc_id", "n_shingles", "bands")).alias("first"))
         .select(
-            "key1", "key2", F.col("first.doc_id").alias("node"), F.col("first.n_shingles").alias("size"),
-            F.col("first.bands").alias("bands"),
-        ),
+            "key1", "key2", "first.doc_id", F.col("first.n_shingles").alias("size"), F.col("first.bands").alias("bands")
+        )
+        .orderBy("doc_id", "key1", "key2")
+        .withColumn("node", F.monotonically_increasing_id()),
         "nodes",
     )
     group = linked(
@@ -232,8 +242,9 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: int = 80) -> Da
         lambda asked: exploded(full_sets(asked.select("node"), nodes, docs, words).distinct().join(asked, "node")),
         similarity,
     )
-    heads = nodes.select("key1", "key2", "node").join(group, "node", "left")
-    heads = written(heads.select("key1", "key2", F.coalesce("component", "node").alias("component")), "heads")
+    firsts = nodes.select(F.col("node").alias("component"), F.col("doc_id").alias("head"))
+    heads = nodes.select("key1", "key2", "node", "doc_id").join(group, "node", "left").join(firsts, "component", "left")
+    heads = written(heads.select("key1", "key2", F.coalesce("head", "doc_id").alias("component")), "heads")
     return (
         found.drop("bands")
         .join(heads, ["key1", "key2"], "left")
@@ -251,11 +262,29 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: int = 80) -> Da
 def without_near_duplicates(docs: DataFrame, words: int = 5, similarity: int = 80) -> DataFrame:
     """Rows of ``docs`` that are kept by ``near_duplicates``, with all their columns.
 
-    Rows without an id stay; rows that repeat an id stay or go by the texts of that id, all of which
-    must be near-duplicates of earlier documents for them to go.
+    Rows without an id stay; of rows that repeat an id with different texts, each stays or goes by its own.
     """
-    judged = near_duplicates(docs, words, similarity).filter("doc_id IS NOT NULL")
-    dropped = written(
-        judged.groupBy("doc_id").agg(F.max("kept").alias("kept")).filter("NOT kept").select("doc_id"), "dropped"
-    )
-    return docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
+    rows = judged(docs, words, similarity).filter("doc_id IS NOT NULL")
+    rows = written(rows.select("doc_id", "key1", "key2", "kept").distinct(), "judged")
+    by_id = rows.groupBy("doc_id").agg(F.max("kept").alias("some"), F.min("kept").alias("every"))
+    by_id = written(by_id.filter("NOT every"), "dropped")
+    kept = docs.join(by_id.select("doc_id"), "doc_id", "left_anti").select(*docs.columns)
+    mixed = by_id.filter("some").select("doc_id")
+    if mixed.isEmpty():
+        return kept
+    # Ids with texts of both kinds: their rows are told apart by the fingerprints of their texts.
+    names = [f"__{i}" for i in range(len(docs.columns))]
+    texts = docs.join(mixed, "doc_id", "left_semi").select(*docs.columns, "text").toDF(*names, "text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches, "text"):
+            key1, key2 = set_keys(*shingle_sets(raw_texts(part), words))
+            yield pa.RecordBatch.from_arrays(
+                [*(part.column(c) for c in names), pa.array(key1), pa.array(key2)], names=[*names, "key1", "key2"]
+            )
+
+    schema = T.StructType([*texts.drop("text").schema.fields, T.StructField("key1", T.LongType()), T.StructField("key2", T.LongType())])
+    at = names[docs.columns.index("doc_id")]
+    gone = rows.filter("NOT kept").select(F.col("doc_id").alias(at), "key1", "key2")
+    rest = texts.mapInArrow(run, schema).join(gone, [at, "key1", "key2"], "left_anti")
+    return kept.union(rest.select(*names).toDF(*docs.columns))
