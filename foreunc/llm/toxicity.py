@@ -19,16 +19,21 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from foreunc.llm.common import lists, raw_texts, slices, written
+from foreunc.llm.common import raw_texts, slices, written
 
 BUCKETS = 1 << 17
 PREFIX = 4
 DIMS = 8
 WIDTHS = (1, 2, 3)
 FILTERS = 8
-#: Bound of the sample that weights are fitted on: labelled rows of each class, the first by hash of
-#: doc_id. Words by language are counted, and thresholds set, on all rows.
+#: Bound of the sample that weights are fitted on: labelled texts of each class, the first by hash that fit
+#: in so many rows and bytes. Words by language are counted, and thresholds set, on all rows.
 TRAIN_ROWS = 2_000
+TRAIN_BYTES = 1 << 23
+#: Languages with labels of both classes that get a threshold of their own, those of most labelled rows first.
+LANGUAGES = 64
+#: Labels, under 50 bytes each, up to which they are broadcast; above it they are joined by a shuffle.
+BROADCAST_ROWS = 1_000_000
 EPOCHS = 6
 STEP = 0.02
 #: Share of the sample that takes no part in the fit, so that small corpora have rows for thresholds too.
@@ -62,19 +67,20 @@ def bucket_pairs(texts: list[bytes], buckets: WordBuckets) -> tuple[np.ndarray,
 
 
 def bucketed(docs: DataFrame, keep: list[str]) -> DataFrame:
-    """``keep`` and ``buckets``, the pairs of buckets of the whole text in turn."""
+    """``keep`` and ``buckets``, the pairs of buckets of the whole text in turn, as the bytes of 32-bit numbers."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = WordBuckets()
         for part in slices(batches, "text"):
             pairs, counts = bucket_pairs(raw_texts(part), cache)
+            ends = np.cumsum(counts)
+            found = [pairs[e - c : e].tobytes() for e, c in zip(ends, counts, strict=True)]
             yield pa.RecordBatch.from_arrays(
-                [*(part.column(c) for c in keep), lists(pairs.ravel(), 2 * counts, pa.int32())],
-                names=[*keep, "buckets"],
+                [*(part.column(c) for c in keep), pa.array(found, pa.binary())], names=[*keep, "buckets"]
             )
 
     kinds = ", ".join(f"{c} {docs.schema[c].dataType.simpleString()}" for c in keep)
-    return docs.select(*keep, "text").mapInArrow(run, f"{kinds}, buckets array<int>")
+    return docs.select(*keep, "text").mapInArrow(run, f"{kinds}, buckets binary")
 
 
 @dataclass
@@ -159,14 +165,39 @@ class Classifier:
         return 1 / (1 + np.exp(-np.clip(shifted.astype(np.float64), -30, 30)))
 
 
-def _class_counts(sample: list) -> np.ndarray:
+def _class_counts(texts: list[np.ndarray], marked: np.ndarray) -> np.ndarray:
     """Documents of each class with each bucket."""
     toxic = np.zeros((2, BUCKETS))
-    for r in sample:
-        toxic[r.toxic, np.unique(np.array(r.buckets, dtype=np.int64))] += 1
+    for pairs, mark in zip(texts, marked, strict=True):
+        toxic[mark, np.unique(pairs)] += 1
     return toxic
 
 
+def _sample(docs: DataFrame, labelled: DataFrame) -> tuple[list, list[np.ndarray], np.ndarray]:
+    """Ids, buckets and marks of the sample; only its hashes are sorted, then its texts are read."""
+    chosen = []
+    for mark in (0, 1):
+        first = labelled.filter(F.col("toxic") == mark).groupBy("hash", "doc_id").agg(F.max("bytes").alias("bytes"))
+        room = TRAIN_BYTES
+        for r in first.orderBy("hash", "doc_id").limit(TRAIN_ROWS).collect():
+            if r.bytes <= room:
+                room -= r.bytes
+                chosen.append((r.doc_id, r.hash, mark))
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    rows = docs.sparkSession.createDataFrame(chosen, f"doc_id {kind}, hash bigint, toxic int")
+    keyed = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("hash"))
+    texts = keyed.join(F.broadcast(rows), ["doc_id", "hash"]).dropDuplicates(["doc_id", "hash"])
+    found = bucketed(texts, ["doc_id", "hash", "toxic"]).toArrow().combine_chunks()
+    ids, hashes = found["doc_id"].to_pylist(), found["hash"].to_pylist()
+    order = sorted(range(len(ids)), key=lambda i: (zlib.crc32(str(ids[i]).encode()), str(ids[i]), hashes[i]))
+    buckets = found["buckets"]
+    return (
+        [ids[i] for i in order],
+        [np.frombuffer(buckets[i].as_py(), dtype=np.int32).reshape(-1, 2) for i in order],
+        found["toxic"].to_numpy().astype(np.int64)[order],
+    )
+
+
 def _spoken(docs: DataFrame, languages: list[str]) -> np.ndarray:
     """Log share of each language's documents with each bucket, over all rows of ``docs`` (text, lang).
 
@@ -204,12 +235,13 @@ def train(docs: DataFrame, labels: DataFrame, usable: Column, seed: int = 11) ->
     """Fit on rows of ``docs`` (doc_id, text, lang) that ``labels`` (doc_id, toxic) marks.
 
     Rows with a null id, another label than 0 or 1, or outside ``usable`` (a condition on doc_id) are
-    left out; of contradicting labels of one id the greater one counts. Weights are fitted on a sample,
-    the first TRAIN_ROWS ids of each class by hash, so it is bounded and its ids are broadcast. The
-    words of each language are counted over all usable rows of ``docs``, and all labelled rows that
-    the fit didn't see are scored for the thresholds. Without rows of both classes the classifier scores
-    every text below one half. ``lang`` only tells languages apart in training; languages without
-    labels of both classes are one, as they share the common threshold.
+    left out; of contradicting labels of one id the greater one counts. Weights are fitted on a sample of
+    up to TRAIN_ROWS texts and TRAIN_BYTES bytes of each class, a text that doesn't fit any more being
+    passed over, whose ids are broadcast. The words of each language are counted over all usable rows of
+    ``docs``, and all labelled rows that the fit didn't see are scored for the thresholds. Without texts
+    of both classes the classifier scores every text below one half. ``lang`` only tells languages apart
+    in training; languages without labels of both classes, and those beyond LANGUAGES, are one, as they
+    share the common threshold.
     """
     marks = (
         labels.select("doc_id", F.col("toxic").cast("int").alias("toxic"))
@@ -217,26 +249,20 @@ def train(docs: DataFrame, labels: DataFrame, usable: Column, seed: int = 11) ->
         .groupBy("doc_id")
         .agg(F.max("toxic").alias("toxic"))
     )
+    marks = written(marks, "marks")
     rows = np.zeros(2)
     for r in marks.groupBy("toxic").count().collect():
         rows[r.toxic] = r["count"]
-    chosen = [
-        marks.filter(F.col("toxic") == mark).orderBy(F.xxhash64("doc_id"), "doc_id").limit(TRAIN_ROWS)
-        for mark in (0, 1)
-    ]
+    if rows.sum() <= BROADCAST_ROWS:
+        marks = F.broadcast(marks)
     lang = F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("lang")
-    sample = bucketed(
-        docs.select("doc_id", "text", lang).join(F.broadcast(chosen[0].union(chosen[1])), "doc_id"),
-        ["doc_id", "toxic", "lang"],
-    ).collect()
-    sample.sort(key=lambda r: (zlib.crc32(str(r.doc_id).encode()), r.doc_id, len(r.buckets), r.buckets))
-    texts = [np.array(r.buckets, dtype=np.int32).reshape(-1, 2) for r in sample]
-    marked = np.array([r.toxic for r in sample], dtype=np.int64)
-    toxic = _class_counts(sample)
-    both = (
-        docs.select("doc_id", lang).join(marks, "doc_id").groupBy("lang")
-        .agg(F.min("toxic").alias("low"), F.max("toxic").alias("high")).filter("low < high")
-    )
+    size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("bigint").alias("bytes")
+    keys = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("hash"), size, lang)
+    labelled = written(keys.join(marks, "doc_id"), "labelled")
+    ids, texts, marked = _sample(docs, labelled)
+    toxic = _class_counts(texts, marked)
+    both = labelled.groupBy("lang").agg(F.min("toxic").alias("low"), F.max("toxic").alias("high"), F.count("*").alias("n"))
+    both = both.filter("low < high").orderBy(F.desc("n"), "lang").limit(LANGUAGES)
     languages = sorted(r.lang for r in both.collect())
     own = docs.select("doc_id", "text", lang).filter(F.col("doc_id").isNotNull() & usable)
     spoken = _spoken(own.select("text", "lang"), languages) if len(set(marked.tolist())) == 2 else np.zeros((BUCKETS, 1))
@@ -260,10 +286,11 @@ def train(docs: DataFrame, labels: DataFrame, usable: Column, seed: int = 11) ->
     for f in model.filters:
         f[:, 0, 0] = 1.0
     model.output[::FILTERS] = 1.0
-    back = np.arange(len(sample)) % HELD_BACK == 0
+    back = np.arange(len(texts)) % HELD_BACK == 0
     _descend(model, [t for t, b in zip(texts, back, strict=True) if not b], marked[~back], draw)
-    fitted = sorted({r.doc_id for r, b in zip(sample, back, strict=True) if not b})
-    _calibrate(model, own.select("doc_id", "text"), marks, fitted, rows)
+    fitted = sorted({i for i, b in zip(ids, back, strict=True) if not b})
+    del texts
+    _calibrate(model, own.select("doc_id", "text").join(marks, "doc_id"), fitted, rows)
     return model
 
 
@@ -313,12 +340,12 @@ def _descend(model: Classifier, texts: list[np.ndarray], marks: np.ndarray, draw
                 step("embedding", model.embedding, gradient, where)
 
 
-def _calibrate(model: Classifier, docs: DataFrame, marks: DataFrame, fitted: list, rows: np.ndarray) -> None:
-    """Per language: the cut of fewest errors on all labelled rows but the fitted ones, weighed to the classes' true shares.
+def _calibrate(model: Classifier, labelled: DataFrame, fitted: list, rows: np.ndarray) -> None:
+    """Per language: the cut of fewest errors on all of ``labelled`` (doc_id, text, toxic) but the fitted ids, weighed to the classes' true shares.
 
     Ties go to the middle of the widest gap; a language without both classes takes the cut of all.
     """
-    spark = docs.sparkSession
+    spark = labelled.sparkSession
     shared = spark.sparkContext.broadcast(dict(vars(model)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -327,21 +354,23 @@ def _calibrate(model: Classifier, docs: DataFrame, marks: DataFrame, fitted: lis
         for part in slices(batches, "text"):
             pairs, counts = bucket_pairs(raw_texts(part), cache)
             logit = model.logits(model.pooled(pairs, counts, tables)).astype(np.float64)
-            columns = [part.column("doc_id"), pa.array(model.language(pairs, counts)), pa.array(logit)]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "spoken", "logit"])
+            columns = [pa.array(model.language(pairs, counts)), pa.array(logit)]
+            yield pa.RecordBatch.from_arrays(
+                [*columns, part.column("toxic"), part.column("fitted")], names=["spoken", "logit", "toxic", "fitted"]
+            )
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
+    kind = labelled.schema["doc_id"].dataType.simpleString()
     seen = spark.createDataFrame([(i,) for i in fitted], f"doc_id {kind}").withColumn("fitted", F.lit(True))
-    # The logits alone are shuffled to meet the labels, not the texts.
     scored = (
-        docs.mapInArrow(run, f"doc_id {kind}, spoken bigint, logit double")
-        .join(marks, "doc_id")
-        .join(F.broadcast(seen), "doc_id", "left")
-        .select(F.explode(F.array("spoken", F.lit(-1))).alias("spoken"), "logit", "toxic", F.coalesce("fitted", F.lit(False)).alias("fitted"))
+        labelled.join(F.broadcast(seen), "doc_id", "left")
+        .select("text", "toxic", F.coalesce("fitted", F.lit(False)).alias("fitted"))
+        .mapInArrow(run, "spoken bigint, logit double, toxic int, fitted boolean")
+        .select(F.explode(F.array("spoken", F.lit(-1))).alias("spoken"), "logit", "toxic", "fitted")
         .groupBy("spoken", "logit", "fitted")
         .agg(F.sum("toxic").alias("toxic"), F.sum(1 - F.col("toxic")).alias("clean"))
     )
     scored = written(scored, "logits")
+    shared.destroy()
     common = cuts(scored.filter("NOT fitted"), rows)
     if -1 not in common:
         common = cuts(scored.groupBy("spoken", "logit").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")), rows)
