@@ -214,7 +214,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: int = 80) -> Da
     they are kept. Repeated rows give repeated results; texts of one id that differ are judged each by
     itself, though they share what the id gives them. Other columns are ignored.
     """
-    return judged(docs, words, similarity).drop("key1", "key2")
+    return judged(docs, words, similarity).select("doc_id", "n_shingles", "component_id", "kept")
 
 
 def judged(docs: DataFrame, words: int, similarity: int) -> DataFrame:
@@ -254,6 +254,8 @@ def judged(docs: DataFrame, words: int, similarity: int) -> DataFrame:
             F.when(F.col("n_shingles") > 0, F.when(F.col("doc_id").isNotNull(), F.col("component")))
             .otherwise(F.col("doc_id"))
             .alias("component_id"),
+            "key1",
+            "key2",
         )
         .withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
     )

@@ -78,6 +78,20 @@ def test_links_between_components_of_a_bucket_count(spark, monkeypatch, small):
     assert sorted(map(tuple, neardup.near_duplicates(docs, 2).collect()), key=repr) == brute(rows, 2)
 
 
+def test_texts_of_one_id_are_judged_each(spark):
+    draw = random.Random(3)
+    words = lambda: [f"w{draw.randrange(10**6)}" for _ in range(60)]
+    a, other = words(), words()
+    near = [*a[:-1], "changed"]
+    rows = [(1, a, 0), (5, near, 1), (5, other, 2), (5, other, 3), (7, [*other[:-1], "new"], 4), (None, a, 5), (6, None, 6)]
+    docs = spark.createDataFrame([(i, t and " ".join(t), n) for i, t, n in rows], "doc_id bigint, text string, key1 int")
+    got = neardup.near_duplicates(docs, 2).select("doc_id", "component_id", "kept").collect()
+    want = [(1, 1, True), (5, 1, False), (5, 5, True), (5, 5, True), (7, 5, False), (None, None, True), (6, 6, True)]
+    assert sorted(map(tuple, got), key=repr) == sorted(want, key=repr)
+    kept = neardup.without_near_duplicates(docs, 2)
+    assert kept.columns == docs.columns and sorted(r.key1 for r in kept.collect()) == [0, 2, 3, 5, 6]
+
+
 def test_components_of_random_graphs(spark):
     draw = random.Random(9)
     links = [(draw.randrange(300), draw.randrange(300)) for _ in range(220)] + [(i, i + 1) for i in range(400, 460)]
