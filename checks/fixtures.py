@@ -176,6 +176,8 @@ MONTHLY = """monthly AS (
 ORIGIN, MONTHS, SERIES_SAMPLES = "2000-11-01", 12, 1000
 FIRST_MONTH = "2000-12-01"
 LINES = 7
+#: Initial state, mean and sd, of a series that wasn't fitted.
+MONTH_IC = (190.0, 6.0)
 
 
 def monthly_drivers(spark: SparkSession, sf: str) -> DataFrame:
@@ -217,6 +219,8 @@ def lag_spec(spark: SparkSession, sf: str) -> DesignSpec:
     )
 
 
+#: Rows drawn from each date's ensemble, and groups of users that count as a zone.
+DATE_SAMPLES, ZONES = 1000, 5
 #: A day that the driver ensemble is taken to lack.
 GAP_DAY = "2024-01-20"
 

@@ -257,40 +257,49 @@ USED_ROUNDED = ", ".join(rnd(v, v) for v in fx.USED)
 # -- resampling designs ------------------------------------------------------------------------------
 
 DAY = "(datetime - DATE '1970-01-01')"
-BOOTSTRAP = [
-    *BASE,
-    f"""rows_placed AS (SELECT datetime, {", ".join(fx.USED)},
-     row_number() OVER (PARTITION BY datetime ORDER BY parameter) AS pos FROM region_drivers)""",
-    "sizes AS (SELECT datetime, count(*) AS cnt FROM region_drivers GROUP BY 1)",
-    f"""picks AS (SELECT datetime, draw, {draw.index("bootstrap", "cnt", DAY, "draw")} AS pos
-     FROM sizes, range(1, 401) t(draw))""",
-    f"""drawn AS MATERIALIZED (SELECT datetime, draw, {", ".join(fx.USED)}
-     FROM picks JOIN rows_placed USING (datetime, pos))""",
-]
-
 SHUFFLED = [*fx.USED, "parameter_seed"]
 
 
-def _shuffle(c: str) -> str:
-    u = draw.uniform(f"shuffle:{c}", DAY, "parameter_seed")
-    return f"""shuffled_{c} AS (SELECT datetime, CAST({c} AS DOUBLE) AS b_{c},
-     row_number() OVER (PARTITION BY datetime ORDER BY {u}) AS sample_id
-     FROM seeded WHERE parameter_seed > 200)"""
-
-
-PAIR = [
-    *BOOTSTRAP,
-    f"""seeded AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY datetime
-     ORDER BY {draw.uniform("permutation", DAY, "draw")}) AS parameter_seed FROM drawn)""",
-    *[_shuffle(c) for c in SHUFFLED],
-    "pair AS MATERIALIZED (SELECT datetime, parameter_seed AS sample_id, "
-    + ", ".join(f"CAST({c} AS DOUBLE) AS a_{c}" for c in SHUFFLED)
-    + ", "
-    + ", ".join(f"b_{c}" for c in SHUFFLED)
-    + " FROM (SELECT *, parameter_seed AS sample_id FROM seeded WHERE parameter_seed <= 200) "
-    + " ".join(f"JOIN shuffled_{c} USING (datetime, sample_id)" for c in SHUFFLED)
-    + ")",
-]
+def bootstrap(source: str, group: str, keys: list[str]) -> list[str]:
+    """``DATE_SAMPLES`` rows of each group drawn with replacement; ``keys`` are the draws' group keys."""
+    return [
+        f"""rows_placed AS (SELECT {group}, {", ".join(fx.USED)},
+     row_number() OVER (PARTITION BY {group} ORDER BY parameter) AS pos FROM {source})""",
+        f"sizes AS (SELECT {group}, count(*) AS cnt FROM {source} GROUP BY {group})",
+        f"""picks AS (SELECT {group}, draw, {draw.index("bootstrap", "cnt", *keys, "draw")} AS pos
+     FROM sizes, range(1, {fx.DATE_SAMPLES + 1}) t(draw))""",
+        f"""drawn AS MATERIALIZED (SELECT {group}, draw, {", ".join(fx.USED)}
+     FROM picks JOIN rows_placed USING ({group}, pos))""",
+    ]
+
+
+def date_pair(source: str, group: str, keys: list[str]) -> list[str]:
+    """Both halves of each group's draws, the columns of the second shuffled."""
+    half = fx.DATE_SAMPLES // 2
+
+    def shuffle(c: str) -> str:
+        u = draw.uniform(f"shuffle:{c}", *keys, "parameter_seed")
+        return f"""shuffled_{c} AS (SELECT {group}, CAST({c} AS DOUBLE) AS b_{c},
+     row_number() OVER (PARTITION BY {group} ORDER BY {u}) AS sample_id
+     FROM seeded WHERE parameter_seed > {half})"""
+
+    return [
+        *bootstrap(source, group, keys),
+        f"""seeded AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY {group}
+     ORDER BY {draw.uniform("permutation", *keys, "draw")}) AS parameter_seed FROM drawn)""",
+        *[shuffle(c) for c in SHUFFLED],
+        f"pair AS MATERIALIZED (SELECT {group}, parameter_seed AS sample_id, "
+        + ", ".join(f"CAST({c} AS DOUBLE) AS a_{c}" for c in SHUFFLED)
+        + ", "
+        + ", ".join(f"b_{c}" for c in SHUFFLED)
+        + f" FROM (SELECT *, parameter_seed AS sample_id FROM seeded WHERE parameter_seed <= {half}) "
+        + " ".join(f"JOIN shuffled_{c} USING ({group}, sample_id)" for c in SHUFFLED)
+        + ")",
+    ]
+
+
+BOOTSTRAP = [*BASE, *bootstrap("region_drivers", "datetime", [DAY])]
+PAIR = [*BASE, *date_pair("region_drivers", "datetime", [DAY])]
 
 
 def _linear(choice: dict[str, str]) -> str:
@@ -300,6 +309,16 @@ def _linear(choice: dict[str, str]) -> str:
     return f"{t} * 2.0::DOUBLE + {t} * {r} / 50.0::DOUBLE + {z}"
 
 
+ZONE_DRIVERS = f"""zone_drivers AS (
+  SELECT * FROM (
+    SELECT CAST(substr(site_id, 2) AS INT) % {fx.ZONES} AS zone, CAST(datetime AS DATE) datetime, parameter,
+           avg(CASE WHEN variable = 'air_temperature' THEN prediction END) - {fx.KELVIN_OFFSET} air_temperature,
+           avg(CASE WHEN variable = 'relative_humidity' THEN prediction END) relative_humidity
+    FROM readings WHERE CAST(datetime AS DATE) >= DATE '{fx.FORECAST_DATE}'
+      AND variable IN ('air_temperature', 'relative_humidity') GROUP BY 1, 2, 3)
+  WHERE air_temperature IS NOT NULL AND relative_humidity IS NOT NULL)"""
+
+
 def sobol_rows(source: str, group: str, y: dict[str, str], blocks: list[str]) -> str:
     """Indices of a column model: ``y`` maps variant to expression."""
     columns = ", ".join(f"{e} AS y_{n}" for n, e in y.items())
@@ -594,6 +613,14 @@ ORACLES: dict[str, str] = {
       CASE input WHEN 'parameter_seed' THEN 'tree_uncertainty' ELSE input END AS input,
       first_order, total_order,
       CASE WHEN input = 'parameter_seed' THEN 1 ELSE 0 END AS input_order FROM found""",
+    "sobol_by_site_and_date": with_(
+        fx.READINGS, ZONE_DRIVERS, *date_pair("zone_drivers", "zone, datetime", ["zone", DAY]),
+        sobol_rows("pair", "zone, datetime", {n: _linear(c) for n, c in _choices(_DATE_BLOCKS).items()}, SHUFFLED),
+    )
+    + """SELECT zone, datetime,
+      CASE input WHEN 'parameter_seed' THEN 'tree_uncertainty' ELSE input END AS input,
+      first_order, total_order,
+      CASE WHEN input = 'parameter_seed' THEN 1 ELSE 0 END AS input_order FROM found""",
     "sobol_order_values": with_(
         ORDER_PAIR,
         sobol_rows(

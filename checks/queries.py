@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import dataclasses
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 from checks import fixtures as fx
 from foreunc.functions import scalar
 from foreunc.functions.random import Draws
-from foreunc.operators import attribution, design, evaluate, forest, many, prepare, propagate, ranking
+from foreunc.operators import attribution, design, effects, evaluate, forest, many, prepare, propagate, ranking
 from foreunc.operators import series
 from foreunc.plans import ar_forecast, forest_forecast
 from foreunc.sources import tables
@@ -307,13 +308,13 @@ def process_noise(spark, sf):
 @query()
 def bootstrapped_ensemble(spark, sf):
     return design.bootstrap_rows(
-        fx.region_drivers(spark, sf), "datetime", ["parameter"], USED, 400, DRAWS
+        fx.region_drivers(spark, sf), "datetime", ["parameter"], USED, fx.DATE_SAMPLES, DRAWS
     )
 
 
 @query()
 def shuffled_halves(spark, sf):
-    return forest_forecast.date_designs(fx.region_drivers(spark, sf), USED, 400, DRAWS)
+    return forest_forecast.date_designs(fx.region_drivers(spark, sf), USED, fx.DATE_SAMPLES, DRAWS)
 
 
 @query()
@@ -414,14 +415,24 @@ def one_at_a_time_daily_signal(spark, sf):
 
 @query()
 def sobol_by_date_linear(spark, sf):
-    pair = forest_forecast.date_designs(fx.region_drivers(spark, sf), USED, 400, DRAWS)
+    pair = forest_forecast.date_designs(fx.region_drivers(spark, sf), USED, fx.DATE_SAMPLES, DRAWS)
+    return forest_forecast.sobol_by_date(pair, USED, _linear_model)
 
-    def model(df, inputs, out):
-        t, r = F.col(inputs["air_temperature"]), F.col(inputs["relative_humidity"])
-        z = DRAWS.normal("predictive", inputs["parameter_seed"])
-        return df.withColumn(out, t * 2.0 + t * r / 50.0 + z)
 
-    return forest_forecast.sobol_by_date(pair, USED, model)
+def _linear_model(df, inputs, out):
+    t, r = F.col(inputs["air_temperature"]), F.col(inputs["relative_humidity"])
+    z = DRAWS.normal("predictive", inputs["parameter_seed"])
+    return df.withColumn(out, t * 2.0 + t * r / 50.0 + z)
+
+
+@query()
+def sobol_by_site_and_date(spark, sf):
+    """The same for every zone (a group of users) and date, all in one plan."""
+    readings = prepare.future(fx.driver_readings(spark, sf), fx.FORECAST_DATE)
+    zone = (F.substring("site_id", 2, 10).cast("int") % fx.ZONES).alias("zone")
+    drivers = ar_forecast.daily_drivers(readings.select("*", zone), USED, keys=("zone", "parameter"), strict=False)
+    pair = forest_forecast.date_designs(drivers.na.drop("any"), USED, fx.DATE_SAMPLES, DRAWS, time=["zone", "datetime"])
+    return forest_forecast.sobol_by_date(pair, USED, _linear_model, time=["zone", "datetime"])
 
 
 @query()
@@ -517,6 +528,14 @@ def skill_spline(spark, sf):
     )
 
 
+@query()
+def skill_by_site(spark, sf):
+    """Skill over lead with a level for each site, a factor for parity of the lead."""
+    scored = _site_scores(spark, sf).withColumn("even", F.col("lead") % 2 == 0)
+    _, smooth = evaluate.skill_curve(scored, within=["site_id"], categories=["even"], penalties=[0.0])
+    return smooth.select("site_id", "lead", "crps", "smooth")
+
+
 @query()
 def error_across_spread(spark, sf):
     scored = _site_scores(spark, sf).withColumn("spread", F.col("q975") - F.col("q025"))
@@ -655,6 +674,41 @@ def series_one_at_a_time(spark, sf):
     return _series_job(many.one_at_a_time_of_series, spark, sf, frozen)
 
 
+@query()
+def random_effect_variances(spark, sf):
+    """How the coefficients of all series vary, beyond their sampling variance."""
+    return effects.effect_variances(_series_states(spark, sf)[0], MONTH_KEYS)
+
+
+@query()
+def shrunken_coefficients(spark, sf):
+    return effects.shrunken_coefficients(_series_states(spark, sf)[0], MONTH_KEYS)
+
+
+@query(digits=5)
+def random_effect_sobol(spark, sf):
+    """Sobol indices of a series that wasn't fitted, its random effects and errors of observation among the sources."""
+    names = many.parameter_names(1, MONTH_X)
+    fits, _ = _series_states(spark, sf)
+    sigma2 = fits.agg(F.avg("sigma2")).first()[0]
+    spec = ar_forecast.population_spec(
+        effects.effect_variances(fits, MONTH_KEYS), names, fx.MONTH_IC[0], fx.MONTH_IC[1], 0.8 * sigma2, fx.LINES,
+        fx.SERIES_SAMPLES,
+    )
+    spec = dataclasses.replace(spec, observation_sigma2=0.2 * sigma2)
+    drivers = fx.monthly_drivers(spark, sf).where(F.col("datetime") >= F.lit(fx.FIRST_MONTH).cast("date"))
+    ids = spark.range(1, fx.SERIES_SAMPLES + 1).withColumnRenamed("id", "sample_id")
+    return ar_forecast.sobol_of_ar_model(ids, spec, DRAWS, drivers, MONTH_X, fx.MONTHS, step="month")
+
+
+@query()
+def observation_error_split(spark, sf):
+    """Process and observation error of every series, by likelihood."""
+    monthly = fx.monthly_series(spark, sf).where(F.col("datetime") < F.lit(fx.ORIGIN).cast("date"))
+    fits, _ = _series_states(spark, sf)
+    return effects.error_split(monthly, fits, MONTH_KEYS, "y", MONTH_X, step="month")
+
+
 # -- recursions of several lags, drivers by the calendar -------------------------------------------
 
 
@@ -744,9 +798,10 @@ def forest_importance(spark, sf):
     return prepare.widen(rows, ["model"], PREDICTORS, value="importance", prefix="importance_")
 
 
-def _bagged(spark, sf, trees=6):
-    return forest.BaggedTrees.fit(
-        _training(spark, sf), "gcc_90", PREDICTORS, DRAWS, "row_id", trees, mtry=2, min_n=5, depth=3
+def _bagged(spark, sf):
+    """500 trees of any depth, in 50 groups."""
+    return forest.LittleBags.fit(
+        _training(spark, sf), "gcc_90", PREDICTORS, DRAWS, "row_id", mtry=2, min_n=5, parallelism=8
     )
 
 
@@ -765,10 +820,10 @@ def forest_ensemble_forecast(spark, sf):
 
 @query()
 def forest_sobol_by_date(spark, sf):
-    model = _bagged(spark, sf, trees=4)
+    model = _bagged(spark, sf)
     drivers = fx.monthly_means(spark, sf, ["l_linenumber"])
     pair = forest_forecast.date_designs(
-        drivers, PREDICTORS, 200, DRAWS, order=["l_linenumber"]
+        drivers, PREDICTORS, fx.DATE_SAMPLES, DRAWS, order=["l_linenumber"]
     )
     return forest_forecast.forest_sobol_by_date(pair, PREDICTORS, model, DRAWS, clamp=True)
 

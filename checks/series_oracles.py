@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from checks import fixtures as fx
 from checks import sqltext as draw
-from checks.oracles import BASE, INDICES, NOISE_ROWS, LAGGED, NOISE, design, forcing, regression, rnd, rss, with_
+from checks.oracles import BASE, INDICES, LAGGED, NOISE, NOISE_ROWS, SITE_SCORES, design, forcing, regression, rnd, rss, with_
 from foreunc.operators.design import HALF_WIDTH_68
 
 # -- fits with their covariance ------------------------------------------------------------------
@@ -237,6 +237,105 @@ LAG_PATH = f"""path AS (
 forecast AS MATERIALIZED (
   SELECT sample_id, variant, p.lead, p.x + d.intercept AS y FROM path p JOIN variants d USING (sample_id, variant))"""
 
+# -- random effects, errors of observation, skill by site -----------------------------------------
+
+TERMS = "terms AS (" + " UNION ALL ".join(
+    f"SELECT series_id, '{name}' AS term, {value} AS coef, v{i}{i} AS variance FROM vcov"
+    for i, (name, value) in enumerate(zip(NAMES, ["b_lag1", "a / gap", "b_x1", "b_x2"]), 1)
+) + ")"
+EFFECTS = """effects AS MATERIALIZED (
+  SELECT term, count(*) AS n_series, avg(coef) AS mean, greatest(var_samp(coef) - avg(variance), 0) AS between_var, avg(variance) AS within
+  FROM terms GROUP BY 1)"""
+
+
+def population_design(tag: str) -> str:
+    columns = []
+    for i, name in enumerate(NAMES):
+        of = f"(SELECT {{}} FROM effects WHERE term = '{name}')"
+        mean, sd = of.format("mean"), of.format("sqrt((between_var + within) / n_series)")
+        columns.append(f"{mean} + {sd} * {draw.normal(f'param:{tag}:{i}', 'sample_id')} AS {name}")
+        columns.append(f"{of.format('sqrt(between_var)')} * {draw.normal(f'effect:{tag}:{name}', 'sample_id')} AS u_{name}")
+    mean, sd = fx.MONTH_IC
+    columns.append(f"{mean!r}::DOUBLE + {sd!r}::DOUBLE * {draw.normal(f'ic:{tag}:ic', 'sample_id')} AS ic")
+    columns.append(f"{draw.index(f'member:{tag}', fx.LINES, 'sample_id')} AS member")
+    for column, purpose in (("noise_id", "noise_row"), ("obs_id", "observation_row")):
+        drawn = "sample_id" if tag == "a" else draw.index(f"{purpose}:{tag}", fx.SERIES_SAMPLES, "sample_id")
+        columns.append(f"{drawn} AS {column}")
+    return f"design_{tag} AS MATERIALIZED (SELECT sample_id, {', '.join(columns)} FROM range(1, {fx.SERIES_SAMPLES + 1}) t(sample_id))"
+
+
+EFFECT_INPUTS = [*NAMES, *(f"u_{n}" for n in NAMES), "ic", "member", "noise_id", "obs_id"]
+EFFECT_BLOCKS = {
+    **{n: [n] for n in [*NAMES, "ic"]}, "random_effect": [f"u_{n}" for n in NAMES], "member": ["member"],
+    "noise": ["noise_id"], "observation": ["obs_id"],
+}
+
+
+def effect_variants() -> str:
+    parts = [f"SELECT sample_id, '{t}' AS variant, {', '.join(EFFECT_INPUTS)} FROM design_{t}" for t in ("a", "b")]
+    for block, columns in EFFECT_BLOCKS.items():
+        picked = ", ".join(f"{'b' if c in columns else 'a'}.{c}" for c in EFFECT_INPUTS)
+        parts.append(f"SELECT sample_id, 'ab_{block}', {picked} FROM design_a a JOIN design_b b USING (sample_id)")
+    return "variants AS MATERIALIZED (" + " UNION ALL ".join(parts) + ")"
+
+
+POPULATION_FORCING = SERIES_FORCING.replace("series_id, ", "").replace(
+    "FROM monthly_drivers", f"FROM monthly_drivers WHERE datetime >= DATE '{fx.FIRST_MONTH}'"
+).replace("GROUP BY 1, 2)", "GROUP BY 1)")
+
+
+def errors(name: str, purpose: str, share: float) -> str:
+    return f"""{name} AS MATERIALIZED (
+  SELECT id, lead, sqrt({share} * (SELECT avg(sigma2) FROM solved)) * {draw.normal(purpose, "id", "lead")} AS eps
+  FROM range(1, {fx.SERIES_SAMPLES + 1}) s(id), range(1, {fx.MONTHS + 1}) t(lead))"""
+
+
+POPULATION_PATH = f"""path AS (
+  SELECT sample_id, variant, CAST(0 AS BIGINT) AS lead, ic - intercept - u_intercept AS x FROM variants
+  UNION ALL
+  SELECT p.sample_id, p.variant, p.lead + 1,
+         (d.ar1 + d.u_ar1) * p.x + e.eps + (d.b_x1 + d.u_b_x1) * f.x1 + (d.b_x2 + d.u_b_x2) * f.x2
+  FROM path p JOIN variants d ON p.sample_id = d.sample_id AND p.variant = d.variant
+  JOIN forcing f ON f.member = d.member AND f.lead = p.lead + 1
+  JOIN noise e ON e.id = d.noise_id AND e.lead = p.lead + 1
+  WHERE p.lead < {fx.MONTHS}),
+forecast AS MATERIALIZED (
+  SELECT p.sample_id, p.variant, p.lead, p.x + d.intercept + d.u_intercept + coalesce(o.eps, 0) AS y
+  FROM path p JOIN variants d USING (sample_id, variant) LEFT JOIN observation o ON o.id = d.obs_id AND o.lead = p.lead)"""
+
+SPLIT = f"""spans AS MATERIALIZED (
+  SELECT p.series_id, min(datetime) AS first, max(datetime) AS last, avg(x1) AS m1, avg(x2) AS m2,
+         any_value(f.ar1) AS ar1, any_value(f.intercept) AS c, any_value(f.b_x1) AS b1, any_value(f.b_x2) AS b2
+  FROM past p JOIN fitted f USING (series_id) GROUP BY 1),
+dates AS MATERIALIZED (
+  SELECT s.series_id, row_number() OVER (PARTITION BY s.series_id ORDER BY d.at) AS k, p.y - s.c AS y,
+         s.b1 * coalesce(p.x1, s.m1) + s.b2 * coalesce(p.x2, s.m2) AS drift
+  FROM spans s, (SELECT DISTINCT datetime AS at FROM past) d LEFT JOIN past p ON p.series_id = s.series_id AND p.datetime = d.at
+  WHERE d.at BETWEEN s.first AND s.last),
+filter AS (
+  SELECT series_id, CAST(i AS INT) AS pos, i / 10.0::DOUBLE AS r, CAST(0 AS BIGINT) AS k, 0.0::DOUBLE AS m,
+         (1 - i / 10.0::DOUBLE) / greatest(1 - ar1 * ar1, 0.001) AS v, 0 AS n, 0.0::DOUBLE AS squares, 0.0::DOUBLE AS logs
+  FROM spans, range(0, 10) t(i)
+  UNION ALL
+  SELECT series_id, pos, r, k, CASE WHEN e IS NULL THEN ahead ELSE ahead + spread / (spread + r) * e END,
+         CASE WHEN e IS NULL THEN spread ELSE spread * r / (spread + r) END,
+         n + CASE WHEN e IS NULL THEN 0 ELSE 1 END, squares + coalesce(e * e / (spread + r), 0),
+         logs + CASE WHEN e IS NULL THEN 0 ELSE ln(spread + r) END
+  FROM (
+    SELECT f.series_id, f.pos, f.r, f.k + 1 AS k, f.n, f.squares, f.logs, s.ar1 * f.m + d.drift AS ahead,
+           s.ar1 * s.ar1 * f.v + 1 - f.r AS spread, d.y - (s.ar1 * f.m + d.drift) AS e
+    FROM filter f JOIN spans s USING (series_id) JOIN dates d ON d.series_id = f.series_id AND d.k = f.k + 1)),
+rated AS (
+  SELECT series_id, pos, r, n, squares / n AS scale, -0.5 * (n * (ln(squares / n) + 1 + ln(2 * pi())) + logs) AS log_likelihood
+  FROM filter f JOIN (SELECT series_id, max(k) AS k FROM dates GROUP BY 1) USING (series_id, k)),
+best AS (SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY log_likelihood DESC, pos) AS place FROM rated)"""
+
+SKILL = """rated AS (SELECT site_id, lead, crps, CASE WHEN lead % 2 = 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS even FROM scores),
+levels AS (SELECT site_id, avg(crps) AS my, avg(lead) AS ml, avg(even) AS me FROM rated WHERE crps IS NOT NULL GROUP BY 1),
+moved AS (SELECT crps - my AS y, lead - ml AS l, even - me AS e FROM rated JOIN levels USING (site_id) WHERE crps IS NOT NULL),
+sums AS (SELECT sum(l * l) AS ll, sum(l * e) AS le, sum(e * e) AS ee, sum(l * y) AS ly, sum(e * y) AS ey FROM moved),
+slopes AS (SELECT (ly * ee - ey * le) / (ll * ee - le * le) AS bl, (ey * ll - ly * le) / (ll * ee - le * le) AS be FROM sums)"""
+
 # -- leads by the calendar --------------------------------------------------------------------------
 
 
@@ -286,5 +385,22 @@ ORACLES: dict[str, str] = {
         *BASE, lag_design("a"), lag_design("b"), forcing("a", "b"), NOISE, lag_variants(), LAG_PATH, INDICES, recursive=True
     )
     + f"""SELECT lead, input, {rnd("first_order", "first_order")}, {rnd("total_order", "total_order")} FROM indices""",
+    "random_effect_variances": with_(*FITS, TERMS, EFFECTS)
+    + f"""SELECT term, n_series, {rnd("mean", "mean")}, {rnd("between_var", "between")}, {rnd("within", "within")} FROM effects""",
+    "shrunken_coefficients": with_(*FITS, TERMS, EFFECTS)
+    + f"""SELECT series_id, term, {rnd("coef", "coef")}, {rnd("mean + w * (coef - mean)", "shrunken")}, {rnd("sqrt(w * variance)", "se")}
+      FROM (SELECT *, coalesce(between_var / nullif(between_var + variance, 0), 1) AS w FROM terms JOIN effects USING (term))""",
+    "random_effect_sobol": with_(
+        *FITS, TERMS, EFFECTS, fx.MONTHLY_DRIVERS, population_design("a"), population_design("b"), POPULATION_FORCING,
+        errors("noise", "noise", 0.8), errors("observation", "observation", 0.2), effect_variants(), POPULATION_PATH, INDICES,
+        recursive=True,
+    )
+    + f"""SELECT CAST(lead AS INT) AS lead, input, {rnd("first_order", "first_order", 5)}, {rnd("total_order", "total_order", 5)} FROM indices""",
+    "observation_error_split": with_(*FITS, *_FACTOR_STEPS, SPLIT, recursive=True)
+    + f"""SELECT series_id, CAST(n AS BIGINT) AS n, {rnd("r", "ratio")}, {rnd("scale * (1 - r)", "process_sigma2")},
+      {rnd("scale * r", "observation_sigma2")}, {rnd("log_likelihood", "log_likelihood")} FROM best WHERE place = 1""",
+    "skill_by_site": with_(*SITE_SCORES, SKILL)
+    + f"""SELECT site_id, lead, {rnd("crps", "crps")}, {rnd("my + bl * (lead - ml) + be * (even - me)", "smooth")}
+      FROM rated LEFT JOIN levels USING (site_id), slopes""",
     "forcing_by_calendar": " UNION ALL ".join(calendar_forcing(o) for o in (-1, 0, 1)),
 }

@@ -34,12 +34,21 @@ class DesignSpec:
     noise_rows: int | Column
     #: Initial values, the oldest first; as many as the recursion has lags.
     ic_names: Sequence[str] = field(default=("ic",))
+    #: Standard deviations of the coefficients between series, in the order of ``names``; none for a fitted series.
+    effect_sd: Sequence[float] = ()
+    #: Variance of the error of observation, which adds to the state without entering it.
+    observation_sigma2: float = 0.0
     #: Number of the series whose draws these are, so that many series differ; none for a single one.
     stream: tuple[int, ...] = ()
 
     @property
     def columns(self) -> list[str]:
-        return [*self.names, *self.ic_names, "member", "noise_id"]
+        return [*self.scalars, "member", "noise_id", *(["obs_id"] if self.observation_sigma2 else [])]
+
+    @property
+    def scalars(self) -> list[str]:
+        """Coefficients, random effects (``u_<coefficient>``) and initial values."""
+        return [*self.names, *(f"u_{n}" for n, _ in zip(self.names, self.effect_sd)), *self.ic_names]
 
 
 def normal_draws(
@@ -96,6 +105,8 @@ def design_columns(spec: DesignSpec, draws: Draws, matrix: str, key: str = "samp
     tag = matrix.lower()
     keys = [*(str(number) for number in spec.stream), key]
     out = normal_draws(draws, f"param:{tag}", spec.names, spec.mean, spec.cov, *keys)
+    for name, sd in zip(spec.names, spec.effect_sd):
+        out[f"u_{name}"] = F.lit(float(sd)) * draws.normal(f"effect:{tag}:{name}", *keys)
     for name, mu, sd in zip(spec.ic_names, spec.ic_mean, spec.ic_sd):
         z = draws.normal(f"ic:{tag}:{name}", *keys)
         out[name] = F.lit(float(mu)) + F.lit(float(sd)) * z
@@ -103,6 +114,9 @@ def design_columns(spec: DesignSpec, draws: Draws, matrix: str, key: str = "samp
     out["noise_id"] = (
         F.col(key) if tag == "a" else draws.index(f"noise_row:{tag}", spec.noise_rows, *keys)
     )
+    if spec.observation_sigma2:
+        row = draws.index(f"observation_row:{tag}", spec.noise_rows, *keys)
+        out["obs_id"] = F.col(key) if tag == "a" else row
     return out
 
 
@@ -157,43 +171,60 @@ def row_numbers(
     )
 
 
-def numbered(groups: DataFrame, key: str, size: int, name: str, chunk: int = 100_000) -> DataFrame:
-    """Every row of ``groups`` repeated with numbers 1..size.
+def group_keys(df: DataFrame, groups: Sequence[str]) -> list[str]:
+    """Integer expressions that draws take a group by: days, integers as they are, hashes of others."""
+    kinds = {f.name: f.dataType.typeName() for f in df.schema.fields}
+    whole = ("byte", "short", "integer", "long")
+    return [
+        f"unix_date({g})" if kinds[g] == "date" else f"{g}" if kinds[g] in whole else f"(xxhash64({g}) & {(1 << 62) - 1}L)"
+        for g in groups
+    ]
+
+
+def named_groups(groups: str | Sequence[str]) -> list[str]:
+    """One group column, or several that make a key together."""
+    return [groups] if isinstance(groups, str) else list(groups)
+
+
+def numbered(
+    df: DataFrame, keys: str | Sequence[str], size: int, name: str, chunk: int = 100_000
+) -> DataFrame:
+    """Every row of ``df`` repeated with numbers 1..size.
 
     A long run is cut into chunks that are spread over the cluster before they are written out.
     """
     starts = F.sequence(F.lit(1), F.lit(int(size)), F.lit(chunk))
-    chunked = groups.withColumn("_start", F.explode(starts))
-    chunked = chunked.repartition(key, "_start")
+    chunked = df.withColumn("_start", F.explode(starts))
+    chunked = chunked.repartition(*named_groups(keys), "_start")
     last = F.least(F.col("_start") + (chunk - 1), F.lit(int(size)))
     return chunked.withColumn(name, F.explode(F.sequence(F.col("_start"), last))).drop("_start")
 
 
 def bootstrap_rows(
     rows: DataFrame,
-    group: str,
+    group: str | Sequence[str],
     order: Sequence[str],
     columns: Sequence[str],
     size: int,
     draws: Draws,
 ) -> DataFrame:
-    """``size`` rows per group drawn with replacement.
+    """``size`` rows per group (a date, or a site and date) drawn with replacement.
 
     ``rows`` holds one ensemble per group (a few members); draw ``k`` of a group picks position
     ``floor(u * count) + 1`` and looks the row up by (group, position).
     """
-    day_key = f"unix_date({group})"
-    w = Window.partitionBy(group).orderBy(*order)
-    placed = rows.select(group, *columns, F.row_number().over(w).alias("_pos"))
-    sizes = rows.groupBy(group).agg(F.count(F.lit(1)).alias("_count"))
-    picks = numbered(sizes, group, size, "draw").withColumn(
-        "_pos", draws.index("bootstrap", F.col("_count"), day_key, "draw")
+    groups = named_groups(group)
+    w = Window.partitionBy(*groups).orderBy(*order)
+    placed = rows.select(*groups, *columns, F.row_number().over(w).alias("_pos"))
+    sizes = rows.groupBy(*groups).agg(F.count(F.lit(1)).alias("_count"))
+    picks = numbered(sizes, groups, size, "draw").withColumn(
+        "_pos", draws.index("bootstrap", F.col("_count"), *group_keys(rows, groups), "draw")
     )
-    return picks.join(placed, [group, "_pos"]).drop("_pos", "_count")
+    return picks.join(placed, [*groups, "_pos"]).drop("_pos", "_count")
 
 
 def split_and_shuffle(
-    drawn: DataFrame, group: str, columns: Sequence[str], size: int, draws: Draws
+    drawn: DataFrame, group: str | Sequence[str], columns: Sequence[str], size: int, draws: Draws
 ) -> DataFrame:
     """A/B design from bootstrapped rows, columns ``a_*`` and ``b_*``, key (group, sample_id).
 
@@ -204,13 +235,14 @@ def split_and_shuffle(
     if size % 2:
         raise ValueError("size must be even: both halves need the same number of rows")
     half = size // 2
-    day_key = f"unix_date({group})"
+    groups = named_groups(group)
+    keys = group_keys(drawn, groups)
     seeded = row_numbers(
-        drawn, [group], draws.uniform("permutation", day_key, "draw"), ["draw"], "parameter_seed"
+        drawn, groups, draws.uniform("permutation", *keys, "draw"), ["draw"], "parameter_seed"
     )
     names = [*columns, "parameter_seed"]
     side_a = seeded.where(F.col("parameter_seed") <= half).select(
-        group,
+        *groups,
         F.col("parameter_seed").alias("sample_id"),
         *[F.col(c).cast("double").alias(f"a_{c}") for c in names],
     )
@@ -219,14 +251,14 @@ def split_and_shuffle(
             F.struct(
                 F.lit(c).alias("input"),
                 F.col(c).cast("double").alias("value"),
-                draws.uniform(f"shuffle:{c}", day_key, "parameter_seed").alias("u"),
+                draws.uniform(f"shuffle:{c}", *keys, "parameter_seed").alias("u"),
             )
             for c in names
         ]
     )
-    long_b = seeded.where(F.col("parameter_seed") > half).select(group, "parameter_seed", F.inline(entry))
-    ranked = row_numbers(long_b, [group, "input"], F.col("u"), ["parameter_seed"], "sample_id")
-    side_b = ranked.groupBy(group, "sample_id").agg(
+    long_b = seeded.where(F.col("parameter_seed") > half).select(*groups, "parameter_seed", F.inline(entry))
+    ranked = row_numbers(long_b, [*groups, "input"], F.col("u"), ["parameter_seed"], "sample_id")
+    side_b = ranked.groupBy(*groups, "sample_id").agg(
         *[F.max(F.when(F.col("input") == c, F.col("value"))).alias(f"b_{c}") for c in names]
     )
-    return side_a.join(side_b, [group, "sample_id"])
+    return side_a.join(side_b, [*groups, "sample_id"])

@@ -6,7 +6,9 @@ An *ensemble* is long: ``(keys..., lead, y)``, one row per sample. Observations
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
+from functools import reduce
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
@@ -160,6 +162,24 @@ def cubic_basis(x: Column, knots: Sequence[float], scale: float) -> list[Column]
     return powers + hinges
 
 
+def cyclic_basis(x: Column, period: float, pairs: int) -> list[Column]:
+    """Sines and cosines of ``pairs`` harmonics: a smooth that meets itself after ``period``, such as a year."""
+    turn = x * F.lit(2.0 * math.pi / float(period))
+    return [f(turn * F.lit(float(k))) for k in range(1, pairs + 1) for f in (F.sin, F.cos)]
+
+
+#: Levels of a factor that get columns of their own; one with more goes to ``within``.
+MOST_LEVELS = 100
+
+
+def factor_columns(df: DataFrame, factor: str) -> list[Column]:
+    """0/1 columns of all levels of ``factor`` but the first; null is a level."""
+    rows = df.select(factor).distinct().orderBy(F.col(factor).asc_nulls_first()).limit(MOST_LEVELS + 1).collect()
+    if len(rows) > MOST_LEVELS:
+        raise ValueError(f"{factor} has more than {MOST_LEVELS} levels; take it as within")
+    return [F.col(factor).eqNullSafe(F.lit(r[0])).cast("double") for r in rows[1:]]
+
+
 def skill_curve(
     df: DataFrame,
     x: str = "lead",
@@ -168,27 +188,48 @@ def skill_curve(
     scale: float = 1.0,
     factors: Sequence[str] = (),
     penalties: Sequence[float] | None = None,
+    categories: Sequence[str] = (),
+    within: Sequence[str] = (),
+    cyclic: tuple[str, float, int] | None = None,
 ) -> tuple[dict, DataFrame]:
-    """Penalised cubic spline of skill on lead, with numeric extra factors.
+    """Penalised cubic spline of skill on lead, with extra factors.
+
+    ``factors`` are numeric columns, ``categories`` columns of few levels (a model), ``cyclic`` a column, its period
+    and a number of harmonics (the day of the year). Every combination of ``within`` (the sites, however
+    many) has a level of its own, which is eliminated: its cross-products with itself are a diagonal, so
+    the rest is fitted on what varies inside the levels, one row of sums each.
 
-    Spark reduces the table to the (K x K) cross-products of the basis in one aggregate; the
-    penalty (ridge on the hinges) is chosen by generalised cross-validation from those sums alone.
-    ``penalties=[0]`` is plain least squares. Returns the fit and ``df`` with ``smooth`` added.
+    Spark reduces the table to the (K x K) cross-products of the basis; the penalty (ridge on the
+    hinges) is chosen by generalised cross-validation from those sums alone. ``penalties=[0]`` is
+    plain least squares. Returns the fit and ``df`` with ``smooth`` added, null where a value is missing.
     """
     basis = cubic_basis(F.col(x).cast("double"), knots, scale) if knots else [
         F.lit(1.0),
         F.col(x).cast("double"),
     ]
     columns = basis + [F.col(f).cast("double") for f in factors]
+    if cyclic:
+        columns += cyclic_basis(F.col(cyclic[0]).cast("double"), cyclic[1], cyclic[2])
+    needed = [x, *factors, *([cyclic[0]] if cyclic else [])]
+    used = df.where(F.col(y).isNotNull()).na.drop("any", subset=needed)
+    for category in categories:
+        columns += factor_columns(used, category)
     k = len(columns)
-    used = df.where(F.col(y).isNotNull() & F.col(x).isNotNull()).na.drop("any", subset=list(factors))
-    named = used.select(*[c.alias(f"_c{i}") for i, c in enumerate([*columns, F.col(y)])])
+    named = used.select(*within, *[c.alias(f"_c{i}") for i, c in enumerate([*columns, F.col(y)])])
     cells = [(i, j) for i in range(k + 1) for j in range(i, k + 1)]
-    sums = named.agg(
-        F.count(F.lit(1)).alias("n"),
-        *[F.sum(F.col(f"_c{i}") * F.col(f"_c{j}")).alias(f"s_{i}_{j}") for i, j in cells],
-    ).first()
-    n = sums["n"]
+    if within:
+        # Centred products of a level, which covar_pop keeps without losing digits.
+        levels = named.groupBy(*within).agg(
+            F.count(F.lit(1)).alias("n"),
+            *[F.avg(f"_c{i}").alias(f"m_{i}") for i in range(k + 1)],
+            *[(F.covar_pop(f"_c{i}", f"_c{j}") * F.count(F.lit(1))).alias(f"s_{i}_{j}") for i, j in cells],
+        )
+        totals = [F.sum("n").alias("n"), F.count(F.lit(1)).alias("levels")]
+        sums = levels.agg(*totals, *[F.sum(f"s_{i}_{j}").alias(f"s_{i}_{j}") for i, j in cells]).first()
+    else:
+        products = [F.sum(F.col(f"_c{i}") * F.col(f"_c{j}")).alias(f"s_{i}_{j}") for i, j in cells]
+        sums = named.agg(F.count(F.lit(1)).alias("n"), F.lit(0).alias("levels"), *products).first()
+    n = sums["n"] or 0
     gram = np.zeros((k + 1, k + 1))
     for i, j in cells:
         gram[i, j] = gram[j, i] = sums[f"s_{i}_{j}"] or 0.0
@@ -200,12 +241,18 @@ def skill_curve(
         inverse = np.linalg.pinv(xtx + lam * np.diag(ridge), hermitian=True)
         coef = inverse @ xty
         rss = max(float(yty - 2 * coef @ xty + coef @ xtx @ coef), 0.0)
-        edf = float(np.trace(inverse @ xtx))
+        edf = float(np.trace(inverse @ xtx)) + sums["levels"]
         gcv = n * rss / (n - edf) ** 2 if n > edf else np.inf
         if best is None or gcv < best["gcv"]:
             best = {"penalty": float(lam), "coef": coef, "edf": edf, "rss": rss, "gcv": gcv, "n": n}
     fitted = sum((F.lit(float(b)) * c for b, c in zip(best["coef"], columns)), F.lit(0.0))
-    return best, df.withColumn("smooth", fitted)
+    if not within:
+        return best, df.withColumn("smooth", fitted)
+    rest = sum((F.lit(float(b)) * F.col(f"m_{i}") for i, b in enumerate(best["coef"])), F.lit(0.0))
+    effects = levels.select(*[F.col(w).alias(f"_w{i}") for i, w in enumerate(within)], (F.col(f"m_{k}") - rest).alias("_level"))
+    same = [F.col(w).eqNullSafe(F.col(f"_w{i}")) for i, w in enumerate(within)]
+    joined = df.join(effects, reduce(Column.__and__, same), "left").withColumn("smooth", F.col("_level") + fitted)
+    return best, joined.select(*df.columns, "smooth")
 
 
 def top_by_metric(df: DataFrame, keys: Sequence[str], metric: str, fields: Sequence[str]):

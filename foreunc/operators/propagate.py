@@ -19,7 +19,7 @@ from pyspark.sql import types as T
 from foreunc.functions.random import Draws
 from foreunc.session import materialised
 
-NOISE = "noise"
+NOISE, OBSERVATION = "noise", "observation"
 
 
 def steps_between(time: Column, start: Column, step: str = "day") -> Column:
@@ -187,10 +187,11 @@ def noise_block(
     horizon: int,
     phi: float = 0.0,
     stream: Sequence[int] = (),
+    purpose: str = NOISE,
 ) -> np.ndarray:
     """Noise rows (samples x leads); ``phi`` correlates consecutive leads, variance unchanged."""
     leads = np.arange(1, horizon + 1)
-    eps = np.sqrt(sigma2) * draws.normal_values(NOISE, *stream, noise_id[:, None], leads[None, :])
+    eps = np.sqrt(sigma2) * draws.normal_values(purpose, *stream, noise_id[:, None], leads[None, :])
     for t in range(1, horizon if phi else 0):
         eps[:, t] = phi * eps[:, t - 1] + np.sqrt(1.0 - phi * phi) * eps[:, t]
     return eps
@@ -210,8 +211,10 @@ def ar_paths(
     """The recursion for a block of samples: vectorised over samples, sequential in lead.
 
     The state holds the last values of x, the newest first, one per lag; ``ic_names`` name its start, the
-    oldest first. Fewer initial values than lags are an error.
+    oldest first. Fewer initial values than lags are an error. A random effect ``u_<coefficient>`` adds to
+    its coefficient; ``obs``, an error per lead, to the outcome only.
     """
+    inputs = {n: v + inputs[f"u_{n}"] if f"u_{n}" in inputs else v for n, v in inputs.items()}
     lags = lag_names(list(inputs))
     if len(ic_names) < len(lags):
         raise ValueError("the recursion needs one initial value per lag")
@@ -228,6 +231,8 @@ def ar_paths(
             x = x + inputs[f"b_{v}"] * inputs[f"met_{v}"][:, t]
         state = [x, *state[:-1]]
         y[:, t + 1] = x + intercept
+    if "obs" in inputs:
+        y[:, 1:] += inputs["obs"]
     return y
 
 
@@ -251,16 +256,20 @@ def propagate_autoregressive(
     noise_phi: float = 0.0,
     ic_names: Sequence[str] = ("ic",),
     stream: Sequence[int] = (),
+    observation_sigma2: float = 0.0,
 ) -> DataFrame:
     """Forecast ``(keys, sample_id, y)`` with ``y`` an array over leads 0..horizon; narrow.
 
     A lead without its driver value, and all leads after it, are null. The design's columns ``ar1, ar2, ...``
-    are the lags, ``ic_names`` its initial values, the oldest first.
+    are the lags, ``u_<coefficient>`` random effects, ``ic_names`` its initial values, the oldest first. With
+    ``observation_sigma2`` the errors of the rows ``obs_id`` add to the outcome.
     """
     keys, variables, ic_names = list(keys), list(variables), list(ic_names)
     inputs = ["intercept", *ic_names, *[f"b_{v}" for v in variables], *lag_names(design.columns)]
+    inputs += [c for c in design.columns if c.startswith("u_") and c[2:] in inputs]
+    ids = ["noise_id", *(["obs_id"] if observation_sigma2 else [])]
     rows = with_forcing(design, forcing, variables, keys).select(
-        *keys, "sample_id", "noise_id", *inputs, *[f"met_{v}" for v in variables]
+        *keys, "sample_id", *ids, *inputs, *[f"met_{v}" for v in variables]
     )
     fields = [rows.schema[c] for c in [*keys, "sample_id"]]
     schema = T.StructType([*fields, T.StructField("y", T.ArrayType(T.DoubleType()))])
@@ -273,6 +282,9 @@ def propagate_autoregressive(
             values.update({f"met_{v}": column_values(batch, f"met_{v}") for v in variables})
             noise_id = column_values(batch, "noise_id")
             values["eps"] = noise_block(draws, sigma2, noise_id, horizon, noise_phi, stream)
+            if observation_sigma2:
+                obs_id = column_values(batch, "obs_id")
+                values["obs"] = noise_block(draws, observation_sigma2, obs_id, horizon, 0.0, stream, OBSERVATION)
             y = ar_paths(values, variables, ic_names)
             missing = np.isnan(y.ravel())
             ends = pa.array(np.arange(0, y.size + 1, y.shape[1], dtype=np.int32))

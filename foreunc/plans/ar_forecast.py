@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import replace
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -54,21 +55,58 @@ def spec_from_fit(
 
 
 def ar_blocks(spec: DesignSpec, variables: Sequence[str]) -> attribution.Blocks:
-    """Inputs of the recursion; all drivers of a member and a whole noise row are one input each."""
+    """Inputs of the recursion; all drivers of a member and a whole noise row are one input each.
+
+    So are the random effects of all coefficients, and a row of observation errors, where there are any.
+    """
     blocks = {name: [name] for name in [*spec.names, *spec.ic_names]}
+    if spec.effect_sd:
+        blocks["random_effect"] = [f"u_{name}" for name, _ in zip(spec.names, spec.effect_sd)]
     blocks["member"] = [f"met_{v}" for v in variables]
     blocks["noise"] = ["eps"]
+    if spec.observation_sigma2:
+        blocks["observation"] = ["obs"]
     return blocks
 
 
+def error_rows(spec: DesignSpec, draws: Draws, horizon: int, values, side: str = "", out: str = "") -> None:
+    """Noise, and errors of observation if there are any, of the rows that a side's ids name."""
+    ids = values[f"{side}noise_id"]
+    values[f"{out or side}eps"] = propagate.noise_block(draws, spec.sigma2, ids, horizon, stream=spec.stream)
+    if spec.observation_sigma2:
+        values[f"{out or side}obs"] = propagate.noise_block(
+            draws, spec.observation_sigma2, values[f"{side}obs_id"], horizon, stream=spec.stream,
+            purpose=propagate.OBSERVATION,
+        )
+
+
+def population_spec(
+    effects: DataFrame, names: Sequence[str], ic_mean: float, ic_sd: float, sigma2: float, members: int,
+    noise_rows: int | Column,
+) -> DesignSpec:
+    """Design of a series that wasn't fitted: the mean of all series, and random effects around it.
+
+    ``effects`` holds the variances of :func:`foreunc.operators.effects.effect_variances`, one row per
+    coefficient. The mean's own variance is that of the estimates over the number of series.
+    """
+    rows = {r["term"]: r for r in effects.where(F.col("term").isin(list(names))).collect()}
+    if set(rows) != set(names):
+        raise ValueError("every coefficient needs its row of effects")
+    spread = [(rows[n]["between"] + rows[n]["within"]) / rows[n]["n_series"] for n in names]
+    return DesignSpec(
+        names=list(names), mean=[rows[n]["mean"] for n in names], cov=np.diag(spread), ic_mean=[ic_mean], ic_sd=[ic_sd],
+        members=members, sigma2=sigma2, noise_rows=noise_rows, effect_sd=[float(np.sqrt(rows[n]["between"])) for n in names],
+    )
+
+
 def ar_pair(
     samples: DataFrame, spec: DesignSpec, draws: Draws, drivers: DataFrame,
-    variables: Sequence[str], horizon: int,
+    variables: Sequence[str], horizon: int, **calendar,
 ) -> DataFrame:
-    """Both design matrices with their driver arrays attached."""
+    """Both design matrices with their driver arrays attached; ``calendar`` as in ``forcing_table``."""
     pair = design_pair(samples, spec, draws)
     forcing = propagate.forcing_table(
-        drivers, pair, variables, horizon, member_columns=["a_member", "b_member"]
+        drivers, pair, variables, horizon, member_columns=["a_member", "b_member"], **calendar
     )
     return propagate.with_forcing(
         pair, forcing, variables, sides=["a_", "b_"]
@@ -77,20 +115,21 @@ def ar_pair(
 
 def sobol_of_ar_model(
     samples: DataFrame, spec: DesignSpec, draws: Draws, drivers: DataFrame,
-    variables: Sequence[str], horizon: int, clamp: bool = False,
+    variables: Sequence[str], horizon: int, clamp: bool = False, **calendar,
 ) -> DataFrame:
     """First and total order indices by lead of every parameter, the initial condition, the drivers
-    and the process error."""
+    and the process error; and of random effects and errors of observation, if the design has them."""
 
-    sigma2, stream, ic_names = spec.sigma2, spec.stream, list(spec.ic_names)
+    ic_names = list(spec.ic_names)
+    # Tasks can't carry columns, as noise_rows may be.
+    errors = replace(spec, noise_rows=0)
 
     def noise(values):
-        for side in ("a", "b"):
-            ids = values[f"{side}_noise_id"]
-            values[f"{side}_eps"] = propagate.noise_block(draws, sigma2, ids, horizon, stream=stream)
+        for side in ("a_", "b_"):
+            error_rows(errors, draws, horizon, values, side)
         return values
 
-    pair = ar_pair(samples, spec, draws, drivers, variables, horizon).drop(*samples.columns)
+    pair = ar_pair(samples, spec, draws, drivers, variables, horizon, **calendar).drop(*samples.columns)
     return attribution.sobol_paths(
         pair,
         ar_blocks(spec, variables),
@@ -112,12 +151,13 @@ def one_at_a_time_of_ar_model(
     design = design_matrix(samples, spec, draws, "A")
     forcing = propagate.forcing_table(drivers, design, variables, horizon)
     rows = propagate.with_forcing(design, forcing, variables)
-    rows = rows.select(
-        *spec.names, *spec.ic_names, "noise_id", *[f"met_{v}" for v in variables]
-    )
-    pair = attribution.frozen_side(rows, [*spec.names, *spec.ic_names])
+    ids = [c for c in spec.columns if c in ("noise_id", "obs_id")]
+    rows = rows.select(*spec.scalars, *ids, *[f"met_{v}" for v in variables])
+    pair = attribution.frozen_side(rows, spec.scalars)
     pair = pair.withColumnsRenamed({f"met_{v}": f"a_met_{v}" for v in variables})
-    if per_date:
+    if not variables:
+        frozen = {}
+    elif per_date:
         by_date = drivers.groupBy("datetime").agg(*[F.avg(v).alias(v) for v in variables])
         frozen = many.calendar_arrays(by_date, variables, horizon)
     else:
@@ -125,11 +165,14 @@ def one_at_a_time_of_ar_model(
         frozen = {v: F.array_repeat(means.select(v).scalar(), horizon) for v in variables}
     pair = pair.withColumns({f"b_met_{v}": frozen[v] for v in variables})
 
-    sigma2, stream, ic_names = spec.sigma2, spec.stream, list(spec.ic_names)
+    ic_names = list(spec.ic_names)
+    errors = replace(spec, noise_rows=0)
 
     def noise(values):
-        eps = propagate.noise_block(draws, sigma2, values["noise_id"], horizon, stream=stream)
-        values["a_eps"], values["b_eps"] = eps, np.zeros_like(eps)
+        error_rows(errors, draws, horizon, values, out="a_")
+        for name in ("eps", "obs"):
+            if f"a_{name}" in values:
+                values[f"b_{name}"] = np.zeros_like(values[f"a_{name}"])
         return values
 
     return attribution.one_at_a_time_paths(
@@ -177,7 +220,7 @@ def forecast_rows(
     return propagate.leads_to_rows(
         propagate.propagate_autoregressive(
             design, forcing, variables, horizon, draws, spec.sigma2,
-            ic_names=spec.ic_names, stream=spec.stream,
+            ic_names=spec.ic_names, stream=spec.stream, observation_sigma2=spec.observation_sigma2,
         )
     )
 
