@@ -386,6 +386,8 @@ class BaggedTrees:
 
 #: Groups of trees, and trees of each: 500 in all.
 BAGS, BAG_TREES = 50, 10
+#: Training rows of a task; a small table in many parts would cost each tree's every level as many tasks.
+TASK_ROWS = 50_000
 
 
 class LittleBags:
@@ -417,7 +419,7 @@ class LittleBags:
         spark = train.sparkSession
         scaling = fit_scaling(train, predictors)
         halves = in_halves(scaling.transform(train).select("features", label, row_id), draws, row_id, bags)
-        halves = halves.drop(row_id).persist(StorageLevel.MEMORY_AND_DISK)
+        halves = halves.drop(row_id).coalesce(1 + train.count() // TASK_ROWS).persist(StorageLevel.MEMORY_AND_DISK)
 
         def one_bag(g: int):
             group = forest(label, mtry, min_n, trees, seed=draws.seed + g, depth=depth)
