@@ -34,6 +34,7 @@ HEADLINE = [
     "sobol_memoryless",
     "sobol_by_date_linear",
     "series_autoregression",
+    "series_sobol",
     "series_order_choice",
     "price_quantiles",
     "forest_ensemble_forecast",
