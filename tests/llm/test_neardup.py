@@ -111,3 +111,21 @@ def test_op8_matches_sql(spark):
     got = queries.REGISTRY["op8_near_duplicates"](spark, SMALL)
     assert got.columns == want.columns
     assert sorted(map(tuple, got.collect())) == sorted(want.fetchall())
+
+
+def test_far_members_of_a_large_group_make_no_pairs(spark):
+    """Copies that each lack other members of one original are far from each other; similar ones are all found."""
+    base, rows = range(200), {}
+    for i in range(80):
+        edits = 22 if i < 60 else 8
+        draw = random.Random(i)
+        gone = set(draw.sample(base, edits))
+        rows[i] = {*(x for x in base if x not in gone), *range(1000 * (i + 1), 1000 * (i + 1) + edits)}
+    members = spark.createDataFrame(
+        [(i, i, h) for i, s in rows.items() for h in s], "node bigint, component bigint, hash bigint"
+    )
+    got = {(r.a, r.b) for r in common.across_components(members, 80).collect()}
+    near = {
+        (i, j) for i in rows for j in rows if i < j and 100 * len(rows[i] & rows[j]) >= 80 * len(rows[i] | rows[j])
+    }
+    assert near and near <= got and len(got) < 2 * len(near)
