@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from foreunc.functions.random import Draws
+from foreunc.session import compiled_stages
 
 # Half-width of the central 68 % interval of a standard normal.
 HALF_WIDTH_68 = 0.994457883209753
@@ -124,6 +125,7 @@ def design_matrix(
     samples: DataFrame, spec: DesignSpec, draws: Draws, matrix: str = "A", key: str = "sample_id"
 ) -> DataFrame:
     """One design row per id of ``samples``."""
+    compiled_stages(samples.sparkSession)
     return samples.withColumns(design_columns(spec, draws, matrix, key))
 
 
@@ -131,6 +133,7 @@ def design_pair(
     samples: DataFrame, spec: DesignSpec, draws: Draws, key: str = "sample_id"
 ) -> DataFrame:
     """Both matrices side by side, columns ``a_*`` and ``b_*``."""
+    compiled_stages(samples.sparkSession)
     columns = {
         f"{m}_{name}": expr
         for m in ("a", "b")

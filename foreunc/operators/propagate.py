@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from foreunc.functions.random import Draws
-from foreunc.session import materialised
+from foreunc.session import compiled_stages, materialised
 
 NOISE, OBSERVATION = "noise", "observation"
 
@@ -168,6 +168,7 @@ def propagate_memoryless(
 ) -> DataFrame:
     """Long forecast ``(keys, sample_id, lead, y)`` of the model without memory; the ensemble isn't
     shuffled where the drivers are small enough to be broadcast."""
+    compiled_stages(design.sparkSession)
     rows = with_forcing_at_lead(
         explode_leads(design, horizon), forcing, variables, keys
     ).withColumn("eps", noise_at(draws, sigma2))

@@ -163,3 +163,14 @@ def test_leads_without_drivers_are_null(spark):
     got = propagate.propagate_autoregressive(rows, forcing, ["t"], 4, DRAWS, SPEC.sigma2).collect()
     assert len(got) == 20
     assert all([v is None for v in r.y] == [False, False, False, True, True] for r in got)
+
+
+def test_methods_of_many_draws_are_compiled(spark):
+    """The JVM interprets methods of more than 8,000 bytes; a stage that has one is split."""
+    spark.conf.unset("spark.sql.codegen.hugeMethodLimit")
+    ids = spark.range(1, 3).withColumnRenamed("id", "sample_id")
+    spec = design.DesignSpec(["intercept"], [1.0], [[1.0]], [0.0], [1.0], members=2, sigma2=1.0, noise_rows=2)
+    for make in (design.design_matrix, design.design_pair):
+        spark.conf.unset("spark.sql.codegen.hugeMethodLimit")
+        make(ids, spec, Draws(1))
+        assert int(spark.conf.get("spark.sql.codegen.hugeMethodLimit")) <= 8_000
