@@ -79,9 +79,11 @@ def scores(
         F.when(known, F.col("_error") - F.col("_half_spread")).alias("crps"),
         F.when(known, F.col("obs").between(F.col("q025"), F.col("q975"))).alias("covered"),
     )
-    there = scored.select(F.struct(*keys).alias("_key"))
-    alone = known_obs.withColumn("_key", F.struct(*keys)).join(there, "_key", "left_anti").drop("_key")
-    return scored.unionByName(alone.withColumn("n", F.lit(0).cast("bigint")), allowMissingColumns=True)
+    # One outer join adds the observations without members; a second look at the ranked rows would rank them again.
+    every = known_obs.select(F.struct(*keys).alias("_key"), F.col("obs").alias("_obs"))
+    joined = scored.withColumn("_key", F.struct(*keys)).drop(*keys).join(every, "_key", "full")
+    filled = {"obs": F.coalesce("obs", "_obs"), "n": F.coalesce("n", F.lit(0).cast("bigint"))}
+    return joined.withColumns(filled).select(*[F.col(f"_key.{k}").alias(k) for k in keys], *scored.columns[len(keys):])
 
 
 def single_observations(observations: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -134,3 +134,17 @@ def test_spline_follows_a_curve_and_line_is_exact(spark):
 def test_best_candidate_breaks_ties_by_fields(spark):
     df = spark.createDataFrame([(1.0, 3, 5), (1.0, 2, 9), (2.0, 1, 1)], "rmse double, mtry int, min_n int")
     assert tuple(evaluate.top_by_metric(df, [], "rmse", ["mtry", "min_n"]).first()) == (1.0, 2, 9)
+
+
+def test_scores_and_skill_rank_the_ensemble_once(spark):
+    """One pass over the members, with observations that have none and keys that are null."""
+    rows = [(s, s % 5 if s % 7 else None, float(s)) for s in range(200)]
+    ensemble = spark.createDataFrame(rows, "s int, lead int, y double")
+    obs = spark.createDataFrame([(0, 1.0), (1, 2.0), (9, 3.0), (None, 4.0)], "lead int, obs double")
+    got = evaluate.scores(ensemble.drop("s"), obs)
+    assert got.columns == ["lead", "obs", "n", "q025", "q500", "q975", "resid", "pit", "crps", "covered"]
+    found = {r.lead: (r.obs, r.n, r.q500 is None, r.crps is None) for r in got.collect()}
+    assert found[9] == (3.0, 0, True, True) and found[None][0] == 4.0 and found[None][1:] == (29, False, False)
+    assert found[2][0] is None and found[2][3] and not found[2][2] and len(found) == 7
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Window [") <= 3
