@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from foreunc.functions.scalar import rmse
 from foreunc.operators.ranking import quantile_columns, ranked_values
+from foreunc.session import materialised
 
 # The 95 % interval and the median.
 INTERVAL = {"q025": 0.025, "q500": 0.5, "q975": 0.975}
@@ -213,6 +214,9 @@ def skill_curve(
     if cyclic:
         columns += cyclic_basis(F.col(cyclic[0]).cast("double"), cyclic[1], cyclic[2])
     needed = [x, *factors, *([cyclic[0]] if cyclic else [])]
+    if within:
+        # The sums, the levels and the result each read the table: it is made once.
+        df = materialised(df, "skill")
     used = df.where(F.col(y).isNotNull()).na.drop("any", subset=needed)
     for category in categories:
         columns += factor_columns(used, category)
