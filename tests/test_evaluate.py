@@ -136,8 +136,8 @@ def test_best_candidate_breaks_ties_by_fields(spark):
     assert tuple(evaluate.top_by_metric(df, [], "rmse", ["mtry", "min_n"]).first()) == (1.0, 2, 9)
 
 
-def test_scores_and_skill_rank_the_ensemble_once(spark):
-    """One pass over the members, with observations that have none and keys that are null."""
+def test_scores_rank_the_ensemble_once(spark):
+    """One pass over the members (its cuts stand twice in the plan), with observations that have none and keys that are null."""
     rows = [(s, s % 5 if s % 7 else None, float(s)) for s in range(200)]
     ensemble = spark.createDataFrame(rows, "s int, lead int, y double")
     obs = spark.createDataFrame([(0, 1.0), (1, 2.0), (9, 3.0), (None, 4.0)], "lead int, obs double")
@@ -147,4 +147,13 @@ def test_scores_and_skill_rank_the_ensemble_once(spark):
     assert found[9] == (3.0, 0, True, True) and found[None][0] == 4.0 and found[None][1:] == (29, False, False)
     assert found[2][0] is None and found[2][3] and not found[2][2] and len(found) == 7
     plan = got._jdf.queryExecution().optimizedPlan().toString()
-    assert plan.count("Window [") <= 3
+    assert plan.count("percentile_approx") <= 2
+
+
+def test_skill_within_levels_reads_a_made_table(spark):
+    ensemble = spark.createDataFrame([(i % 6, float(i * i % 37)) for i in range(90)], "lead int, y double")
+    obs = spark.createDataFrame([(i, 10.0 + i) for i in range(6)], "lead int, obs double")
+    scored = evaluate.scores(ensemble, obs).withColumn("grp", F.col("lead") % 2)
+    _, smooth = evaluate.skill_curve(scored, within=["grp"], penalties=[0.0])
+    assert "percentile_approx" not in smooth._jdf.queryExecution().optimizedPlan().toString()
+    assert smooth.count() == 6
