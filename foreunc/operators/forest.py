@@ -386,8 +386,8 @@ class BaggedTrees:
 
 #: Groups of trees, and trees of each: 500 in all.
 BAGS, BAG_TREES = 50, 10
-#: Training rows of a task; a small table in many parts would cost each tree's every level as many tasks.
-TASK_ROWS = 50_000
+#: Training rows of a task; each task of each level sends the sums of all its nodes, so many small ones cost more.
+TASK_ROWS = 200_000
 
 
 class LittleBags:
@@ -395,11 +395,19 @@ class LittleBags:
 
     The spread between the groups' means, less what the few trees of a group leave of their own spread
     in it, is the variance of the forest's prediction. A group is one fit, so 500 trees take 50 fits, and
-    new rows are scored in one pass. Halves follow from the row ids by hash.
+    new rows are scored in one pass, by arrays that hold the nodes of all trees. Halves follow from the row
+    ids by hash.
     """
 
-    def __init__(self, pipeline: PipelineModel, bags: int, trees: int, leaves: list[np.ndarray]):
-        self.pipeline, self.bags, self.trees, self.leaves = pipeline, bags, trees, leaves
+    def __init__(self, pipeline: PipelineModel, bags: int, trees: int, nodes: dict[str, np.ndarray]):
+        self.pipeline, self.bags, self.trees, self.nodes = pipeline, bags, trees, nodes
+
+    @property
+    def leaves(self) -> list[np.ndarray]:
+        """What each leaf predicts, tree by tree in the order of the leaves' numbers."""
+        own = self.nodes["above"] == np.arange(len(self.nodes["above"]))
+        parts = np.split(np.arange(len(own)), self.nodes["root"][1:])
+        return [self.nodes["value"][at[own[at]]] for at in parts]
 
     @classmethod
     def fit(
@@ -417,9 +425,16 @@ class LittleBags:
         parallelism: int = 4,
     ) -> LittleBags:
         spark = train.sparkSession
-        scaling = fit_scaling(train, predictors)
-        halves = in_halves(scaling.transform(train).select("features", label, row_id), draws, row_id, bags)
-        halves = halves.drop(row_id).coalesce(1 + train.count() // TASK_ROWS).persist(StorageLevel.MEMORY_AND_DISK)
+        # Scaling, count and halves read what the table holds without making it again.
+        train = train.select(label, *predictors, row_id).persist(StorageLevel.MEMORY_AND_DISK)
+        try:
+            scaling = fit_scaling(train, predictors)
+            halves = in_halves(scaling.transform(train).select("features", label, row_id), draws, row_id, bags)
+            halves = halves.drop(row_id).coalesce(1 + train.count() // TASK_ROWS)
+            halves = halves.persist(StorageLevel.MEMORY_AND_DISK)
+            halves.count()
+        finally:
+            train.unpersist()
 
         def one_bag(g: int):
             group = forest(label, mtry, min_n, trees, seed=draws.seed + g, depth=depth)
@@ -433,34 +448,51 @@ class LittleBags:
             halves.unpersist()
         folder = f"{ensure_checkpoint_dir(spark).rstrip('/')}/bags-{uuid.uuid4().hex}"
         pipeline = PipelineModel([*scaling.stages, *models])
-        return cls(pipeline, bags, trees, cls._leaf_values(spark, pipeline, folder, bags))
+        return cls(pipeline, bags, trees, cls._nodes(spark, pipeline, folder, bags))
 
     @staticmethod
-    def _leaf_values(spark: SparkSession, pipeline: PipelineModel, folder: str, bags: int) -> list[np.ndarray]:
-        """What each leaf predicts, tree by tree in the order of the leaves' numbers: a part of the model."""
+    def _nodes(spark: SparkSession, pipeline: PipelineModel, folder: str, bags: int) -> dict[str, np.ndarray]:
+        """All nodes, tree by tree in the order of their numbers: a part of the model.
+
+        ``root`` is the first node of each tree; ``upto`` and ``above`` are where a value of ``feature`` up
+        to or above ``threshold`` leads, in a leaf the node itself; ``value`` is what a node predicts.
+        """
         save_model(pipeline, folder)
         nodes = spark.read.option("recursiveFileLookup", "true").schema(
-            "treeID int, nodeData struct<id: int, prediction: double, leftChild: int>"
+            "treeID int, nodeData struct<id: int, prediction: double, leftChild: int, rightChild: int,"
+            " split: struct<featureIndex: int, leftCategoriesOrThreshold: array<double>>>"
         )
         first = len(pipeline.stages) - bags
         parts = [
             nodes.parquet(f"{folder}/stages/{_stage_name(pipeline, first + g)}/data").withColumn("bag", F.lit(g))
             for g in range(bags)
         ]
-        table = reduce(DataFrame.unionByName, parts).where("nodeData.leftChild < 0")
-        found = table.select("bag", "treeID", "nodeData.id", "nodeData.prediction").toArrow().to_pandas()
-        found = found.sort_values(["bag", "treeID", "id"])
-        return [g["prediction"].to_numpy() for _, g in found.groupby(["bag", "treeID"])]
+        # Scaled predictors are numbers, so that every split is a threshold.
+        found = reduce(DataFrame.unionByName, parts).select(
+            "bag", "treeID", "nodeData.id", "nodeData.prediction", "nodeData.leftChild", "nodeData.rightChild",
+            F.col("nodeData.split.featureIndex").alias("feature"),
+            F.try_element_at("nodeData.split.leftCategoriesOrThreshold", F.lit(1)).alias("threshold"),
+        ).toArrow().to_pandas().sort_values(["bag", "treeID", "id"], ignore_index=True)
+        root = np.flatnonzero(found["id"].to_numpy() == 0)
+        first = np.repeat(root, np.diff(np.append(root, len(found))))
+        leaf = found["leftChild"].to_numpy() < 0
+        own = np.arange(len(found))
+        return {
+            "root": root,
+            "feature": np.where(leaf, 0, found["feature"].to_numpy()),
+            "threshold": np.where(leaf, 0.0, found["threshold"].to_numpy()),
+            "upto": np.where(leaf, own, first + found["leftChild"].to_numpy()),
+            "above": np.where(leaf, own, first + found["rightChild"].to_numpy()),
+            "value": found["prediction"].to_numpy(),
+        }
 
     def predict(self, df: DataFrame, se_method: str = "bags") -> DataFrame:
         """Adds ``prediction`` and ``se``: ``bags`` as above, floored at 0; ``tree_sd`` the sd between trees."""
-        scored = self.pipeline.transform(df).drop("raw_features", "features")
-        names = [f"bag_{g}" for g in range(self.bags)]
-        leaves = [f"leaf_{g}" for g in range(self.bags)]
-        scored = scored.withColumn("_l", F.flatten(F.array(*[vector_to_array(c) for c in leaves])))
-        scored = scored.withColumn("prediction", sum((F.col(n) for n in names), F.lit(0.0)) / self.bags)
-        se = _bag_errors(df.sparkSession, self.bags, self.trees, self.leaves, se_method)
-        return scored.drop(*names, *leaves).withColumn("se", se("_l")).drop("_l")
+        scaling = PipelineModel(self.pipeline.stages[: len(self.pipeline.stages) - self.bags])
+        scored = _bag_scores(df.sparkSession, self.bags, self.trees, self.nodes, se_method)
+        scored = scaling.transform(df).withColumn("_s", scored(vector_to_array("features")))
+        scored = scored.drop("raw_features", "features")
+        return scored.withColumns({n: F.col(f"_s.{n}") for n in ("prediction", "se")}).drop("_s")
 
     def save(self, spark: SparkSession, path: str) -> str:
         save_model(self.pipeline, f"{path}/trees")
@@ -476,7 +508,7 @@ class LittleBags:
         row = spark.read.parquet(f"{path}/groups").first()
         pipeline = PipelineModel.load(f"{path}/trees")
         folder = f"{ensure_checkpoint_dir(spark).rstrip('/')}/bags-{uuid.uuid4().hex}"
-        return cls(pipeline, row.bags, row.trees, cls._leaf_values(spark, pipeline, folder, row.bags))
+        return cls(pipeline, row.bags, row.trees, cls._nodes(spark, pipeline, folder, row.bags))
 
 
 def _stage_name(pipeline: PipelineModel, at: int) -> str:
@@ -499,21 +531,40 @@ def bag_variance(values: np.ndarray) -> np.ndarray:
     return np.maximum(between - within / (trees - 1), 0.0) if trees > 1 else between
 
 
-def _bag_errors(spark: SparkSession, bags: int, trees: int, leaves: list[np.ndarray], method: str):
-    starts = np.cumsum([0, *(len(v) for v in leaves)])[:-1]
-    shared = spark.sparkContext.broadcast((starts, np.concatenate(leaves)))
-
-    @F.pandas_udf("double")
-    def standard_error(numbers: pd.Series) -> pd.Series:
-        first, value = shared.value
-        if not len(numbers):
-            return pd.Series([], dtype="float64")
-        found = value[np.stack(numbers.to_numpy()).astype(np.int64) + first]
-        if method == "tree_sd":
-            return pd.Series(found.std(axis=1, ddof=1))
-        return pd.Series(np.sqrt(bag_variance(found.reshape(len(found), bags, trees))))
-
-    return standard_error
+def reached(nodes: dict[str, np.ndarray], x: np.ndarray) -> np.ndarray:
+    """The leaf of every tree (rows x trees) that the rows of ``x`` end in."""
+    at = np.tile(nodes["root"], (len(x), 1))
+    row = np.arange(len(x))[:, None] * x.shape[1]
+    x = np.ascontiguousarray(x).ravel()
+    while True:
+        upto = x.take(row + nodes["feature"].take(at)) <= nodes["threshold"].take(at)
+        to = np.where(upto, nodes["upto"].take(at), nodes["above"].take(at))
+        if np.array_equal(to, at):
+            return at
+        at = to
+
+
+#: Rows that are led through all trees at a time.
+SCORED_ROWS = 512
+
+
+def _bag_scores(spark: SparkSession, bags: int, trees: int, nodes: dict[str, np.ndarray], method: str):
+    shared = spark.sparkContext.broadcast(nodes)
+
+    @F.pandas_udf("prediction double, se double")
+    def scores(features: pd.Series) -> pd.DataFrame:
+        nodes = shared.value
+        prediction, se = np.zeros(len(features)), np.zeros(len(features))
+        for at in range(0, len(features), SCORED_ROWS):
+            part = slice(at, at + SCORED_ROWS)
+            found = nodes["value"].take(reached(nodes, np.stack(features.iloc[part].to_numpy())))
+            values = found.reshape(len(found), bags, trees)
+            # Summed in the order of the groups and their trees.
+            prediction[part] = sum(sum(values[:, g, t] for t in range(trees)) / trees for g in range(bags)) / bags
+            se[part] = found.std(axis=1, ddof=1) if method == "tree_sd" else np.sqrt(bag_variance(values))
+        return pd.DataFrame({"prediction": prediction, "se": se})
+
+    return scores
 
 
 def in_bag_counts(df: DataFrame, draws: Draws, row_id: str, trees: int) -> DataFrame:

@@ -214,6 +214,28 @@ def test_little_bags_know_their_trees(spark, tmp_path):
         forest.LittleBags.load(spark, str(tmp_path / "none"))
 
 
+def test_little_bags_read_their_table_once_and_score_by_arrays(spark):
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    base = _train(spark, 200)
+    bags = forest.LittleBags.fit(
+        base.mapInArrow(counted, base.schema), "y", ["p", "q"], DRAWS, "row_id", mtry=2, min_n=5, bags=2, trees=2, depth=4
+    )
+    assert read.value == 200
+    assert "leaf_" not in bags.predict(base)._jdf.queryExecution().optimizedPlan().toString()
+    # A root that asks for the second column, then two leaves; and a tree of one leaf.
+    nodes = {
+        "root": np.array([0, 3]), "feature": np.array([1, 0, 0, 0]), "threshold": np.array([0.5, 0.0, 0.0, 0.0]),
+        "upto": np.array([1, 1, 2, 3]), "above": np.array([2, 1, 2, 3]), "value": np.array([9.0, 1.0, 2.0, 3.0]),
+    }
+    assert forest.reached(nodes, np.array([[9.0, 0.5], [0.0, 0.6]])).tolist() == [[1, 3], [2, 3]]
+
+
 def test_little_bags_agree_with_the_jackknife(spark):
     train, new = _train(spark, 300).repartition(1).cache(), _train(spark, 340).where("row_id >= 300")
     options = dict(mtry=1, min_n=5, depth=4, parallelism=8)
