@@ -44,6 +44,13 @@ class Draws:
 
     def __init__(self, seed: int = 42):
         self.seed = int(seed)
+        self._steps: dict[tuple, tuple[int, int]] = {}
+
+    def _constants(self, purpose: str, lane: str, step: int) -> tuple[int, int]:
+        at = (purpose, lane, step)
+        if at not in self._steps:
+            self._steps[at] = step_constants(self.seed, purpose, lane, step)
+        return self._steps[at]
 
     def _lane(self, purpose: str, lane: str, keys) -> str:
         state, step = "", 0
@@ -86,12 +93,12 @@ class Draws:
         for key in keys:
             key = np.asarray(key, dtype=np.int64)
             for word in (key & MASK32, key >> 32):
-                mult, offset = step_constants(self.seed, purpose, lane, step)
+                mult, offset = self._constants(purpose, lane, step)
                 mixed = word if state is None else state ^ word
                 state = ((mixed * mult + offset) >> SHIFT) & MASK32
                 step += 1
         for _ in range(FINISH):
-            mult, offset = step_constants(self.seed, purpose, lane, step)
+            mult, offset = self._constants(purpose, lane, step)
             folded = state ^ (state >> FOLD)
             state = ((folded * mult + offset) >> SHIFT) & MASK32
             step += 1

@@ -139,10 +139,10 @@ def _table_indices(rows: DataFrame, blocks: Blocks, groups, clamp: bool) -> Data
         *[gap("a", k).alias(f"total_{k}") for k in blocks],
     )
     terms = [(k, F.col(f"first_{k}"), F.col(f"total_{k}")) for k in blocks]
-    return _indices(moments, terms, groups, clamp)
+    return table_of_indices(moments, terms, groups, clamp)
 
 
-def _indices(moments: DataFrame, terms, groups, clamp: bool) -> DataFrame:
+def table_of_indices(moments: DataFrame, terms, groups, clamp: bool) -> DataFrame:
     v = F.when(F.col("v") > 0, F.col("v"))
     entries = F.array(
         *[
@@ -185,10 +185,10 @@ def one_at_a_time(
     variants = oat_variants(blocks)
     rows = _evaluate(pair, variants, model, shared)
     moments = rows.groupBy(*groups).agg(*[F.var_samp(f"y_{n}").alias(n) for n in variants])
-    return _variance_rows(moments, variants, groups)
+    return table_of_variances(moments, variants, groups)
 
 
-def _variance_rows(moments: DataFrame, variants, groups) -> DataFrame:
+def table_of_variances(moments: DataFrame, variants, groups) -> DataFrame:
     whole = F.when(F.col("all") > 0, F.col("all"))
     entries = F.array(
         *[
@@ -218,6 +218,9 @@ def frozen_side(
 
 
 def moments_of(matrix: np.ndarray):
+    if len(matrix) and not np.isnan(matrix).any():
+        mean = matrix.sum(axis=0) / len(matrix)
+        return np.full(matrix.shape[1], len(matrix)), mean, ((matrix - mean) ** 2).sum(axis=0)
     present = ~np.isnan(matrix)
     n = present.sum(axis=0)
     mean = np.where(present, matrix, 0.0).sum(axis=0) / np.maximum(n, 1)
@@ -322,7 +325,7 @@ def path_indices(
         ],
     )
     terms_out = [(k, F.col(f"first_{k}"), F.col(f"total_{k}")) for k in blocks]
-    return _indices(moments, terms_out, [*keys, "lead"], clamp)
+    return table_of_indices(moments, terms_out, [*keys, "lead"], clamp)
 
 
 def one_at_a_time_paths(
@@ -340,4 +343,4 @@ def path_variances(merged: DataFrame, blocks: Blocks, keys: Sequence[str] = ())
     moments = merged.groupBy(*keys, "lead").agg(
         *[F.max(F.when(F.col("term") == n, variance)).alias(n) for n in variants]
     )
-    return _variance_rows(moments, variants, [*keys, "lead"])
+    return table_of_variances(moments, variants, [*keys, "lead"])

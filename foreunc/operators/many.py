@@ -3,7 +3,8 @@
 A fit is a row: its coefficients, covariance factor and initial state are array columns of a keyed
 table, so a thousand series are drawn, propagated and attributed by one job. The samples of a series are
 cut into blocks of BLOCK, dealt over all tasks; a block draws its samples from (series, sample id), runs
-the recursion over all variants and leaves moments by lead. Only these are shuffled.
+the recursion over all variants and leaves its moments by lead as one row. Only these are shuffled, and
+put together by series.
 """
 
 from __future__ import annotations
@@ -286,7 +287,7 @@ class SeriesBlock:
         if tag != "a":
             noise_id = np.floor(self.draws.uniform_values(f"noise_row:{tag}", *keys) * self.samples).astype(np.int64) + 1
         for v, table in self.tables.items():
-            out[f"met_{v}"] = table[member]
+            out[f"met_{v}"] = table.T.take(member, axis=1).T
         out["eps"] = propagate.noise_block(
             self.draws, self.sigma2, noise_id, self.horizon, stream=(self.number,)
         )
@@ -322,7 +323,7 @@ def _per_block(
     return _blocks(rows, samples).mapInArrow(run, kinds)
 
 
-MOMENTS = "term string, lead int, n bigint, mean double, m2 double"
+MOMENTS = "_low bigint, n array<bigint>, mean array<double>, m2 array<double>"
 
 
 def sobol_of_series(
@@ -342,10 +343,15 @@ def sobol_of_series(
         block = SeriesBlock(row, variables, members, horizon, samples, draws)
         values = {f"{s}_{n}": v for s in ("a", "b") for n, v in block.inputs(s).items()}
         y = {n: block.paths({i: values[c] for i, c in chosen.items()}) for n, chosen in variants.items()}
-        return _moment_table(attribution.sobol_terms(y, blocks))
+        return _moment_row(row["_low"], attribution.sobol_terms(y, blocks))
 
-    partials = _per_block(designs, keys, MOMENTS, samples, make)
-    return attribution.path_indices(attribution.merged_moments(partials, keys), blocks, clamp, keys)
+    def found(n: np.ndarray, mean: np.ndarray, m2: np.ndarray) -> list[np.ndarray]:
+        return [_variance(n[0], m2[0]), *np.where(n[1:] > 0, mean[1:], np.nan)]
+
+    names = ["v", *(f"{o}_{k}" for k in blocks for o in ("first", "total"))]
+    moments = _merged(_per_block(designs, keys, MOMENTS, samples, make), keys, names, horizon, found)
+    terms = [(k, F.col(f"first_{k}"), F.col(f"total_{k}")) for k in blocks]
+    return attribution.table_of_indices(moments, terms, [*keys, "lead"], clamp)
 
 
 def one_at_a_time_of_series(
@@ -369,28 +375,36 @@ def one_at_a_time_of_series(
             [pa.array([float(found[n].sum())]) for n in scalars], names=scalars
         )
 
-    fields = ", ".join(f"`{n}` double" for n in scalars)
-    centres = _per_block(designs.drop("forcing"), keys, fields, samples, sums).groupBy(*keys).agg(
-        F.array(*[F.sum(f"`{n}`") / samples for n in scalars]).alias("_centre")
-    )
     met = F.array(*[F.col(v) for v in variables]).alias("_frozen")
-    rows = designs.join(centres, keys).join(frozen.select(*keys, met), keys)
+    rows = designs.join(frozen.select(*keys, met), keys)
+    whole = samples <= BLOCK
+    if not whole:
+        fields = ", ".join(f"`{n}` double" for n in scalars)
+        centres = _per_block(designs.drop("forcing"), keys, fields, samples, sums).groupBy(*keys).agg(
+            F.array(*[F.sum(f"`{n}`") / samples for n in scalars]).alias("_centre")
+        )
+        rows = rows.join(centres, keys)
 
     def make(row: dict) -> pa.RecordBatch:
         block = SeriesBlock(row, variables, members, horizon, samples, draws)
         a = block.inputs("a")
         shape = a["eps"].shape
-        b = {n: np.full(shape[0], v) for n, v in zip(scalars, row["_centre"], strict=True)}
+        # A block that holds the whole series knows its means.
+        centre = [a[n].sum() / samples for n in scalars] if whole else row["_centre"]
+        b = {n: np.full(shape[0], v) for n, v in zip(scalars, centre, strict=True)}
         b["eps"] = np.zeros(shape)
         for v, values in zip(variables, row["_frozen"], strict=True):
             b[f"met_{v}"] = np.broadcast_to(np.array(values, dtype=float), shape)
         values = {**{f"a_{n}": v for n, v in a.items()}, **{f"b_{n}": v for n, v in b.items()}}
-        return _moment_table(
-            {n: block.paths({i: values[c] for i, c in chosen.items()}) for n, chosen in variants.items()}
+        return _moment_row(
+            row["_low"], {n: block.paths({i: values[c] for i, c in chosen.items()}) for n, chosen in variants.items()}
         )
 
-    partials = _per_block(rows, keys, MOMENTS, samples, make)
-    return attribution.path_variances(attribution.merged_moments(partials, keys), blocks, keys)
+    def found(n: np.ndarray, mean: np.ndarray, m2: np.ndarray) -> list[np.ndarray]:
+        return list(_variance(n, m2))
+
+    moments = _merged(_per_block(rows, keys, MOMENTS, samples, make), keys, list(variants), horizon, found)
+    return attribution.table_of_variances(moments, variants, [*keys, "lead"])
 
 
 def forecast_of_series(
@@ -409,9 +423,57 @@ def forecast_of_series(
     return _per_block(designs, keys, "sample_id bigint, y array<double>", samples, make)
 
 
-def _moment_table(terms: dict[str, np.ndarray]) -> pa.RecordBatch:
-    rows = [attribution.moment_rows(name, *attribution.moments_of(matrix)) for name, matrix in terms.items()]
-    return pa.Table.from_batches(rows).combine_chunks().to_batches()[0]
+def _moment_row(low: int, terms: dict[str, np.ndarray]) -> pa.RecordBatch:
+    """Moments of a block as one row: leads of the first term, then of the next."""
+    found = [np.concatenate(x) for x in zip(*(attribution.moments_of(matrix) for matrix in terms.values()))]
+    lists = [pa.array([x]) for x in (found[0].astype(np.int64), *found[1:])]
+    return pa.RecordBatch.from_arrays([pa.array([low]), *lists], names=["_low", "n", "mean", "m2"])
+
+
+def _variance(n: np.ndarray, m2: np.ndarray) -> np.ndarray:
+    return np.where(n > 1, m2 / np.maximum(n - 1, 1), np.nan)
+
+
+def _merged(
+    partials: DataFrame, keys: Sequence[str], names: Sequence[str], horizon: int,
+    found: Callable[[np.ndarray, np.ndarray, np.ndarray], list[np.ndarray]],
+) -> DataFrame:
+    """(keys, lead, names) from the moments of all blocks of a series, one row a block.
+
+    Means and squares around them are merged as in :func:`foreunc.operators.attribution.merged_moments`;
+    ``found`` makes the columns ``names`` of n, mean and m2 (terms x leads). What isn't a number is null.
+    """
+    keys, names = list(keys), list(names)
+    gathered = partials.groupBy(*keys).agg(F.collect_list(F.struct("_low", "n", "mean", "m2")).alias("_blocks"))
+    schema = T.StructType([
+        *_key_fields(partials, keys), T.StructField("lead", T.IntegerType()),
+        *[T.StructField(n, T.DoubleType()) for n in names],
+    ])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            tables = []
+            for blocks in batch.column("_blocks").to_pylist():
+                blocks.sort(key=lambda b: b["_low"])
+                n, mean, m2 = (np.array([b[c] for b in blocks]) for c in ("n", "mean", "m2"))
+                total = n.sum(axis=0)
+                centre = (n * mean).sum(axis=0) / np.maximum(total, 1)
+                m2 = (m2 + n * (mean - centre) ** 2).sum(axis=0)
+                tables.append(np.stack(found(*(x.reshape(-1, horizon + 1) for x in (total, centre, m2)))))
+            if not tables:
+                continue
+            at = pa.array(np.repeat(np.arange(batch.num_rows), horizon + 1))
+            values = np.concatenate(tables, axis=1)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    *(batch.column(k).take(at) for k in keys),
+                    pa.array(np.tile(np.arange(horizon + 1, dtype=np.int32), batch.num_rows)),
+                    *(pa.array(v, mask=np.isnan(v)) for v in values),
+                ],
+                names=schema.names,
+            )
+
+    return gathered.mapInArrow(run, schema)
 
 
 # -- frozen drivers --------------------------------------------------------------------------------

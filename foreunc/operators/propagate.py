@@ -192,7 +192,8 @@ def noise_block(
 ) -> np.ndarray:
     """Noise rows (samples x leads); ``phi`` correlates consecutive leads, variance unchanged."""
     leads = np.arange(1, horizon + 1)
-    eps = np.sqrt(sigma2) * draws.normal_values(purpose, *stream, noise_id[:, None], leads[None, :])
+    # A lead's values lie side by side, as the recursion takes them.
+    eps = (np.sqrt(sigma2) * draws.normal_values(purpose, *stream, noise_id[None, :], leads[:, None])).T
     for t in range(1, horizon if phi else 0):
         eps[:, t] = phi * eps[:, t - 1] + np.sqrt(1.0 - phi * phi) * eps[:, t]
     return eps
@@ -221,7 +222,7 @@ def ar_paths(
         raise ValueError("the recursion needs one initial value per lag")
     eps = inputs["eps"]
     intercept = inputs["intercept"]
-    y = np.empty((eps.shape[0], eps.shape[1] + 1))
+    y = np.empty((eps.shape[1] + 1, eps.shape[0])).T
     state = [inputs[n] - intercept for n in reversed(ic_names)]
     y[:, 0] = inputs[ic_names[-1]]
     for t in range(eps.shape[1]):

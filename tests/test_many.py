@@ -165,6 +165,28 @@ def test_a_series_among_many_is_as_alone(spark, monkeypatch, block):
         close(rows, want, ["sample_id", "lead"], ["y"])
 
 
+def test_a_block_of_a_series_leaves_one_row(spark, monkeypatch):
+    """Blocks are merged to what one block gives; what is shuffled doesn't grow with terms and leads."""
+    shared = drivers(spark).drop("site")
+    forced = many.with_forcing(designs(spark), shared, KEYS, ["x"], HORIZON, SAMPLES, MEMBERS, DRAWS, sides=["a"], driver_keys=[])
+    frozen = designs(spark).select(*KEYS, F.array_repeat(F.lit(1.0), HORIZON).alias("x"))
+    job = (KEYS, ["x"], HORIZON, SAMPLES, MEMBERS, DRAWS)
+    rows, seen = many._per_block, []
+
+    def counted(*args):
+        seen.append(rows(*args))
+        return seen[-1]
+
+    monkeypatch.setattr(many, "_per_block", counted)
+    whole = many.one_at_a_time_of_series(forced, frozen, *job, lags=2).collect()
+    assert [df.count() for df in seen] == [2]
+    monkeypatch.setattr(many, "BLOCK", 64)
+    seen.clear()
+    parts = many.one_at_a_time_of_series(forced, frozen, *job, lags=2).collect()
+    assert [df.count() for df in seen] == [6, 6]
+    close(parts, whole, ["site", "variable", "lead", "source"], ["variance", "share"])
+
+
 def test_drivers_of_their_own(spark):
     own = drivers(spark, ["a", "bb"])
     forced = many.with_forcing(designs(spark), own, KEYS, ["x", "z"], HORIZON, SAMPLES, MEMBERS, DRAWS, driver_keys=["site"])
