@@ -129,3 +129,16 @@ def test_far_members_of_a_large_group_make_no_pairs(spark):
         (i, j) for i in rows for j in rows if i < j and 100 * len(rows[i] & rows[j]) >= 80 * len(rows[i] | rows[j])
     }
     assert near and near <= got and len(got) < 2 * len(near)
+
+
+def test_components_end_once_all_links_are_stars(spark, monkeypatch):
+    """The driver keeps what each table and job leaves; a round that changes nothing isn't run."""
+    names = []
+    monkeypatch.setattr(common, "written", lambda df, name, keep=common.written: names.append(name) or keep(df, name))
+    star = spark.createDataFrame([(1, i) for i in range(2, 9)], "a bigint, b bigint")
+    got = {r.node: r.component for r in common.components(star, "a", "b").collect()}
+    assert got == dict.fromkeys(range(1, 9), 1)
+    assert names.count("links") == 1
+    chain = spark.createDataFrame([(2, 1), (3, 2), (3, 1)], "u bigint, v bigint")
+    assert not common._are_stars(chain) and not common._are_stars(chain.filter("u = 3"))
+    assert not common._are_stars(chain.filter("v <> 1 OR u = 2")) and common._are_stars(chain.filter("v = 1"))
