@@ -50,6 +50,42 @@ def test_tiles_smaller_than_the_table(spark, monkeypatch):
     assert sorted(map(tuple, got)) == brute(rows, range(0, 200, 10), 7)
 
 
+def test_copies_of_queries_do_not_outgrow_the_rows(spark):
+    """Every lane gets all queries, so there are no more lanes than rows for a query, whatever the session deals to."""
+    vectors = spark.range(2000).select(F.col("id").alias("vec_id"), F.array(F.col("id") * 0.5).alias("embedding"))
+    key, cores = "spark.sql.shuffle.partitions", spark.sparkContext.defaultParallelism
+    before = spark.conf.get(key)
+    try:
+        spark.conf.set(key, 900)
+        assert topk.lanes_for(vectors, F.col("vec_id") % 100 == 0) == max(100, cores)
+        assert topk.lanes_for(vectors, F.col("vec_id") >= 0) == cores
+        assert topk.lanes_for(vectors, F.lit(False)) == 900
+        spark.conf.set(key, 1)
+        assert topk.lanes_for(vectors, F.col("vec_id") % 100 == 0) == 1
+    finally:
+        spark.conf.set(key, before)
+
+
+def test_best_of_many_tiles(monkeypatch):
+    """What a lane holds after some tiles are the best of all, by each way of taking products, ties too."""
+    monkeypatch.setattr(topk, "BLOCK", 3)
+    draw = np.random.default_rng(8)
+    for scale, kind in ((1.0, np.float32), (1e5, np.float64), (1e8, np.int64)):
+        rows = [(int(i), [float(x) for x in v]) for i, v in zip(draw.permutation(40).repeat(2), draw.integers(-3, 4, (80, 3)), strict=True)]
+        asks = np.array([rows[i][1] for i in range(7)]) * scale
+        best = topk.Best(np.array([rows[i][0] for i in range(7)]), 4)
+        for at in range(0, 80, 9):
+            some = sorted(rows[at : at + 9])
+            tile = np.array([v for _, v in some]) * scale
+            best.meet(asks, np.array([i for i, _ in some]), tile)
+        assert topk.products(asks, tile).dtype == kind
+        for n in range(7):
+            found = [(-sum(int(x) * int(y * scale) for x, y in zip(asks[n], v, strict=True)), i) for i, v in rows if i != rows[n][0]]
+            assert [(-s, i) for s, i in zip(best.score[n].tolist(), best.vec_id[n].tolist(), strict=True)] == sorted(found)[:4]
+        told = best.rows(5)
+        assert told.num_rows == 28 and set(told.column("branch").to_pylist()) == {5}
+
+
 def test_top_k_matches_sql(spark):
     for name in ("op4_top_k",):
         con = duckdb.connect()
