@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from foreunc.llm.common import linked, raw_texts, slices, written
+from foreunc.llm.common import linked, only, raw_texts, slices, written
 
 #: 128 permutations, 256 values, 42 bands of 6: at similarity 0.8 one pair in 300,000 is missed.
 PERMUTATIONS = 128
@@ -225,26 +225,30 @@ def judged(docs: DataFrame, words: int, similarity: int) -> DataFrame:
     """
     found = written(sketches(docs, words), "sketches")
     usable = found.filter("doc_id IS NOT NULL AND n_shingles > 0")
-    nodes = written(
-        usable.groupBy("key1", "key2")
-        .agg(F.min(F.struct("doc_id", "n_shingles", "bands")).alias("first"))
-        .select(
-            "key1", "key2", "first.doc_id", F.col("first.n_shingles").alias("size"), F.col("first.bands").alias("bands")
+
+    def headed() -> DataFrame:
+        nodes = written(
+            usable.groupBy("key1", "key2")
+            .agg(F.min(F.struct("doc_id", "n_shingles", "bands")).alias("first"))
+            .select(
+                "key1", "key2", "first.doc_id", F.col("first.n_shingles").alias("size"), F.col("first.bands").alias("bands")
+            )
+            .orderBy("doc_id", "key1", "key2")
+            .withColumn("node", F.monotonically_increasing_id()),
+            "nodes",
         )
-        .orderBy("doc_id", "key1", "key2")
-        .withColumn("node", F.monotonically_increasing_id()),
-        "nodes",
-    )
-    group = linked(
-        nodes.select("node", "size", F.explode("bands").alias("bucket")),
-        lambda pairs: confirmed(pairs, nodes, docs, words, similarity),
-        # Repeated rows of one id and text have one set.
-        lambda asked: exploded(full_sets(asked.select("node"), nodes, docs, words).distinct().join(asked, "node")),
-        similarity,
-    )
-    firsts = nodes.select(F.col("node").alias("component"), F.col("doc_id").alias("head"))
-    heads = nodes.select("key1", "key2", "node", "doc_id").join(group, "node", "left").join(firsts, "component", "left")
-    heads = written(heads.select("key1", "key2", F.coalesce("head", "doc_id").alias("component")), "heads")
+        group = linked(
+            nodes.select("node", "size", F.explode("bands").alias("bucket")),
+            lambda pairs: confirmed(pairs, nodes, docs, words, similarity),
+            # Repeated rows of one id and text have one set.
+            lambda asked: exploded(full_sets(asked.select("node"), nodes, docs, words).distinct().join(asked, "node")),
+            similarity,
+        )
+        firsts = nodes.select(F.col("node").alias("component"), F.col("doc_id").alias("head"))
+        heads = nodes.select("key1", "key2", "node", "doc_id").join(group, "node", "left").join(firsts, "component", "left")
+        return heads.select("key1", "key2", F.coalesce("head", "doc_id").alias("component"))
+
+    heads = only(headed, "heads")
     return (
         found.drop("bands")
         .join(heads, ["key1", "key2"], "left")
@@ -266,8 +270,13 @@ def without_near_duplicates(docs: DataFrame, words: int = 5, similarity: int = 8
 
     Rows without an id stay; of rows that repeat an id with different texts, each stays or goes by its own.
     """
-    rows = judged(docs, words, similarity).filter("doc_id IS NOT NULL")
-    rows = written(rows.select("doc_id", "key1", "key2", "kept").distinct(), "judged")
+    rows = only(
+        lambda: judged(docs, words, similarity)
+        .filter("doc_id IS NOT NULL")
+        .select("doc_id", "key1", "key2", "kept")
+        .distinct(),
+        "judged",
+    )
     by_id = rows.groupBy("doc_id").agg(F.max("kept").alias("some"), F.min("kept").alias("every"))
     by_id = written(by_id.filter("NOT every"), "dropped")
     kept = docs.join(by_id.select("doc_id"), "doc_id", "left_anti").select(*docs.columns)

@@ -1,12 +1,16 @@
+import os
+import re
 import subprocess
 import sys
+import time
 
 import pytest
 import tiktoken
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from foreunc.llm import bpe, contamination, neardup, queries, toxicity
+from foreunc.llm import bpe, common, contamination, lines, neardup, queries, toxicity
+from foreunc.session import ensure_checkpoint_dir
 from test_contamination import brute as contaminated
 from test_lines import plain as line_classes
 from test_neardup import brute as near_duplicates
@@ -104,3 +108,53 @@ def test_the_rest_works_without_these_folders(tmp_path):
         "import __spark_entry__ as e; assert e.queries() and not any(k.startswith('op1_') for k in e.queries())"
     )
     subprocess.run([sys.executable, "-c", code], check=True, cwd=queries.__file__.rsplit("/", 3)[0])
+
+
+def folders(spark):
+    root = ensure_checkpoint_dir(spark).removeprefix("file:")
+    return {x for x in os.listdir(root) if re.search(r"-[0-9a-f]{32}$", x)}
+
+
+def shuffle_files(spark):
+    disk = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    found = disk.getAllFiles()
+    return {found.apply(i).getName() for i in range(found.size()) if found.apply(i).getName().startswith("shuffle_")}
+
+
+def test_tables_on_the_way_are_deleted(spark):
+    """Stages leave no tables but those that their result reads, and it reads them still."""
+    texts = [f"{w} line that stands here and is long enough to be found\nalso {w}\nsame in all" for w in "abcdefgh"]
+    texts += [texts[0], texts[1].replace("enough", "enuogh"), None, "same in all"]
+    docs = spark.createDataFrame([(i, t, "en") for i, t in enumerate(texts)], "doc_id bigint, text string, lang string")
+    for stage, left in ((lines.without_repeated_lines, {"dropped"}), (neardup.without_near_duplicates, {"judged", "dropped"})):
+        before = folders(spark)
+        out = stage(docs)
+        made = folders(spark) - before
+        assert {x.rpartition("-")[0] for x in made} == left
+        assert sorted(r.doc_id for r in out.collect()) == sorted(r.doc_id for r in out.collect())
+
+    before = folders(spark)
+    inner = []
+
+    def make():
+        inner.append(common.only(lambda: common.written(spark.range(5), "x").filter("id > 1"), "y"))
+        return inner[0].filter("id > 2")
+
+    table = common.only(make, "z")
+    assert {x.rpartition("-")[0] for x in folders(spark) - before} == {"z"}
+    assert sorted(r.id for r in table.collect()) == [3, 4]
+    common.forget(docs, inner[0], table)
+    common.forget(table)
+    assert folders(spark) == before
+
+
+def test_a_written_table_leaves_no_shuffle_files(spark):
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    set_to, before = spark.conf.get(key, None), shuffle_files(spark)
+    table = common.written(spark.range(1000).repartition(3, "id").groupBy("id").count(), "counts")
+    assert spark.conf.get(key, None) == set_to
+    until = time.time() + 20
+    while shuffle_files(spark) - before and time.time() < until:
+        time.sleep(0.2)
+    assert not shuffle_files(spark) - before
+    assert table.count() == 1000
